@@ -61,24 +61,27 @@ def replace_first(c: ColumnOrName, pattern: str, replacement: str,
                   literal: bool | None = None) -> Column:
     """Replace the first match of ``pattern`` in ``c``; NULL stays NULL.
 
-    ``literal=None`` picks the literal fast path when the pattern holds no
-    regex metacharacter (``instr`` + ``overlay``, no regex engine), which
-    gives the same result as the regex path for such patterns.  With
-    ``literal=False`` the pattern is a Java regex and ``$n`` in the
-    replacement refers to its groups.
+    ``pattern`` is a Java regex and ``$n`` in ``replacement`` refers to its
+    groups.  ``literal=True`` matches and inserts both texts as they are;
+    ``None`` treats a pattern without regex metacharacters as literal (same
+    result either way).
+
+    One ``regexp_replace`` whose pattern is anchored at the start with a lazy
+    prefix: the shortest prefix after which the pattern matches, i.e. the
+    leftmost match, is kept and the rest of the text is untouched.  The
+    input is referenced once, so a chain of k replacements is an expression
+    of size k (not 3^k as with instr/overlay), which matters inside
+    higher-order functions where no subexpression is shared.
     """
     if not pattern:
         raise ValueError("empty pattern")
-    c = col_of(c)
     if literal is None:
         literal = is_literal_pattern(pattern)
     if literal:
-        pos = F.instr(c, pattern)
-        return F.when(pos > 0, F.overlay(c, F.lit(replacement), pos, F.lit(len(pattern)))).otherwise(c)
-    pattern, replacement = _shift_groups(pattern, replacement)
-    # Lazy prefix anchored at the start: the smallest prefix after which the
-    # pattern matches, i.e. the leftmost match; the rest is left untouched.
-    return F.regexp_replace(c, F.lit(f"(?s)\\A(.*?)(?:{pattern})"), F.lit("$1" + replacement))
+        pattern, replacement = quote_regex(pattern), quote_replacement(replacement)
+    else:
+        pattern, replacement = _shift_groups(pattern, replacement)
+    return F.regexp_replace(col_of(c), F.lit(f"(?s)\\A(.*?)(?:{pattern})"), F.lit("$1" + replacement))
 
 
 def recode_chain(c: ColumnOrName, pairs: Iterable[tuple[str, str]]) -> Column:

@@ -1,0 +1,134 @@
+"""Readers (header normalisation, NA, quoting, ordinal) and sinks (CSV, JSON)."""
+
+import glob
+import json
+import os
+
+from pyspark.sql import functions as F
+
+from shoreline.plans import beaches as B
+from shoreline.sinks import write_csv, write_json_lines, write_json_na
+from shoreline.sources import (
+    ACTIONS_TYPES, PROFILE_TYPES, STATE_SUMMARY_TYPES, clean_names, read_records, read_report,
+    snake_name, state_dimension,
+)
+from shoreline.sources.schemas import RECORD_SCHEMA
+
+ACTIONS_CSV = '''Beach ID,Beach Name,State,County,Action Type,Action Reasons,Action Indicator,Action Possible Source,Action Duration Days,Year
+B1,Alpha,WI,Door,Closure,"ELEV_BACT, RAINFALL",ENTERO,"CSO,SSO",2,2017
+B1,Alpha,WI,Door,Contamination Advisory,ELEV_BACT,"ENTERO,RATIO",NA,3,2018
+B2,Bravo,BR,Iron,Rain Advisory,RAINFALL,PREEMPT,STORM,1,2018
+B3,Charlie,MK,,Closure,SEWAGE,FECAL_COL,"POTW,SEWER_LINE",5,2018
+B3,Charlie,MK,,Closure,NA,TOTAL_COL,UNKNOWN,NA,2018
+B4,Delta,CA,Marin,Rain Advisory,RAINFALL,PREEMPT,RUNOFF,4,2017
+B4,"Delta Cove",CA,Marin,,ELEV_BACT,ENTERO,RUNOFF,6,2018
+B5,Echo,GU,Guam,Closure,ELEV_BACT,ENTERO,CSO,9,2018
+B6,"Fox ""trot""
+line",,Lost,Closure,ELEV_BACT,ENTERO,CSO,9,2018
+'''
+
+PROFILE_CSV = '''Beach ID,Beach Name,State Code,County,Beach Status,Year
+B1,Alpha,WI,Door,Active,2017
+B1,Alpha,WI,Door,No advisory or closure,2018
+B2,Bravo,BR,Iron,Active,2017
+B2,Bravo,BR,Iron,Active,2018
+B3,Charlie,MK,,Historical,2018
+B4,Delta,CA,Marin,Dormant,2018
+B7,Golf,CA,Marin,No advisory or closure,2018
+B8,Hotel,CA,Kern,Historical,2018
+B9,India,CA,Kern,,2018
+B10,Juliet,VI,X,Active,2018
+B4,Delta,CA,Marin,Dormant,2017
+'''
+
+SUMMARY_CSV = '''State,Year,No. of BEACH Act Beaches,No. of Monitored Beaches,No. of Monitored Beacheswith Actions,No. of Monitored Beacheswithout Actions,Total No. of Beach Actions,No. of Days Undera Beach Action (Monitored Beaches),No. of Days Not Undera Beach Action (Monitored Beaches)
+WI,2018,10,4,3,1,7,12,500
+BR,2018,2,1,1,0,1,2,90
+CA,2018,0,0,0,0,0,0,0
+MK,2018,0,1,0,1,0,0,30
+NY,2018,5,NA,2,1,4,6,80
+GU,2018,9,9,9,9,9,9,9
+WI,2017,8,4,2,2,3,5,300
+'''
+
+
+def write(path, text):
+    with open(path, "w") as f:
+        f.write(text)
+    return path
+
+
+def test_snake_names():
+    assert snake_name("Beach ID") == "beach_id"
+    assert snake_name("No. of Days Undera Beach Action (Monitored Beaches)") == \
+        "no_of_days_undera_beach_action_monitored_beaches"
+    assert snake_name("% Monitored") == "percent_monitored"
+    assert snake_name("stateCode") == "state_code"
+    assert snake_name("2018 status") == "x2018_status"
+
+
+def test_clean_names_dedupes(spark):
+    df = spark.createDataFrame([(1, 2)], "`A b` int, `a_B` int")
+    assert clean_names(df).columns == ["a_b", "a_b_2"]
+
+
+def test_read_reports_and_run_end_to_end(spark, tmp_dir):
+    a = read_report(spark, write(os.path.join(tmp_dir, "actions.csv"), ACTIONS_CSV), ACTIONS_TYPES)
+    rows = a.orderBy("_ord").collect()
+    assert [r["beach_id"] for r in rows] == ["B1", "B1", "B2", "B3", "B3", "B4", "B4", "B5", "B6"]
+    assert rows[1]["action_possible_source"] is None and rows[3]["county"] is None
+    assert rows[4]["action_duration_days"] is None and rows[6]["action_type"] is None
+    assert rows[8]["beach_name"] == 'Fox "trot"\nline' and rows[8]["state"] is None
+    assert dict(a.dtypes)["action_duration_days"] == "bigint" and dict(a.dtypes)["year"] == "int"
+
+    out = os.path.join(tmp_dir, "out")
+    r = B.run_reports(spark, os.path.join(tmp_dir, "actions.csv"),
+                      write(os.path.join(tmp_dir, "profile.csv"), PROFILE_CSV),
+                      write(os.path.join(tmp_dir, "summary.csv"), SUMMARY_CSV), out)
+    assert r.clean.count() == 7
+    sums = spark.read.csv(f"{out}/statesums", header=True)
+    assert {x["state"]: x["number_of_beaches_with_actions"] for x in sums.collect()} == {
+        "CA": "2", "WA": "1", "WI": "2", "Total": "5"}
+    per_beach = open(glob.glob(f"{out}/all_beach_vars/part-*.csv")[0]).read()
+    assert "B3,Charlie,WA,NA,\"SEWAGE, NA\"" in per_beach
+    assert sorted(d for d in os.listdir(f"{out}/state_summaries") if d.startswith("year=")) == [
+        "year=2017", "year=2018"]
+    pub = [json.loads(line) for p in glob.glob(f"{out}/allbeachesforpub_json/part-*")
+           for line in open(p)]
+    golf = [x for x in pub if x["EPA beach ID"] == "B7"][0]
+    assert golf["Total number of beach actions"] == "NA" and golf["State"] == "California"
+    plain = [json.loads(line) for p in glob.glob(f"{out}/beaches_json/part-*") for line in open(p)]
+    golf = [x for x in plain if x["beach_id"] == "B7"][0]
+    assert "no_of_beach_actions" not in golf and golf["status"] == "Active: No advisory or closure"
+    snap = B.profile_snapshot(read_report(spark, os.path.join(tmp_dir, "profile.csv"), PROFILE_TYPES))
+    assert sorted(x["beach_id"] for x in snap.collect()) == ["B1", "B3", "B4", "B7", "B8", "B9"]
+    summ = read_report(spark, os.path.join(tmp_dir, "summary.csv"), STATE_SUMMARY_TYPES)
+    assert summ.filter(F.col("no_of_monitored_beaches").isNull()).count() == 1
+
+
+def test_csv_sink_writes_na(spark, tmp_dir):
+    df = spark.createDataFrame([("g", None, None)], "a string, b string, c long")
+    write_csv(df, f"{tmp_dir}/k1", single_file=True)
+    text = open(glob.glob(f"{tmp_dir}/k1/part-*.csv")[0]).read()
+    assert text.splitlines() == ["a,b,c", "g,NA,NA"]
+
+
+def test_json_sinks_and_reader(spark, tmp_dir):
+    df = spark.createDataFrame([("x", None, 2)], "a string, b string, n long")
+    write_json_lines(df, f"{tmp_dir}/k8")
+    write_json_na(df, f"{tmp_dir}/k9")
+    k8 = [json.loads(line) for p in glob.glob(f"{tmp_dir}/k8/part-*") for line in open(p)]
+    k9 = [json.loads(line) for p in glob.glob(f"{tmp_dir}/k9/part-*") for line in open(p)]
+    assert k8 == [{"a": "x", "n": 2}]
+    assert k9 == [{"a": "x", "b": "NA", "n": "2"}]
+    arr = write(f"{tmp_dir}/records.json",
+                '[{"bn":"Virginia Key","bi":"VA01","s":"Virginia","c":"York","na":"2"}]')
+    rec = read_records(spark, arr, RECORD_SCHEMA).collect()
+    assert rec[0]["bi"] == "VA01" and rec[0]["st"] is None
+
+
+def test_state_dimension(spark):
+    dim = state_dimension(spark)
+    assert dim.count() == 52
+    names = {r["code"]: r["name"] for r in dim.collect()}
+    assert names["WV"] == "West Virginia" and names["PR"] == "Puerto Rico" and "GU" not in names
