@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from shoreline.functions.arith import count_equal, ieee_divide, na_sum, sum_or_zero
 from shoreline.functions.text import ColumnOrName, col_of, split_tokens
 from shoreline.operators._util import fresh_name, is_integral, is_numeric, qcol
-from shoreline.operators.explode import clean_token, row_count
+from shoreline.operators.explode import clean_token
+from shoreline.session import materialize
 
 Normalizer = Callable[[Column], Column]
 
@@ -136,11 +137,12 @@ def share_of_total(df: DataFrame, by: Sequence[str], count_col: str = "n",
                    pct_col: str = "pct") -> DataFrame:
     """Row count per group and its percent of all rows.
 
-    The denominator is one scalar aggregate, so no window gathers the groups
-    into a single task however many groups there are.
+    The grouped counts are checkpointed to the shared checkpoint folder and
+    the denominator is summed from them: the input is scanned once, and no
+    window gathers the groups into a single task however many there are.
     """
-    total = row_count(df)
-    counts = df.groupBy(*[qcol(b) for b in by]).agg(F.count(F.lit(1)).alias(count_col))
+    counts = materialize(df.groupBy(*[qcol(b) for b in by]).agg(F.count(F.lit(1)).alias(count_col)))
+    total = counts.agg(F.sum(count_col)).first()[0] or 0
     return counts.withColumn(pct_col, F.col(count_col) / F.lit(float(total)) * 100)
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from shoreline.functions.text import split_tokens, trim_unicode
 from shoreline.operators._util import fresh_name, qcol
+from shoreline.session import materialize
 
 Normalizer = Callable[[Column], Column]
 
@@ -81,11 +82,6 @@ def token_frequency(df: DataFrame, column: str, cross_with: Iterable[str] = (),
               .agg(F.sum(w).alias(count_col)))
 
 
-def row_count(df: DataFrame) -> int:
-    """Number of rows: one scalar back to the driver (used as a denominator)."""
-    return df.select(F.count(F.lit(1)).alias("n")).first()["n"]
-
-
 def token_share(df: DataFrame, column: str, sep: str = ",", trim: bool = True,
                 normalize: Normalizer | None = None, tokens: Sequence[str] | None = None,
                 token_col: str = "token", count_col: str = "n",
@@ -94,14 +90,26 @@ def token_share(df: DataFrame, column: str, sep: str = ",", trim: bool = True,
 
     The denominator counts every row, including rows whose list is NULL.
     A row holding a token twice counts once.  ``tokens`` restricts the
-    output to those tokens (all other tokens are filtered before the
-    shuffle).  The denominator is a single scalar aggregate.
+    output to those tokens (others are dropped before the shuffle).
+
+    One pass over the input: every row also emits a marker element, so the
+    same aggregate yields the row total.  The aggregated counts (one row per
+    token) are checkpointed to the shared checkpoint folder and the total
+    is read from there, so the input is not scanned a second time and no
+    window gathers the tokens into one task.
     """
-    total = row_count(df)
-    tok = fresh_name(df, "__tok")
+    tok, is_total = fresh_name(df, "__tok"), fresh_name(df, "__total")
     clean = F.transform(split_tokens(qcol(column), sep), lambda x: clean_token(x, trim, normalize))
-    ex = df.select(F.explode(F.array_distinct(clean)).alias(tok))
+    marked = F.concat(
+        F.transform(F.array_distinct(clean), lambda x: F.struct(F.lit(False).alias("t"), x.alias("v"))),
+        F.array(F.struct(F.lit(True).alias("t"), F.lit(None).cast("string").alias("v"))))
+    ex = df.select(F.explode(marked).alias("__e")).select(
+        F.col("__e.t").alias(is_total), F.col("__e.v").alias(tok))
     if tokens is not None:
-        ex = ex.filter(F.col(tok).isin(list(tokens)))
-    counts = ex.groupBy(F.col(tok).alias(token_col)).agg(F.count(F.lit(1)).alias(count_col))
-    return counts.withColumn(pct_col, F.col(count_col) / F.lit(float(total)) * 100)
+        ex = ex.filter(F.col(is_total) | F.col(tok).isin(list(tokens)))
+    counts = materialize(ex.groupBy(is_total, tok).agg(F.count(F.lit(1)).alias(count_col)))
+    total = counts.filter(F.col(is_total)).select(count_col).first()
+    total = total[0] if total else 0
+    return (counts.filter(~F.col(is_total))
+            .select(F.col(tok).alias(token_col), F.col(count_col),
+                    (F.col(count_col) / F.lit(float(total)) * 100).alias(pct_col)))
