@@ -29,53 +29,47 @@ def ordered_distinct_concat(df: DataFrame, keys: Sequence[str], lists: Mapping[s
     value ``na``.  First appearance is the smallest (``order_by``, position
     in the list); ``order_by`` must be unique per row.
 
-    Two shuffles, both on de-duplicated data: (keys, field, value) with a
-    map-side partial min, then keys with one row per distinct value.  No
-    cross product of the lists is formed, and a group's state is bounded by
-    its number of distinct values, not its number of rows.
+    Plan: one row per (row, list) and one per distinct raw element (no
+    lambdas, codegen); first appearance per (keys, list, raw element) by a
+    hash aggregate with map-side partial aggregation; trimming and
+    normalisation then run once per distinct raw element, not per row;
+    finally one row per key collects its (few) values, sorts them by first
+    appearance and keeps the first occurrence of each normalised value (raw
+    variants that normalise alike merge there).  Two shuffles, both of
+    de-duplicated data; a group's state is bounded by its number of distinct
+    values, not its rows, and no cross product of the lists is formed.
     """
     normalize = normalize or {}
     fields = list(lists.items())
-    order = col_of(order_by)
+    kcols = [qcol(k) for k in keys]
     ordv = fresh_name(df, "__ord")
-    item = fresh_name(df, "__item")
-    # array_distinct keeps the first occurrence, so inside one row each value
-    # has one position; with an integral order column the first appearance
-    # is then a min_by over fixed-width buffers (hash aggregate).
-    # PySpark passes as many lambda arguments as the lambda declares, so the
-    # per-field values are bound by closures, not by default arguments.
-    def cleaner(fn):
-        return lambda x: clean_token(x, trim, fn)
-
-    def tagger(fi):
-        return lambda x, i: F.struct(F.lit(fi).alias("f"), i.cast("long").alias("pos"),
-                                     x.alias("v"))
-
-    parts = []
-    for fi, (out, src) in enumerate(fields):
-        vals = F.array_distinct(F.transform(split_tokens(qcol(src), sep),
-                                            cleaner(normalize.get(out))))
-        parts.append(F.transform(vals, tagger(fi)))
-    items = df.select(*[qcol(k) for k in keys], order.alias(ordv),
-                      F.explode(F.concat(*parts)).alias(item))
-    flat = items.select(*[qcol(k) for k in keys], F.col(ordv),
-                        F.col(f"{item}.f").alias("__f"), F.col(f"{item}.pos").alias("__pos"),
-                        F.col(f"{item}.v").alias("__v"))
-    ord_type = flat.schema[ordv].dataType
-    grouped = flat.groupBy(*[qcol(k) for k in keys], F.col("__f"), F.col("__v"))
-    if is_integral(ord_type):
+    per_list = F.array(*[F.struct(F.lit(fi).alias("__f"), qcol(src).cast("string").alias("__l"))
+                         for fi, (_, src) in enumerate(fields)])
+    rows = df.select(*kcols, col_of(order_by).alias(ordv), F.inline(per_list))
+    # array_distinct keeps first occurrences in order, so a raw value has one
+    # position per row and (order, position) has no ties within a group.
+    items = rows.select(*kcols, ordv, "__f", F.posexplode(F.array_distinct(
+        split_tokens(F.col("__l"), sep))).alias("__pos", "__raw"))
+    grouped = items.groupBy(*kcols, F.col("__f"), F.col("__raw"))
+    if is_integral(items.schema[ordv].dataType):
         firsts = grouped.agg(F.min(ordv).alias("__o"), F.min_by("__pos", ordv).alias("__p"))
     else:
         firsts = (grouped.agg(F.min(F.struct(F.col(ordv).alias("o"), F.col("__pos").alias("p")))
                               .alias("__first"))
-                  .select(*[qcol(k) for k in keys], "__f", "__v",
-                          F.col("__first.o").alias("__o"), F.col("__first.p").alias("__p")))
+                  .select(*kcols, "__f", "__raw", F.col("__first.o").alias("__o"),
+                          F.col("__first.p").alias("__p")))
+    cleaned = F.lit(None).cast("string")
+    value = None
+    for fi, (out, _) in enumerate(fields):
+        expr = clean_token(F.col("__raw"), trim, normalize.get(out))
+        value = F.when(F.col("__f") == fi, expr) if value is None else value.when(F.col("__f") == fi, expr)
+    firsts = firsts.withColumn("__v", value.otherwise(cleaned))
     aggs = []
     for fi, (out, _) in enumerate(fields):
         lst = F.collect_list(F.when(F.col("__f") == fi, F.struct("__o", "__p", "__v")))
-        aggs.append(F.array_join(F.transform(F.array_sort(lst), lambda e: e["__v"]),
-                                 joiner, na).alias(out))
-    return firsts.groupBy(*[qcol(k) for k in keys]).agg(*aggs)
+        vals = F.array_distinct(F.transform(F.array_sort(lst), lambda e: e["__v"]))
+        aggs.append(F.array_join(vals, joiner, na).alias(out))
+    return firsts.groupBy(*kcols).agg(*aggs)
 
 
 def summarize_counts(df: DataFrame, key: Sequence[str], count_col: str = "n",

@@ -69,17 +69,23 @@ def token_frequency(df: DataFrame, column: str, cross_with: Iterable[str] = (),
 
     With ``cross_with`` each element counts once per combination with the
     elements of those other list columns, i.e. the count over the long
-    (cross-product) table, computed as a weighted count.  Partial
-    aggregation runs map-side, so a dominant token is combined before the
-    shuffle.
+    (cross-product) table, computed as a weighted count.
+
+    Raw elements are counted first (map-side partial aggregation, so a
+    dominant token is combined before the shuffle); trimming and
+    normalisation then run once per distinct raw element and a second,
+    small aggregate merges raw variants that normalise alike.
     """
     weight = reduce(mul, [F.size(split_tokens(qcol(c), sep)).cast("long") for c in cross_with],
                     F.lit(1).cast("long"))
     tok, w = fresh_name(df, "__tok"), fresh_name(df, "__w")
-    ex = df.select(*[qcol(b) for b in by], F.explode(split_tokens(qcol(column), sep)).alias(tok),
-                   weight.alias(w))
-    return (ex.groupBy(*[qcol(b) for b in by], clean_token(F.col(tok), trim, normalize).alias(column))
-              .agg(F.sum(w).alias(count_col)))
+    bcols = [qcol(b) for b in by]
+    ex = df.select(*bcols, F.explode(split_tokens(qcol(column), sep)).alias(tok), weight.alias(w))
+    raw = ex.groupBy(*bcols, F.col(tok)).agg(F.sum(w).alias(w))
+    if not trim and normalize is None:
+        return raw.select(*bcols, F.col(tok).alias(column), F.col(w).alias(count_col))
+    return (raw.groupBy(*bcols, clean_token(F.col(tok), trim, normalize).alias(column))
+               .agg(F.sum(w).alias(count_col)))
 
 
 def token_share(df: DataFrame, column: str, sep: str = ",", trim: bool = True,
