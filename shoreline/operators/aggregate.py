@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoreline.functions.arith import count_equal, ieee_divide, na_sum, sum_or_zero
@@ -16,60 +16,130 @@ from shoreline.session import materialize
 Normalizer = Callable[[Column], Column]
 
 
-def ordered_distinct_concat(df: DataFrame, keys: Sequence[str], lists: Mapping[str, str],
-                            order_by: ColumnOrName, sep: str = ",", joiner: str = ", ",
-                            trim: bool = True,
-                            normalize: Mapping[str, Normalizer] | None = None,
-                            na: str = "NA") -> DataFrame:
-    """Per group of ``keys``: the distinct elements of each list column,
-    joined by ``joiner`` in order of first appearance.
-
-    ``lists`` maps output name -> source list column.  Elements are split on
-    ``sep``, trimmed and normalised; a NULL list or element counts as the
-    value ``na``.  First appearance is the smallest (``order_by``, position
-    in the list); ``order_by`` must be unique per row.
+def _first_appearances(df: DataFrame, keys: Sequence[str], fields: list[tuple[str, str]],
+                       order_by: ColumnOrName, sep: str,
+                       measures: Mapping[str, Column] | None = None) -> DataFrame:
+    """Per (keys, list, raw element): first (order, position) of the element.
 
-    Plan: one row per (row, list) and one per distinct raw element (no
-    lambdas, codegen); first appearance per (keys, list, raw element) by a
-    hash aggregate with map-side partial aggregation; trimming and
-    normalisation then run once per distinct raw element, not per row;
-    finally one row per key collects its (few) values, sorts them by first
-    appearance and keeps the first occurrence of each normalised value (raw
-    variants that normalise alike merge there).  Two shuffles, both of
-    de-duplicated data; a group's state is bounded by its number of distinct
-    values, not its rows, and no cross product of the lists is formed.
+    One row per (row, list) and one per distinct raw element of the list
+    (no lambdas).  ``measures`` are row-level expressions carried on the
+    row's first item only (list 0, position 0: every row has exactly one),
+    aggregated as additive partials ``__rows``, ``__c_<m>`` (non-NULL count)
+    and ``__s_<m>`` (sum) so callers can finish row counts and NA-propagating
+    sums per key without a second pass over the input.
     """
-    normalize = normalize or {}
-    fields = list(lists.items())
+    measures = measures or {}
     kcols = [qcol(k) for k in keys]
     ordv = fresh_name(df, "__ord")
     per_list = F.array(*[F.struct(F.lit(fi).alias("__f"), qcol(src).cast("string").alias("__l"))
                          for fi, (_, src) in enumerate(fields)])
-    rows = df.select(*kcols, col_of(order_by).alias(ordv), F.inline(per_list))
+    mcols = [e.alias(f"__m_{m}") for m, e in measures.items()]
+    rows = df.select(*kcols, col_of(order_by).alias(ordv), *mcols, F.inline(per_list))
     # array_distinct keeps first occurrences in order, so a raw value has one
     # position per row and (order, position) has no ties within a group.
-    items = rows.select(*kcols, ordv, "__f", F.posexplode(F.array_distinct(
-        split_tokens(F.col("__l"), sep))).alias("__pos", "__raw"))
+    items = rows.select(*kcols, ordv, "__f", *[f"__m_{m}" for m in measures], F.posexplode(
+        F.array_distinct(split_tokens(F.col("__l"), sep))).alias("__pos", "__raw"))
+    first_item = (F.col("__f") == 0) & (F.col("__pos") == 0)
+    partials = []
+    if measures:
+        partials.append(F.count(F.when(first_item, F.lit(1))).alias("__rows"))
+        for m in measures:
+            carried = F.when(first_item, F.col(f"__m_{m}"))
+            partials += [F.count(carried).alias(f"__c_{m}"), F.sum(carried).alias(f"__s_{m}")]
     grouped = items.groupBy(*kcols, F.col("__f"), F.col("__raw"))
     if is_integral(items.schema[ordv].dataType):
-        firsts = grouped.agg(F.min(ordv).alias("__o"), F.min_by("__pos", ordv).alias("__p"))
-    else:
-        firsts = (grouped.agg(F.min(F.struct(F.col(ordv).alias("o"), F.col("__pos").alias("p")))
-                              .alias("__first"))
-                  .select(*kcols, "__f", "__raw", F.col("__first.o").alias("__o"),
-                          F.col("__first.p").alias("__p")))
-    cleaned = F.lit(None).cast("string")
+        return grouped.agg(F.min(ordv).alias("__o"), F.min_by("__pos", ordv).alias("__p"), *partials)
+    firsts = grouped.agg(F.min(F.struct(F.col(ordv).alias("o"), F.col("__pos").alias("p")))
+                         .alias("__first"), *partials)
+    return firsts.select(*kcols, "__f", "__raw", F.col("__first.o").alias("__o"),
+                         F.col("__first.p").alias("__p"),
+                         *[c for c in firsts.columns if c.startswith(("__rows", "__c_", "__s_"))])
+
+
+def _joined_lists(firsts: DataFrame, fields: list[tuple[str, str]], trim: bool,
+                  normalize: Mapping[str, Normalizer], joiner: str, na: str) -> list[Column]:
+    """Aggregates turning first appearances into one joined string per list.
+
+    Trimming and normalisation run here, once per distinct raw element; raw
+    variants that normalise alike keep the earliest appearance.
+    """
     value = None
     for fi, (out, _) in enumerate(fields):
         expr = clean_token(F.col("__raw"), trim, normalize.get(out))
-        value = F.when(F.col("__f") == fi, expr) if value is None else value.when(F.col("__f") == fi, expr)
-    firsts = firsts.withColumn("__v", value.otherwise(cleaned))
+        value = (F.when(F.col("__f") == fi, expr) if value is None
+                 else value.when(F.col("__f") == fi, expr))
+    v = value.otherwise(F.lit(None).cast("string"))
     aggs = []
     for fi, (out, _) in enumerate(fields):
-        lst = F.collect_list(F.when(F.col("__f") == fi, F.struct("__o", "__p", "__v")))
+        lst = F.collect_list(F.when(F.col("__f") == fi,
+                                    F.struct(F.col("__o"), F.col("__p"), v.alias("__v"))))
         vals = F.array_distinct(F.transform(F.array_sort(lst), lambda e: e["__v"]))
         aggs.append(F.array_join(vals, joiner, na).alias(out))
-    return firsts.groupBy(*kcols).agg(*aggs)
+    return aggs
+
+
+def ordered_distinct_concat(df: DataFrame, keys: Sequence[str], lists: Mapping[str, str],
+                            order_by: ColumnOrName, sep: str = ",", joiner: str = ", ",
+                            trim: bool = True,
+                            normalize: Mapping[str, Normalizer] | None = None,
+                            na: str = "NA") -> DataFrame:
+    """Per group of ``keys``: the distinct elements of each list column,
+    joined by ``joiner`` in order of first appearance.
+
+    ``lists`` maps output name -> source list column.  Elements are split on
+    ``sep``, trimmed and normalised; a NULL list or element counts as the
+    value ``na``.  First appearance is the smallest (``order_by``, position
+    in the list); ``order_by`` must be unique per row.
+
+    Plan: first appearance per (keys, list, raw element) by a hash aggregate
+    with map-side partial aggregation; trimming and normalisation then run
+    once per distinct raw element, not per row; one row per key collects its
+    (few) values, sorts them by first appearance and keeps the first
+    occurrence of each normalised value.  Two shuffles, both of
+    de-duplicated data; a group's state is bounded by its number of distinct
+    values, not its rows, and no cross product of the lists is formed.
+    """
+    fields = list(lists.items())
+    firsts = _first_appearances(df, keys, fields, order_by, sep)
+    return firsts.groupBy(*[qcol(k) for k in keys]).agg(
+        *_joined_lists(firsts, fields, trim, normalize or {}, joiner, na))
+
+
+def site_lists_with_counts(df: DataFrame, site_keys: Sequence[str], id_col: str,
+                           lists: Mapping[str, str], order_by: ColumnOrName,
+                           count_col: str, sums: Mapping[str, str] | None = None,
+                           category_col: str | None = None,
+                           categories: Mapping[str, object] | None = None,
+                           sep: str = ",", joiner: str = ", ", trim: bool = True,
+                           normalize: Mapping[str, Normalizer] | None = None,
+                           na: str = "NA") -> DataFrame:
+    """Ordered distinct lists per site plus counts per site *id*, one pass.
+
+    Equals ``ordered_distinct_concat`` by ``site_keys`` left-joined (NULL
+    matching NULL) with ``summarize_counts`` by ``id_col``: each site row
+    carries the full counts of its id, so an id spelled several ways counts
+    fully on each row.  The counts travel as additive partials through the
+    list aggregation and are summed per id by a window over the site rows,
+    so the input is read once and no join is needed.
+    """
+    sums, categories = dict(sums or {}), dict(categories or {})
+    measures = {f"s{i}": qcol(c) for i, c in enumerate(sums.values())}
+    measures.update({f"k{i}": (qcol(category_col) == F.lit(v)).cast("long")
+                     for i, v in enumerate(categories.values())})
+    fields = list(lists.items())
+    kcols = [qcol(k) for k in site_keys]
+    firsts = _first_appearances(df, site_keys, fields, order_by, sep, measures)
+    partial_names = ["__rows"] + [f"__{p}_{m}" for m in measures for p in ("c", "s")]
+    sites = firsts.groupBy(*kcols).agg(
+        *_joined_lists(firsts, fields, trim, normalize or {}, joiner, na),
+        *[F.sum(n).alias(n) for n in partial_names])
+    per_id = Window.partitionBy(qcol(id_col))
+    totals = {n: F.sum(n).over(per_id) for n in partial_names}
+    outs = [totals["__rows"].alias(count_col)]
+    names = list(sums) + list(categories)
+    for out, m in zip(names, measures):
+        outs.append(F.when(totals[f"__c_{m}"] == totals["__rows"], totals[f"__s_{m}"]).alias(out))
+    return sites.select(*kcols, *[qcol(o) for o, _ in fields], *outs)
 
 
 def summarize_counts(df: DataFrame, key: Sequence[str], count_col: str = "n",

@@ -137,8 +137,9 @@ def beach_numbers(clean: DataFrame) -> DataFrame:
 def per_beach(clean: DataFrame) -> DataFrame:
     """One row per beach (id, name, state, county): lists and counts."""
     return sites.per_site_table(clean, SITE_KEYS, "beach_id", LIST_COLUMNS, ORDINAL,
-                                "no_of_beach_actions", {}, None, {}, normalize=NORMALIZERS,
-                                numbers=beach_numbers(clean))
+                                "no_of_beach_actions",
+                                {"no_of_days_under_action": "action_duration_days"},
+                                "action_type", ACTION_TYPES, normalize=NORMALIZERS)
 
 
 # Q7

@@ -17,8 +17,8 @@ from shoreline.operators.aggregate import (
     count_by,
     grouped_sums_with_ratio,
     ordered_distinct_concat,
+    site_lists_with_counts,
     sums_and_count,
-    summarize_counts,
     with_ratio_columns,
     with_total_row,
 )
@@ -35,16 +35,18 @@ def per_site_table(events: DataFrame, site_keys: Sequence[str], id_col: str,
                    category_col: str | None, categories: Mapping[str, object],
                    normalize: Mapping[str, Normalizer] | None = None,
                    numbers: DataFrame | None = None) -> DataFrame:
-    """Lists per site joined with counts per site id (left, NULL-safe).
+    """Lists per site with counts per site id (left, NULL-safe).
 
     Sites are groups of ``site_keys`` (which include ``id_col``).  When one
     id has several key spellings, each of its rows gets the id's full
-    counts, as in the reference.  ``numbers`` overrides the counts table
-    (default: ``summarize_counts`` over ``events``).
+    counts, as in the reference.  By default lists and counts come from one
+    pass over ``events``; ``numbers`` supplies a separate counts table
+    instead, joined on ``id_col``.
     """
-    collapsed = ordered_distinct_concat(events, site_keys, lists, order_by, normalize=normalize)
     if numbers is None:
-        numbers = summarize_counts(events, [id_col], count_col, sums, category_col, categories)
+        return site_lists_with_counts(events, site_keys, id_col, lists, order_by, count_col,
+                                      sums, category_col, categories, normalize=normalize)
+    collapsed = ordered_distinct_concat(events, site_keys, lists, order_by, normalize=normalize)
     return null_safe_join(collapsed, numbers, [id_col], "left")
 
 

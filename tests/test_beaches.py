@@ -140,3 +140,16 @@ def test_one_pass_summary_equals_per_year(reports, spark):
                   + rows(B.state_summaries(s, [2018]), "year", "state", "total_beaches", "monitored_beaches"),
                   key=repr)
     assert both == each
+
+
+def test_one_pass_site_table_equals_join(reports):
+    from shoreline.operators.aggregate import ordered_distinct_concat
+    from shoreline.operators.joins import null_safe_join
+
+    joined = null_safe_join(
+        ordered_distinct_concat(reports.clean, B.SITE_KEYS, B.LIST_COLUMNS, "_ord",
+                                normalize=B.NORMALIZERS),
+        B.beach_numbers(reports.clean), ["beach_id"], "left")
+    cols = reports.beaches.columns
+    assert joined.columns == cols
+    assert rows(joined, *cols) == rows(reports.beaches, *cols)
