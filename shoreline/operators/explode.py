@@ -56,10 +56,11 @@ def long_form(df: DataFrame, columns: Sequence[str], sep: str = ",", trim: bool
     ``token_frequency`` instead.
     """
     normalize = normalize or {}
+    # Each list is cleaned right after its own split, before later splits
+    # multiply its values, so an element is cleaned once per source row.
     for c in columns:
-        df = split_rows(df, c, sep=sep, trim=False)
-    return df.select(*[clean_token(qcol(c), trim, normalize.get(c)).alias(c) if c in columns
-                       else qcol(c) for c in df.columns])
+        df = split_rows(df, c, sep=sep, trim=trim, normalize=normalize.get(c))
+    return df
 
 
 def token_frequency(df: DataFrame, column: str, cross_with: Iterable[str] = (), sep: str = ",",

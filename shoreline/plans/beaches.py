@@ -19,6 +19,7 @@ from shoreline.operators.filters import keep_positive, recode_and_exclude
 from shoreline.operators.joins import dim_lookup
 from shoreline.operators.project import rename_columns
 from shoreline.plans import sites
+from shoreline.session import materialize
 from shoreline.sinks import write_csv, write_json_lines, write_json_na
 from shoreline.sources.dims import state_dimension
 from shoreline.sources.readers import ORDINAL, read_report
@@ -244,8 +245,17 @@ class Reports:
     state_summaries: DataFrame
 
 
-def build_reports(actions: DataFrame, profile: DataFrame, summary: DataFrame) -> Reports:
+def build_reports(actions: DataFrame, profile: DataFrame, summary: DataFrame,
+                  checkpoint_clean: bool = False) -> Reports:
+    """All products as lazy DataFrames.
+
+    ``checkpoint_clean`` writes the cleaned actions to the shared checkpoint
+    folder first: five products read them, so the report is parsed once and
+    a lost executor does not send the jobs back to the CSV.
+    """
     clean = clean_actions(actions)
+    if checkpoint_clean:
+        clean = materialize(clean)
     beaches = per_beach(clean)
     snap = profile_snapshot(profile)
     allb = all_beaches(beaches, snap)
@@ -261,7 +271,8 @@ def run_reports(spark: SparkSession, actions_path: str, profile_path: str, summa
     """Read the three reports and write the published files under ``out_dir``."""
     r = build_reports(read_report(spark, actions_path, ACTIONS_TYPES, multiline),
                       read_report(spark, profile_path, PROFILE_TYPES, multiline),
-                      read_report(spark, summary_path, STATE_SUMMARY_TYPES, multiline))
+                      read_report(spark, summary_path, STATE_SUMMARY_TYPES, multiline),
+                      checkpoint_clean=True)
     out = out_dir.rstrip("/")
     write_csv(r.clean.drop(ORDINAL), f"{out}/beach_actions_clean")
     write_csv(r.beaches, f"{out}/all_beach_vars", order_by=SITE_KEYS)
