@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from shoreline.plans import beaches as B
+from shoreline.plans import lookup as L
 from shoreline.plans import report_tables as R
 from shoreline.sources.dims import STATE_NAMES
 
@@ -463,9 +464,15 @@ def report_sql() -> dict[str, str]:
     tot = ", ".join(f"CAST(SUM({c}) AS BIGINT)" for c in state_sum_cols)
     labels = B.PUBLICATION_LABELS
     pub_cols = ", ".join(_na(c, a) for c, a in labels.items())
-    keys = {v: k for k, v in __import__("shoreline.plans.lookup", fromlist=["x"]).RECORD_KEYS.items()}
+    keys = {v: k for k, v in L.RECORD_KEYS.items()}
     inv = {a: c for c, a in labels.items()}
     rec_cols = ", ".join(f"coalesce(CAST({inv[keys[k]]} AS VARCHAR), 'NA') AS {k}" for k in keys)
+    display = []
+    for k in keys:
+        e = f"nullif({k}, 'NA')" if k in L.HIDE_NA_FIELDS else k
+        e = f"upper({e})" if k in L.UPPER_FIELDS else e
+        display.append(f"{e} AS {k}")
+    display_cols = ", ".join(display)
     term = R.LOOKUP_TERM
     search = " OR ".join(
         f"regexp_matches(lower({f}), {_q(term)})" for f in
@@ -529,4 +536,10 @@ FROM g""",
         "beach_lookup": f"""WITH {_BASE},{per_beach},{_PROFILE},{_ALL},
 rec AS (SELECT {rec_cols} FROM pub)
 SELECT * FROM rec WHERE regexp_matches(s, {_q(R.LOOKUP_STATE)}) AND ({search})""",
+        "beach_display": f"""WITH {_BASE},{per_beach},{_PROFILE},{_ALL},
+rec AS (SELECT {rec_cols} FROM pub)
+SELECT {display_cols} FROM rec""",
+        "beach_state_list": f"""WITH {_BASE},{per_beach},{_PROFILE},{_ALL},
+rec AS (SELECT {rec_cols} FROM pub)
+SELECT DISTINCT s FROM rec""",
     }

@@ -214,8 +214,21 @@ def beach_state_summaries(spark: SparkSession, d: str) -> DataFrame:
 
 # Q18
 def beach_lookup(spark: SparkSession, d: str) -> DataFrame:
-    records = L.short_records(B.publication(_all(spark, d)))
-    return L.find(records, LOOKUP_STATE, LOOKUP_TERM)
+    return L.find(_records(spark, d), LOOKUP_STATE, LOOKUP_TERM)
+
+
+def _records(spark, d):
+    return L.short_records(B.publication(_all(spark, d)))
+
+
+# Records as the page shows them
+def beach_display(spark: SparkSession, d: str) -> DataFrame:
+    return L.display(_records(spark, d))
+
+
+# The state picker list
+def beach_state_list(spark: SparkSession, d: str) -> DataFrame:
+    return L.state_list(_records(spark, d))
 
 
 QUERIES = {
@@ -239,6 +252,8 @@ QUERIES = {
     "beach_publication": beach_publication,
     "beach_state_summaries": beach_state_summaries,
     "beach_lookup": beach_lookup,
+    "beach_display": beach_display,
+    "beach_state_list": beach_state_list,
 }
 
 __all__ = ["QUERIES", "actions_table", "profile_table", "summary_table"]
