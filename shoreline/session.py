@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,8 +26,11 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def checkpoint_dir(spark: SparkSession, default: str | None = None) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    Uses the folder the context already has, else the session setting; only
-    when both are unset (tests) is ``default`` installed.
+    Uses the folder the context already has, else the session setting.
+    Only when both are unset is ``default`` installed; with no default a
+    local-mode session (one machine: tests, benchmarks) gets a fresh
+    temporary folder, and a cluster session is refused, since a folder on
+    one machine would not survive the loss of that machine.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -34,7 +38,9 @@ def checkpoint_dir(spark: SparkSession, default: str | None = None) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or default
     if not configured:
-        raise RuntimeError("spark.checkpoint.dir is not set")
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+        configured = tempfile.mkdtemp(prefix="shoreline-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
 

@@ -132,3 +132,19 @@ def test_state_dimension(spark):
     assert dim.count() == 52
     names = {r["code"]: r["name"] for r in dim.collect()}
     assert names["WV"] == "West Virginia" and names["PR"] == "Puerto Rico" and "GU" not in names
+
+
+def test_checkpoint_dir_reads_session(spark):
+    from shoreline.session import checkpoint_dir
+
+    assert checkpoint_dir(spark) == spark.sparkContext.getCheckpointDir()
+
+
+def test_csv_ordinal_orders_files_and_rows(spark, tmp_dir):
+    d = os.path.join(tmp_dir, "many")
+    os.makedirs(d)
+    write(os.path.join(d, "a.csv"), "Beach ID,Year\nA1,2018\nA2,2017\n")
+    write(os.path.join(d, "b.csv"), "Beach ID,Year\nB1,2018\n")
+    df = read_report(spark, d, {"beach_id": ACTIONS_TYPES["beach_id"], "year": ACTIONS_TYPES["year"]},
+                     multiline=False)
+    assert [r["beach_id"] for r in df.orderBy("_ord").collect()] == ["A1", "A2", "B1"]
