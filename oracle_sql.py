@@ -517,6 +517,8 @@ WHERE rn = 1 GROUP BY state""",
         "beach_all_status": f"WITH {_BASE},{per_beach},{_PROFILE},{_ALL}\nSELECT * FROM allb",
         "beach_status_counts": f"""WITH {_BASE},{per_beach},{_PROFILE},{_ALL}
 SELECT status, COUNT(*) AS n FROM allb GROUP BY 1""",
+        "beach_state_counts": f"""WITH {_BASE},{per_beach},{_PROFILE},{_ALL}
+SELECT state, COUNT(*) AS n FROM allb GROUP BY 1""",
         "beach_dormant_with_actions": f"""WITH {_BASE},{per_beach},{_PROFILE},{_ALL}
 SELECT * FROM allb WHERE status = 'Dormant' AND no_of_beach_actions > 0""",
         "beach_type_by_year": f"""WITH {_BASE}

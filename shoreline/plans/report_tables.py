@@ -191,6 +191,10 @@ def beach_status_counts(spark: SparkSession, d: str) -> DataFrame:
     return B.status_counts(_all(spark, d))["by_status"]
 
 
+def beach_state_counts(spark: SparkSession, d: str) -> DataFrame:
+    return B.status_counts(_all(spark, d))["by_state"]
+
+
 def beach_dormant_with_actions(spark: SparkSession, d: str) -> DataFrame:
     return B.status_counts(_all(spark, d))["dormant_with_actions"]
 
@@ -247,6 +251,7 @@ QUERIES = {
     "beach_snapshot_check_count": beach_snapshot_check_count,
     "beach_all_status": beach_all_status,
     "beach_status_counts": beach_status_counts,
+    "beach_state_counts": beach_state_counts,
     "beach_dormant_with_actions": beach_dormant_with_actions,
     "beach_type_by_year": beach_type_by_year,
     "beach_publication": beach_publication,
