@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shoreline.functions.arith import count_equal, ieee_divide, na_sum, sum_or_zero
 from shoreline.functions.text import ColumnOrName, col_of, split_tokens
-from shoreline.operators._util import fresh_name, is_integral, is_numeric, qcol
+from shoreline.operators._util import cluster_small, fresh_name, is_integral, is_numeric, qcol
 from shoreline.operators.explode import clean_token
 from shoreline.session import materialize
 
@@ -18,7 +18,8 @@ Normalizer = Callable[[Column], Column]
 
 def _first_appearances(df: DataFrame, keys: Sequence[str], fields: list[tuple[str, str]],
                        order_by: ColumnOrName, sep: str,
-                       measures: Mapping[str, Column] | None = None) -> DataFrame:
+                       measures: Mapping[str, Column] | None = None,
+                       cluster_by: Sequence[str] | None = None) -> DataFrame:
     """Per (keys, list, raw element): first (order, position) of the element.
 
     One row per (row, list) and one per distinct raw element of the list
@@ -34,7 +35,9 @@ def _first_appearances(df: DataFrame, keys: Sequence[str], fields: list[tuple[st
     per_list = F.array(*[F.struct(F.lit(fi).alias("__f"), qcol(src).cast("string").alias("__l"))
                          for fi, (_, src) in enumerate(fields)])
     mcols = [e.alias(f"__m_{m}") for m, e in measures.items()]
-    rows = df.select(*kcols, col_of(order_by).alias(ordv), *mcols, F.inline(per_list))
+    narrow = cluster_small(df.select(*kcols, col_of(order_by).alias(ordv), *mcols,
+                                     per_list.alias("__lists")), list(cluster_by or keys))
+    rows = narrow.select(*kcols, ordv, *[f"__m_{m}" for m in measures], F.inline("__lists"))
     # array_distinct keeps first occurrences in order, so a raw value has one
     # position per row and (order, position) has no ties within a group.
     items = rows.select(*kcols, ordv, "__f", *[f"__m_{m}" for m in measures], F.posexplode(
@@ -128,7 +131,7 @@ def site_lists_with_counts(df: DataFrame, site_keys: Sequence[str], id_col: str,
                      for i, v in enumerate(categories.values())})
     fields = list(lists.items())
     kcols = [qcol(k) for k in site_keys]
-    firsts = _first_appearances(df, site_keys, fields, order_by, sep, measures)
+    firsts = _first_appearances(df, site_keys, fields, order_by, sep, measures, [id_col])
     partial_names = ["__rows"] + [f"__{p}_{m}" for m in measures for p in ("c", "s")]
     sites = firsts.groupBy(*kcols).agg(
         *_joined_lists(firsts, fields, trim, normalize or {}, joiner, na),

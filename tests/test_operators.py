@@ -100,7 +100,10 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_hot_key_is_combined_before_the_shuffle(spark):
+def test_hot_key_is_combined_before_the_shuffle(spark, monkeypatch):
+    import shoreline.operators._util as U
+
+    monkeypatch.setattr(U, "SMALL_INPUT_BYTES", 0)  # plan as for a large input
     # one site holds a third of the rows
     hot = spark.range(3000).select(
         F.when(F.col("id") % 3 == 0, F.lit("HOT")).otherwise(F.concat(F.lit("s"), (F.col("id") % 500).cast("string"))).alias("site"),
@@ -114,3 +117,19 @@ def test_hot_key_is_combined_before_the_shuffle(spark):
     freq = token_frequency(hot, "site")
     assert "partial_sum" in plan(freq)
     assert "WindowGroupLimit" in plan(first_by(hot, ["site"], "o"))
+
+
+def test_small_input_is_clustered_once_large_keeps_partial_aggregation(spark, monkeypatch):
+    import shoreline.operators._util as U
+
+    df = spark.range(3000).select(
+        F.concat(F.lit("s"), (F.col("id") % 50).cast("string")).alias("site"),
+        F.col("id").alias("o"), F.lit("a,b").alias("l"), (F.col("id") % 7).alias("d"))
+    small = site_lists_with_counts(df, ["site"], "site", {"l": "l"}, "o", "n", {"days": "d"})
+    p = plan(small)
+    assert p.count("Exchange hashpartitioning") == 1, p
+    monkeypatch.setattr(U, "SMALL_INPUT_BYTES", 0)
+    large = site_lists_with_counts(df, ["site"], "site", {"l": "l"}, "o", "n", {"days": "d"})
+    q = plan(large)
+    assert q.count("Exchange hashpartitioning") == 2 and "partial_min" in q, q
+    assert rows(small) == rows(large)
