@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoreline.functions.text import split_tokens, trim_unicode
-from shoreline.operators._util import fresh_name, qcol
+from shoreline.operators._util import cluster_small, fresh_name, qcol
 from shoreline.session import materialize
 
 Normalizer = Callable[[Column], Column]
@@ -56,6 +56,9 @@ def long_form(df: DataFrame, columns: Sequence[str], sep: str = ",", trim: bool
     ``token_frequency`` instead.
     """
     normalize = normalize or {}
+    # A small input is spread by a hash of the whole row (deterministic on
+    # retry) so the row-multiplying work does not run in a single task.
+    df = cluster_small(df, list(df.columns))
     # Each list is cleaned right after its own split, before later splits
     # multiply its values, so an element is cleaned once per source row.
     for c in columns:
