@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoreline.functions.text import ColumnOrName, col_of
-from shoreline.operators._util import fresh_name, qcol
+from shoreline.operators._util import cluster_small, fresh_name, qcol
 
 
 def first_by(df: DataFrame, keys: Sequence[str], order_by: ColumnOrName | Sequence[ColumnOrName]) -> DataFrame:
@@ -25,6 +25,9 @@ def first_by(df: DataFrame, keys: Sequence[str], order_by: ColumnOrName | Sequen
     meaning.
     """
     orders = [order_by] if isinstance(order_by, (str,)) or not isinstance(order_by, Sequence) else order_by
+    # A small input is hash-partitioned by the keys first: the window then
+    # needs no further shuffle and its sort runs in parallel.
+    df = cluster_small(df, list(keys))
     rn = fresh_name(df, "__rn")
     w = Window.partitionBy(*[qcol(k) for k in keys]).orderBy(*[col_of(o).asc_nulls_last() for o in orders])
     return df.withColumn(rn, F.row_number().over(w)).filter(F.col(rn) == 1).drop(rn)

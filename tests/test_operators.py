@@ -133,3 +133,12 @@ def test_small_input_is_clustered_once_large_keeps_partial_aggregation(spark, mo
     q = plan(large)
     assert q.count("Exchange hashpartitioning") == 2 and "partial_min" in q, q
     assert rows(small) == rows(large)
+
+
+def test_first_by_large_plan_limits_before_shuffle(spark, monkeypatch):
+    import shoreline.operators._util as U
+
+    monkeypatch.setattr(U, "SMALL_INPUT_BYTES", 0)
+    df = spark.range(1000).select((F.col("id") % 3).alias("k"), F.col("id").alias("o"))
+    p = plan(first_by(df, ["k"], "o"))
+    assert "WindowGroupLimit" in p and "Partial" in p

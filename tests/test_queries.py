@@ -43,9 +43,17 @@ def test_no_python_or_nested_loop(spark, name):
         assert bad not in p, (name, bad)
 
 
-def test_dedupe_uses_group_limit(spark):
+@pytest.fixture()
+def large_plans(monkeypatch):
+    """Plan as for inputs above the small-input threshold."""
+    import shoreline.operators._util as U
+
+    monkeypatch.setattr(U, "SMALL_INPUT_BYTES", 0)
+
+
+def test_dedupe_uses_group_limit(spark, large_plans):
     p = plan(E.queries()["dedupe_first_then_filter"](spark, SF))
-    assert "WindowGroupLimit" in p
+    assert "WindowGroupLimit" in p and "Partial" in p
 
 
 def test_filter_reaches_scan(spark):
@@ -53,9 +61,9 @@ def test_filter_reaches_scan(spark):
     assert "PushedFilters: [IsNotNull(o_orderstatus), Not(EqualTo(o_orderstatus,F))]" in p
 
 
-def test_first_appearance_uses_hash_aggregate(spark):
+def test_first_appearance_uses_hash_aggregate(spark, large_plans):
     p = plan(E.queries()["ordered_distinct_concat"](spark, SF))
-    assert "SortAggregate" not in p and "HashAggregate" in p
+    assert "SortAggregate" not in p and "partial_min_by" in p
 
 
 def test_column_pruning(spark):
