@@ -29,6 +29,8 @@ def _first_appearances(df: DataFrame, keys: Sequence[str], fields: list[tuple[st
     and ``__s_<m>`` (sum) so callers can finish row counts and NA-propagating
     sums per key without a second pass over the input.
     """
+    if not fields:
+        raise ValueError("at least one list column is required")
     measures = measures or {}
     kcols = [qcol(k) for k in keys]
     ordv = fresh_name(df, "__ord")
