@@ -148,3 +148,20 @@ def test_csv_ordinal_orders_files_and_rows(spark, tmp_dir):
     df = read_report(spark, d, {"beach_id": ACTIONS_TYPES["beach_id"], "year": ACTIONS_TYPES["year"]},
                      multiline=False)
     assert [r["beach_id"] for r in df.orderBy("_ord").collect()] == ["A1", "A2", "B1"]
+
+
+def test_command_line_reports_and_lookup(spark, tmp_dir, capsys):
+    from shoreline.__main__ import main
+
+    a = write(os.path.join(tmp_dir, "a.csv"), ACTIONS_CSV)
+    p = write(os.path.join(tmp_dir, "p.csv"), PROFILE_CSV)
+    s = write(os.path.join(tmp_dir, "s.csv"), SUMMARY_CSV)
+    out = os.path.join(tmp_dir, "cli")
+    assert main(["reports", a, p, s, out]) == 0
+    assert os.path.isdir(f"{out}/statesums") and os.path.isdir(f"{out}/allbeachesforpub_json")
+    rec = write(os.path.join(tmp_dir, "rec.json"),
+                '[{"bn":"Virginia Key","bi":"VA01","s":"Virginia","c":"York","na":"2","r":"RAINFALL"},'
+                '{"bn":"Stone","bi":"WV01","s":"West Virginia","c":"NA","na":"NA","r":"NA"}]')
+    assert main(["lookup", rec, "Virginia", "rainfall"]) == 0
+    printed = capsys.readouterr().out
+    assert "VA01" in printed and "WV01" not in printed and "VIRGINIA KEY" in printed
