@@ -87,3 +87,53 @@ def test_weighted_frequency_matches_long_table(spark, rows):
     got = {r["l2"]: r["n"] for r in
            token_frequency(df, "l2", cross_with=["l1", "l3"], normalize=F.upper).collect()}
     assert got == expected
+
+
+STATUSES = ["Active", "Historical", "No advisory or closure", "Dormant", None]
+site = st.tuples(st.sampled_from(["s1", "s2", "s3"]), st.sampled_from(["n1", None]))
+
+
+def brute_status(sites, profile, year):
+    """sites: (id, name, reasons); profile rows in file order: (id, name, status, year)."""
+    seen, snap = set(), []
+    for pid, name, status, y in profile:          # first row per (id, status), then the year
+        if (pid, status) in seen:
+            continue
+        seen.add((pid, status))
+        if y == year:
+            snap.append((pid, name, status))
+    out, matched = [], set()
+    for sid, sname, reasons in sites:             # full join, NULL matches NULL
+        hits = [i for i, (pid, pname, _) in enumerate(snap) if (pid, pname) == (sid, sname)]
+        matched.update(hits)
+        out += [(sid, sname, reasons, snap[i][2]) for i in hits] or [(sid, sname, reasons, None)]
+    out += [(pid, pname, None, st_) for i, (pid, pname, st_) in enumerate(snap) if i not in matched]
+    result = []
+    for sid, sname, reasons, status in out:
+        cond = None if status is None else (status == "Historical")
+        cond = (cond and reasons is None) if cond is not None else (None if reasons is None else False)
+        if cond is True or cond is None:          # filter(!cond) drops TRUE and NA
+            continue
+        if status == "No advisory or closure":
+            label = "Active" if reasons is not None else "Active: No advisory or closure"
+        else:
+            label = "NA" if status is None else status
+        result.append((sid, sname, reasons, label))
+    return sorted(result, key=repr)
+
+
+@settings(max_examples=12, deadline=None)
+@given(st.lists(site, max_size=4, unique=True),
+       st.lists(st.tuples(site, st.sampled_from(STATUSES), st.sampled_from([2017, 2018])), max_size=8))
+def test_snapshot_and_status_match_brute_force(spark, sites, profile):
+    from shoreline.plans.sites import sites_with_status, snapshot
+
+    site_rows = [(sid, name, f"r{i}" if i % 2 == 0 else None) for i, (sid, name) in enumerate(sites)]
+    prof_rows = [(sid, name, status, y, i) for i, ((sid, name), status, y) in enumerate(profile)]
+    sdf = spark.createDataFrame(site_rows, "id string, name string, reasons string")
+    pdf = spark.createDataFrame(prof_rows, "id string, name string, beach_status string, year int, o long")
+    snap = snapshot(pdf.repartition(2), "id", "beach_status", "o", "year", 2018,
+                    ["id", "name", "beach_status"])
+    got = sites_with_status(sdf, snap, ["id", "name"], "beach_status", "reasons")
+    got = sorted((tuple(r) for r in got.select("id", "name", "reasons", "status").collect()), key=repr)
+    assert got == brute_status(site_rows, [(a, b, c, d) for a, b, c, d, _ in prof_rows], 2018)
