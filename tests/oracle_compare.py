@@ -7,7 +7,6 @@ line per query: rows on both sides, column names, value match.
 from __future__ import annotations
 
 import datetime
-import decimal
 import math
 import os
 import sys
@@ -31,17 +30,14 @@ def duck(sf_dir: str):
 
 
 def _norm(v):
+    """Exact comparison key: same type and value (NaN equal to NaN)."""
     if v is None:
         return ("0null",)
-    if isinstance(v, float):
-        if math.isnan(v):
-            return ("nan",)
-        return ("num", round(v, 9))
-    if isinstance(v, (int, decimal.Decimal)) and not isinstance(v, bool):
-        return ("num", round(float(v), 9))
+    if isinstance(v, float) and math.isnan(v):
+        return ("nan",)
     if isinstance(v, (datetime.datetime, datetime.date)):
         return ("ts", v.isoformat())
-    return ("str", str(v))
+    return (type(v).__name__, repr(v))
 
 
 def canon(columns, rows):
