@@ -477,6 +477,15 @@ def report_sql() -> dict[str, str]:
     search = " OR ".join(
         f"regexp_matches(lower({f}), {_q(term)})" for f in
         ["bn", "bi", "s", "c", "r", "i", "so", "na", "nd", "cl", "ra", "ca", "st"])
+    state_sums_sql = f"""WITH {_BASE},{per_beach},
+ss AS (SELECT state, {sums}, COUNT(*) AS n FROM pb GROUP BY state),
+r AS (SELECT *, CAST(no_of_beach_actions AS DOUBLE) / n AS actionsperbeach,
+                CAST(no_of_days_under_action AS DOUBLE) / n AS daysperbeach FROM ss),
+t AS (SELECT * FROM r UNION ALL
+      SELECT 'Total', {tot}, CAST(SUM(n) AS BIGINT), SUM(actionsperbeach), SUM(daysperbeach) FROM r)
+SELECT state, {', '.join(state_sum_cols)}, n AS number_of_beaches_with_actions,
+       round(actionsperbeach, 6) AS actionsperbeach, round(daysperbeach, 6) AS daysperbeach
+FROM t"""
     return {
         "beach_clean_actions": f"WITH {_BASE}\nSELECT * EXCLUDE (_ord) FROM clean",
         "beach_long_actions": f"WITH {_BASE},{_LONG}\nSELECT * EXCLUDE (_ord) FROM long",
@@ -487,15 +496,9 @@ SELECT action_indicator, CAST(COUNT(*) AS BIGINT) AS n FROM long GROUP BY 1""",
         "beach_source_frequency": f"""WITH {_BASE},{_LONG}
 SELECT action_possible_source, CAST(COUNT(*) AS BIGINT) AS n FROM long GROUP BY 1""",
         "beach_per_beach": f"WITH {_BASE},{per_beach}\nSELECT * FROM pb",
-        "beach_state_sums": f"""WITH {_BASE},{per_beach},
-ss AS (SELECT state, {sums}, COUNT(*) AS n FROM pb GROUP BY state),
-r AS (SELECT *, CAST(no_of_beach_actions AS DOUBLE) / n AS actionsperbeach,
-                CAST(no_of_days_under_action AS DOUBLE) / n AS daysperbeach FROM ss),
-t AS (SELECT * FROM r UNION ALL
-      SELECT 'Total', {tot}, CAST(SUM(n) AS BIGINT), SUM(actionsperbeach), SUM(daysperbeach) FROM r)
-SELECT state, {', '.join(state_sum_cols)}, n AS number_of_beaches_with_actions,
-       round(actionsperbeach, 6) AS actionsperbeach, round(daysperbeach, 6) AS daysperbeach
-FROM t""",
+        "beach_state_sums": state_sums_sql,
+        "beach_states_by_contamination": f"""SELECT *, closure + contamination_advisory AS contamclose
+FROM ({state_sums_sql})""",
         "beach_reason_shares": f"""WITH {_BASE}
 SELECT action_reasons, COUNT(*) AS n,
        round(CAST(COUNT(*) AS DOUBLE) / (SELECT COUNT(*) FROM clean) * 100, 6) AS "Pct"

@@ -153,6 +153,11 @@ def beach_state_sums(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 6) for c in ("actionsperbeach", "daysperbeach")})
 
 
+# Q8
+def beach_states_by_contamination(spark: SparkSession, d: str) -> DataFrame:
+    return B.states_by_contamination(beach_state_sums(spark, d))
+
+
 # Q9
 def beach_reason_shares(spark: SparkSession, d: str) -> DataFrame:
     return B.reason_shares(_clean(spark, d)).withColumn("Pct", F.round("Pct", 6))
@@ -243,6 +248,7 @@ QUERIES = {
     "beach_source_frequency": beach_source_frequency,
     "beach_per_beach": beach_per_beach,
     "beach_state_sums": beach_state_sums,
+    "beach_states_by_contamination": beach_states_by_contamination,
     "beach_reason_shares": beach_reason_shares,
     "beach_reason_token_shares": beach_reason_token_shares,
     "beach_with_closures": beach_with_closures,
