@@ -11,7 +11,9 @@ SF = "/root/testdata/sf0.001"
 def test_entry_runs(spark):
     df = E.entry(spark)
     rows = df.collect()
-    assert len(rows) > 1 and rows[-1]["state"] == "Total" or any(r["state"] == "Total" for r in rows)
+    assert len(rows) > 1 and sum(r["state"] == "Total" for r in rows) == 1
+    total = [r for r in rows if r["state"] == "Total"][0]
+    assert total["n_orders"] == sum(r["n_orders"] for r in rows if r["state"] != "Total")
 
 
 def test_every_query_has_an_oracle():
