@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from shoreline.operators._util import qcol
-from shoreline.operators.project import render_na
 
 
 def sorted_for_output(df: DataFrame, order_by: Sequence[str] | None) -> DataFrame:
@@ -41,13 +41,26 @@ def write_json_lines(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).json(path)
 
 
-def write_json_na(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """One JSON object per line; NULL written as the string ``"NA"``.
+def json_na_lines(df: DataFrame) -> DataFrame:
+    """One JSON object per row (column ``value``): missing values as ``"NA"``,
+    present values with their own JSON type (numbers stay numbers).
 
-    Nullable columns are rendered as text (a numeric column with a missing
-    value holds both numbers and ``"NA"``, which one Spark type cannot).
+    Each field is rendered by ``to_json`` of a one-field struct, so keys and
+    strings are escaped and numbers formatted by Spark's JSON writer; a NULL
+    field becomes the string ``"NA"``.  Row-local, no shuffle.
     """
-    render_na(df).write.mode(mode).json(path)
+    def strip(js):
+        return F.regexp_replace(js, r"^\{|\}$", "")
+
+    pairs = [F.when(qcol(c).isNull(), strip(F.to_json(F.struct(F.lit("NA").alias(c)))))
+              .otherwise(strip(F.to_json(F.struct(qcol(c).alias(c))))) for c in df.columns]
+    return df.select(F.concat(F.lit("{"), F.concat_ws(",", *pairs), F.lit("}")).alias("value"))
+
+
+def write_json_na(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """One JSON object per line; NULL written as the string ``"NA"``, other
+    values keep their JSON type (as the reference's JSON with NA as text)."""
+    json_na_lines(df).write.mode(mode).text(path)
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite",
@@ -58,4 +71,5 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite",
     w.parquet(path)
 
 
-__all__ = ["sorted_for_output", "write_csv", "write_json_lines", "write_json_na", "write_parquet"]
+__all__ = ["json_na_lines", "sorted_for_output", "write_csv", "write_json_lines", "write_json_na",
+           "write_parquet"]

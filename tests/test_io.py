@@ -97,6 +97,8 @@ def test_read_reports_and_run_end_to_end(spark, tmp_dir):
            for line in open(p)]
     golf = [x for x in pub if x["EPA beach ID"] == "B7"][0]
     assert golf["Total number of beach actions"] == "NA" and golf["State"] == "California"
+    alpha = [x for x in pub if x["EPA beach ID"] == "B1"][0]
+    assert alpha["Total number of beach actions"] == 2 and alpha["County"] == "Door"
     plain = [json.loads(line) for p in glob.glob(f"{out}/beaches_json/part-*") for line in open(p)]
     golf = [x for x in plain if x["beach_id"] == "B7"][0]
     assert "no_of_beach_actions" not in golf and golf["status"] == "Active: No advisory or closure"
@@ -120,7 +122,7 @@ def test_json_sinks_and_reader(spark, tmp_dir):
     k8 = [json.loads(line) for p in glob.glob(f"{tmp_dir}/k8/part-*") for line in open(p)]
     k9 = [json.loads(line) for p in glob.glob(f"{tmp_dir}/k9/part-*") for line in open(p)]
     assert k8 == [{"a": "x", "n": 2}]
-    assert k9 == [{"a": "x", "b": "NA", "n": "2"}]
+    assert k9 == [{"a": "x", "b": "NA", "n": 2}]
     arr = write(f"{tmp_dir}/records.json",
                 '[{"bn":"Virginia Key","bi":"VA01","s":"Virginia","c":"York","na":"2"}]')
     rec = read_records(spark, arr, RECORD_SCHEMA).collect()
@@ -165,3 +167,11 @@ def test_command_line_reports_and_lookup(spark, tmp_dir, capsys):
     assert main(["lookup", rec, "Virginia", "rainfall"]) == 0
     printed = capsys.readouterr().out
     assert "VA01" in printed and "WV01" not in printed and "VIRGINIA KEY" in printed
+
+
+def test_json_na_lines_escapes_and_keeps_types(spark):
+    from shoreline.sinks import json_na_lines
+
+    df = spark.createDataFrame([('say "hi"\nnow', None, 3, 1.5, "Ñ")], "`a b` string, c long, n long, x double, u string")
+    line = json_na_lines(df).first()["value"]
+    assert json.loads(line) == {"a b": 'say "hi"\nnow', "c": "NA", "n": 3, "x": 1.5, "u": "Ñ"}
