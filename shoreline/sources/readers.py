@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shoreline.operators._util import qcol
+from shoreline.sources.tables import TABLE_SCHEMAS
 
 ORDINAL = "_ord"
 
@@ -100,5 +101,8 @@ def read_records(spark: SparkSession, path: str | Sequence[str], schema: T.Struc
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the parquet tables under ``sf_dir``."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """One of the parquet tables under ``sf_dir``, with its declared schema
+    when it has one (no inference job), else the schema in the files."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    schema = TABLE_SCHEMAS.get(name)
+    return (spark.read.schema(schema) if schema is not None else spark.read).parquet(path)

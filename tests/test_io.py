@@ -175,3 +175,12 @@ def test_json_na_lines_escapes_and_keeps_types(spark):
     df = spark.createDataFrame([('say "hi"\nnow', None, 3, 1.5, "Ñ")], "`a b` string, c long, n long, x double, u string")
     line = json_na_lines(df).first()["value"]
     assert json.loads(line) == {"a b": 'say "hi"\nnow', "c": "NA", "n": 3, "x": 1.5, "u": "Ñ"}
+
+
+def test_declared_table_schemas_match_files(spark):
+    from shoreline.sources.tables import TABLE_SCHEMAS
+
+    for sf in ("sf0.001", "sf0.01", "sf0.1"):
+        for name, schema in TABLE_SCHEMAS.items():
+            inferred = spark.read.parquet(f"/root/testdata/{sf}/{name}.parquet").schema
+            assert inferred.simpleString() == schema.simpleString(), (sf, name)
