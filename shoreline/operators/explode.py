@@ -58,7 +58,9 @@ def long_form(df: DataFrame, columns: Sequence[str], sep: str = ",", trim: bool
     normalize = normalize or {}
     # A small input is spread by a hash of the whole row (deterministic on
     # retry) so the row-multiplying work does not run in a single task.
-    df = cluster_small(df, list(df.columns))
+    hashable = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    if hashable:
+        df = cluster_small(df, hashable)
     # Each list is cleaned right after its own split, before later splits
     # multiply its values, so an element is cleaned once per source row.
     for c in columns:

@@ -142,3 +142,10 @@ def test_first_by_large_plan_limits_before_shuffle(spark, monkeypatch):
     df = spark.range(1000).select((F.col("id") % 3).alias("k"), F.col("id").alias("o"))
     p = plan(first_by(df, ["k"], "o"))
     assert "WindowGroupLimit" in p and "Partial" in p
+
+
+def test_long_form_with_map_column(spark):
+    from shoreline.operators import long_form
+
+    df = spark.createDataFrame([("a,b", "x", {"k": 1})], "l1 string, l2 string, m map<string,int>")
+    assert long_form(df, ["l1", "l2"]).count() == 2
