@@ -153,3 +153,17 @@ def test_one_pass_site_table_equals_join(reports):
     cols = reports.beaches.columns
     assert joined.columns == cols
     assert rows(joined, *cols) == rows(reports.beaches, *cols)
+
+
+def test_fused_sums_and_count_equal_join(reports):
+    from pyspark.sql import functions as F
+
+    from shoreline.operators.aggregate import sums_and_count
+
+    beaches = reports.beaches
+    fused = sums_and_count(beaches, ["state"], B.STATE_SUM_COLS, "n")
+    sums = beaches.groupBy("state").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in B.STATE_SUM_COLS])
+    counts = beaches.groupBy("state").count().withColumnRenamed("count", "n")
+    joined = sums.join(counts, "state", "left")
+    cols = ["state", *B.STATE_SUM_COLS, "n"]
+    assert rows(fused, *cols) == rows(joined, *cols)
