@@ -137,3 +137,17 @@ def test_snapshot_and_status_match_brute_force(spark, sites, profile):
     got = sites_with_status(sdf, snap, ["id", "name"], "beach_status", "reasons")
     got = sorted((tuple(r) for r in got.select("id", "name", "reasons", "status").collect()), key=repr)
     assert got == brute_status(site_rows, [(a, b, c, d) for a, b, c, d, _ in prof_rows], 2018)
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.tuples(st.text(alphabet="ab.$\\\n(", max_size=8),
+                          st.text(alphabet="ab.$\\(", min_size=1, max_size=3),
+                          st.text(alphabet="ab$\\", max_size=3)), min_size=1, max_size=10))
+def test_replace_first_matches_python(spark, cases):
+    from shoreline.functions.text import replace_first
+
+    df = spark.createDataFrame([(i, s) for i, (s, _, _) in enumerate(cases)], "i long, s string")
+    exprs = [replace_first(F.col("s"), p, r, literal=True).alias(f"r{i}") for i, (_, p, r) in enumerate(cases)]
+    got = {row["i"]: row for row in df.select("i", *exprs).collect()}
+    for i, (s, p, r) in enumerate(cases):
+        assert got[i][f"r{i}"] == s.replace(p, r, 1), (s, p, r)
