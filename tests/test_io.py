@@ -184,3 +184,15 @@ def test_declared_table_schemas_match_files(spark):
         for name, schema in TABLE_SCHEMAS.items():
             inferred = spark.read.parquet(f"/root/testdata/{sf}/{name}.parquet").schema
             assert inferred.simpleString() == schema.simpleString(), (sf, name)
+
+
+def test_report_with_bom_and_crlf(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "bom.csv")
+    with open(path, "w", encoding="utf-8-sig", newline="") as f:
+        f.write("Beach ID,State,Year\r\nB1,WI,2018\r\nB2,,2017\r\n")
+    for multiline in (True, False):
+        df = read_report(spark, path, {"beach_id": ACTIONS_TYPES["beach_id"], "year": ACTIONS_TYPES["year"]},
+                         multiline=multiline)
+        assert df.columns[:3] == ["beach_id", "state", "year"]
+        got = [(r["beach_id"], r["state"], r["year"]) for r in df.orderBy("_ord").collect()]
+        assert got == [("B1", "WI", 2018), ("B2", None, 2017)], (multiline, got)
