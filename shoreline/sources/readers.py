@@ -67,6 +67,20 @@ def parquet_ordinal() -> Column:
                     F.col("_metadata.row_index").alias("row"))
 
 
+def parse_as(c: Column, dtype: T.DataType) -> Column:
+    """Text -> ``dtype``; a field that does not parse becomes NULL.
+
+    Integral types also accept whole numbers written as decimals or with an
+    exponent (``2018.0``, ``1e3``), which number-guessing readers load as
+    the same value; a fractional value does not fit and becomes NULL.
+    """
+    if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        d = c.try_cast("double")
+        whole = F.when((d == F.floor(d)) & (F.abs(d) < F.lit(2.0 ** 53)), d.cast("long"))
+        return F.coalesce(c.try_cast(dtype), whole.try_cast(dtype))
+    return c.try_cast(dtype)
+
+
 def read_report(spark: SparkSession, path: str | Sequence[str], types: Mapping[str, T.DataType],
                 multiline: bool = True, ordinal: str | None = ORDINAL) -> DataFrame:
     """Read a delimited report with a header line.
@@ -85,7 +99,7 @@ def read_report(spark: SparkSession, path: str | Sequence[str], types: Mapping[s
            .option("inferSchema", False).option("mode", "PERMISSIVE")
            .csv(path))
     df = clean_names(raw) if any(snake_name(c) != c for c in raw.columns) else raw
-    cols = [qcol(c).try_cast(types[c]).alias(c) if c in types else qcol(c) for c in df.columns]
+    cols = [parse_as(qcol(c), types[c]).alias(c) if c in types else qcol(c) for c in df.columns]
     if ordinal:
         cols.append(csv_ordinal().alias(ordinal))
     missing = [c for c in types if c not in df.columns]

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from shoreline.operators._util import qcol
 from shoreline.plans.beaches import clean_actions
 from shoreline.session import checkpoint_dir
-from shoreline.sources.readers import snake_name
+from shoreline.sources.readers import parse_as, snake_name
 from shoreline.sources.schemas import ACTIONS_TYPES
 
 
@@ -29,7 +29,7 @@ def clean_actions_stream(spark: SparkSession, in_dir: str, out_dir: str,
            .option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
            .csv(in_dir))
     df = raw.toDF(*[snake_name(c) for c in raw.columns])
-    df = df.select(*[qcol(c).try_cast(ACTIONS_TYPES[c]).alias(c) if c in ACTIONS_TYPES else qcol(c)
+    df = df.select(*[parse_as(qcol(c), ACTIONS_TYPES[c]).alias(c) if c in ACTIONS_TYPES else qcol(c)
                      for c in df.columns])
     location = checkpoint_location or f"{checkpoint_dir(spark).rstrip('/')}/clean_actions_stream"
     writer = (clean_actions(df).writeStream.format("parquet").option("path", out_dir)

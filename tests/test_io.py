@@ -196,3 +196,13 @@ def test_report_with_bom_and_crlf(spark, tmp_dir):
         assert df.columns[:3] == ["beach_id", "state", "year"]
         got = [(r["beach_id"], r["state"], r["year"]) for r in df.orderBy("_ord").collect()]
         assert got == [("B1", "WI", 2018), ("B2", None, 2017)], (multiline, got)
+
+
+def test_parse_as_accepts_whole_decimals(spark):
+    from pyspark.sql import types as T
+
+    from shoreline.sources.readers import parse_as
+
+    df = spark.createDataFrame([("2018",), ("2018.0",), ("1e3",), ("3.7",), ("x",), (None,), (" 7 ",)], "s string")
+    got = [r["v"] for r in df.select(parse_as(F.col("s"), T.LongType()).alias("v")).collect()]
+    assert got == [2018, 2018, 1000, None, None, None, 7]
