@@ -9,7 +9,7 @@ from operator import and_
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoreline.operators._util import qcol
+from shoreline.operators._util import input_bytes, qcol
 
 _HOWS = {"left", "right", "full", "inner"}
 
@@ -50,19 +50,30 @@ def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: st
     return j.select(*out)
 
 
+# Largest dimension input (bytes read) that ``bounded=True`` will broadcast.
+MAX_BROADCAST_BYTES = 64 * 1024 * 1024
+
+
 def dim_lookup(df: DataFrame, dim: DataFrame, key: str, dim_key: str, dim_value: str,
                out_col: str | None = None, bounded: bool = False) -> DataFrame:
     """Replace/add ``out_col`` with the dimension value for ``key``.
 
     Left join: a code missing from the dimension gives NULL.  ``dim`` must
     be unique on ``dim_key``.  ``bounded=True`` marks a dimension whose size
-    is fixed by construction (e.g. a literal code table) and broadcasts it;
-    otherwise the planner chooses from the dimension's size statistics, and
-    AQE switches to a broadcast at run time only below its size threshold.
+    is fixed by construction (e.g. a literal code table) and broadcasts it,
+    after checking at planning time that what it reads is known and under
+    ``MAX_BROADCAST_BYTES`` (a Python-built frame has no known size: use an
+    inline ``VALUES`` table or a file); otherwise the planner chooses from the
+    dimension's size statistics, and AQE switches to a broadcast at run time
+    only below its size threshold.
     """
     out_col = out_col or key
     d = dim.select(qcol(dim_key).alias("__dk"), qcol(dim_value).alias("__dv"))
     if bounded:
+        size = input_bytes(dim)  # None: no plan access (remote session), caller's word
+        if size is not None and size > MAX_BROADCAST_BYTES:
+            raise ValueError(f"dimension size {size} bytes is unknown or too large to broadcast; "
+                             "pass bounded=False to let the planner decide")
         d = F.broadcast(d)
     j = df.join(d, qcol(key) == F.col("__dk"), "left")
     cols = [F.col("__dv").alias(c) if c == out_col else qcol(c) for c in df.columns]

@@ -90,7 +90,8 @@ if __name__ == "__main__":
     res = compare(spark, sf, sys.argv[2:] or None)
     bad = 0
     for k, v in res.items():
-        good = v.get("values") is not False and v.get("rows") == v.get("oracle_rows", v.get("rows"))
+        good = ("error" not in v and "sql_error" not in v and v.get("values") is not False
+                and v.get("rows") == v.get("oracle_rows", v.get("rows")))
         bad += not good
         print(("OK  " if good else "BAD ") + k, {x: v[x] for x in v if x not in ("s_cols", "d_cols") or not v.get("cols")})
     print(f"{len(res) - bad}/{len(res)} match")

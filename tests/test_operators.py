@@ -50,7 +50,7 @@ def test_null_safe_inner_and_right(lr):
 
 def test_dim_lookup_missing_code_is_null(spark):
     df = spark.createDataFrame([("WI", 1), ("ZZ", 2), (None, 3)], "state string, n long")
-    dim = spark.createDataFrame([("WI", "Wisconsin")], "code string, name string")
+    dim = spark.sql("SELECT * FROM VALUES ('WI', 'Wisconsin') AS t(code, name)")
     got = {r["n"]: r["state"] for r in dim_lookup(df, dim, "state", "code", "name", bounded=True).collect()}
     assert got == {1: "Wisconsin", 2: None, 3: None}
 
@@ -149,3 +149,17 @@ def test_long_form_with_map_column(spark):
 
     df = spark.createDataFrame([("a,b", "x", {"k": 1})], "l1 string, l2 string, m map<string,int>")
     assert long_form(df, ["l1", "l2"]).count() == 2
+
+
+def test_bounded_broadcast_checks_size(spark, monkeypatch):
+    import shoreline.operators.joins as J
+
+    df = spark.createDataFrame([("WI", 1)], "state string, n long")
+    dim = spark.sql("SELECT * FROM VALUES ('WI', 'Wisconsin') AS t(code, name)")
+    assert "BroadcastHashJoin" in plan(dim_lookup(df, dim, "state", "code", "name", bounded=True))
+    unknown = spark.createDataFrame([("WI", "Wisconsin")], "code string, name string")
+    with pytest.raises(ValueError):
+        dim_lookup(df, unknown, "state", "code", "name", bounded=True)
+    monkeypatch.setattr(J, "MAX_BROADCAST_BYTES", 1)
+    with pytest.raises(ValueError):
+        dim_lookup(df, dim, "state", "code", "name", bounded=True)
