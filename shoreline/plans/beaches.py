@@ -266,6 +266,19 @@ def build_reports(actions: DataFrame, profile: DataFrame, summary: DataFrame,
                    state_summaries=state_summaries(summary))
 
 
+def register_views(r: Reports, prefix: str = "") -> list[str]:
+    """Expose every product as a temporary view for ``spark.sql`` users.
+
+    Views are lazy (no job); names are the product names with ``prefix``.
+    """
+    names = []
+    for name in Reports.__dataclass_fields__:
+        view = f"{prefix}{name}"
+        getattr(r, name).createOrReplaceTempView(view)
+        names.append(view)
+    return names
+
+
 def run_reports(spark: SparkSession, actions_path: str, profile_path: str, summary_path: str,
                 out_dir: str, multiline: bool = True) -> Reports:
     """Read the three reports and write the published files under ``out_dir``."""

@@ -167,3 +167,10 @@ def test_fused_sums_and_count_equal_join(reports):
     joined = sums.join(counts, "state", "left")
     cols = ["state", *B.STATE_SUM_COLS, "n"]
     assert rows(fused, *cols) == rows(joined, *cols)
+
+
+def test_register_views_for_sql(reports, spark):
+    names = B.register_views(reports, prefix="fx_")
+    assert "fx_state_sums" in names and "fx_all_beaches" in names
+    got = spark.sql("SELECT number_of_beaches_with_actions AS n FROM fx_state_sums WHERE state = 'Total'")
+    assert got.first()["n"] == 5
