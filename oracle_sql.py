@@ -496,6 +496,7 @@ SELECT action_indicator, CAST(COUNT(*) AS BIGINT) AS n FROM long GROUP BY 1""",
         "beach_source_frequency": f"""WITH {_BASE},{_LONG}
 SELECT action_possible_source, CAST(COUNT(*) AS BIGINT) AS n FROM long GROUP BY 1""",
         "beach_per_beach": f"WITH {_BASE},{per_beach}\nSELECT * FROM pb",
+        "beach_csv_per_beach": f"WITH {_BASE},{per_beach}\nSELECT * FROM pb",
         "beach_state_sums": state_sums_sql,
         "beach_states_by_contamination": f"""SELECT *, closure + contamination_advisory AS contamclose
 FROM ({state_sums_sql})""",

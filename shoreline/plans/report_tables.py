@@ -11,13 +11,18 @@ unchanged functions of ``plans.beaches``.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoreline.operators.project import render_na
 from shoreline.plans import beaches as B
 from shoreline.plans import lookup as L
-from shoreline.sources.readers import ORDINAL, read_table
+from shoreline.session import checkpoint_dir
+from shoreline.sinks import write_csv
+from shoreline.sources.readers import ORDINAL, read_report, read_table
+from shoreline.sources.schemas import ACTIONS_TYPES
 
 # State code given to each nation key 0..24 (includes codes the
 # pipeline recodes or excludes).
@@ -147,6 +152,28 @@ def beach_per_beach(spark: SparkSession, d: str) -> DataFrame:
     return B.per_beach(_clean(spark, d))
 
 
+# Display headers of the actions report (read back to snake case).
+ACTIONS_HEADERS = {
+    "beach_id": "Beach ID", "beach_name": "Beach Name", "state": "State", "county": "County",
+    "action_type": "Action Type", "action_reasons": "Action Reasons",
+    "action_indicator": "Action Indicator", "action_possible_source": "Action Possible Source",
+    "action_duration_days": "Action Duration Days", "year": "Year",
+}
+
+
+# S1, S4, S6 + Q4-Q6: the same product from a CSV report
+def beach_csv_per_beach(spark: SparkSession, d: str) -> DataFrame:
+    """Publish the actions as a CSV report with display headers (sorted, in
+    the shared checkpoint folder), read it back with the report reader and
+    build the per-beach table from it: header normalisation, ``NA``,
+    quoting and the file-position ordinal all take part."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/reports/actions-{uuid.uuid4().hex}"
+    ordered = actions_table(spark, d).orderBy(ORDINAL).drop(ORDINAL)
+    write_csv(ordered.withColumnsRenamed(ACTIONS_HEADERS), path)
+    back = read_report(spark, path, ACTIONS_TYPES, multiline=False)
+    return B.per_beach(B.clean_actions(back))
+
+
 # Q7
 def beach_state_sums(spark: SparkSession, d: str) -> DataFrame:
     out = B.state_sums(B.per_beach(_clean(spark, d)))
@@ -247,6 +274,7 @@ QUERIES = {
     "beach_indicator_frequency": beach_indicator_frequency,
     "beach_source_frequency": beach_source_frequency,
     "beach_per_beach": beach_per_beach,
+    "beach_csv_per_beach": beach_csv_per_beach,
     "beach_state_sums": beach_state_sums,
     "beach_states_by_contamination": beach_states_by_contamination,
     "beach_reason_shares": beach_reason_shares,
