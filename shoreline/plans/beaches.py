@@ -287,7 +287,8 @@ def run_reports(spark: SparkSession, actions_path: str, profile_path: str, summa
                       read_report(spark, summary_path, STATE_SUMMARY_TYPES, multiline),
                       checkpoint_clean=True)
     out = out_dir.rstrip("/")
-    write_csv(r.clean.drop(ORDINAL), f"{out}/beach_actions_clean")
+    # in file order, as read (split packing does not keep file order)
+    write_csv(r.clean.orderBy(ORDINAL).drop(ORDINAL), f"{out}/beach_actions_clean")
     write_csv(r.beaches, f"{out}/all_beach_vars", order_by=SITE_KEYS)
     write_csv(r.state_sums, f"{out}/statesums", single_file=True)
     write_csv(r.type_by_year, f"{out}/graphic1", order_by=["action_type", "year"], single_file=True)
