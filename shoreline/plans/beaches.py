@@ -287,14 +287,22 @@ def run_reports(spark: SparkSession, actions_path: str, profile_path: str, summa
                       read_report(spark, summary_path, STATE_SUMMARY_TYPES, multiline),
                       checkpoint_clean=True)
     out = out_dir.rstrip("/")
-    # in file order, as read (split packing does not keep file order)
-    write_csv(r.clean.orderBy(ORDINAL).drop(ORDINAL), f"{out}/beach_actions_clean")
+    # The largest output is written without a global sort: each part file
+    # holds its input split's rows in input order, and no shuffle is added.
+    write_csv(r.clean.drop(ORDINAL), f"{out}/beach_actions_clean")
     write_csv(r.beaches, f"{out}/all_beach_vars", order_by=SITE_KEYS)
-    write_csv(r.state_sums, f"{out}/statesums", single_file=True)
+    # states in order, the Total row last (one row per state: one file)
+    write_csv(r.state_sums.orderBy((F.col("state") == "Total").asc(), F.col("state").asc()),
+              f"{out}/statesums", single_file=True)
     write_csv(r.type_by_year, f"{out}/graphic1", order_by=["action_type", "year"], single_file=True)
     write_csv(r.sources, f"{out}/graphic2", order_by=["action_possible_source"])
     write_csv(r.state_summaries, f"{out}/state_summaries", order_by=["state"],
               partition_by=["year"])
-    write_json_lines(r.all_beaches, f"{out}/beaches_json")
-    write_json_na(r.publication, f"{out}/allbeachesforpub_json")
+    # one row per site: beaches with actions by key, then profile-only ones
+    site_order = [F.col("no_of_beach_actions").isNull().asc(),
+                  *[F.col(k).asc_nulls_last() for k in SITE_KEYS]]
+    write_json_lines(r.all_beaches.orderBy(*site_order), f"{out}/beaches_json")
+    pub_order = [F.col(f"`{PUBLICATION_LABELS['no_of_beach_actions']}`").isNull().asc(),
+                 *[F.col(f"`{PUBLICATION_LABELS[k]}`").asc_nulls_last() for k in SITE_KEYS]]
+    write_json_na(r.publication.orderBy(*pub_order), f"{out}/allbeachesforpub_json")
     return r

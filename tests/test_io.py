@@ -208,13 +208,18 @@ def test_parse_as_accepts_whole_decimals(spark):
     assert got == [2018, 2018, 1000, None, None, None, 7]
 
 
-def test_clean_actions_written_in_file_order(spark, tmp_dir):
+def test_published_small_outputs_in_reference_order(spark, tmp_dir):
     a = write(os.path.join(tmp_dir, "a.csv"), ACTIONS_CSV)
     p = write(os.path.join(tmp_dir, "p.csv"), PROFILE_CSV)
     s = write(os.path.join(tmp_dir, "s.csv"), SUMMARY_CSV)
     out = os.path.join(tmp_dir, "ordered")
     B.run_reports(spark, a, p, s, out)
-    lines = []
-    for f in sorted(glob.glob(f"{out}/beach_actions_clean/part-*.csv")):
-        lines += open(f).read().splitlines()[1:]
-    assert [ln.split(",")[0] for ln in lines] == ["B1", "B1", "B2", "B3", "B3", "B4", "B4"]
+    [f] = glob.glob(f"{out}/statesums/part-*.csv")
+    with open(f) as fh:
+        states = [ln.split(",")[0] for ln in fh.read().splitlines()[1:]]
+    assert states == ["CA", "WA", "WI", "Total"]
+    ids = []
+    for f in sorted(glob.glob(f"{out}/beaches_json/part-*")):
+        with open(f) as fh:
+            ids += [json.loads(ln)["beach_id"] for ln in fh]
+    assert ids == ["B1", "B2", "B3", "B4", "B4", "B7"]
