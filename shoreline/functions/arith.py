@@ -11,17 +11,20 @@ from shoreline.functions.text import ColumnOrName, col_of
 def ieee_divide(numerator: ColumnOrName, denominator: ColumnOrName) -> Column:
     """``n / d`` as a double with IEEE results for a zero denominator.
 
-    NULL in either input gives NULL; ``x/0`` is +/-Infinity and ``0/0`` is
+    NULL in either input gives NULL; ``x/0`` is +/-Infinity (the sign of
+    ``x`` flipped for a ``-0.0`` denominator) and ``0/0`` or ``NaN/0`` is
     NaN.  Spark's ANSI ``/`` raises on a zero divisor, and ``try_divide``
     returns NULL, so the cases are spelled out.
     """
     n = col_of(numerator).cast("double")
     d = col_of(denominator).cast("double")
+    negative_zero = d.cast("string").startswith("-")
+    positive = ((n > 0) & ~negative_zero) | ((n < 0) & negative_zero)
     return (F.when(n.isNull() | d.isNull(), F.lit(None).cast("double"))
             .when(d != 0, n / d)
-            .when(n > 0, F.lit(float("inf")))
-            .when(n < 0, F.lit(float("-inf")))
-            .otherwise(F.lit(float("nan"))))
+            .when(F.isnan(n) | (n == 0), F.lit(float("nan")))
+            .when(positive, F.lit(float("inf")))
+            .otherwise(F.lit(float("-inf"))))
 
 
 def na_sum(c: ColumnOrName) -> Column:

@@ -48,12 +48,13 @@ def quote_replacement(text: str) -> str:
 
 
 def _shift_groups(pattern: str, replacement: str) -> tuple[str, str]:
-    # The first-match rewrite adds one capturing group in front of the
-    # caller's pattern, so numbered references move up by one.
+    # The first-match rewrite puts a prefix group (1) and the whole pattern
+    # (2) in front of the caller's groups, so numbered references move up by
+    # two and ``$0`` (the whole match of the pattern) becomes ``$2``.
     pattern = re.sub(r"(?<!\\)((?:\\\\)*)\\([1-9])",
-                     lambda m: f"{m.group(1)}\\{int(m.group(2)) + 1}", pattern)
+                     lambda m: f"{m.group(1)}\\{int(m.group(2)) + 2}", pattern)
     replacement = re.sub(r"(?<!\\)((?:\\\\)*)\$([0-9])",
-                         lambda m: f"{m.group(1)}${int(m.group(2)) + 1}", replacement)
+                         lambda m: f"{m.group(1)}${int(m.group(2)) + 2}", replacement)
     return pattern, replacement
 
 
@@ -81,7 +82,7 @@ def replace_first(c: ColumnOrName, pattern: str, replacement: str,
         pattern, replacement = quote_regex(pattern), quote_replacement(replacement)
     else:
         pattern, replacement = _shift_groups(pattern, replacement)
-    return F.regexp_replace(col_of(c), F.lit(f"(?s)\\A(.*?)(?:{pattern})"), F.lit("$1" + replacement))
+    return F.regexp_replace(col_of(c), F.lit(f"(?s)\\A(.*?)({pattern})"), F.lit("$1" + replacement))
 
 
 def recode_chain(c: ColumnOrName, pairs: Iterable[tuple[str, str]]) -> Column:

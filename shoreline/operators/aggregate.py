@@ -6,6 +6,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shoreline.functions.arith import count_equal, ieee_divide, na_sum, sum_or_zero
 from shoreline.functions.text import ColumnOrName, col_of, split_tokens
@@ -27,10 +28,12 @@ def _first_appearances(df: DataFrame, keys: Sequence[str], fields: list[tuple[st
     row's first item only (list 0, position 0: every row has exactly one),
     aggregated as additive partials ``__rows``, ``__c_<m>`` (non-NULL count)
     and ``__s_<m>`` (sum) so callers can finish row counts and NA-propagating
-    sums per key without a second pass over the input.
+    sums per key without a second pass over the input.  ``measures={}``
+    still yields ``__rows``; ``None`` yields no partials.
     """
     if not fields:
         raise ValueError("at least one list column is required")
+    with_partials = measures is not None
     measures = measures or {}
     kcols = [qcol(k) for k in keys]
     ordv = fresh_name(df, "__ord")
@@ -46,7 +49,7 @@ def _first_appearances(df: DataFrame, keys: Sequence[str], fields: list[tuple[st
         F.array_distinct(split_tokens(F.col("__l"), sep))).alias("__pos", "__raw"))
     first_item = (F.col("__f") == 0) & (F.col("__pos") == 0)
     partials = []
-    if measures:
+    if with_partials:
         partials.append(F.count(F.when(first_item, F.lit(1))).alias("__rows"))
         for m in measures:
             carried = F.when(first_item, F.col(f"__m_{m}"))
@@ -183,17 +186,24 @@ def with_total_row(df: DataFrame, label_col: str, label: str = "Total",
     """Append a row summing every numeric column (NULLs skipped).
 
     Ratio columns are summed too, like the reference's totals row.  String
-    columns other than ``label_col`` get ``fill``.  The total is a global
+    columns other than ``label_col`` get ``fill``, other columns NULL; a sum
+    keeps its own type (e.g. long for an int column) and the union widens
+    the column to it.  The total is a global
     aggregate with partial aggregation per partition.
     """
+    if not isinstance(df.schema[label_col].dataType, T.StringType):
+        raise ValueError(f"label column {label_col!r} must be a string column")
     aggs = []
     for f in df.schema.fields:
         if f.name == label_col:
-            aggs.append(F.lit(label).cast(f.dataType).alias(f.name))
+            aggs.append(F.lit(label).alias(f.name))
         elif is_numeric(f.dataType):
-            aggs.append(sum_or_zero(qcol(f.name)).cast(f.dataType).alias(f.name))
+            # the sum keeps its own, wider type; the union widens the column
+            aggs.append(sum_or_zero(qcol(f.name)).alias(f.name))
+        elif isinstance(f.dataType, T.StringType):
+            aggs.append(F.lit(fill).cast("string").alias(f.name))
         else:
-            aggs.append(F.lit(fill).cast(f.dataType).alias(f.name))
+            aggs.append(F.lit(None).cast(f.dataType).alias(f.name))
     return df.unionByName(df.agg(*aggs))
 
 

@@ -92,3 +92,18 @@ def test_count_equal_propagates_na(spark):
                                "k string, t string")
     got = {r["k"]: r["n"] for r in df.groupBy("k").agg(count_equal("t", "Closure").alias("n")).collect()}
     assert got == {"a": None, "b": 1}
+
+
+def test_replace_first_whole_match_reference(spark):
+    assert one(spark, lambda c: replace_first(c, "(b)c", "[$0]"), "abcabc") == "a[bc]abc"
+    assert one(spark, lambda c: replace_first(c, "(b)(c)", "$2$1"), "abcabc") == "acbabc"
+
+
+@pytest.mark.parametrize("n,d,expected", [
+    (float("nan"), 0.0, "nan"), (1.0, -0.0, -math.inf), (-1.0, -0.0, math.inf),
+    (float("inf"), 0.0, math.inf), (0.0, -0.0, "nan"), (2.0, float("nan"), "nan"),
+])
+def test_ieee_divide_signed_zero_and_nan(spark, n, d, expected):
+    df = spark.createDataFrame([(n, d)], "n double, d double")
+    got = df.select(ieee_divide("n", "d").alias("r")).first()["r"]
+    assert math.isnan(got) if expected == "nan" else got == expected

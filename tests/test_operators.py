@@ -163,3 +163,20 @@ def test_bounded_broadcast_checks_size(spark, monkeypatch):
     monkeypatch.setattr(J, "MAX_BROADCAST_BYTES", 1)
     with pytest.raises(ValueError):
         dim_lookup(df, dim, "state", "code", "name", bounded=True)
+
+
+def test_site_table_without_measures(spark):
+    df = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 3, None)], "k string, o long, l string")
+    got = {r["k"]: (r["l"], r["n"]) for r in site_lists_with_counts(df, ["k"], "k", {"l": "l"}, "o", "n").collect()}
+    assert got == {"a": ("x, y", 2), "b": ("NA", 1)}
+
+
+def test_total_row_with_dates_and_ints(spark):
+    import datetime
+
+    df = spark.createDataFrame([("x", datetime.date(2018, 1, 1), 2147483647, True)],
+                               "s string, d date, i int, b boolean")
+    total = [r for r in with_total_row(df, "s").collect() if r["s"] == "Total"][0]
+    assert (total["d"], total["i"], total["b"]) == (None, 2147483647, None)
+    with pytest.raises(ValueError):
+        with_total_row(spark.createDataFrame([(1, 2)], "k int, v int"), "k")
