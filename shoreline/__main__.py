@@ -1,7 +1,7 @@
 """Command line: build the published reports, or look up published records.
 
     python -m shoreline reports ACTIONS PROFILE SUMMARY OUT_DIR
-    python -m shoreline lookup RECORDS_JSON STATE [TERM]
+    python -m shoreline lookup PUBLISHED_JSON STATE [TERM]
 
 Uses the active Spark configuration (``spark-submit`` or ``SPARK_*``
 settings); without one it starts a local session.
@@ -16,9 +16,12 @@ from pyspark.sql import SparkSession
 
 
 def _session() -> SparkSession:
-    active = SparkSession.getActiveSession()
-    if active is not None:
-        return active
+    """The submitted configuration when there is one (spark-submit sets
+    ``spark.master``), else a local session."""
+    from pyspark import SparkConf
+
+    if SparkSession.getActiveSession() is not None or SparkConf().contains("spark.master"):
+        return SparkSession.builder.appName("shoreline").getOrCreate()
     from shoreline.session import local_session
 
     return local_session()
@@ -38,7 +41,10 @@ def main(argv: list[str] | None = None) -> int:
     lk.add_argument("records")
     lk.add_argument("state")
     lk.add_argument("term", nargs="?", default="")
-    lk.add_argument("--json-lines", action="store_true", help="records are JSON lines")
+    lk.add_argument("--short-keys", action="store_true",
+                    help="records use the short keys (bn, bi, s, ...) instead of the published labels")
+    lk.add_argument("--array", action="store_true",
+                    help="records are one JSON array document instead of JSON lines")
     args = p.parse_args(argv)
 
     spark = _session()
@@ -48,10 +54,16 @@ def main(argv: list[str] | None = None) -> int:
         run_reports(spark, args.actions, args.profile, args.summary, args.out_dir,
                     multiline=not args.no_multiline)
         return 0
-    from shoreline.plans.lookup import display, find
+    from pyspark.sql import types as T
+
+    from shoreline.plans.lookup import RECORD_KEYS, display, find, short_records
     from shoreline.sources import RECORD_SCHEMA, read_records
 
-    records = read_records(spark, args.records, RECORD_SCHEMA, multiline=not args.json_lines)
+    if args.short_keys:
+        records = read_records(spark, args.records, RECORD_SCHEMA, multiline=args.array)
+    else:  # what `reports` publishes: labelled records, JSON lines
+        labelled = T.StructType([T.StructField(k, T.StringType(), True) for k in RECORD_KEYS])
+        records = short_records(read_records(spark, args.records, labelled, multiline=args.array))
     for row in display(find(records, args.state, args.term)).toLocalIterator():
         print({k: v for k, v in row.asDict().items() if v is not None})
     return 0

@@ -298,11 +298,14 @@ def run_reports(spark: SparkSession, actions_path: str, profile_path: str, summa
     write_csv(r.sources, f"{out}/graphic2", order_by=["action_possible_source"])
     write_csv(r.state_summaries, f"{out}/state_summaries", order_by=["state"],
               partition_by=["year"])
-    # one row per site: beaches with actions by key, then profile-only ones
+    # One row per site (status breaks ties), in a deterministic order: beaches
+    # with actions by key, then profile-only ones.  The reference's own row
+    # order (profile-only rows in file order) is not kept.
+    keys = [*SITE_KEYS, "status"]
     site_order = [F.col("no_of_beach_actions").isNull().asc(),
-                  *[F.col(k).asc_nulls_last() for k in SITE_KEYS]]
+                  *[F.col(k).asc_nulls_last() for k in keys]]
     write_json_lines(r.all_beaches.orderBy(*site_order), f"{out}/beaches_json")
     pub_order = [F.col(f"`{PUBLICATION_LABELS['no_of_beach_actions']}`").isNull().asc(),
-                 *[F.col(f"`{PUBLICATION_LABELS[k]}`").asc_nulls_last() for k in SITE_KEYS]]
+                 *[F.col(f"`{PUBLICATION_LABELS[k]}`").asc_nulls_last() for k in keys]]
     write_json_na(r.publication.orderBy(*pub_order), f"{out}/allbeachesforpub_json")
     return r

@@ -11,7 +11,7 @@ unchanged functions of ``plans.beaches``.
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from shoreline.operators.project import render_na
 from shoreline.plans import beaches as B
 from shoreline.plans import lookup as L
-from shoreline.session import checkpoint_dir
+from shoreline.session import shared_folder
 from shoreline.sinks import write_csv
 from shoreline.sources.readers import ORDINAL, read_report, read_table
 from shoreline.sources.schemas import ACTIONS_TYPES
@@ -167,7 +167,8 @@ def beach_csv_per_beach(spark: SparkSession, d: str) -> DataFrame:
     the shared checkpoint folder), read it back with the report reader and
     build the per-beach table from it: header normalisation, ``NA``,
     quoting and the file-position ordinal all take part."""
-    path = f"{checkpoint_dir(spark).rstrip('/')}/reports/actions-{uuid.uuid4().hex}"
+    # one folder per input directory, overwritten on each call
+    path = shared_folder(spark, f"reports/actions-{hashlib.sha1(d.encode()).hexdigest()[:12]}")
     ordered = actions_table(spark, d).orderBy(ORDINAL).drop(ORDINAL)
     write_csv(ordered.withColumnsRenamed(ACTIONS_HEADERS), path)
     back = read_report(spark, path, ACTIONS_TYPES, multiline=False)

@@ -46,6 +46,14 @@ def checkpoint_dir(spark: SparkSession, default: str | None = None) -> str:
     return sc.getCheckpointDir()
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A folder under the configured ``spark.checkpoint.dir`` base that keeps
+    its path across applications (the context's own checkpoint folder gets
+    a new random subfolder per application)."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or checkpoint_dir(spark)
+    return f"{base.rstrip('/')}/shoreline/{name}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and cut its lineage.
 

@@ -8,14 +8,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 from shoreline.operators._util import qcol
 from shoreline.plans.beaches import clean_actions
-from shoreline.session import checkpoint_dir
 from shoreline.sources.readers import parse_as, snake_name
 from shoreline.sources.schemas import ACTIONS_TYPES
 
 
 def clean_actions_stream(spark: SparkSession, in_dir: str, out_dir: str,
                          header_schema: T.StructType, checkpoint_location: str | None = None,
-                         available_now: bool = True) -> StreamingQuery:
+                         available_now: bool = True, multiline: bool = True) -> StreamingQuery:
     """Append cleaned rows of every new report file in ``in_dir`` to Parquet.
 
     ``header_schema`` lists the report's columns in file order (a stream
@@ -23,15 +22,21 @@ def clean_actions_stream(spark: SparkSession, in_dir: str, out_dir: str,
     so the query keeps no state; the file sink and the checkpoint make it
     exactly-once across restarts.  ``available_now`` processes what is there
     and stops, in as many micro-batches as needed.
+
+    The checkpoint must stay the same across restarts: by default it is the
+    ``_checkpoint`` folder inside ``out_dir`` (next to the sink's own
+    ``_spark_metadata`` log; readers skip folders starting with ``_``).
+    ``multiline`` as in ``read_report``: quoted fields may hold newlines.
     """
     raw = (spark.readStream.schema(header_schema).option("header", True)
+           .option("multiLine", multiline)
            .option("nullValue", "NA").option("escape", '"')
            .option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
            .csv(in_dir))
     df = raw.toDF(*[snake_name(c) for c in raw.columns])
     df = df.select(*[parse_as(qcol(c), ACTIONS_TYPES[c]).alias(c) if c in ACTIONS_TYPES else qcol(c)
                      for c in df.columns])
-    location = checkpoint_location or f"{checkpoint_dir(spark).rstrip('/')}/clean_actions_stream"
+    location = checkpoint_location or f"{out_dir.rstrip('/')}/_checkpoint"
     writer = (clean_actions(df).writeStream.format("parquet").option("path", out_dir)
               .option("checkpointLocation", location).outputMode("append"))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")

@@ -164,9 +164,13 @@ def test_command_line_reports_and_lookup(spark, tmp_dir, capsys):
     rec = write(os.path.join(tmp_dir, "rec.json"),
                 '[{"bn":"Virginia Key","bi":"VA01","s":"Virginia","c":"York","na":"2","r":"RAINFALL"},'
                 '{"bn":"Stone","bi":"WV01","s":"West Virginia","c":"NA","na":"NA","r":"NA"}]')
-    assert main(["lookup", rec, "Virginia", "rainfall"]) == 0
+    assert main(["lookup", rec, "Virginia", "rainfall", "--short-keys", "--array"]) == 0
     printed = capsys.readouterr().out
     assert "VA01" in printed and "WV01" not in printed and "VIRGINIA KEY" in printed
+    # the pipeline's own published records
+    assert main(["lookup", f"{out}/allbeachesforpub_json", "Wisconsin", "rainfall"]) == 0
+    printed = capsys.readouterr().out
+    assert "'bi': 'B2'" in printed and "'bi': 'B1'" in printed and "B3" not in printed
 
 
 def test_json_na_lines_escapes_and_keeps_types(spark):

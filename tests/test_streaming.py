@@ -34,12 +34,12 @@ def test_stream_restart_appends_only_new_files(spark, tmp_dir):
     header = ACTIONS_CSV.splitlines()[0]
     with open(os.path.join(inbox, "a.csv"), "w") as f:
         f.write(header + "\nB1,Alpha,WI,Door,Closure,ELEV_BACT,ENTERO,CSO,2,2017\n")
-    out, ckpt = os.path.join(tmp_dir, "clean2"), os.path.join(tmp_dir, "ckpt2")
-    clean_actions_stream(spark, inbox, out, HEADER, ckpt).awaitTermination(120)
+    out = os.path.join(tmp_dir, "clean2")  # default checkpoint: out/_checkpoint
+    clean_actions_stream(spark, inbox, out, HEADER).awaitTermination(120)
     assert spark.read.parquet(out).count() == 1
     with open(os.path.join(inbox, "b.csv"), "w") as f:
         f.write(header + "\nB2,Bravo,BR,Iron,Rain Advisory,RAINFALL,PREEMPT,STORM,1,2018\n"
                 "B5,Echo,GU,Guam,Closure,ELEV_BACT,ENTERO,CSO,9,2018\n")
-    clean_actions_stream(spark, inbox, out, HEADER, ckpt).awaitTermination(120)
+    clean_actions_stream(spark, inbox, out, HEADER).awaitTermination(120)
     got = spark.read.parquet(out)
     assert sorted((r["beach_id"], r["state"]) for r in got.collect()) == [("B1", "WI"), ("B2", "WI")]
