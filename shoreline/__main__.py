@@ -3,8 +3,8 @@
     python -m shoreline reports ACTIONS PROFILE SUMMARY OUT_DIR
     python -m shoreline lookup PUBLISHED_JSON STATE [TERM]
 
-Uses the active Spark configuration (``spark-submit`` or ``SPARK_*``
-settings); without one it starts a local session.
+Uses the configured session (``spark-submit`` master and settings, cluster
+defaults); ``--local`` runs on a local session instead.
 """
 
 from __future__ import annotations
@@ -15,16 +15,14 @@ import sys
 from pyspark.sql import SparkSession
 
 
-def _session() -> SparkSession:
-    """The submitted configuration when there is one (spark-submit sets
-    ``spark.master``), else a local session."""
-    from pyspark import SparkConf
+def _session(local: bool) -> SparkSession:
+    """The configured session (spark-submit master, cluster defaults); with
+    ``--local`` the local test session instead."""
+    if local:
+        from shoreline.session import local_session
 
-    if SparkSession.getActiveSession() is not None or SparkConf().contains("spark.master"):
-        return SparkSession.builder.appName("shoreline").getOrCreate()
-    from shoreline.session import local_session
-
-    return local_session()
+        return local_session()
+    return SparkSession.builder.appName("shoreline").getOrCreate()
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -45,9 +43,13 @@ def main(argv: list[str] | None = None) -> int:
                     help="records use the short keys (bn, bi, s, ...) instead of the published labels")
     lk.add_argument("--array", action="store_true",
                     help="records are one JSON array document instead of JSON lines")
+    lk.add_argument("--out", help="write the matches here (JSON lines, missing as \"NA\") "
+                                  "instead of printing them")
+    for cmd in (r, lk):
+        cmd.add_argument("--local", action="store_true", help="run on a local session")
     args = p.parse_args(argv)
 
-    spark = _session()
+    spark = _session(args.local)
     if args.cmd == "reports":
         from shoreline.plans.beaches import run_reports
 
@@ -64,7 +66,14 @@ def main(argv: list[str] | None = None) -> int:
     else:  # what `reports` publishes: labelled records, JSON lines
         labelled = T.StructType([T.StructField(k, T.StringType(), True) for k in RECORD_KEYS])
         records = short_records(read_records(spark, args.records, labelled, multiline=args.array))
-    for row in display(find(records, args.state, args.term)).toLocalIterator():
+    found = find(records, args.state, args.term)
+    if args.out:  # distributed write, nothing passes through the driver
+        from shoreline.sinks import write_json_na
+
+        write_json_na(found, args.out)
+        return 0
+    # interactive display: rows stream to the console one partition at a time
+    for row in display(found).toLocalIterator():
         print({k: v for k, v in row.asDict().items() if v is not None})
     return 0
 

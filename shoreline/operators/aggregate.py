@@ -128,7 +128,10 @@ def site_lists_with_counts(df: DataFrame, site_keys: Sequence[str], id_col: str,
     carries the full counts of its id, so an id spelled several ways counts
     fully on each row.  The counts travel as additive partials through the
     list aggregation and are summed per id by a window over the site rows,
-    so the input is read once and no join is needed.
+    so the input is read once and no join is needed.  The window holds one
+    id's site rows at a time (all sites with a NULL id form one group, as
+    NULL matches NULL); the window buffer spills to disk beyond its
+    threshold.
     """
     sums, categories = dict(sums or {}), dict(categories or {})
     measures = {f"s{i}": qcol(c) for i, c in enumerate(sums.values())}

@@ -50,8 +50,9 @@ def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: st
     return j.select(*out)
 
 
-# Largest dimension input (bytes read) that ``bounded=True`` will broadcast.
-MAX_BROADCAST_BYTES = 64 * 1024 * 1024
+# Largest dimension input (bytes read) that ``bounded=True`` will broadcast;
+# below Spark's own 10 MB default, since bytes on disk grow in memory.
+MAX_BROADCAST_BYTES = 8 * 1024 * 1024
 
 
 def dim_lookup(df: DataFrame, dim: DataFrame, key: str, dim_key: str, dim_value: str,
@@ -70,11 +71,12 @@ def dim_lookup(df: DataFrame, dim: DataFrame, key: str, dim_key: str, dim_value:
     out_col = out_col or key
     d = dim.select(qcol(dim_key).alias("__dk"), qcol(dim_value).alias("__dv"))
     if bounded:
-        size = input_bytes(dim)  # None: no plan access (remote session), caller's word
+        size = input_bytes(dim)
         if size is not None and size > MAX_BROADCAST_BYTES:
             raise ValueError(f"dimension size {size} bytes is unknown or too large to broadcast; "
                              "pass bounded=False to let the planner decide")
-        d = F.broadcast(d)
+        if size is not None:  # no plan access (remote session): no hint, the planner decides
+            d = F.broadcast(d)
     j = df.join(d, qcol(key) == F.col("__dk"), "left")
     cols = [F.col("__dv").alias(c) if c == out_col else qcol(c) for c in df.columns]
     if out_col not in df.columns:

@@ -246,19 +246,25 @@ class Reports:
 
 
 def build_reports(actions: DataFrame, profile: DataFrame, summary: DataFrame,
-                  checkpoint_clean: bool = False) -> Reports:
+                  checkpoint: bool = False) -> Reports:
     """All products as lazy DataFrames.
 
-    ``checkpoint_clean`` writes the cleaned actions to the shared checkpoint
-    folder first: five products read them, so the report is parsed once and
-    a lost executor does not send the jobs back to the CSV.
+    ``checkpoint`` writes the reused intermediates to the shared checkpoint
+    folder: the cleaned actions (read by five products), the per-beach table
+    and the joined all-beaches table (one row per site each, read by several
+    outputs).  Each is then computed once, and a lost executor does not send
+    the later jobs back to the reports.
     """
     clean = clean_actions(actions)
-    if checkpoint_clean:
+    if checkpoint:
         clean = materialize(clean)
     beaches = per_beach(clean)
+    if checkpoint:
+        beaches = materialize(beaches)
     snap = profile_snapshot(profile)
     allb = all_beaches(beaches, snap)
+    if checkpoint:
+        allb = materialize(allb)
     return Reports(clean=clean, beaches=beaches, state_sums=state_sums(beaches), snapshot=snap,
                    all_beaches=allb, publication=publication(allb),
                    type_by_year=type_by_year(clean),
@@ -285,7 +291,7 @@ def run_reports(spark: SparkSession, actions_path: str, profile_path: str, summa
     r = build_reports(read_report(spark, actions_path, ACTIONS_TYPES, multiline),
                       read_report(spark, profile_path, PROFILE_TYPES, multiline),
                       read_report(spark, summary_path, STATE_SUMMARY_TYPES, multiline),
-                      checkpoint_clean=True)
+                      checkpoint=True)
     out = out_dir.rstrip("/")
     # The largest output is written without a global sort: each part file
     # holds its input split's rows in input order, and no shuffle is added.

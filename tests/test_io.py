@@ -159,18 +159,22 @@ def test_command_line_reports_and_lookup(spark, tmp_dir, capsys):
     p = write(os.path.join(tmp_dir, "p.csv"), PROFILE_CSV)
     s = write(os.path.join(tmp_dir, "s.csv"), SUMMARY_CSV)
     out = os.path.join(tmp_dir, "cli")
-    assert main(["reports", a, p, s, out]) == 0
+    assert main(["reports", a, p, s, out, "--local"]) == 0
     assert os.path.isdir(f"{out}/statesums") and os.path.isdir(f"{out}/allbeachesforpub_json")
     rec = write(os.path.join(tmp_dir, "rec.json"),
                 '[{"bn":"Virginia Key","bi":"VA01","s":"Virginia","c":"York","na":"2","r":"RAINFALL"},'
                 '{"bn":"Stone","bi":"WV01","s":"West Virginia","c":"NA","na":"NA","r":"NA"}]')
-    assert main(["lookup", rec, "Virginia", "rainfall", "--short-keys", "--array"]) == 0
+    assert main(["lookup", rec, "Virginia", "rainfall", "--short-keys", "--array", "--local"]) == 0
     printed = capsys.readouterr().out
     assert "VA01" in printed and "WV01" not in printed and "VIRGINIA KEY" in printed
     # the pipeline's own published records
-    assert main(["lookup", f"{out}/allbeachesforpub_json", "Wisconsin", "rainfall"]) == 0
+    assert main(["lookup", f"{out}/allbeachesforpub_json", "Wisconsin", "rainfall", "--local"]) == 0
     printed = capsys.readouterr().out
     assert "'bi': 'B2'" in printed and "'bi': 'B1'" in printed and "B3" not in printed
+    found = os.path.join(tmp_dir, "found")
+    assert main(["lookup", f"{out}/allbeachesforpub_json", "Wisconsin", "rainfall", "--out", found]) == 0
+    rows_out = [json.loads(ln) for f in glob.glob(f"{found}/part-*") for ln in open(f)]
+    assert sorted(x["bi"] for x in rows_out) == ["B1", "B2"]
 
 
 def test_json_na_lines_escapes_and_keeps_types(spark):
