@@ -136,10 +136,14 @@ def test_state_dimension(spark):
     assert names["WV"] == "West Virginia" and names["PR"] == "Puerto Rico" and "GU" not in names
 
 
-def test_checkpoint_dir_reads_session(spark):
-    from shoreline.session import checkpoint_dir
-
-    assert checkpoint_dir(spark) == spark.sparkContext.getCheckpointDir()
+def test_shared_folder_is_stable_under_the_configured_base(spark):
+    from shoreline.session import shared_folder
+
+    a, b = shared_folder(spark, "reports/x"), shared_folder(spark, "reports/x")
+    assert a == b and a.endswith("/shoreline/reports/x")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        assert a.startswith(base.rstrip("/"))
 
 
 def test_csv_ordinal_orders_files_and_rows(spark, tmp_dir):

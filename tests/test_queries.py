@@ -71,3 +71,13 @@ def test_first_appearance_uses_hash_aggregate(spark, large_plans):
 def test_column_pruning(spark):
     p = plan(E.queries()["regex_search"](spark, SF))
     assert "ReadSchema: struct<p_partkey:bigint,p_name:string,p_brand:string,p_type:string,p_size:int>" in p
+
+
+def test_ordered_queries_are_ordered(spark):
+    # the driver compares results without order, so order is checked here
+    states = [r["s"] for r in E.queries()["distinct_sorted"](spark, SF).collect()]
+    assert states == sorted(states) and len(states) == len(set(states))
+    ranked = [r["contam_close"] for r in E.queries()["ranked_sum"](spark, SF).collect()]
+    assert ranked == sorted(ranked, reverse=True)
+    ranked = [r["contamclose"] for r in E.queries()["beach_states_by_contamination"](spark, SF).collect()]
+    assert ranked == sorted(ranked, reverse=True)
