@@ -272,6 +272,34 @@ def build_reports(actions: DataFrame, profile: DataFrame, summary: DataFrame,
                    state_summaries=state_summaries(summary))
 
 
+def story(r: Reports) -> dict[str, DataFrame]:
+    """The results the reference script prints or views rather than writes.
+
+    Frequencies, reason shares and token shares, beaches with closures,
+    contamination or rain actions, action types, the profile check count,
+    counts by state and status, dormant beaches with actions, and states
+    ranked by closures plus contamination advisories.  All lazy.
+    """
+    freq = frequencies(r.clean)
+    counts = status_counts(r.all_beaches)
+    return {
+        "reason_frequency": freq["action_reasons"],
+        "indicator_frequency": freq["action_indicator"],
+        "source_frequency": freq["action_possible_source"],
+        "reason_shares": reason_shares(r.clean),
+        "reason_token_shares": reason_token_shares(r.clean),
+        "beaches_with_closures": beaches_with(r.beaches, "closure"),
+        "beaches_with_contamination": beaches_with(r.beaches, "contamination_advisory"),
+        "beaches_with_rain": beaches_with(r.beaches, "rain_advisory"),
+        "action_types": action_type_counts(r.clean),
+        "profile_check_count": snapshot_check_count(r.snapshot),
+        "beaches_by_state": counts["by_state"],
+        "beaches_by_status": counts["by_status"],
+        "dormant_with_actions": counts["dormant_with_actions"],
+        "states_by_contamination": states_by_contamination(r.state_sums),
+    }
+
+
 def register_views(r: Reports, prefix: str = "") -> list[str]:
     """Expose every product as a temporary view for ``spark.sql`` users.
 

@@ -174,3 +174,12 @@ def test_register_views_for_sql(reports, spark):
     assert "fx_state_sums" in names and "fx_all_beaches" in names
     got = spark.sql("SELECT number_of_beaches_with_actions AS n FROM fx_state_sums WHERE state = 'Total'")
     assert got.first()["n"] == 5
+
+
+def test_story_results(reports):
+    st = B.story(reports)
+    assert sorted(r["beach_id"] for r in st["beaches_with_rain"].collect()) == ["B2"]
+    assert {r["state"]: r["n"] for r in st["profile_check_count"].collect()} == {"CA": 2, "WI": 1}
+    assert [r["beach_name"] for r in st["dormant_with_actions"].collect()] == ["Delta"]
+    assert {r["token"] for r in st["reason_token_shares"].collect()} == {"ELEV_BACT", "RAINFALL"}
+    assert st["states_by_contamination"].first()["state"] == "Total"
