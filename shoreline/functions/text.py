@@ -48,8 +48,8 @@ def quote_replacement(text: str) -> str:
 
 
 def _shift_groups(pattern: str, replacement: str) -> tuple[str, str]:
-    # The first-match rewrite puts a prefix group (1) and the whole pattern
-    # (2) in front of the caller's groups, so numbered references move up by
+    # The first-match rewrite puts a (named) prefix group, number 1, and the
+    # whole pattern, number 2, in front of the caller's groups, so numbered references move up by
     # two and ``$0`` (the whole match of the pattern) becomes ``$2``.
     pattern = re.sub(r"(?<!\\)((?:\\\\)*)\\([1-9])",
                      lambda m: f"{m.group(1)}\\{int(m.group(2)) + 2}", pattern)
@@ -82,7 +82,10 @@ def replace_first(c: ColumnOrName, pattern: str, replacement: str,
         pattern, replacement = quote_regex(pattern), quote_replacement(replacement)
     else:
         pattern, replacement = _shift_groups(pattern, replacement)
-    return F.regexp_replace(col_of(c), F.lit(f"(?s)\\A(.*?)({pattern})"), F.lit("$1" + replacement))
+    # The prefix is a named group: "${name}" cannot run into a replacement
+    # that starts with a digit (Java reads "$1" + "0" as group 10 if it exists).
+    return F.regexp_replace(col_of(c), F.lit(f"(?s)\\A(?<shorelinepre>.*?)({pattern})"),
+                            F.lit("${shorelinepre}" + replacement))
 
 
 def recode_chain(c: ColumnOrName, pairs: Iterable[tuple[str, str]]) -> Column:

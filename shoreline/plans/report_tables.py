@@ -11,7 +11,7 @@ unchanged functions of ``plans.beaches``.
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -167,8 +167,9 @@ def beach_csv_per_beach(spark: SparkSession, d: str) -> DataFrame:
     the shared checkpoint folder), read it back with the report reader and
     build the per-beach table from it: header normalisation, ``NA``,
     quoting and the file-position ordinal all take part."""
-    # one folder per input directory, overwritten on each call
-    path = shared_folder(spark, f"reports/actions-{hashlib.sha1(d.encode()).hexdigest()[:12]}")
+    # a folder of its own per call: the returned DataFrame reads it lazily, so
+    # no later call (or other application) may overwrite it
+    path = shared_folder(spark, f"reports/actions-{uuid.uuid4().hex}")
     ordered = actions_table(spark, d).orderBy(ORDINAL).drop(ORDINAL)
     write_csv(ordered.withColumnsRenamed(ACTIONS_HEADERS), path)
     back = read_report(spark, path, ACTIONS_TYPES, multiline=False)

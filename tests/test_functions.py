@@ -107,3 +107,8 @@ def test_ieee_divide_signed_zero_and_nan(spark, n, d, expected):
     df = spark.createDataFrame([(n, d)], "n double, d double")
     got = df.select(ieee_divide("n", "d").alias("r")).first()["r"]
     assert math.isnan(got) if expected == "nan" else got == expected
+
+
+def test_replace_first_replacement_starting_with_digit(spark):
+    pattern = "(a)(b)(c)(d)(e)(f)(g)(h)"
+    assert one(spark, lambda c: replace_first(c, pattern, "0-$1"), "xabcdefghy") == "x0-ay"
