@@ -151,3 +151,26 @@ def test_replace_first_matches_python(spark, cases):
     got = {row["i"]: row for row in df.select("i", *exprs).collect()}
     for i, (s, p, r) in enumerate(cases):
         assert got[i][f"r{i}"] == s.replace(p, r, 1), (s, p, r)
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(list_value, min_size=1, max_size=12))
+def test_shares_match_brute_force(spark, lists):
+    from shoreline.operators.aggregate import share_of_total
+    from shoreline.operators.explode import token_share
+
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(lists)], "i long, l string")
+    total = len(lists)
+    expected = {}
+    for v in lists:
+        for tok in {None if t is None else t.strip() for t in parts(v)}:
+            expected[tok] = expected.get(tok, 0) + 1
+    got = {r["token"]: (r["n"], r["pct"]) for r in token_share(df, "l").collect()}
+    assert {k: n for k, (n, _) in got.items()} == expected
+    assert all(abs(p - 100.0 * n / total) < 1e-9 for n, p in got.values())
+    by_value = {}
+    for v in lists:
+        by_value[v] = by_value.get(v, 0) + 1
+    shares = {r["l"]: (r["n"], r["pct"]) for r in share_of_total(df, ["l"]).collect()}
+    assert {k: n for k, (n, _) in shares.items()} == by_value
+    assert abs(sum(p for _, p in shares.values()) - 100.0) < 1e-9
