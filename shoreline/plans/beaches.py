@@ -20,7 +20,7 @@ from shoreline.operators.joins import dim_lookup
 from shoreline.operators.project import rename_columns
 from shoreline.plans import sites
 from shoreline.session import materialize
-from shoreline.sinks import write_csv, write_json_lines, write_json_na
+from shoreline.sinks import r_style_numbers, write_csv, write_json_lines, write_json_na
 from shoreline.sources.dims import state_dimension
 from shoreline.sources.readers import ORDINAL, read_report
 from shoreline.sources.schemas import ACTIONS_TYPES, PROFILE_TYPES, STATE_SUMMARY_TYPES
@@ -326,11 +326,12 @@ def run_reports(spark: SparkSession, actions_path: str, profile_path: str, summa
     write_csv(r.clean.drop(ORDINAL), f"{out}/beach_actions_clean")
     write_csv(r.beaches, f"{out}/all_beach_vars", order_by=SITE_KEYS)
     # states in order, the Total row last (one row per state: one file)
-    write_csv(r.state_sums.orderBy((F.col("state") == "Total").asc(), F.col("state").asc()),
+    write_csv(r_style_numbers(r.state_sums.orderBy((F.col("state") == "Total").asc(),
+                                                   F.col("state").asc())),
               f"{out}/statesums", single_file=True)
     write_csv(r.type_by_year, f"{out}/graphic1", order_by=["action_type", "year"], single_file=True)
     write_csv(r.sources, f"{out}/graphic2", order_by=["action_possible_source"])
-    write_csv(r.state_summaries, f"{out}/state_summaries", order_by=["state"],
+    write_csv(r_style_numbers(r.state_summaries), f"{out}/state_summaries", order_by=["state"],
               partition_by=["year"])
     # One row per site (status breaks ties), in a deterministic order: beaches
     # with actions by key, then profile-only ones.  The reference's own row

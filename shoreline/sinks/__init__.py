@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shoreline.operators._util import qcol
 
@@ -17,6 +18,28 @@ def sorted_for_output(df: DataFrame, order_by: Sequence[str] | None) -> DataFram
     return df.orderBy(*[qcol(c).asc_nulls_last() for c in order_by])
 
 
+def r_style_numbers(df: DataFrame) -> DataFrame:
+    """Render floating-point columns as R's CSV writer does.
+
+    Whole numbers lose the ``.0`` (``2.0`` -> ``2``), infinities are
+    ``Inf``/``-Inf``, NaN is ``NaN``; other values use Spark's shortest
+    round-trip text.  Other columns are unchanged.  Row-local.
+    """
+    cols = []
+    for f in df.schema.fields:
+        c = qcol(f.name)
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+            d = c.cast("double")
+            text = (F.when(F.isnan(d), F.lit("NaN"))
+                    .when(d == float("inf"), F.lit("Inf"))
+                    .when(d == float("-inf"), F.lit("-Inf"))
+                    .when((d == F.floor(d)) & (F.abs(d) < F.lit(1e15)), d.cast("long").cast("string"))
+                    .otherwise(d.cast("string")))
+            c = text
+        cols.append(c.alias(f.name))
+    return df.select(*cols)
+
+
 def write_csv(df: DataFrame, path: str, order_by: Sequence[str] | None = None,
               single_file: bool = False, mode: str = "overwrite",
               partition_by: Sequence[str] | None = None) -> None:
@@ -71,5 +94,5 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite",
     w.parquet(path)
 
 
-__all__ = ["json_na_lines", "sorted_for_output", "write_csv", "write_json_lines", "write_json_na",
+__all__ = ["json_na_lines", "r_style_numbers", "sorted_for_output", "write_csv", "write_json_lines", "write_json_na",
            "write_parquet"]

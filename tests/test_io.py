@@ -235,3 +235,12 @@ def test_published_small_outputs_in_reference_order(spark, tmp_dir):
         with open(f) as fh:
             ids += [json.loads(ln)["beach_id"] for ln in fh]
     assert ids == ["B1", "B2", "B3", "B4", "B4", "B7"]
+
+
+def test_r_style_numbers(spark):
+    from shoreline.sinks import r_style_numbers
+
+    df = spark.createDataFrame([(2.0,), (5.5,), (float("nan"),), (float("inf"),), (float("-inf"),), (None,),
+                                (41.666666666666664,)], "x double")
+    got = [r["x"] for r in r_style_numbers(df).collect()]
+    assert got == ["2", "5.5", "NaN", "Inf", "-Inf", None, "41.666666666666664"]
