@@ -244,3 +244,11 @@ def test_r_style_numbers(spark):
                                 (41.666666666666664,)], "x double")
     got = [r["x"] for r in r_style_numbers(df).collect()]
     assert got == ["2", "5.5", "NaN", "Inf", "-Inf", None, "41.666666666666664"]
+
+
+def test_malformed_fields_become_null(spark, tmp_dir):
+    path = write(os.path.join(tmp_dir, "bad.csv"), "Beach ID,Year,Action Duration Days\nB1,twenty,3.5\nB2,2018,4\n")
+    df = read_report(spark, path, {"beach_id": ACTIONS_TYPES["beach_id"], "year": ACTIONS_TYPES["year"],
+                                   "action_duration_days": ACTIONS_TYPES["action_duration_days"]})
+    got = sorted((r["beach_id"], r["year"], r["action_duration_days"]) for r in df.collect())
+    assert got == [("B1", None, None), ("B2", 2018, 4)]

@@ -174,3 +174,16 @@ def test_shares_match_brute_force(spark, lists):
     shares = {r["l"]: (r["n"], r["pct"]) for r in share_of_total(df, ["l"]).collect()}
     assert {k: n for k, (n, _) in shares.items()} == by_value
     assert abs(sum(p for _, p in shares.values()) - 100.0) < 1e-9
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(row, min_size=1, max_size=10))
+def test_long_form_is_the_per_row_product(spark, rows):
+    from shoreline.operators.explode import long_form
+
+    data, df = frame(spark, rows)
+    expected = sorted(
+        (o, *[norm(v) for v in combo]) for _, o, *ls, _ in data
+        for combo in itertools.product(*[parts(x) for x in ls]))
+    got = long_form(df, LISTS, normalize={c: F.upper for c in LISTS}).select("o", *LISTS)
+    assert sorted(tuple(r) for r in got.collect()) == expected
