@@ -1,9 +1,10 @@
 """Hot-key check: one site holds a third of the rows.
 
 Builds site events from the lineitem table (every third line goes to site
-``HOT``), runs the one-pass site table and the first-row dedupe with the
-large-input plan (small-input switch off), and reports per-stage task
-counts, longest task and shuffle-read skew from Spark's event log.
+``HOT``), runs the one-pass site table, the first-row dedupe, per-site token
+frequencies and per-site counts with the large-input plan (small-input
+switch off), and reports per-stage task counts, longest task and
+shuffle-read skew from Spark's event log.
 
 Usage: ``python tools/skew_check.py [sf_dir] [event_log_dir]``.
 """
@@ -47,10 +48,15 @@ def main() -> None:
         F.concat(F.col("l_returnflag"), F.lit(","), F.col("l_linestatus")).alias("flags"),
         F.col("l_quantity").cast("long").alias("qty"))
     runs = {}
+    from shoreline.operators.aggregate import summarize_counts
+    from shoreline.operators.explode import token_frequency
+
     for name, df in [
         ("site_table", site_lists_with_counts(ev, ["site"], "site", {"flags": "flags"}, "ord",
                                               "n", {"qty": "qty"})),
         ("first_by", first_by(ev, ["site"], "ord")),
+        ("token_frequency", token_frequency(ev, "flags", by=["site"])),
+        ("summarize_counts", summarize_counts(ev, ["site"], "n", {"qty": "qty"})),
     ]:
         t0 = time.perf_counter()
         df.write.format("noop").mode("overwrite").save()
