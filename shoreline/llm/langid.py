@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shoreline.operators._util import fresh_name
+
 UND = "und"
 _CHUNK = 1 << 20
 
@@ -193,12 +195,13 @@ def sample(docs: DataFrame, learn: Column, sample_rows: int, sample_bytes: int)
 
 
 def identify(docs: DataFrame, learn: Column | None = None, order: int = 3, max_contexts: int = 16384,
-             sample_rows: int = 400, sample_bytes: int = 300_000, keep: list[str] | None = None) -> DataFrame:
+             sample_rows: int = 400, sample_bytes: int = 300_000, keep: list[str] | None = None,
+             names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """``(doc_id, held_out, lang_pred, score)`` for every row of ``docs (doc_id, text, lang)``.
 
     ``learn`` tells which rows the model may be fitted on (default: ``may_learn``);
     ``score`` is the posterior probability of the predicted language.  With ``keep``, these
-    columns of ``docs`` come instead of the first two.
+    columns of ``docs`` come instead of the first two; ``names`` are those of the last two.
     """
     learn = may_learn(F.col("doc_id")) if learn is None else learn
     model = train(sample(docs, learn, sample_rows, sample_bytes), order, max_contexts)
@@ -208,7 +211,7 @@ def identify(docs: DataFrame, learn: Column | None = None, order: int = 3, max_c
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ppm = shipped.value
         for b in batches:
-            names, scores = [], []
+            langs, scores = [], []
             for lo in range(0, b.num_rows, 512):
                 texts = b.column(0).slice(lo, 512).to_pylist()
                 lettered = [n for n, t in enumerate(texts) if ppm and t and any(map(str.isalpha, t))]
@@ -219,24 +222,25 @@ def identify(docs: DataFrame, learn: Column | None = None, order: int = 3, max_c
                     post = 1 / np.exp2(-(bits - bits.min(axis=1, keepdims=True))).sum(axis=1)
                     for n, k, p in zip(lettered, best, post):
                         pred[n], score[n] = ppm.langs[k], float(p)
-                names += pred
+                langs += pred
                 scores += score
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[1:], pa.array(names, pa.string()), pa.array(scores, pa.float64())],
+                [*b.columns[1:], pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
                 [f.name for f in schema])
 
     # columns are addressed by place, so that their names may repeat those used here
     carried = [F.col("doc_id"), held] if keep is None else [F.col(f"`{c}`") for c in keep]
     rows = docs.select(F.col("text").cast("string").alias("_text"), *carried)
-    schema = T.StructType([*rows.schema.fields[1:], T.StructField("lang_pred", T.StringType()),
-                           T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*rows.schema.fields[1:], T.StructField(names[0], T.StringType()),
+                           T.StructField(names[1], T.DoubleType())])
     return rows.mapInArrow(each, schema)
 
 
 def keep_identified(docs: DataFrame, min_score: float = 0.5, **how) -> DataFrame:
     """The rows of ``docs`` whose language is predicted with at least ``min_score``; a
     missing ``lang`` is filled in.  Rows are judged one by one, in a single pass."""
-    scored = identify(docs, keep=docs.columns, **how)
-    lang = F.coalesce(F.col("lang"), F.col("lang_pred").cast(docs.schema["lang"].dataType)).alias("lang")
-    return (scored.filter((F.col("lang_pred") != UND) & (F.col("score") >= min_score))
+    pred, score = fresh_name(docs, "lang_pred"), fresh_name(docs, "score")
+    scored = identify(docs, keep=docs.columns, names=(pred, score), **how)
+    lang = F.coalesce(F.col("lang"), F.col(pred).cast(docs.schema["lang"].dataType)).alias("lang")
+    return (scored.filter((F.col(pred) != UND) & (F.col(score) >= min_score))
             .select(*[lang if c == "lang" else F.col(f"`{c}`") for c in docs.columns]))
