@@ -5,7 +5,7 @@ counts; a byte is coded in its longest known context, escaping (method C, with e
 to shorter ones.  The language with the shortest code of the whole text is predicted.
 
 Only the model is fitted on a bounded sample: for each language the texts of smallest
-hash, at most ``sample_rows`` and ``sample_bytes``, of rows that may be learned from.  The
+hash (of a hash), at most ``sample_rows`` and ``sample_bytes``, of rows that may be learned from.  The
 trees of all languages share one table of contexts (at most ``max_contexts``, the most
 frequent), in which each cell holds the exact code length of a byte after a context per
 language, so that scoring a text is a few array look-ups a byte.
@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shoreline.llm.common import stored
 from shoreline.operators._util import fresh_name
 
 UND = "und"
@@ -175,8 +176,12 @@ def sample(docs: DataFrame, learn: Column, sample_rows: int, sample_bytes: int)
     """Distinct texts of smallest hash by language, within both bounds."""
     labelled = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
         F.col("lang").cast("string").alias("lang"), F.xxhash64("text").alias("h"), F.col("text").cast("string").alias("text"))
-    sizes = labelled.groupBy("lang", "h").agg(F.max(F.octet_length("text")).alias("size"))
-    first = (sizes.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
+    sizes = stored(labelled.groupBy("lang", "h").agg(F.max(F.octet_length("text")).alias("size")), "sizes")
+    # far more than enough of the smallest hashes, so that no language is ranked whole in one task
+    luck = F.shiftrightunsigned(F.xxhash64("h"), 11) / F.lit(float(1 << 53))
+    share = sizes.groupBy("lang").agg((F.lit(4.0 * sample_rows + 100) / F.count(F.lit(1))).alias("share"))
+    few = sizes.join(F.broadcast(share), "lang").filter(luck < F.col("share")).withColumn("luck", luck)  # a row a language
+    first = (few.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("luck", "h")))
              .filter(F.col("n") <= sample_rows).collect())
     chosen, used = [], {}
     for r in sorted(first, key=lambda r: (r["lang"], r["n"])):

@@ -5,9 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from shoreline.llm import langid, simhash
-from shoreline.llm.common import table
+from shoreline.llm import ann, langid, linededup, mixing, packing, pii, quality, sharding, simhash, warc
+from shoreline.llm.common import scratch, table
+
+TOKENIZER = "word_bpe_49k.json"
+
+
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    """Place of a public tokenizer's file, the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,9 +28,73 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_by_bytes(table(spark, sf_dir, "documents"), shards=40)
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "warc")
+    warc.write(warc.page_records(table(spark, sf_dir, "pages")), path)
+    return warc.page_digests(spark, path)
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = linededup.dedup_lines(table(spark, sf_dir, "documents"), min_chars=60)
+    return rows.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_lost").alias("n_removed"), "text")
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048, end_id=0)
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_words(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_simhash_near_dedup": op1_simhash_near_dedup,
-    "op2_language_id": op2_language_id,
+    f.__name__: f for f in (
+        op1_simhash_near_dedup, op2_language_id, op3_sharding, op4_warc, op5_line_dedup, op6_pii,
+        op7_best_fit_packing, op8_quality_rules, op9_nearest_neighbours, op10_mixing)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_warc": """
+        WITH p AS (SELECT page_id, sha256(coalesce(html, '')) AS payload_digest,
+                          CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes FROM pages),
+             o AS (SELECT payload_digest, min(page_id) AS original FROM p WHERE payload_bytes >= 100 GROUP BY ALL)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN page_id <> original THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id <> original THEN original END AS refers_to
+        FROM p LEFT JOIN o USING (payload_digest)""",
+    # lines are told apart by value; a run is named by its text
+    "op5_line_dedup": """
+        WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+             x AS (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM d),
+             c AS (SELECT doc_id, l, i, sum(length(l[i])) OVER w AS upto, length(l[i]) AS n FROM x
+                   WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING)),
+             f AS (SELECT a.doc_id, a.i AS s, min(b.i) AS e FROM c a JOIN c b
+                   ON a.doc_id = b.doc_id AND b.i >= a.i AND b.upto - (a.upto - a.n) >= 60 GROUP BY ALL),
+             g AS (SELECT a.doc_id, max(b.i) AS s, a.i AS e FROM c a JOIN c b
+                   ON a.doc_id = b.doc_id AND b.i <= a.i AND a.upto - (b.upto - b.n) >= 60 GROUP BY ALL),
+             w AS (SELECT doc_id, s, e, l[s:e] AS run FROM (FROM f UNION FROM g) JOIN d USING (doc_id)),
+             r AS (SELECT doc_id, s, e, row(doc_id, s) > min(row(doc_id, s)) OVER (PARTITION BY run) AS later FROM w),
+             z AS (SELECT DISTINCT doc_id, unnest(range(s, e + 1)) AS i FROM r WHERE later),
+             lost AS (SELECT doc_id, list(i) AS gone FROM z GROUP BY doc_id)
+        SELECT doc_id, CAST(coalesce(len(l), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+               CASE WHEN gone IS NULL THEN documents.text ELSE array_to_string(
+                   [y.v FOR y IN list_zip(l, range(1, len(l) + 1)).list_transform(lambda q: {'v': q[1], 'i': q[2]})
+                    IF NOT list_contains(gone, y.i)], chr(10)) END AS text
+        FROM documents LEFT JOIN d USING (doc_id) LEFT JOIN lost USING (doc_id)""",
+}
