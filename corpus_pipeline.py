@@ -5,13 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from shoreline.llm import langid, simhash
+from shoreline.llm import langid, linededup, mixing, packing, simhash
 from shoreline.llm.common import stored, table
+from shoreline.llm.queries import tokenizer_path
 
 #: documents of a predicted language with at least this posterior probability stay
 MIN_LANGUAGE_SCORE = 0.5
+#: characters of the shortest run of lines that counts as repeated
+MIN_REPEATED_CHARS = 60
+#: ids of a training sequence
+CAPACITY = 2048
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,15 +23,33 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.keep_identified(docs, MIN_LANGUAGE_SCORE)
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Delete later copies of repeated runs of lines, and documents that lose all their words."""
+    return linededup.drop_repeated_lines(docs, MIN_REPEATED_CHARS)
+
+
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each class of near duplicates."""
     return simhash.keep_one(docs, shingle=4, radius=4)
 
 
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Take each document as often as the target weights of the sources ask."""
+    return mixing.mix(docs)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The place of every piece of every document in training sequences."""
+    return packing.pack_documents(docs, tokenizer_path(), CAPACITY, end_id=0)
+
+
 #: each takes (spark, docs, sf_dir); all but the last return the columns of documents
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("language_id", language_id),
+    ("line_dedup", line_dedup),
     ("simhash_near_dedup", simhash_near_dedup),
+    ("mix_sources", mix_sources),
+    ("best_fit_packing", best_fit_packing),
 ]
 
 #: SQL has no PPM, suffix array, SimHash, Newton iterations or tokenizer: the tests hold

@@ -5,8 +5,8 @@ which every source's words meet its target, entropy balancing takes those of lea
 relative entropy to the start: ``min(max_copies, exp(lambda * size / mean size))`` with one
 dual variable ``lambda`` a source.  The dual is convex; distributed Newton steps solve it
 over counts of equally long documents of a source, kept in the bracket that each step
-narrows.  Rates become copies by systematic rounding along the sizes, so the rounding errors
-of a source add up to less than a copy.
+narrows.  Rates become copies by systematic rounding along the sizes; the words that a source is then
+off its target are made up for by a few copies more or less.
 
 DataFrame operations only.  Defined cases: a NULL text has no words; a document without
 words is never taken; NULL is a source of its own, last in order; a NULL ``doc_id`` is a
@@ -83,6 +83,31 @@ def solve(classes: DataFrame, targets: DataFrame, max_copies: int = 2, tolerance
     return state.select("sid", "lam", "mean")
 
 
+def settle(rounded: DataFrame, targets: DataFrame, max_copies: int) -> DataFrame:
+    """``rounded (_sid, _size, _n, _k)`` with a few copies more or less, so that the words of a
+    source miss its target by little more than a short document: from one class of each half
+    power of two of sizes, the long ones first, as many copies as still fit."""
+    off = (rounded.groupBy("_sid").agg(F.sum(F.col("_k") * F.col("_size")).alias("words"))
+           .join(targets.select(F.col("sid").alias("_sid"), "target"), "_sid")
+           .select("_sid", (F.col("target") - F.col("words")).alias("off")))
+    steps = (rounded.groupBy("_sid", F.floor(2 * F.log2("_size")).alias("step"))
+             .agg(F.max_by(F.struct("_size", "_n", "_k"), F.struct("_n", -F.col("_size"))).alias("x")))
+    ladder = steps.groupBy("_sid").agg(F.sort_array(F.collect_list("x"), asc=False).alias("xs")).join(off, "_sid")
+    start = F.struct(F.col("off"), F.array().cast("array<struct<size:bigint,more:bigint>>").alias("out"))
+
+    def step(acc, x):
+        want = acc["off"] / x["_size"]
+        whole = F.when(want >= 0, F.floor(want)).otherwise(F.ceil(want)).cast("long")
+        more = F.greatest(-x["_k"], F.least(x["_n"] * max_copies - x["_k"], whole))
+        return F.struct((acc["off"] - more * x["_size"]).alias("off"),
+                        F.concat(acc["out"], F.array(F.struct(x["_size"].alias("size"), more.alias("more")))).alias("out"))
+
+    moves = (ladder.select(F.col("_sid").alias("sid"), F.explode(F.aggregate("xs", start, step, lambda acc: acc["out"])).alias("m"))
+             .select("sid", "m.*").filter("more <> 0"))
+    return (rounded.join(moves, (F.col("_sid") == F.col("sid")) & (F.col("_size") == F.col("size")), "left")
+            .select("_sid", "_size", "_n", (F.col("_k") + F.coalesce(F.col("more"), F.lit(0))).alias("_k")))
+
+
 def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, total_share: float = 1.5, max_copies: int = 2) -> DataFrame:
     """``(doc_id, source, size, source_size, target, copies)`` for every row of ``docs
     (doc_id, source, text)``."""
@@ -99,6 +124,7 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, total_share: flo
                .withColumn("k", F.col("upto") - F.coalesce(F.lag("upto").over(Window.partitionBy("sid").orderBy("size")), F.lit(0)))
                .select(F.col("sid").alias("_sid"), F.col("size").alias("_size"), F.col("n").alias("_n"),
                        F.least(F.col("k"), F.col("n") * max_copies).alias("_k")))
+    rounded = settle(rounded, targets, max_copies)
     indexed = gapless_index(rows, ["sid", "size"], ["doc_id"], ["doc_id"], "_at", 16)
     mine = F.floor(F.col("_k") / F.col("_n")) + F.when(F.col("_at") < F.col("_k") % F.col("_n"), 1).otherwise(0)
     return (indexed.join(rounded, (F.col("sid") == F.col("_sid")) & (F.col("size") == F.col("_size")), "left")

@@ -30,7 +30,7 @@ from shoreline.llm.common import stored
 #: words of a repeated window
 WINDOW = 8
 #: ratio, its least quartile distance, and whether a low value is out of bounds too
-RULES = {"symbols": (0.10, False), "duplicate_lines": (0.05, False), "word_length": (0.50, True)}
+RULES = {"symbols": (0.10, False), "duplicate_lines": (0.10, False), "word_length": (0.50, True)}
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 
 
