@@ -2,10 +2,74 @@
 
 from __future__ import annotations
 
-from shoreline.plans import beaches as B
-from shoreline.plans import lookup as L
-from shoreline.plans import report_tables as R
-from shoreline.sources.dims import STATE_NAMES
+# Fixed values, written out here so that a wrong one in the library shows.
+STATE_RECODES = [("BR", "WI"), ("MK", "WA")]
+EXCLUDED_STATES = ["AS", "CN", "GP", "GU", "MP", "VI"]
+REASON_RECODES = [("ELEV_BACT", "ELEVATED BACTERIA")]
+INDICATOR_RECODES = [
+    ("ENTERO", "ENTEROCOCCI"),
+    ("PREEMPT", "PREEMPTORY ACTION"),
+    ("FECAL_COL", "FECAL COLIFORM"),
+    ("TOTAL_COL", "TOTAL COLIFORM"),
+    ("RATIO", "FECAL-TO-TOTAL COLIFORM RATIO"),
+]
+SOURCE_RECODES = [
+    ("CSO", "COMBINED SEWER OVERFLOW"),
+    ("SSO", "SANITARY SEWER OVERFLOW"),
+    ("POTW", "PUBLICLY-OWNED TREATMENT WORKS"),
+    ("SEWER_LINE", "SEWER LINE"),
+]
+ACTION_TYPES = {
+    "closure": "Closure",
+    "rain_advisory": "Rain Advisory",
+    "contamination_advisory": "Contamination Advisory",
+}
+LABELS = {
+    "beach_id": "EPA beach ID",
+    "beach_name": "Beach name",
+    "state": "State",
+    "county": "County",
+    "reasons": "Action reasons",
+    "indicators": "Bacteria indicators",
+    "sources": "Possible pollution sources",
+    "no_of_beach_actions": "Total number of beach actions",
+    "no_of_days_under_action": "Total number of days under action",
+    "closure": "Total number of beach closures",
+    "rain_advisory": "Total number of rain advisories",
+    "contamination_advisory": "Total number of contamination advisories",
+    "status": "2018 beach reporting status",
+}
+RECORD_KEYS = {
+    "bn": "beach_name", "bi": "beach_id", "s": "state", "c": "county", "na": "no_of_beach_actions",
+    "nd": "no_of_days_under_action", "cl": "closure", "ra": "rain_advisory",
+    "ca": "contamination_advisory", "r": "reasons", "i": "indicators", "so": "sources", "st": "status",
+}
+UPPER_FIELDS = ["bn", "bi", "s", "c", "r", "i", "so", "st"]
+HIDE_NA_FIELDS = ["na", "nd", "cl", "ra", "ca", "r", "i", "so", "st"]
+SUMMARY_SUMS = {
+    "total_beaches": "no_of_beach_act_beaches",
+    "monitored_beaches": "no_of_monitored_beaches",
+    "beaches_with_actions": "no_of_monitored_beacheswith_actions",
+    "beaches_without_actions": "no_of_monitored_beacheswithout_actions",
+    "total_actions": "total_no_of_beach_actions",
+    "total_days_under_action": "no_of_days_undera_beach_action_monitored_beaches",
+    "total_days_not_under_action": "no_of_days_not_undera_beach_action_monitored_beaches",
+}
+SNAPSHOT_YEAR = 2018
+SUMMARY_YEARS = [2017, 2018]
+NATION_CODES = ["WI", "BR", "MK", "CA", "GU", "NY", "VA", "WV", "FL", "TX", "AS", "MI", "MN",
+                "OH", "IL", "IN", "PR", "HI", "VI", "ME", "MA", "NJ", "NC", "SC", "GA"]
+YEAR_SHIFT = 20
+LOOKUP_STATE = "Virginia"
+LOOKUP_TERM = "elevated|^b1"
+# names of the codes that the tables hold
+STATE_NAMES = [
+    ("WI", "Wisconsin"), ("WA", "Washington"), ("CA", "California"), ("NY", "New York"),
+    ("VA", "Virginia"), ("WV", "West Virginia"), ("FL", "Florida"), ("TX", "Texas"),
+    ("MI", "Michigan"), ("MN", "Minnesota"), ("OH", "Ohio"), ("IL", "Illinois"), ("IN", "Indiana"),
+    ("PR", "Puerto Rico"), ("HI", "Hawaii"), ("ME", "Maine"), ("MA", "Massachusetts"),
+    ("NJ", "New Jersey"), ("NC", "North Carolina"), ("SC", "South Carolina"), ("GA", "Georgia"),
+]
 
 # ---------------------------------------------------------------- oracle SQL
 
@@ -20,20 +84,20 @@ ev AS (
          ELSE o_orderpriority || ', ' || o_orderstatus END AS reasons,
     o_orderstatus || ',' || CASE WHEN o_totalprice > 200000 THEN 'BIG' ELSE 'SMALL' END AS indicators,
     CASE WHEN o_orderkey % 7 = 0 THEN NULL
-         ELSE substr(o_orderpriority, 3, 1000) || ' ,' || o_orderstatus END AS sources
+         ELSE substr(o_orderpriority, 3) || ' ,' || o_orderstatus END AS sources
   FROM orders)"""
 
 
-def _nums(name: str, where: str = "", with_status: bool = True) -> str:
+def _nums(name: str, key: str = "o_custkey", with_status: bool = True) -> str:
     status = "" if not with_status else """,
     CASE WHEN COUNT(status) = COUNT(*) THEN CAST(SUM(CASE WHEN status = 'F' THEN 1 ELSE 0 END) AS BIGINT) END AS n_f,
     CASE WHEN COUNT(status) = COUNT(*) THEN CAST(SUM(CASE WHEN status = 'O' THEN 1 ELSE 0 END) AS BIGINT) END AS n_o,
     CASE WHEN COUNT(status) = COUNT(*) THEN CAST(SUM(CASE WHEN status = 'P' THEN 1 ELSE 0 END) AS BIGINT) END AS n_p"""
     return f"""
 {name} AS (
-  SELECT o_custkey, COUNT(*) AS n_orders,
+  SELECT {key} AS o_custkey, COUNT(*) AS n_orders,
     CASE WHEN COUNT(days) = COUNT(*) THEN CAST(SUM(days) AS BIGINT) END AS total_days{status}
-  FROM ev {where} GROUP BY o_custkey)"""
+  FROM ev GROUP BY {key})"""
 
 
 _NORMALIZE = {
@@ -118,7 +182,7 @@ b AS (SELECT o_orderkey, t1, unnest(coalesce(string_split(l2, ','), [NULL::VARCH
 
 _DOCS = """
 docs AS (SELECT doc_id, nullif(lang, 'fr') AS lang, lang AS raw_lang, source, n_chars FROM documents),
-l AS (SELECT doc_id, lang, source AS reasons, n_chars FROM docs WHERE raw_lang <> 'de'),
+l AS (SELECT CASE WHEN raw_lang = 'de' THEN -doc_id - 1 ELSE doc_id END AS doc_id, lang, source AS reasons, n_chars FROM docs),
 r AS (
   SELECT lb.doc_id, d.lang,
     CASE WHEN lb.toxic = 1 THEN 'Historical'
@@ -145,12 +209,12 @@ rec AS (
   FROM part)"""
 
 
-def _search_sql() -> str:
+def _search_sql(state: str = "regexp_matches(s, 'O')") -> str:
     term = "ring|^1"
     fields = ["bn", "bi", "s", "c", "r", "na", "st"]
     conds = " OR ".join(f"regexp_matches(lower({f}), '{term}')" for f in fields)
     return f"""WITH {_RECORDS}
-SELECT bi, bn, s FROM rec WHERE regexp_matches(s, 'O') AND ({conds})"""
+SELECT bi, bn, s FROM rec WHERE {state} AND ({conds})"""
 
 
 def analog_sql() -> dict[str, str]:
@@ -192,7 +256,7 @@ WITH {_EV},{_nums('nums')}
 SELECT * FROM nums""",
         "left_join_counts": f"""
 WITH {_EV},{_ordered_lists(['o_custkey', 'o_orderpriority'])},
-{_lists_join(['o_custkey', 'o_orderpriority'])},{_nums('nums', "WHERE o_orderstatus <> 'P'")}
+{_lists_join(['o_custkey', 'o_orderpriority'])},{_nums('nums', "CASE WHEN o_orderstatus = 'P' THEN -o_custkey ELSE o_custkey END")}
 SELECT lists.o_custkey, lists.o_orderpriority, lists.reasons, lists.indicators, lists.sources,
        nums.n_orders, nums.total_days, nums.n_f, nums.n_o, nums.n_p
 FROM lists LEFT JOIN nums ON lists.o_custkey IS NOT DISTINCT FROM nums.o_custkey""",
@@ -236,7 +300,7 @@ FROM ev WHERE status <> 'F' GROUP BY 1, 2""",
 WITH {_EV},{_nums('nums')}
 SELECT * FROM nums WHERE n_p > 0""",
         "dim_lookup_publish": f"""
-WITH {_EV},{_nums('nums', "WHERE o_orderstatus = 'O'", with_status=False)}
+WITH {_EV},{_nums('nums', "CASE WHEN o_orderstatus = 'O' THEN o_custkey ELSE -o_custkey END", with_status=False)}
 SELECT coalesce(CAST(c.c_custkey AS VARCHAR), 'NA') AS "Customer ID",
        coalesce(c.c_name, 'NA') AS "Customer name",
        coalesce(n.n_name, 'NA') AS "Nation",
@@ -273,6 +337,7 @@ SELECT year, state, total, monitored,
   with_actions, price_k
 FROM g""",
         "regex_search": _search_sql(),
+        "regex_search_unselected": _search_sql("regexp_matches(lower(s), 'all')"),
         "distinct_sorted": "SELECT DISTINCT p_type AS s FROM part",
     }
 
@@ -294,15 +359,15 @@ def _in_list(values) -> str:
     return "(" + ", ".join(_q(v) for v in values) + ")"
 
 
-_CODES = "[" + ", ".join(_q(c) for c in R.NATION_CODES) + "]"
+_CODES = "[" + ", ".join(_q(c) for c in NATION_CODES) + "]"
 _STATE_DIM = "state_dim(code, name) AS (VALUES " + ", ".join(
     f"({_q(c)}, {_q(n)})" for c, n in STATE_NAMES) + ")"
-_SHIFT = R.YEAR_SHIFT
+_SHIFT = YEAR_SHIFT
 
 
 def _recode_exclude(src: str, col: str) -> str:
-    return (f"SELECT * FROM (SELECT * REPLACE ({_chain(col, B.STATE_RECODES)} AS {col}) FROM {src}) "
-            f"WHERE {col} NOT IN {_in_list(B.EXCLUDED_STATES)}")
+    return (f"SELECT * FROM (SELECT * REPLACE ({_chain(col, STATE_RECODES)} AS {col}) FROM {src}) "
+            f"WHERE {col} NOT IN {_in_list(EXCLUDED_STATES)}")
 
 
 _BASE = f"""
@@ -310,7 +375,7 @@ oc AS (
   SELECT o.*, c.c_name, c.c_nationkey, c.c_mktsegment, c.c_acctbal
   FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey),
 actions AS (
-  SELECT 'B' || CAST(o_custkey AS VARCHAR) AS beach_id,
+  SELECT CASE WHEN c_acctbal < 0 THEN 'N' ELSE 'B' END || CAST(o_custkey AS VARCHAR) AS beach_id,
     CASE WHEN o_orderkey % 13 = 0 THEN c_name || ' Cove' ELSE c_name END AS beach_name,
     CASE WHEN o_orderkey % 53 = 0 THEN NULL ELSE {_CODES}[c_nationkey + 1] END AS state,
     nullif(c_mktsegment, 'HOUSEHOLD') AS county,
@@ -327,13 +392,13 @@ actions AS (
       AS action_duration_days,
     CAST(year(o_orderdate) + {_SHIFT} AS INTEGER) AS year,
     o_orderkey AS _ord
-  FROM oc WHERE c_acctbal >= 0),
+  FROM oc),
 clean AS ({_recode_exclude('actions', 'state')})"""
 
 _NORM = {
-    "action_reasons": lambda e: _chain(e, B.REASON_RECODES),
-    "action_indicator": lambda e: _chain(e, B.INDICATOR_RECODES),
-    "action_possible_source": lambda e: _chain(e, B.SOURCE_RECODES),
+    "action_reasons": lambda e: _chain(e, REASON_RECODES),
+    "action_indicator": lambda e: _chain(e, INDICATOR_RECODES),
+    "action_possible_source": lambda e: _chain(e, SOURCE_RECODES),
 }
 _LISTS = {"reasons": "action_reasons", "indicators": "action_indicator",
           "sources": "action_possible_source"}
@@ -374,7 +439,7 @@ ls_{out} AS (
     on = lambda a, b: " AND ".join(f"{a}.{c} IS NOT DISTINCT FROM {b}.{c}" for c in _KEYS)
     cats = ",\n    ".join(
         f"CASE WHEN COUNT(action_type) = COUNT(*) THEN CAST(SUM(CASE WHEN action_type = {_q(v)} "
-        f"THEN 1 ELSE 0 END) AS BIGINT) END AS {o}" for o, v in B.ACTION_TYPES.items())
+        f"THEN 1 ELSE 0 END) AS BIGINT) END AS {o}" for o, v in ACTION_TYPES.items())
     return ",".join(parts) + f""",
 numbers AS (
   SELECT beach_id, COUNT(*) AS no_of_beach_actions,
@@ -404,7 +469,7 @@ snap AS (
   SELECT beach_id, beach_name, state_code AS state, county, beach_status, _ord FROM (
     SELECT *, row_number() OVER (PARTITION BY beach_id, beach_status ORDER BY _ord) AS rn
     FROM pclean)
-  WHERE rn = 1 AND year = {B.SNAPSHOT_YEAR})"""
+  WHERE rn = 1 AND year = {SNAPSHOT_YEAR})"""
 
 _ALL = f"""
 j AS (
@@ -434,7 +499,7 @@ def _na(col: str, alias: str) -> str:
 def _summary() -> str:
     sums = ",\n    ".join(
         f"CASE WHEN COUNT({src}) = COUNT(*) THEN CAST(SUM({src}) AS BIGINT) END AS {out}"
-        for out, src in B.STATE_SUMMARY_SUMS.items())
+        for out, src in SUMMARY_SUMS.items())
     return f"""
 summary AS (
   SELECT {_CODES}[c_nationkey + 1] AS state, CAST(year(o_orderdate) + {_SHIFT} AS INTEGER) AS year,
@@ -453,7 +518,7 @@ sclean AS ({_recode_exclude('summary', 'state')}),
 g AS (
   SELECT year, state,
     {sums}
-  FROM sclean WHERE year IN ({', '.join(str(y) for y in B.SUMMARY_YEARS)}) GROUP BY year, state)"""
+  FROM sclean WHERE year IN ({', '.join(str(y) for y in SUMMARY_YEARS)}) GROUP BY year, state)"""
 
 
 def report_sql() -> dict[str, str]:
@@ -462,18 +527,20 @@ def report_sql() -> dict[str, str]:
                       "contamination_advisory", "rain_advisory"]
     sums = ", ".join(f"CAST(coalesce(SUM({c}), 0) AS BIGINT) AS {c}" for c in state_sum_cols)
     tot = ", ".join(f"CAST(SUM({c}) AS BIGINT)" for c in state_sum_cols)
-    labels = B.PUBLICATION_LABELS
-    pub_cols = ", ".join(_na(c, a) for c, a in labels.items())
-    keys = {v: k for k, v in L.RECORD_KEYS.items()}
-    inv = {a: c for c, a in labels.items()}
-    rec_cols = ", ".join(f"coalesce(CAST({inv[keys[k]]} AS VARCHAR), 'NA') AS {k}" for k in keys)
+    pub_cols = ", ".join(_na(c, a) for c, a in LABELS.items())
+    keys = RECORD_KEYS
+    rec_cols = ", ".join(f"coalesce(CAST({c} AS VARCHAR), 'NA') AS {k}" for k, c in keys.items())
+    json_na = " || ',' || ".join(f"""'"{a}":' || coalesce(CAST(to_json({c}) AS VARCHAR), '"NA"')""" for c, a in LABELS.items())
+    json_cols = ["beach_id", "beach_name", "state", "county", "reasons", "indicators", "sources", "no_of_beach_actions",
+                 "no_of_days_under_action", "closure", "rain_advisory", "contamination_advisory", "status"]
+    json = ", ".join(f"""CASE WHEN {c} IS NOT NULL THEN '"{c}":' || CAST(to_json({c}) AS VARCHAR) END""" for c in json_cols)
     display = []
     for k in keys:
-        e = f"nullif({k}, 'NA')" if k in L.HIDE_NA_FIELDS else k
-        e = f"upper({e})" if k in L.UPPER_FIELDS else e
+        e = f"nullif({k}, 'NA')" if k in HIDE_NA_FIELDS else k
+        e = f"upper({e})" if k in UPPER_FIELDS else e
         display.append(f"{e} AS {k}")
     display_cols = ", ".join(display)
-    term = R.LOOKUP_TERM
+    term = LOOKUP_TERM
     search = " OR ".join(
         f"regexp_matches(lower({f}), {_q(term)})" for f in
         ["bn", "bi", "s", "c", "r", "i", "so", "na", "nd", "cl", "ra", "ca", "st"])
@@ -486,6 +553,22 @@ t AS (SELECT * FROM r UNION ALL
 SELECT state, {', '.join(state_sum_cols)}, n AS number_of_beaches_with_actions,
        round(actionsperbeach, 6) AS actionsperbeach, round(daysperbeach, 6) AS daysperbeach
 FROM t"""
+    lookup = f"""WITH {_BASE},{per_beach},{_PROFILE},{_ALL},
+rec AS (SELECT {rec_cols} FROM pub)
+SELECT * FROM rec WHERE regexp_matches(s, {_q(LOOKUP_STATE)}) AND ({search})"""
+
+    def summaries(percent: str) -> str:
+        return f"""WITH {_BASE},{_summary()}
+SELECT year, state, total_beaches, monitored_beaches, {percent} AS percent_monitored,
+  beaches_with_actions, beaches_without_actions, total_actions, total_days_under_action,
+  total_days_not_under_action
+FROM (SELECT *,
+  CASE WHEN monitored_beaches IS NULL OR total_beaches IS NULL THEN NULL
+       WHEN total_beaches <> 0 THEN CAST(monitored_beaches AS DOUBLE) / total_beaches
+       WHEN monitored_beaches > 0 THEN 'Infinity'::DOUBLE
+       WHEN monitored_beaches < 0 THEN '-Infinity'::DOUBLE
+       ELSE 'NaN'::DOUBLE END * 100 AS pct FROM g)"""
+
     return {
         "beach_clean_actions": f"WITH {_BASE}\nSELECT * EXCLUDE (_ord) FROM clean",
         "beach_long_actions": f"WITH {_BASE},{_LONG}\nSELECT * EXCLUDE (_ord) FROM long",
@@ -511,6 +594,8 @@ SELECT token, COUNT(*) AS n,
        round(CAST(COUNT(*) AS DOUBLE) / (SELECT COUNT(*) FROM clean) * 100, 6) AS pct
 FROM toks WHERE token IN ('ELEV_BACT', 'RAINFALL') GROUP BY token""",
         "beach_with_closures": f"WITH {_BASE},{per_beach}\nSELECT * FROM pb WHERE closure > 0",
+        "beach_with_contamination": f"WITH {_BASE},{per_beach}\nSELECT * FROM pb WHERE contamination_advisory > 0",
+        "beach_with_rain": f"WITH {_BASE},{per_beach}\nSELECT * FROM pb WHERE rain_advisory > 0",
         "beach_action_types": f"WITH {_BASE}\nSELECT action_type, COUNT(*) AS n FROM clean GROUP BY 1",
         "beach_snapshot": f"WITH {_BASE},{_PROFILE}\nSELECT * EXCLUDE (_ord) FROM snap",
         "beach_snapshot_check_count": f"""WITH {_BASE},{_PROFILE}
@@ -529,19 +614,18 @@ SELECT * FROM allb WHERE status = 'Dormant' AND no_of_beach_actions > 0""",
 SELECT action_type, year, COUNT(*) AS n FROM clean WHERE action_type <> 'Rain Advisory' GROUP BY 1, 2""",
         "beach_publication": f"""WITH {_BASE},{per_beach},{_PROFILE},{_ALL}
 SELECT {pub_cols} FROM pub""",
-        "beach_state_summaries": f"""WITH {_BASE},{_summary()}
-SELECT year, state, total_beaches, monitored_beaches,
-  round(CASE WHEN monitored_beaches IS NULL OR total_beaches IS NULL THEN NULL
-             WHEN total_beaches <> 0 THEN CAST(monitored_beaches AS DOUBLE) / total_beaches
-             WHEN monitored_beaches > 0 THEN 'Infinity'::DOUBLE
-             WHEN monitored_beaches < 0 THEN '-Infinity'::DOUBLE
-             ELSE 'NaN'::DOUBLE END * 100, 6) AS percent_monitored,
-  beaches_with_actions, beaches_without_actions, total_actions, total_days_under_action,
-  total_days_not_under_action
-FROM g""",
-        "beach_lookup": f"""WITH {_BASE},{per_beach},{_PROFILE},{_ALL},
-rec AS (SELECT {rec_cols} FROM pub)
-SELECT * FROM rec WHERE regexp_matches(s, {_q(R.LOOKUP_STATE)}) AND ({search})""",
+        "beach_state_summaries": summaries("round(pct, 6)"),
+        "beach_csv_state_summaries": summaries("round(pct, 6)"),
+        "beach_state_summaries_text": summaries("""
+  CASE WHEN isnan(pct) THEN 'NaN' WHEN isinf(pct) AND pct > 0 THEN 'Inf' WHEN isinf(pct) THEN '-Inf'
+       WHEN pct = floor(pct) THEN CAST(CAST(pct AS BIGINT) AS VARCHAR) ELSE CAST(pct AS VARCHAR) END"""),
+        "beach_csv_snapshot": f"WITH {_BASE},{_PROFILE}\nSELECT * EXCLUDE (_ord) FROM snap",
+        "beach_json": f"""WITH {_BASE},{per_beach},{_PROFILE},{_ALL}
+SELECT '{{' || concat_ws(',', {json}) || '}}' AS value FROM allb""",
+        "beach_json_na": f"""WITH {_BASE},{per_beach},{_PROFILE},{_ALL}
+SELECT '{{' || {json_na} || '}}' AS value FROM pub""",
+        "beach_records_search": lookup,
+        "beach_lookup": lookup,
         "beach_display": f"""WITH {_BASE},{per_beach},{_PROFILE},{_ALL},
 rec AS (SELECT {rec_cols} FROM pub)
 SELECT {display_cols} FROM rec""",

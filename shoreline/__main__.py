@@ -33,8 +33,8 @@ def main(argv: list[str] | None = None) -> int:
     r.add_argument("profile")
     r.add_argument("summary")
     r.add_argument("out_dir")
-    r.add_argument("--no-multiline", action="store_true",
-                   help="split report files (only when no quoted field holds a newline)")
+    r.add_argument("--multiline", action="store_true",
+                   help="quoted fields may hold line breaks; each file is then read by one task")
     lk = sub.add_parser("lookup", help="records of a state matching a search term")
     lk.add_argument("records")
     lk.add_argument("state")
@@ -54,7 +54,7 @@ def main(argv: list[str] | None = None) -> int:
         from shoreline.plans.beaches import run_reports
 
         run_reports(spark, args.actions, args.profile, args.summary, args.out_dir,
-                    multiline=not args.no_multiline)
+                    multiline=args.multiline)
         return 0
     from pyspark.sql import types as T
 

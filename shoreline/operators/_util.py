@@ -28,37 +28,16 @@ def is_integral(dtype: T.DataType) -> bool:
     return isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
 
 
-# Inputs whose relations total less than this are small enough to shuffle whole.
-SMALL_INPUT_BYTES = 256 * 1024 * 1024
-
-
 def input_bytes(df: DataFrame) -> int | None:
     """Bytes of the relations ``df`` reads: the sum of its plan's leaf sizes.
 
-    Planning only, no job.  Leaf sizes are file sizes (or local data), which
-    bound the number of input splits; join estimates above the leaves are
-    not used (without table statistics they are often far off).
+    Planning only, no job.  Leaf sizes are file sizes (or local data); join
+    estimates above the leaves are not used.  A checkpointed frame is a leaf
+    that carries the estimate of the plan it was made from, so its size may
+    be far too large.
     """
     try:
         leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
         return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     except Exception:  # no JVM plan available (e.g. a remote session)
         return None
-
-
-def cluster_small(df: DataFrame, by: list[str], limit: int | None = None) -> DataFrame:
-    """Hash-partition a small input by ``by`` before keyed per-row work.
-
-    A small table often arrives as one unsplittable split (one Parquet row
-    group), so its per-row work would run in one task; and the keyed
-    aggregates and windows that follow would each add a shuffle.  Below
-    ``limit`` bytes read, one hash shuffle by ``by`` spreads the rows and
-    already satisfies every later grouping that contains ``by``.  Large
-    inputs are left alone: they keep map-side partial aggregation before
-    each shuffle, which is what keeps a dominant key from landing whole in
-    one task.
-    """
-    size = input_bytes(df)
-    if size is None or size >= (SMALL_INPUT_BYTES if limit is None else limit):
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *[qcol(c) for c in by])

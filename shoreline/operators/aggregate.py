@@ -4,86 +4,53 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shoreline.functions.arith import count_equal, ieee_divide, na_sum, sum_or_zero
 from shoreline.functions.text import ColumnOrName, col_of, split_tokens
-from shoreline.operators._util import cluster_small, fresh_name, is_integral, is_numeric, qcol
-from shoreline.operators.explode import clean_token
-from shoreline.session import materialize
+from shoreline.operators._util import fresh_name, is_integral, is_numeric, qcol
+from shoreline.operators.explode import by_count, clean_token
+from shoreline.operators.joins import null_safe_join
 
 Normalizer = Callable[[Column], Column]
 
 
 def _first_appearances(df: DataFrame, keys: Sequence[str], fields: list[tuple[str, str]],
-                       order_by: ColumnOrName, sep: str,
-                       measures: Mapping[str, Column] | None = None,
-                       cluster_by: Sequence[str] | None = None) -> DataFrame:
-    """Per (keys, list, raw element): first (order, position) of the element.
+                       order_by: ColumnOrName, sep: str) -> DataFrame:
+    """Per (keys, list, raw element): first (order ``__o``, position ``__p``) of the element.
 
     One row per (row, list) and one per distinct raw element of the list
-    (no lambdas).  ``measures`` are row-level expressions carried on the
-    row's first item only (list 0, position 0: every row has exactly one),
-    aggregated as additive partials ``__rows``, ``__c_<m>`` (non-NULL count)
-    and ``__s_<m>`` (sum) so callers can finish row counts and NA-propagating
-    sums per key without a second pass over the input.  ``measures={}``
-    still yields ``__rows``; ``None`` yields no partials.
+    (no lambdas).
     """
     if not fields:
         raise ValueError("at least one list column is required")
-    with_partials = measures is not None
-    measures = measures or {}
     kcols = [qcol(k) for k in keys]
     ordv = fresh_name(df, "__ord")
     per_list = F.array(*[F.struct(F.lit(fi).alias("__f"), qcol(src).cast("string").alias("__l"))
                          for fi, (_, src) in enumerate(fields)])
-    mcols = [e.alias(f"__m_{m}") for m, e in measures.items()]
-    narrow = cluster_small(df.select(*kcols, col_of(order_by).alias(ordv), *mcols,
-                                     per_list.alias("__lists")), list(cluster_by or keys))
-    rows = narrow.select(*kcols, ordv, *[f"__m_{m}" for m in measures], F.inline("__lists"))
+    rows = df.select(*kcols, col_of(order_by).alias(ordv), F.inline(per_list))
     # array_distinct keeps first occurrences in order, so a raw value has one
     # position per row and (order, position) has no ties within a group.
-    items = rows.select(*kcols, ordv, "__f", *[f"__m_{m}" for m in measures], F.posexplode(
+    items = rows.select(*kcols, ordv, "__f", F.posexplode(
         F.array_distinct(split_tokens(F.col("__l"), sep))).alias("__pos", "__raw"))
-    first_item = (F.col("__f") == 0) & (F.col("__pos") == 0)
-    partials = []
-    if with_partials:
-        partials.append(F.count(F.when(first_item, F.lit(1))).alias("__rows"))
-        for m in measures:
-            carried = F.when(first_item, F.col(f"__m_{m}"))
-            partials += [F.count(carried).alias(f"__c_{m}"), F.sum(carried).alias(f"__s_{m}")]
     grouped = items.groupBy(*kcols, F.col("__f"), F.col("__raw"))
     if is_integral(items.schema[ordv].dataType):
-        return grouped.agg(F.min(ordv).alias("__o"), F.min_by("__pos", ordv).alias("__p"), *partials)
-    firsts = grouped.agg(F.min(F.struct(F.col(ordv).alias("o"), F.col("__pos").alias("p")))
-                         .alias("__first"), *partials)
+        return grouped.agg(F.min(ordv).alias("__o"), F.min_by("__pos", ordv).alias("__p"))
+    firsts = grouped.agg(F.min(F.struct(F.col(ordv).alias("o"), F.col("__pos").alias("p"))).alias("__first"))
     return firsts.select(*kcols, "__f", "__raw", F.col("__first.o").alias("__o"),
-                         F.col("__first.p").alias("__p"),
-                         *[c for c in firsts.columns if c.startswith(("__rows", "__c_", "__s_"))])
+                         F.col("__first.p").alias("__p"))
 
 
-def _joined_lists(firsts: DataFrame, fields: list[tuple[str, str]], trim: bool,
-                  normalize: Mapping[str, Normalizer], joiner: str, na: str) -> list[Column]:
-    """Aggregates turning first appearances into one joined string per list.
-
-    Trimming and normalisation run here, once per distinct raw element; raw
-    variants that normalise alike keep the earliest appearance.
-    """
+def _cleaned(fields: list[tuple[str, str]], trim: bool, normalize: Mapping[str, Normalizer]) -> Column:
+    """The trimmed and normalised value of a raw element of its list ``__f``."""
     value = None
     for fi, (out, _) in enumerate(fields):
         expr = clean_token(F.col("__raw"), trim, normalize.get(out))
         value = (F.when(F.col("__f") == fi, expr) if value is None
                  else value.when(F.col("__f") == fi, expr))
-    v = value.otherwise(F.lit(None).cast("string"))
-    aggs = []
-    for fi, (out, _) in enumerate(fields):
-        lst = F.collect_list(F.when(F.col("__f") == fi,
-                                    F.struct(F.col("__o"), F.col("__p"), v.alias("__v"))))
-        vals = F.array_distinct(F.transform(F.array_sort(lst), lambda e: e["__v"]))
-        aggs.append(F.array_join(vals, joiner, na).alias(out))
-    return aggs
+    return value.otherwise(F.lit(None).cast("string"))
 
 
 def ordered_distinct_concat(df: DataFrame, keys: Sequence[str], lists: Mapping[str, str],
@@ -101,16 +68,52 @@ def ordered_distinct_concat(df: DataFrame, keys: Sequence[str], lists: Mapping[s
 
     Plan: first appearance per (keys, list, raw element) by a hash aggregate
     with map-side partial aggregation; trimming and normalisation then run
-    once per distinct raw element, not per row; one row per key collects its
-    (few) values, sorts them by first appearance and keeps the first
-    occurrence of each normalised value.  Two shuffles, both of
-    de-duplicated data; a group's state is bounded by its number of distinct
-    values, not its rows, and no cross product of the lists is formed.
+    once per distinct raw element, not per row, and a second aggregate keeps
+    the first appearance of each normalised value; one row per key collects
+    and sorts these.  Every shuffle carries de-duplicated data; a group's
+    state is bounded by its number of distinct normalised values, not its
+    rows or spellings, and no cross product of the lists is formed.
     """
     fields = list(lists.items())
+    kcols = [qcol(k) for k in keys]
     firsts = _first_appearances(df, keys, fields, order_by, sep)
-    return firsts.groupBy(*[qcol(k) for k in keys]).agg(
-        *_joined_lists(firsts, fields, trim, normalize or {}, joiner, na))
+    # (order, position) as one number, where the order is one, keeps the aggregate hashed
+    at = ((F.col("__o").cast("decimal(20,0)") * 2**31 + F.col("__p")).cast("decimal(38,0)")
+          if is_integral(firsts.schema["__o"].dataType) else F.struct("__o", "__p"))
+    values = (firsts.select(*kcols, "__f", at.alias("__at"), _cleaned(fields, trim, normalize or {}).alias("__v"))
+              .groupBy(*kcols, F.col("__f"), F.col("__v")).agg(F.min("__at").alias("__at")))
+    aggs = []
+    for fi, (out, _) in enumerate(fields):
+        lst = F.array_sort(F.collect_list(F.when(F.col("__f") == fi, F.struct("__at", "__v"))))
+        aggs.append(F.array_join(F.transform(lst, lambda e: e["__v"]), joiner, na).alias(out))
+    return values.groupBy(*kcols).agg(*aggs)
+
+
+def site_counts(df: DataFrame, site_keys: Sequence[str], id_col: str, count_col: str,
+                sums: Mapping[str, str] | None = None, category_col: str | None = None,
+                categories: Mapping[str, object] | None = None) -> DataFrame:
+    """One row per site (``site_keys``) with the counts of its *id*.
+
+    Counts per id as ``summarize_counts``; an id spelled several ways counts
+    fully on each of its rows (NULL ids match).  Rows are aggregated once,
+    by site; the totals per id are sums of those and joined back, so no row
+    is multiplied and the join sees one row per site.
+    """
+    sums, categories = dict(sums or {}), dict(categories or {})
+    measures = {out: qcol(c) for out, c in sums.items()}
+    measures.update({out: (qcol(category_col) == F.lit(v)).cast("long") for out, v in categories.items()})
+    parts = [F.count(F.lit(1)).alias("__rows")]
+    for i, m in enumerate(measures.values()):
+        parts += [F.count(m).alias(f"__c{i}"), F.sum(m).alias(f"__s{i}")]
+    per_site = df.groupBy(*[qcol(k) for k in site_keys]).agg(*parts)
+    names = ["__rows", *[f"__{p}{i}" for i in range(len(measures)) for p in ("c", "s")]]
+    per_id = per_site.groupBy(qcol(id_col)).agg(*[F.sum(n).alias(n) for n in names])
+    outs = [F.col("__rows").alias(count_col)]
+    outs += [F.when(F.col(f"__c{i}") == F.col("__rows"), F.col(f"__s{i}")).alias(out)
+             for i, out in enumerate(measures)]
+    return null_safe_join(per_site.select(*[qcol(k) for k in site_keys]),
+                          per_id.select(qcol(id_col), *outs), [id_col], "left").select(
+        *[qcol(k) for k in site_keys], qcol(count_col), *[qcol(o) for o in measures])
 
 
 def site_lists_with_counts(df: DataFrame, site_keys: Sequence[str], id_col: str,
@@ -121,36 +124,14 @@ def site_lists_with_counts(df: DataFrame, site_keys: Sequence[str], id_col: str,
                            sep: str = ",", joiner: str = ", ", trim: bool = True,
                            normalize: Mapping[str, Normalizer] | None = None,
                            na: str = "NA") -> DataFrame:
-    """Ordered distinct lists per site plus counts per site *id*, one pass.
-
-    Equals ``ordered_distinct_concat`` by ``site_keys`` left-joined (NULL
-    matching NULL) with ``summarize_counts`` by ``id_col``: each site row
-    carries the full counts of its id, so an id spelled several ways counts
-    fully on each row.  The counts travel as additive partials through the
-    list aggregation and are summed per id by a window over the site rows,
-    so the input is read once and no join is needed.  The window holds one
-    id's site rows at a time (all sites with a NULL id form one group, as
-    NULL matches NULL); the window buffer spills to disk beyond its
-    threshold.
+    """Ordered distinct lists per site plus counts per site *id*.
+
+    ``ordered_distinct_concat`` by ``site_keys`` joined (NULL matching NULL)
+    with ``site_counts``: both have one row per site.
     """
-    sums, categories = dict(sums or {}), dict(categories or {})
-    measures = {f"s{i}": qcol(c) for i, c in enumerate(sums.values())}
-    measures.update({f"k{i}": (qcol(category_col) == F.lit(v)).cast("long")
-                     for i, v in enumerate(categories.values())})
-    fields = list(lists.items())
-    kcols = [qcol(k) for k in site_keys]
-    firsts = _first_appearances(df, site_keys, fields, order_by, sep, measures, [id_col])
-    partial_names = ["__rows"] + [f"__{p}_{m}" for m in measures for p in ("c", "s")]
-    sites = firsts.groupBy(*kcols).agg(
-        *_joined_lists(firsts, fields, trim, normalize or {}, joiner, na),
-        *[F.sum(n).alias(n) for n in partial_names])
-    per_id = Window.partitionBy(qcol(id_col))
-    totals = {n: F.sum(n).over(per_id) for n in partial_names}
-    outs = [totals["__rows"].alias(count_col)]
-    names = list(sums) + list(categories)
-    for out, m in zip(names, measures):
-        outs.append(F.when(totals[f"__c_{m}"] == totals["__rows"], totals[f"__s_{m}"]).alias(out))
-    return sites.select(*kcols, *[qcol(o) for o, _ in fields], *outs)
+    collapsed = ordered_distinct_concat(df, site_keys, lists, order_by, sep, joiner, trim, normalize, na)
+    numbers = site_counts(df, site_keys, id_col, count_col, sums, category_col, categories)
+    return null_safe_join(collapsed, numbers, site_keys, "left")
 
 
 def summarize_counts(df: DataFrame, key: Sequence[str], count_col: str = "n",
@@ -219,13 +200,13 @@ def share_of_total(df: DataFrame, by: Sequence[str], count_col: str = "n",
                    pct_col: str = "pct") -> DataFrame:
     """Row count per group and its percent of all rows.
 
-    The grouped counts are checkpointed to the shared checkpoint folder and
-    the denominator is summed from them: the input is scanned once, and no
-    window gathers the groups into a single task however many there are.
+    The denominator is a one-row scalar subquery over the grouped counts,
+    whose shuffle it reuses: lazy, one scan, and no window gathers the groups
+    into a single task.  Sorted by count descending, then the keys, NULL last.
     """
-    counts = materialize(df.groupBy(*[qcol(b) for b in by]).agg(F.count(F.lit(1)).alias(count_col)))
-    total = counts.agg(F.sum(count_col)).first()[0] or 0
-    return counts.withColumn(pct_col, F.col(count_col) / F.lit(float(total)) * 100)
+    counts = df.groupBy(*[qcol(b) for b in by]).agg(F.count(F.lit(1)).alias(count_col))
+    total = counts.agg(F.sum(count_col).cast("double")).scalar()
+    return by_count(counts.withColumn(pct_col, qcol(count_col) / total * 100), by, count_col)
 
 
 def count_by(df: DataFrame, by: Sequence[str], count_col: str = "n") -> DataFrame:

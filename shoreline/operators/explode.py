@@ -17,8 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoreline.functions.text import split_tokens, trim_unicode
-from shoreline.operators._util import cluster_small, fresh_name, qcol
-from shoreline.session import materialize
+from shoreline.operators._util import fresh_name, qcol
 
 Normalizer = Callable[[Column], Column]
 
@@ -31,6 +30,11 @@ def clean_token(c: Column, trim: bool = True, normalize: Normalizer | None = Non
     return c
 
 
+def by_count(df: DataFrame, keys: Sequence[str], count_col: str) -> DataFrame:
+    """Sort a frequency table: count descending, then the keys, NULL last."""
+    return df.orderBy(qcol(count_col).desc_nulls_last(), *[qcol(k).asc_nulls_last() for k in keys])
+
+
 def split_rows(df: DataFrame, column: str, sep: str = ",", trim: bool = False,
                normalize: Normalizer | None = None, position_col: str | None = None) -> DataFrame:
     """One row per element of the delimited list in ``column``.
@@ -56,11 +60,6 @@ def long_form(df: DataFrame, columns: Sequence[str], sep: str = ",", trim: bool
     ``token_frequency`` instead.
     """
     normalize = normalize or {}
-    # A small input is spread by a hash of the whole row (deterministic on
-    # retry) so the row-multiplying work does not run in a single task.
-    hashable = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
-    if hashable:
-        df = cluster_small(df, hashable)
     # Each list is cleaned right after its own split, before later splits
     # multiply its values, so an element is cleaned once per source row.
     for c in columns:
@@ -104,24 +103,21 @@ def token_share(df: DataFrame, column: str, sep: str = ",", trim: bool = True,
     A row holding a token twice counts once.  ``tokens`` restricts the
     output to those tokens (others are dropped before the shuffle).
 
-    One pass over the input: every row also emits a marker element, so the
-    same aggregate yields the row total.  The aggregated counts (one row per
-    token) are checkpointed to the shared checkpoint folder and the total
-    is read from there, so the input is not scanned a second time and no
-    window gathers the tokens into one task.
+    Rows are counted by their raw list text first (map-side partial
+    aggregation); each distinct text is then split, cleaned and
+    de-duplicated once, weighted by its count.  The total is a one-row
+    scalar subquery over the same counts, whose shuffle it reuses, so the
+    result is lazy.  Sorted by count descending, then token, NULL last.
     """
-    tok, is_total = fresh_name(df, "__tok"), fresh_name(df, "__total")
-    clean = F.transform(split_tokens(qcol(column), sep), lambda x: clean_token(x, trim, normalize))
-    marked = F.concat(
-        F.transform(F.array_distinct(clean), lambda x: F.struct(F.lit(False).alias("t"), x.alias("v"))),
-        F.array(F.struct(F.lit(True).alias("t"), F.lit(None).cast("string").alias("v"))))
-    ex = df.select(F.explode(marked).alias("__e")).select(
-        F.col("__e.t").alias(is_total), F.col("__e.v").alias(tok))
+    lst, w, tok = fresh_name(df, "__list"), fresh_name(df, "__w"), fresh_name(df, "__tok")
+    texts = df.groupBy(qcol(column).alias(lst)).agg(F.count(F.lit(1)).alias(w))
+    # cleaned in a projection of its own, so array_distinct sees each list once
+    clean = F.transform(split_tokens(F.col(lst), sep), lambda x: clean_token(x, trim, normalize))
+    ex = texts.select(F.explode(F.array_distinct(clean)).alias(tok), F.col(w))
     if tokens is not None:
-        ex = ex.filter(F.col(is_total) | F.col(tok).isin(list(tokens)))
-    counts = materialize(ex.groupBy(is_total, tok).agg(F.count(F.lit(1)).alias(count_col)))
-    total = counts.filter(F.col(is_total)).select(count_col).first()
-    total = total[0] if total else 0
-    return (counts.filter(~F.col(is_total))
-            .select(F.col(tok).alias(token_col), F.col(count_col),
-                    (F.col(count_col) / F.lit(float(total)) * 100).alias(pct_col)))
+        ex = ex.filter(F.col(tok).isin(list(tokens)))
+    total = texts.agg(F.sum(w).cast("double")).scalar()
+    out = ex.groupBy(F.col(tok).alias(token_col)).agg(F.sum(w).alias(count_col))
+    return by_count(out.select(qcol(token_col), qcol(count_col),
+                               (qcol(count_col) / total * 100).alias(pct_col)),
+                    [token_col], count_col)

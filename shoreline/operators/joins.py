@@ -61,21 +61,17 @@ def dim_lookup(df: DataFrame, dim: DataFrame, key: str, dim_key: str, dim_value:
 
     Left join: a code missing from the dimension gives NULL.  ``dim`` must
     be unique on ``dim_key``.  ``bounded=True`` marks a dimension whose size
-    is fixed by construction (e.g. a literal code table) and broadcasts it,
-    after checking at planning time that what it reads is known and under
+    is fixed by construction (e.g. a literal code table) and broadcasts it
+    if what it reads is known at planning time to be under
     ``MAX_BROADCAST_BYTES`` (a Python-built frame has no known size: use an
-    inline ``VALUES`` table or a file); otherwise the planner chooses from the
-    dimension's size statistics, and AQE switches to a broadcast at run time
-    only below its size threshold.
+    inline ``VALUES`` table or a file); otherwise, and beyond that size, the
+    planner chooses the join from the dimension's size statistics.
     """
     out_col = out_col or key
     d = dim.select(qcol(dim_key).alias("__dk"), qcol(dim_value).alias("__dv"))
     if bounded:
         size = input_bytes(dim)
-        if size is not None and size > MAX_BROADCAST_BYTES:
-            raise ValueError(f"dimension size {size} bytes is unknown or too large to broadcast; "
-                             "pass bounded=False to let the planner decide")
-        if size is not None:  # no plan access (remote session): no hint, the planner decides
+        if size is not None and size <= MAX_BROADCAST_BYTES:
             d = F.broadcast(d)
     j = df.join(d, qcol(key) == F.col("__dk"), "left")
     cols = [F.col("__dv").alias(c) if c == out_col else qcol(c) for c in df.columns]

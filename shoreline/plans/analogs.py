@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shoreline.functions.arith import na_sum
 from shoreline.functions.text import recode_chain, replace_first
 from shoreline.operators.aggregate import (
     count_by,
@@ -82,7 +83,7 @@ def order_events(spark: SparkSession, d: str) -> DataFrame:
         F.concat(st, F.lit(","), F.when(F.col("o_totalprice") > 200000, F.lit("BIG"))
                  .otherwise(F.lit("SMALL"))).alias("indicators"),
         F.when(k % 7 == 0, null)
-         .otherwise(F.concat(F.substring(prio, 3, 1000), F.lit(" ,"), st)).alias("sources"),
+         .otherwise(F.concat(F.substring(prio, F.lit(3), F.length(prio)), F.lit(" ,"), st)).alias("sources"),
     )
 
 
@@ -165,7 +166,9 @@ def conditional_counts(spark: SparkSession, d: str) -> DataFrame:
 # J1 (+A5, A6): lists per (customer, priority) with per-customer counts
 def left_join_counts(spark: SparkSession, d: str) -> DataFrame:
     ev = order_events(spark, d)
-    numbers = customer_numbers(ev.filter(F.col("o_orderstatus") != "P"))
+    # orders of status P count for another id, so some customers go unmatched
+    other = F.when(F.col("o_orderstatus") == "P", -F.col("o_custkey")).otherwise(F.col("o_custkey"))
+    numbers = customer_numbers(ev.withColumn("o_custkey", other))
     return sites.per_site_table(ev, ["o_custkey", "o_orderpriority"], "o_custkey", ORDER_LISTS,
                                 "o_orderkey", "n_orders", {}, None, {},
                                 normalize=ORDER_NORMALIZERS, numbers=numbers)
@@ -222,8 +225,9 @@ def dedupe_count(spark: SparkSession, d: str) -> DataFrame:
 def _doc_sites(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     docs = read_table(spark, d, "documents")
     lang = F.nullif(F.col("lang"), F.lit("fr")).alias("lang")
-    left = docs.filter(F.col("lang") != "de").select("doc_id", lang, F.col("source").alias("reasons"),
-                                                   "n_chars")
+    # German documents get another id on this side only, so they go unmatched
+    other = F.when(F.col("lang") == "de", -F.col("doc_id") - 1).otherwise(F.col("doc_id"))
+    left = docs.select(other.alias("doc_id"), lang, F.col("source").alias("reasons"), "n_chars")
     labels = read_table(spark, d, "labels")
     langs = docs.select("doc_id", lang)
     status = (F.when(F.col("toxic") == 1, F.lit("Historical"))
@@ -260,7 +264,9 @@ def positive_filter(spark: SparkSession, d: str) -> DataFrame:
 # J4, P4, K9
 def dim_lookup_publish(spark: SparkSession, d: str) -> DataFrame:
     cust = read_table(spark, d, "customer")
-    ev = order_events(spark, d).filter(F.col("o_orderstatus") == "O")
+    # only orders of status O count for the customer, the others for another id
+    other = F.when(F.col("o_orderstatus") == "O", F.col("o_custkey")).otherwise(-F.col("o_custkey"))
+    ev = order_events(spark, d).withColumn("o_custkey", other)
     numbers = summarize_counts(ev, ["o_custkey"], "n_orders", {"total_days": "days"})
     nation = read_table(spark, d, "nation")
     base = cust.select("c_custkey", "c_name", "c_nationkey",
@@ -283,6 +289,9 @@ def year_state_summary(spark: SparkSession, d: str) -> DataFrame:
          .when((F.col("o_orderstatus") == "O") & jan, 1).otherwise(0).alias("v_monitored"),
         (F.col("o_orderstatus") == "F").cast("int").alias("v_with"),
         F.floor(F.col("o_totalprice") / 1000).cast("long").alias("v_price_k"))
+    # additive sums per customer and year come before the join: a NULL stays a NULL
+    rows = rows.filter(F.col("year").isin(SUMMARY_YEARS)).groupBy("year", "o_custkey").agg(
+        *[na_sum(F.col(c)).alias(c) for c in ("v_total", "v_monitored", "v_with", "v_price_k")])
     rows = dim_lookup(rows, _nation_of_customer(spark, d), "o_custkey", "c_custkey", "state",
                       out_col="state")
     out = sites.yearly_summaries(
@@ -310,6 +319,13 @@ def regex_search(spark: SparkSession, d: str) -> DataFrame:
     return found.select("bi", "bn", "s")
 
 
+# nothing selected
+def regex_search_unselected(spark: SparkSession, d: str) -> DataFrame:
+    found = lookup(part_records(spark, d), "s", "", SEARCH_TERM,
+                   ["bn", "bi", "s", "c", "r", "na", "st"], raw_term_fields=["r"])
+    return found.select("bi", "bn", "s")
+
+
 # D4
 def distinct_sorted_q(spark: SparkSession, d: str) -> DataFrame:
     return distinct_sorted(part_records(spark, d), "s")
@@ -337,5 +353,6 @@ QUERIES = {
     "dim_lookup_publish": dim_lookup_publish,
     "year_state_summary": year_state_summary,
     "regex_search": regex_search,
+    "regex_search_unselected": regex_search_unselected,
     "distinct_sorted": distinct_sorted_q,
 }

@@ -13,13 +13,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoreline.functions.text import recode_chain
-from shoreline.operators.aggregate import count_by, share_of_total, summarize_counts
-from shoreline.operators.explode import long_form, token_frequency, token_share
+from shoreline.operators.aggregate import count_by, share_of_total, site_counts, summarize_counts
+from shoreline.operators.explode import by_count, long_form, token_frequency, token_share
 from shoreline.operators.filters import keep_positive, recode_and_exclude
 from shoreline.operators.joins import dim_lookup
 from shoreline.operators.project import rename_columns
 from shoreline.plans import sites
-from shoreline.session import materialize
+from shoreline.session import materialize, remove_folder, scratch_folder
 from shoreline.sinks import r_style_numbers, write_csv, write_json_lines, write_json_na
 from shoreline.sources.dims import state_dimension
 from shoreline.sources.readers import ORDINAL, read_report
@@ -120,10 +120,10 @@ def long_actions(clean: DataFrame) -> DataFrame:
 
 # Q3
 def frequencies(clean: DataFrame) -> dict[str, DataFrame]:
-    """Counts of reasons, indicators and sources over the long form."""
+    """Counts of reasons, indicators and sources over the long form, most frequent first."""
     cols = list(LIST_COLUMNS.values())
-    return {c: token_frequency(clean, c, cross_with=[o for o in cols if o != c],
-                               normalize=COLUMN_NORMALIZERS[c]) for c in cols}
+    return {c: by_count(token_frequency(clean, c, cross_with=[o for o in cols if o != c],
+                                        normalize=COLUMN_NORMALIZERS[c]), [c], "n") for c in cols}
 
 
 # Q5
@@ -143,6 +143,12 @@ def per_beach(clean: DataFrame) -> DataFrame:
                                 "action_type", ACTION_TYPES, normalize=NORMALIZERS)
 
 
+def beach_counts(clean: DataFrame) -> DataFrame:
+    """``per_beach`` without its lists: for products that only count."""
+    return site_counts(clean, SITE_KEYS, "beach_id", "no_of_beach_actions",
+                       {"no_of_days_under_action": "action_duration_days"}, "action_type", ACTION_TYPES)
+
+
 # Q7
 def state_sums(beaches: DataFrame) -> DataFrame:
     """Per state sums, beaches, per-beach ratios, and the Total row."""
@@ -193,8 +199,10 @@ def snapshot_check_count(snap: DataFrame) -> DataFrame:
 
 # Q13
 def all_beaches(beaches: DataFrame, snap: DataFrame) -> DataFrame:
+    # the count is never NULL on a beach with actions, so it tells matches apart
+    # and products that don't show the lists need not build them
     return sites.sites_with_status(beaches, snap.drop(ORDINAL), SITE_KEYS, "beach_status",
-                                   "reasons")
+                                   "no_of_beach_actions")
 
 
 # Q14
@@ -246,25 +254,23 @@ class Reports:
 
 
 def build_reports(actions: DataFrame, profile: DataFrame, summary: DataFrame,
-                  checkpoint: bool = False) -> Reports:
+                  folder: str | None = None) -> Reports:
     """All products as lazy DataFrames.
 
-    ``checkpoint`` writes the reused intermediates to the shared checkpoint
-    folder: the cleaned actions (read by five products), the per-beach table
-    and the joined all-beaches table (one row per site each, read by several
-    outputs).  Each is then computed once, and a lost executor does not send
-    the later jobs back to the reports.
+    With ``folder`` (shared by all executors) the reused intermediates are
+    written there as Parquet: the cleaned actions (read by five products),
+    the per-beach table and the joined all-beaches table (one row per site
+    each, read by several outputs).  Each is then computed once, later reads
+    take only the columns they need, and a lost executor does not send the
+    later jobs back to the reports.
     """
-    clean = clean_actions(actions)
-    if checkpoint:
-        clean = materialize(clean)
-    beaches = per_beach(clean)
-    if checkpoint:
-        beaches = materialize(beaches)
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        return materialize(df, f"{folder}/{name}") if folder else df
+
+    clean = kept(clean_actions(actions), "clean")
+    beaches = kept(per_beach(clean), "beaches")
     snap = profile_snapshot(profile)
-    allb = all_beaches(beaches, snap)
-    if checkpoint:
-        allb = materialize(allb)
+    allb = kept(all_beaches(beaches, snap), "all_beaches")
     return Reports(clean=clean, beaches=beaches, state_sums=state_sums(beaches), snapshot=snap,
                    all_beaches=allb, publication=publication(allb),
                    type_by_year=type_by_year(clean),
@@ -314,12 +320,24 @@ def register_views(r: Reports, prefix: str = "") -> list[str]:
 
 
 def run_reports(spark: SparkSession, actions_path: str, profile_path: str, summary_path: str,
-                out_dir: str, multiline: bool = True) -> Reports:
-    """Read the three reports and write the published files under ``out_dir``."""
-    r = build_reports(read_report(spark, actions_path, ACTIONS_TYPES, multiline),
-                      read_report(spark, profile_path, PROFILE_TYPES, multiline),
-                      read_report(spark, summary_path, STATE_SUMMARY_TYPES, multiline),
-                      checkpoint=True)
+                out_dir: str, multiline: bool = False) -> Reports:
+    """Read the three reports and write the published files under ``out_dir``.
+
+    Intermediates live in a folder under ``spark.checkpoint.dir`` that is
+    removed at the end; the returned products are lazy over the reports.
+    """
+    reports = (read_report(spark, actions_path, ACTIONS_TYPES, multiline),
+               read_report(spark, profile_path, PROFILE_TYPES, multiline),
+               read_report(spark, summary_path, STATE_SUMMARY_TYPES, multiline))
+    folder = scratch_folder(spark, "reports/run")
+    try:
+        _publish(build_reports(*reports, folder=folder), out_dir)
+    finally:
+        remove_folder(spark, folder)
+    return build_reports(*reports)
+
+
+def _publish(r: Reports, out_dir: str) -> None:
     out = out_dir.rstrip("/")
     # The largest output is written without a global sort: each part file
     # holds its input split's rows in input order, and no shuffle is added.
@@ -343,4 +361,3 @@ def run_reports(spark: SparkSession, actions_path: str, profile_path: str, summa
     pub_order = [F.col(f"`{PUBLICATION_LABELS['no_of_beach_actions']}`").isNull().asc(),
                  *[F.col(f"`{PUBLICATION_LABELS[k]}`").asc_nulls_last() for k in keys]]
     write_json_na(r.publication.orderBy(*pub_order), f"{out}/allbeachesforpub_json")
-    return r

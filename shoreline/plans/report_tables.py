@@ -11,18 +11,16 @@ unchanged functions of ``plans.beaches``.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoreline.operators.project import render_na
 from shoreline.plans import beaches as B
 from shoreline.plans import lookup as L
-from shoreline.session import shared_folder
-from shoreline.sinks import write_csv
-from shoreline.sources.readers import ORDINAL, read_report, read_table
-from shoreline.sources.schemas import ACTIONS_TYPES
+from shoreline.session import scratch_folder
+from shoreline.sinks import json_na_lines, r_style_numbers, write_csv, write_json_lines
+from shoreline.sources.readers import ORDINAL, read_records, read_report, read_table
+from shoreline.sources.schemas import ACTIONS_TYPES, PROFILE_TYPES, RECORD_SCHEMA, STATE_SUMMARY_TYPES
 
 # State code given to each nation key 0..24 (includes codes the
 # pipeline recodes or excludes).
@@ -46,13 +44,15 @@ def _orders_with_customer(spark: SparkSession, d: str) -> DataFrame:
 
 
 def actions_table(spark: SparkSession, d: str) -> DataFrame:
-    """Actions report: one row per order of a customer with a non-negative balance."""
-    x = _orders_with_customer(spark, d).filter(F.col("c_acctbal") >= 0)
+    """Actions report: one row per order.  Customers with a negative balance have other
+    beach ids here than in the profile report, so sites go unmatched on both sides."""
+    x = _orders_with_customer(spark, d)
     k, prio, st, price = (F.col("o_orderkey"), F.col("o_orderpriority"), F.col("o_orderstatus"),
                           F.col("o_totalprice"))
     null = F.lit(None).cast("string")
+    letter = F.when(F.col("c_acctbal") < 0, F.lit("N")).otherwise(F.lit("B"))
     return x.select(
-        F.concat(F.lit("B"), F.col("o_custkey").cast("string")).alias("beach_id"),
+        F.concat(letter, F.col("o_custkey").cast("string")).alias("beach_id"),
         F.when(k % 13 == 0, F.concat(F.col("c_name"), F.lit(" Cove")))
          .otherwise(F.col("c_name")).alias("beach_name"),
         F.when(k % 53 == 0, null).otherwise(_code(F.col("c_nationkey"))).alias("state"),
@@ -124,6 +124,11 @@ def _all(spark, d):
     return B.all_beaches(B.per_beach(clean), B.profile_snapshot(profile_table(spark, d)))
 
 
+def _all_counts(spark, d):
+    """``_all`` without the lists."""
+    return B.all_beaches(B.beach_counts(_clean(spark, d)), B.profile_snapshot(profile_table(spark, d)))
+
+
 # Q1
 def beach_clean_actions(spark: SparkSession, d: str) -> DataFrame:
     return _clean(spark, d).drop(ORDINAL)
@@ -169,16 +174,41 @@ def beach_csv_per_beach(spark: SparkSession, d: str) -> DataFrame:
     quoting and the file-position ordinal all take part."""
     # a folder of its own per call: the returned DataFrame reads it lazily, so
     # no later call (or other application) may overwrite it
-    path = shared_folder(spark, f"reports/actions-{uuid.uuid4().hex}")
+    path = scratch_folder(spark, "reports/actions")
     ordered = actions_table(spark, d).orderBy(ORDINAL).drop(ORDINAL)
     write_csv(ordered.withColumnsRenamed(ACTIONS_HEADERS), path)
     back = read_report(spark, path, ACTIONS_TYPES, multiline=False)
     return B.per_beach(B.clean_actions(back))
 
 
+def _two_files(table: DataFrame, path: str, headers: dict[str, str]) -> None:
+    """A report in two folders, the later rows with their columns the other way round."""
+    middle = (table.agg(F.max(ORDINAL)).first()[0] or 0) // 2
+    named = [F.col(c).alias(headers.get(c, c)) for c in table.columns if c != ORDINAL]
+    early, late = table.filter(F.col(ORDINAL) <= middle), table.filter(F.col(ORDINAL) > middle)
+    write_csv(early.orderBy(ORDINAL).select(*named), f"{path}/a")
+    write_csv(late.orderBy(ORDINAL).select(*reversed(named)), f"{path}/b")
+
+
+# The snapshot from a CSV report, where file order decides
+def beach_csv_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch_folder(spark, "reports/profile")
+    _two_files(profile_table(spark, d), path, {"beach_id": "Beach ID", "state_code": "State Code", "year": "Year"})
+    back = read_report(spark, [f"{path}/a", f"{path}/b"], PROFILE_TYPES)
+    return B.profile_snapshot(back).drop(ORDINAL)
+
+
+# The state summaries from a CSV report
+def beach_csv_state_summaries(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch_folder(spark, "reports/summary")
+    _two_files(summary_table(spark, d), path, {"state": "State", "total_no_of_beach_actions": "Total No. of Beach Actions"})
+    back = read_report(spark, [f"{path}/a", f"{path}/b"], STATE_SUMMARY_TYPES)
+    return B.state_summaries(back).withColumn("percent_monitored", F.round("percent_monitored", 6))
+
+
 # Q7
 def beach_state_sums(spark: SparkSession, d: str) -> DataFrame:
-    out = B.state_sums(B.per_beach(_clean(spark, d)))
+    out = B.state_sums(B.beach_counts(_clean(spark, d)))
     return out.withColumns({c: F.round(c, 6) for c in ("actionsperbeach", "daysperbeach")})
 
 
@@ -201,6 +231,14 @@ def beach_with_closures(spark: SparkSession, d: str) -> DataFrame:
     return B.beaches_with(B.per_beach(_clean(spark, d)), "closure")
 
 
+def beach_with_contamination(spark: SparkSession, d: str) -> DataFrame:
+    return B.beaches_with(B.per_beach(_clean(spark, d)), "contamination_advisory")
+
+
+def beach_with_rain(spark: SparkSession, d: str) -> DataFrame:
+    return B.beaches_with(B.per_beach(_clean(spark, d)), "rain_advisory")
+
+
 # Q11
 def beach_action_types(spark: SparkSession, d: str) -> DataFrame:
     return B.action_type_counts(_clean(spark, d))
@@ -222,11 +260,11 @@ def beach_all_status(spark: SparkSession, d: str) -> DataFrame:
 
 # Q14
 def beach_status_counts(spark: SparkSession, d: str) -> DataFrame:
-    return B.status_counts(_all(spark, d))["by_status"]
+    return B.status_counts(_all_counts(spark, d))["by_status"]
 
 
 def beach_state_counts(spark: SparkSession, d: str) -> DataFrame:
-    return B.status_counts(_all(spark, d))["by_state"]
+    return B.status_counts(_all_counts(spark, d))["by_state"]
 
 
 def beach_dormant_with_actions(spark: SparkSession, d: str) -> DataFrame:
@@ -250,6 +288,28 @@ def beach_state_summaries(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("percent_monitored", F.round("percent_monitored", 6))
 
 
+# K6, K7: the summaries as their CSV files write them (whole numbers, Inf, NaN)
+def beach_state_summaries_text(spark: SparkSession, d: str) -> DataFrame:
+    return r_style_numbers(B.state_summaries(summary_table(spark, d)))
+
+
+# K8: JSON rows, missing fields left out
+def beach_json(spark: SparkSession, d: str) -> DataFrame:
+    return _all(spark, d).select(F.to_json(F.struct("*")).alias("value"))
+
+
+# K9: JSON rows of the publication, missing as "NA"
+def beach_json_na(spark: SparkSession, d: str) -> DataFrame:
+    return json_na_lines(B.publication(_all(spark, d)))
+
+
+# The published records written, read back and searched
+def beach_records_search(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch_folder(spark, "reports/records")
+    write_json_lines(_records(spark, d), path)
+    return L.find(read_records(spark, path, RECORD_SCHEMA, multiline=False), LOOKUP_STATE, LOOKUP_TERM)
+
+
 # Q18
 def beach_lookup(spark: SparkSession, d: str) -> DataFrame:
     return L.find(_records(spark, d), LOOKUP_STATE, LOOKUP_TERM)
@@ -266,7 +326,8 @@ def beach_display(spark: SparkSession, d: str) -> DataFrame:
 
 # The state picker list
 def beach_state_list(spark: SparkSession, d: str) -> DataFrame:
-    return L.state_list(_records(spark, d))
+    rows = _all_counts(spark, d).withColumns({c: F.lit(None).cast("string") for c in B.LIST_COLUMNS})
+    return L.state_list(L.short_records(B.publication(rows)))
 
 
 QUERIES = {
@@ -282,6 +343,8 @@ QUERIES = {
     "beach_reason_shares": beach_reason_shares,
     "beach_reason_token_shares": beach_reason_token_shares,
     "beach_with_closures": beach_with_closures,
+    "beach_with_contamination": beach_with_contamination,
+    "beach_with_rain": beach_with_rain,
     "beach_action_types": beach_action_types,
     "beach_snapshot": beach_snapshot,
     "beach_snapshot_check_count": beach_snapshot_check_count,
@@ -295,6 +358,12 @@ QUERIES = {
     "beach_lookup": beach_lookup,
     "beach_display": beach_display,
     "beach_state_list": beach_state_list,
+    "beach_csv_snapshot": beach_csv_snapshot,
+    "beach_csv_state_summaries": beach_csv_state_summaries,
+    "beach_state_summaries_text": beach_state_summaries_text,
+    "beach_json": beach_json,
+    "beach_json_na": beach_json_na,
+    "beach_records_search": beach_records_search,
 }
 
 __all__ = ["QUERIES", "actions_table", "profile_table", "summary_table"]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,11 +55,29 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/shoreline/{name}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and cut its lineage.
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder under ``spark.checkpoint.dir``, deleted when the application ends."""
+    path = shared_folder(spark, f"{name}-{uuid.uuid4().hex}")
+    fs, where = _hadoop(spark, path)
+    fs.deleteOnExit(where)
+    return path
 
-    Reliable checkpoint: the data lives in the shared folder, so a lost
-    executor does not force recomputation from the sources.
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    fs, where = _hadoop(spark, path)
+    fs.delete(where, True)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def materialize(df: DataFrame, path: str) -> DataFrame:
+    """Write ``df`` as Parquet under a shared folder and read it back.
+
+    Computed once, lineage cut, and safe against lost executors; later reads
+    still prune columns and push filters down.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

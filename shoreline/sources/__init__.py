@@ -5,7 +5,6 @@ from shoreline.sources.readers import (
     ORDINAL,
     clean_names,
     csv_ordinal,
-    parquet_ordinal,
     read_records,
     read_report,
     read_table,
@@ -23,6 +22,6 @@ from shoreline.sources.schemas import (
 __all__ = [
     "ACTIONS_TYPES", "ORDINAL", "PROFILE_TYPES", "RECORD_FIELDS", "RECORD_SCHEMA", "STATE_NAMES",
     "STATE_SUMMARY_TYPES", "STATE_SUMMARY_VALUES", "clean_names", "csv_ordinal",
-    "parquet_ordinal", "read_records", "read_report", "read_table", "snake_name",
+    "read_records", "read_report", "read_table", "snake_name",
     "state_dimension",
 ]

@@ -1,7 +1,6 @@
 """Readers for delimited reports and published JSON records.
 
-Only the header (schema) is touched on the driver; rows are read by the
-executors.  Reports are read with all fields as text, headers normalised to
+Only header lines are read on the driver; rows are read by the executors.  Reports are read with all fields as text, headers normalised to
 snake case, and the known columns cast by name with ``try_cast`` (a field
 that does not parse becomes NULL, as the reference's reader does), so
 column order and extra columns in a file do not matter.
@@ -12,6 +11,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,23 +48,30 @@ def clean_names(df: DataFrame) -> DataFrame:
     return df.toDF(*out)
 
 
-def csv_ordinal() -> Column:
-    """File position of a CSV row: (file, split start, row within split).
+# A position in the input: the file's place among the sorted files above
+# ``_FILE_SHIFT`` bits, below them where the row stands in its file.
+_FILE_SHIFT = 44
 
-    ``monotonically_increasing_id`` increases with the row inside one input
-    split and is recomputed identically when a task is re-run, since file
-    splits are deterministic.  The struct orders rows by file path, then
-    position in the file.
-    """
-    return F.struct(F.col("_metadata.file_path").alias("file"),
-                    F.col("_metadata.file_block_start").alias("start"),
-                    F.monotonically_increasing_id().alias("row"))
 
+def csv_ordinal(df: DataFrame, files: Sequence[str], name: str) -> DataFrame:
+    """Add the position of each CSV row as one long, growing by file, then row.
 
-def parquet_ordinal() -> Column:
-    """File position of a Parquet row: (file, row index in the file)."""
-    return F.struct(F.col("_metadata.file_path").alias("file"),
-                    F.col("_metadata.row_index").alias("row"))
+    Within a file it is the byte at which the input split starts plus the
+    row's number in its task: every row takes a byte at least, and only the
+    last, short split of a file shares a task with other files, so positions
+    never cross.  ``monotonically_increasing_id`` is recomputed identically
+    when a task is re-run, since file splits are deterministic.
+    """
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    at = F.col("_metadata.file_block_start") + row
+    if len(files) < 2:
+        return df.withColumn(name, at)
+    plain = [re.sub("^([^:/]+):/+", r"\1:/", f) for f in sorted(files)]  # file:/x and file:///x are one
+    ranks = df.sparkSession.createDataFrame(list(zip(plain, range(len(files)))), "__file string, __rank long")
+    path = F.regexp_replace("_metadata.file_path", "^([^:/]+):/+", "$1:/")
+    placed = df.select("*", at.alias(name), path.alias("__path"))
+    return (placed.join(F.broadcast(ranks), F.col("__path") == F.col("__file"))  # a row a file
+            .withColumn(name, F.shiftleft("__rank", _FILE_SHIFT) + qcol(name)).drop("__rank", "__file", "__path"))
 
 
 def parse_as(c: Column, dtype: T.DataType) -> Column:
@@ -75,37 +82,104 @@ def parse_as(c: Column, dtype: T.DataType) -> Column:
     the same value; a fractional value does not fit and becomes NULL.
     """
     if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-        d = c.try_cast("double")
-        whole = F.when((d == F.floor(d)) & (F.abs(d) < F.lit(2.0 ** 53)), d.cast("long"))
-        return F.coalesce(c.try_cast(dtype), whole.try_cast(dtype))
+        d = c.try_cast("decimal(38,10)")
+        return F.coalesce(c.try_cast(dtype), F.when(d == F.floor(d), d).try_cast(dtype))
     return c.try_cast(dtype)
 
 
+def csv_options(reader, multiline: bool):
+    """The options of every report reader, batch or streaming."""
+    return (reader.option("header", True).option("multiLine", multiline)
+            .option("escape", '"').option("nullValue", "NA")
+            .option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
+            .option("inferSchema", False).option("mode", "PERMISSIVE"))
+
+
+def typed(df: DataFrame, types: Mapping[str, T.DataType]) -> list[Column]:
+    """The columns of a report read as text: empty and blank fields (quoted or not)
+    are NULL, known columns get their type."""
+    out = []
+    for f in df.schema.fields:
+        c = qcol(f.name)
+        c = F.when(F.trim(c) != "", c) if isinstance(f.dataType, T.StringType) else c
+        out.append((parse_as(c, types[f.name]) if f.name in types else c).alias(f.name))
+    return out
+
+
+def header_lines(spark: SparkSession, files: Sequence[str]) -> dict[str, list[str]]:
+    """The first line of each file, with the files that begin with it.
+
+    Reads one line a file on the driver, through Hadoop's file systems and
+    codecs.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+    groups: dict[str, list[str]] = {}
+    for name in sorted(files):
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(name))
+        stream = path.getFileSystem(conf).open(path)
+        codec = codecs.getCodec(path)
+        text = codec.createInputStream(stream) if codec is not None else stream
+        lines = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(text, "UTF-8"))
+        groups.setdefault(lines.readLine() or "", []).append(name)
+        lines.close()
+    return groups
+
+
+_CORRUPT = "__corrupt"
+
+
+def _read_alike(spark: SparkSession, path, multiline: bool, base: str | None = None) -> DataFrame:
+    """Files of one header, as text columns with cleaned names.
+
+    Without ``multiline`` a record whose line holds an unclosed quote fails
+    the read: it goes on in the next line.
+    """
+    reader = csv_options(spark.read, multiline)
+    if base is not None:
+        reader = reader.option("basePath", base)
+    raw = reader.csv(path)
+    names = clean_names(raw).columns
+    if multiline:
+        return raw.toDF(*names)
+    reader = csv_options(spark.read, multiline).option("columnNameOfCorruptRecord", _CORRUPT)
+    if base is not None:
+        reader = reader.option("basePath", base)
+    raw = reader.schema(T.StructType([*raw.schema.fields, T.StructField(_CORRUPT, T.StringType())])).csv(path)
+    quotes = F.length(_CORRUPT) - F.length(F.replace(F.col(_CORRUPT), F.lit('"'), F.lit("")))
+    message = F.concat(F.lit("a quoted field holds a line break; read with multiline=True: "), F.col(_CORRUPT))
+    first = raw.columns[0]
+    checked = F.when(F.coalesce(quotes % 2 == 1, F.lit(False)), F.raise_error(message)).otherwise(qcol(first))
+    return raw.withColumn(first, checked).drop(_CORRUPT).toDF(*names)
+
+
 def read_report(spark: SparkSession, path: str | Sequence[str], types: Mapping[str, T.DataType],
-                multiline: bool = True, ordinal: str | None = ORDINAL) -> DataFrame:
-    """Read a delimited report with a header line.
+                multiline: bool = False, ordinal: str | None = ORDINAL) -> DataFrame:
+    """Read a delimited report of one or many files with header lines.
 
     ``types`` maps snake-case column -> Spark type; other columns stay
-    strings.  Empty fields and ``NA`` load as NULL, white space around
-    fields is trimmed, doubled quotes and quoted newlines are kept.
-    ``multiline=True`` is needed only when quoted fields can hold newlines;
-    it reads each file in one task, so large inputs should be many files
-    (or pass ``multiline=False`` to split files).  ``ordinal`` adds the
-    file-position column used by order-dependent operators.
+    strings.  Empty fields (quoted too) and ``NA`` load as NULL, white space
+    around fields is trimmed, doubled quotes are kept.  Files may order their
+    columns differently or have further ones: each group of files with one
+    header is read by its own names, a column that a file lacks is NULL.
+    Large files are split; a quoted field that holds a line break then fails
+    the read, and needs ``multiline=True``, which reads a file in one task.
+    ``ordinal`` adds the file position used by order-dependent operators.
     """
-    raw = (spark.read.option("header", True).option("multiLine", multiline)
-           .option("escape", '"').option("nullValue", "NA")
-           .option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
-           .option("inferSchema", False).option("mode", "PERMISSIVE")
-           .csv(path))
-    df = clean_names(raw) if any(snake_name(c) != c for c in raw.columns) else raw
-    cols = [parse_as(qcol(c), types[c]).alias(c) if c in types else qcol(c) for c in df.columns]
-    if ordinal:
-        cols.append(csv_ordinal().alias(ordinal))
+    files = spark.read.text(path).inputFiles()
+    groups = header_lines(spark, files)
+    parts = []
+    for group in groups.values() if len(groups) > 1 else [None]:
+        base = path if group is not None and isinstance(path, str) and "*" not in path else None
+        df = _read_alike(spark, path if group is None else group, multiline, base)
+        if ordinal:
+            df = csv_ordinal(df, files, ordinal)
+        parts.append(df.select(*typed(df, types)))
+    df = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
     missing = [c for c in types if c not in df.columns]
     if missing:
         raise ValueError(f"report lacks columns {missing}; has {df.columns}")
-    return df.select(*cols)
+    return df
 
 
 def read_records(spark: SparkSession, path: str | Sequence[str], schema: T.StructType,

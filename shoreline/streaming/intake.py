@@ -6,9 +6,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from shoreline.operators._util import qcol
 from shoreline.plans.beaches import clean_actions
-from shoreline.sources.readers import parse_as, snake_name
+from shoreline.sources.readers import clean_names, csv_options, typed
 from shoreline.sources.schemas import ACTIONS_TYPES
 
 
@@ -28,14 +27,11 @@ def clean_actions_stream(spark: SparkSession, in_dir: str, out_dir: str,
     ``_spark_metadata`` log; readers skip folders starting with ``_``).
     ``multiline`` as in ``read_report``: quoted fields may hold newlines.
     """
-    raw = (spark.readStream.schema(header_schema).option("header", True)
-           .option("multiLine", multiline)
-           .option("nullValue", "NA").option("escape", '"')
-           .option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
-           .csv(in_dir))
-    df = raw.toDF(*[snake_name(c) for c in raw.columns])
-    df = df.select(*[parse_as(qcol(c), ACTIONS_TYPES[c]).alias(c) if c in ACTIONS_TYPES else qcol(c)
-                     for c in df.columns])
+    # a file whose header differs from the schema fails instead of being mixed up
+    raw = (csv_options(spark.readStream.schema(header_schema), multiline)
+           .option("enforceSchema", False).csv(in_dir))
+    df = clean_names(raw)
+    df = df.select(*typed(df, ACTIONS_TYPES))
     location = checkpoint_location or f"{out_dir.rstrip('/')}/_checkpoint"
     writer = (clean_actions(df).writeStream.format("parquet").option("path", out_dir)
               .option("checkpointLocation", location).outputMode("append"))

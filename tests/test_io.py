@@ -73,7 +73,7 @@ def test_clean_names_dedupes(spark):
 
 
 def test_read_reports_and_run_end_to_end(spark, tmp_dir):
-    a = read_report(spark, write(os.path.join(tmp_dir, "actions.csv"), ACTIONS_CSV), ACTIONS_TYPES)
+    a = read_report(spark, write(os.path.join(tmp_dir, "actions.csv"), ACTIONS_CSV), ACTIONS_TYPES, multiline=True)
     rows = a.orderBy("_ord").collect()
     assert [r["beach_id"] for r in rows] == ["B1", "B1", "B2", "B3", "B3", "B4", "B4", "B5", "B6"]
     assert rows[1]["action_possible_source"] is None and rows[3]["county"] is None
@@ -84,7 +84,7 @@ def test_read_reports_and_run_end_to_end(spark, tmp_dir):
     out = os.path.join(tmp_dir, "out")
     r = B.run_reports(spark, os.path.join(tmp_dir, "actions.csv"),
                       write(os.path.join(tmp_dir, "profile.csv"), PROFILE_CSV),
-                      write(os.path.join(tmp_dir, "summary.csv"), SUMMARY_CSV), out)
+                      write(os.path.join(tmp_dir, "summary.csv"), SUMMARY_CSV), out, multiline=True)
     assert r.clean.count() == 7
     sums = spark.read.csv(f"{out}/statesums", header=True)
     assert {x["state"]: x["number_of_beaches_with_actions"] for x in sums.collect()} == {
@@ -156,6 +156,72 @@ def test_csv_ordinal_orders_files_and_rows(spark, tmp_dir):
     assert [r["beach_id"] for r in df.orderBy("_ord").collect()] == ["A1", "A2", "B1"]
 
 
+ID_NAME_STATE = {c: ACTIONS_TYPES[c] for c in ("beach_id", "beach_name", "state")}
+
+
+def test_quoted_empty_field_is_missing(spark, tmp_dir):
+    p = write(os.path.join(tmp_dir, "q.csv"), 'Beach ID,Beach Name,State\nB1,"",WI\nB2,,WI\nB3," ",WI\nB4,NA,WI\n')
+    for multiline in (False, True):
+        got = read_report(spark, p, ID_NAME_STATE, multiline=multiline).collect()
+        assert [r["beach_name"] for r in got] == [None] * 4
+
+
+def test_files_are_read_by_their_own_headers(spark, tmp_dir):
+    d = os.path.join(tmp_dir, "mixed")
+    os.makedirs(d)
+    write(os.path.join(d, "a.csv"), "Beach ID,Beach Name,State\nB1,Alpha,WI\n")
+    write(os.path.join(d, "b.csv"), "State,Beach ID,Beach Name,Extra\nCA,B2,Bravo,x\nCA,B3,Charlie,y\n")
+    write(os.path.join(d, "c.csv"), "Beach ID,State\nB4,NY\n")
+    for multiline in (False, True):
+        got = read_report(spark, d, ID_NAME_STATE, multiline=multiline).orderBy("_ord").collect()
+        assert [(r["beach_id"], r["beach_name"], r["state"], r["extra"]) for r in got] == [
+            ("B1", "Alpha", "WI", None), ("B2", "Bravo", "CA", "x"), ("B3", "Charlie", "CA", "y"), ("B4", None, "NY", None)]
+        assert len({r["_ord"] for r in got}) == 4
+
+
+def test_split_file_keeps_its_order_and_a_quoted_line_break_fails(spark, tmp_dir):
+    import pytest
+
+    p = write(os.path.join(tmp_dir, "long.csv"), "Beach ID,Year\n" + "".join(f"B{i},2018\n" for i in range(5000)))
+    types = {c: ACTIONS_TYPES[c] for c in ("beach_id", "year")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        df = read_report(spark, p, types)
+        assert df.rdd.getNumPartitions() > 4
+        assert [r["beach_id"] for r in df.orderBy("_ord").collect()] == [f"B{i}" for i in range(5000)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    q = write(os.path.join(tmp_dir, "broken.csv"), 'Beach ID,Year\n"B1\nx",2018\n')
+    with pytest.raises(Exception, match="line break"):
+        read_report(spark, q, types).collect()
+    assert read_report(spark, q, types, multiline=True).first()["beach_id"] == "B1\nx"
+
+
+def test_large_integral_fields_written_with_a_point(spark, tmp_dir):
+    p = write(os.path.join(tmp_dir, "n.csv"), "Beach ID,Action Duration Days\nB1,9007199254740993.0\nB2,1e3\nB3,2.5\n")
+    got = read_report(spark, p, {c: ACTIONS_TYPES[c] for c in ("beach_id", "action_duration_days")}).collect()
+    assert [r["action_duration_days"] for r in got] == [9007199254740993, 1000, None]
+
+
+def test_a_run_leaves_no_intermediates_and_prunes_them(spark, tmp_dir):
+    from shoreline.session import materialize, shared_folder
+
+    a = write(os.path.join(tmp_dir, "a.csv"), ACTIONS_CSV)
+    p = write(os.path.join(tmp_dir, "p.csv"), PROFILE_CSV)
+    s = write(os.path.join(tmp_dir, "s.csv"), SUMMARY_CSV)
+    B.run_reports(spark, a, p, s, os.path.join(tmp_dir, "out2"), multiline=True)
+    left = shared_folder(spark, "reports").removeprefix("file:")
+    assert not os.path.isdir(left) or not [x for x in os.listdir(left) if x.startswith("run-")]
+    actions = read_report(spark, a, ACTIONS_TYPES, multiline=True)
+    clean = materialize(B.clean_actions(actions), os.path.join(tmp_dir, "kept"))
+    plan = B.type_by_year(clean)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<action_type:string,year:int>" in plan
+    from shoreline.operators.aggregate import _first_appearances
+
+    firsts = _first_appearances(B.clean_actions(actions), B.SITE_KEYS, list(B.LIST_COLUMNS.items()), "_ord", ",")
+    assert "SortAggregate" not in firsts._jdf.queryExecution().executedPlan().toString()
+
+
 def test_command_line_reports_and_lookup(spark, tmp_dir, capsys):
     from shoreline.__main__ import main
 
@@ -163,7 +229,7 @@ def test_command_line_reports_and_lookup(spark, tmp_dir, capsys):
     p = write(os.path.join(tmp_dir, "p.csv"), PROFILE_CSV)
     s = write(os.path.join(tmp_dir, "s.csv"), SUMMARY_CSV)
     out = os.path.join(tmp_dir, "cli")
-    assert main(["reports", a, p, s, out, "--local"]) == 0
+    assert main(["reports", a, p, s, out, "--multiline", "--local"]) == 0
     assert os.path.isdir(f"{out}/statesums") and os.path.isdir(f"{out}/allbeachesforpub_json")
     rec = write(os.path.join(tmp_dir, "rec.json"),
                 '[{"bn":"Virginia Key","bi":"VA01","s":"Virginia","c":"York","na":"2","r":"RAINFALL"},'
@@ -225,7 +291,7 @@ def test_published_small_outputs_in_reference_order(spark, tmp_dir):
     p = write(os.path.join(tmp_dir, "p.csv"), PROFILE_CSV)
     s = write(os.path.join(tmp_dir, "s.csv"), SUMMARY_CSV)
     out = os.path.join(tmp_dir, "ordered")
-    B.run_reports(spark, a, p, s, out)
+    B.run_reports(spark, a, p, s, out, multiline=True)
     [f] = glob.glob(f"{out}/statesums/part-*.csv")
     with open(f) as fh:
         states = [ln.split(",")[0] for ln in fh.read().splitlines()[1:]]

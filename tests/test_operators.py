@@ -100,10 +100,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_hot_key_is_combined_before_the_shuffle(spark, monkeypatch):
-    import shoreline.operators._util as U
-
-    monkeypatch.setattr(U, "SMALL_INPUT_BYTES", 0)  # plan as for a large input
+def test_hot_key_is_combined_before_the_shuffle(spark):
     # one site holds a third of the rows
     hot = spark.range(3000).select(
         F.when(F.col("id") % 3 == 0, F.lit("HOT")).otherwise(F.concat(F.lit("s"), (F.col("id") % 500).cast("string"))).alias("site"),
@@ -119,26 +116,7 @@ def test_hot_key_is_combined_before_the_shuffle(spark, monkeypatch):
     assert "WindowGroupLimit" in plan(first_by(hot, ["site"], "o"))
 
 
-def test_small_input_is_clustered_once_large_keeps_partial_aggregation(spark, monkeypatch):
-    import shoreline.operators._util as U
-
-    df = spark.range(3000).select(
-        F.concat(F.lit("s"), (F.col("id") % 50).cast("string")).alias("site"),
-        F.col("id").alias("o"), F.lit("a,b").alias("l"), (F.col("id") % 7).alias("d"))
-    small = site_lists_with_counts(df, ["site"], "site", {"l": "l"}, "o", "n", {"days": "d"})
-    p = plan(small)
-    assert p.count("Exchange hashpartitioning") == 1, p
-    monkeypatch.setattr(U, "SMALL_INPUT_BYTES", 0)
-    large = site_lists_with_counts(df, ["site"], "site", {"l": "l"}, "o", "n", {"days": "d"})
-    q = plan(large)
-    assert q.count("Exchange hashpartitioning") == 2 and "partial_min" in q, q
-    assert rows(small) == rows(large)
-
-
-def test_first_by_large_plan_limits_before_shuffle(spark, monkeypatch):
-    import shoreline.operators._util as U
-
-    monkeypatch.setattr(U, "SMALL_INPUT_BYTES", 0)
+def test_first_by_limits_before_shuffle(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("k"), F.col("id").alias("o"))
     p = plan(first_by(df, ["k"], "o"))
     assert "WindowGroupLimit" in p and "Partial" in p
@@ -158,11 +136,12 @@ def test_bounded_broadcast_checks_size(spark, monkeypatch):
     dim = spark.sql("SELECT * FROM VALUES ('WI', 'Wisconsin') AS t(code, name)")
     assert "BroadcastHashJoin" in plan(dim_lookup(df, dim, "state", "code", "name", bounded=True))
     unknown = spark.createDataFrame([("WI", "Wisconsin")], "code string, name string")
-    with pytest.raises(ValueError):
-        dim_lookup(df, unknown, "state", "code", "name", bounded=True)
-    monkeypatch.setattr(J, "MAX_BROADCAST_BYTES", 1)
-    with pytest.raises(ValueError):
-        dim_lookup(df, dim, "state", "code", "name", bounded=True)
+    assert rows(dim_lookup(df, unknown, "state", "code", "name", bounded=True)) == rows(
+        dim_lookup(df, dim, "state", "code", "name", bounded=True))
+    monkeypatch.setattr(J, "MAX_BROADCAST_BYTES", 1)  # beyond it there is no hint: the planner decides
+    hinted = dim_lookup(df, dim, "state", "code", "name", bounded=True)
+    assert "ResolvedHint" not in hinted._jdf.queryExecution().analyzed().toString()
+    assert hinted.first()["state"] == "Wisconsin"
 
 
 def test_site_table_without_measures(spark):

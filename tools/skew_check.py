@@ -34,12 +34,10 @@ def main() -> None:
              .config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", log_dir)
              .config("spark.eventLog.compress", "false").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
-    import shoreline.operators._util as U
     from shoreline.operators.aggregate import site_lists_with_counts
     from shoreline.operators.dedupe import first_by
     from shoreline.sources.readers import read_table
 
-    U.SMALL_INPUT_BYTES = 0  # plan as for a large input
     li = read_table(spark, sf, "lineitem").repartition(16)  # several map tasks, as at scale
     ev = li.select(
         F.when(F.col("l_orderkey") % 3 == 0, F.lit("HOT"))
