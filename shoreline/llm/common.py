@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shoreline.session import shared_folder
+from shoreline.operators._util import fresh_name, qcol
+from shoreline.session import materialize, scratch_folder
+
+__all__ = ["components", "fresh_name", "gapless_index", "ordered_index", "ordered_rank", "qcol", "scratch", "stored",
+           "table", "word_count"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,19 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder under ``spark.checkpoint.dir``, deleted when the application ends."""
-    path = f"{shared_folder(spark, 'llm')}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return path
+    return scratch_folder(spark, f"llm/{name}")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a scratch folder and read it back: computed once, lineage cut,
     safe against lost executors, columns still prunable."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return materialize(df, scratch(df.sparkSession, name))
 
 
 def word_count(text: Column) -> Column:

@@ -27,8 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shoreline.llm.common import stored
-from shoreline.operators._util import fresh_name
+from shoreline.llm.common import fresh_name, qcol, stored
 
 UND = "und"
 _CHUNK = 1 << 20
@@ -234,8 +233,8 @@ def identify(docs: DataFrame, learn: Column | None = None, order: int = 3, max_c
                 [f.name for f in schema])
 
     # columns are addressed by place, so that their names may repeat those used here
-    carried = [F.col("doc_id"), held] if keep is None else [F.col(f"`{c}`") for c in keep]
-    rows = docs.select(F.col("text").cast("string").alias("_text"), *carried)
+    carried = [F.col("doc_id"), held] if keep is None else [qcol(c) for c in keep]
+    rows = docs.select(F.col("text").cast("string").alias(fresh_name(docs, "_text")), *carried)
     schema = T.StructType([*rows.schema.fields[1:], T.StructField(names[0], T.StringType()),
                            T.StructField(names[1], T.DoubleType())])
     return rows.mapInArrow(each, schema)
@@ -248,4 +247,4 @@ def keep_identified(docs: DataFrame, min_score: float = 0.5, **how) -> DataFrame
     scored = identify(docs, keep=docs.columns, names=(pred, score), **how)
     lang = F.coalesce(F.col("lang"), F.col(pred).cast(docs.schema["lang"].dataType)).alias("lang")
     return (scored.filter((F.col(pred) != UND) & (F.col(score) >= min_score))
-            .select(*[lang if c == "lang" else F.col(f"`{c}`") for c in docs.columns]))
+            .select(*[lang if c == "lang" else qcol(c) for c in docs.columns]))

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoreline.llm.common import ordered_rank, stored
+from shoreline.llm.common import fresh_name, ordered_rank, qcol, stored
 
 POSITION = ["doc", "line"]
 
@@ -103,23 +103,27 @@ def later_copies(docs: DataFrame, min_chars: int) -> DataFrame:
     return masks.join(keys, "doc").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("mask").alias("_mask"))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 60) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 60, names: tuple[str, str] = ("_lines", "_lost")) -> DataFrame:
     """``docs`` with later copies of repeated runs deleted from ``text``, and two further
-    columns: ``_lines`` and ``_lost``, the lines before and the lines deleted."""
+    columns, called ``names``: the lines before and the lines deleted."""
     lost = later_copies(docs, min_chars)
     text = F.col("text").cast("string")
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_h"))
-    kept = F.array_join(F.filter(_lines(text), lambda x, i: ~F.coalesce(F.get(F.col("_mask"), i), F.lit(False))), "\n")
-    out = F.when(F.col("_mask").isNull(), text).otherwise(kept)
-    columns = [out.cast(docs.schema["text"].dataType).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    own, h, mask = fresh_name(docs, "_id"), fresh_name(docs, "_h"), fresh_name(docs, "_mask")
+    lost = lost.select(F.col("_id").alias(own), F.col("_h").alias(h), F.col("_mask").alias(mask))
+    on = F.col("doc_id").eqNullSafe(F.col(own)) & (F.xxhash64(text) == F.col(h))
+    kept = F.array_join(F.filter(_lines(text), lambda x, i: ~F.coalesce(F.get(F.col(mask), i), F.lit(False))), "\n")
+    out = F.when(F.col(mask).isNull(), text).otherwise(kept)
+    columns = [out.cast(docs.schema["text"].dataType).alias("text") if c == "text" else qcol(c) for c in docs.columns]
     n = F.when(text.isNull(), 0).otherwise(F.size(_lines(text)))
-    gone = F.coalesce(F.size(F.filter("_mask", lambda x: x)), F.lit(0))
-    return docs.join(lost, on, "left").select(*columns, n.cast("long").alias("_lines"), gone.cast("long").alias("_lost"))
+    gone = F.coalesce(F.size(F.filter(mask, lambda x: x)), F.lit(0))
+    return docs.join(lost, on, "left").select(*columns, n.cast("long").alias(names[0]), gone.cast("long").alias(names[1]))
 
 
 def drop_repeated_lines(docs: DataFrame, min_chars: int = 60) -> DataFrame:
     """``docs`` without later copies of runs of lines; a document that loses all its words so is
     a copy itself and goes; ``n_chars`` follows the text."""
-    rows = dedup_lines(docs, min_chars).filter((F.col("_lost") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    chars = lambda c: F.when(F.col("_lost") > 0, F.length("text").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c)
-    return rows.select(*[chars(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+    names = fresh_name(docs, "_lines"), fresh_name(docs, "_lost")
+    gone = F.col(names[1])
+    rows = dedup_lines(docs, min_chars, names).filter((gone == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    chars = lambda c: F.when(gone > 0, F.length("text").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c)
+    return rows.select(*[chars(c) if c == "n_chars" else qcol(c) for c in docs.columns])

@@ -22,7 +22,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoreline.llm.common import gapless_index, ordered_index, stored, word_count
+from shoreline.llm.common import fresh_name, gapless_index, ordered_index, qcol, stored, word_count
 
 WEIGHTS = (5, 2, 1)
 
@@ -125,10 +125,11 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, total_share: flo
                .select(F.col("sid").alias("_sid"), F.col("size").alias("_size"), F.col("n").alias("_n"),
                        F.least(F.col("k"), F.col("n") * max_copies).alias("_k")))
     rounded = settle(rounded, targets, max_copies)
-    indexed = gapless_index(rows, ["sid", "size"], ["doc_id"], ["doc_id"], "_at", 16)
+    # joined before they are numbered: a join of plain rows can be split where a class is large
+    classed = rows.join(rounded, (F.col("sid") == F.col("_sid")) & (F.col("size") == F.col("_size")), "left")
+    indexed = gapless_index(classed, ["sid", "size"], ["doc_id"], ["doc_id"], "_at", 16)
     mine = F.floor(F.col("_k") / F.col("_n")) + F.when(F.col("_at") < F.col("_k") % F.col("_n"), 1).otherwise(0)
-    return (indexed.join(rounded, (F.col("sid") == F.col("_sid")) & (F.col("size") == F.col("_size")), "left")
-            .select("doc_id", "source", "size", "source_size", "target", F.coalesce(mine, F.lit(0)).cast("long").alias("copies")))
+    return indexed.select("doc_id", "source", "size", "source_size", "target", F.coalesce(mine, F.lit(0)).cast("long").alias("copies"))
 
 
 def mix_words(docs: DataFrame, **how) -> DataFrame:
@@ -138,9 +139,10 @@ def mix_words(docs: DataFrame, **how) -> DataFrame:
 
 def mix(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it."""
-    taken = (copies(docs, **how).filter("copies > 0").groupBy("doc_id", "source", "size").agg(F.max("copies").alias("_copies"))
-             .select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "_copies"))
-    sized = docs.withColumn("_words", word_count(F.col("text").cast("string")))
-    on = (F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size")))
-    return (sized.join(taken, on).withColumn("_each", F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int"))))
-            .select(*[F.col(f"`{c}`") for c in docs.columns]))
+    own, group, size, n, words = (fresh_name(docs, c) for c in ("_id", "_source", "_size", "_copies", "_words"))
+    taken = (copies(docs, **how).filter("copies > 0").groupBy("doc_id", "source", "size").agg(F.max("copies").alias(n))
+             .select(F.col("doc_id").alias(own), F.col("source").alias(group), F.col("size").alias(size), n))
+    sized = docs.withColumn(words, word_count(F.col("text").cast("string")))
+    on = F.col("doc_id").eqNullSafe(F.col(own)) & F.col("source").eqNullSafe(F.col(group)) & (F.col(words) == F.col(size))
+    return (sized.join(taken, on).select(*[qcol(c) for c in docs.columns], F.explode(F.array_repeat(F.lit(0), F.col(n).cast("int"))).alias(fresh_name(docs, "_each")))
+            .select(*[qcol(c) for c in docs.columns]))

@@ -26,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoreline.llm.common import stored
+from shoreline.llm.common import fresh_name, qcol, stored
 
 #: fixed patterns of the base spans, by kind in their order
 BASE = {
@@ -242,7 +242,8 @@ def redact(docs: DataFrame, found: DataFrame) -> DataFrame:
         free = x["s"] >= acc["at"]
         return F.struct(F.when(free, piece).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], -x["e"]).alias("at"))
 
-    joined = docs.join(found.select(F.col("doc_id").alias("_id"), spans.alias("_spans")), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    own, all_ = fresh_name(docs, "_id"), fresh_name(docs, "_spans")
+    joined = docs.join(found.select(F.col("doc_id").alias(own), spans.alias(all_)), F.col("doc_id").eqNullSafe(F.col(own)), "left")
     tail = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text")))
-    text = F.when(F.size("_spans") > 0, F.aggregate("_spans", start, add, tail)).otherwise(F.col("text"))
-    return joined.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    text = F.when(F.size(all_) > 0, F.aggregate(all_, start, add, tail)).otherwise(F.col("text"))
+    return joined.select(*[text.alias("text") if c == "text" else qcol(c) for c in docs.columns])

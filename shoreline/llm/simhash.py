@@ -23,8 +23,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from shoreline.llm.common import components, stored
+from shoreline.llm.common import components, fresh_name, qcol, stored
 
 #: rows of the tiles that are compared at once
 TILE_A, TILE_B = 128, 1024
@@ -190,17 +191,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataF
 def keep_one(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
     """The rows of ``docs`` whose ``doc_id`` names their class: one document of each class.
 
-    If rows repeat that ``doc_id``, one of them stays (the first by fingerprint, then
-    text); of a class without any id one row stays.
+    If rows repeat that ``doc_id``, one of them stays (the first by a hash of its text, then
+    by its columns), and so does one of all rows of classes without any id.
     """
     found = near_duplicates(docs, shingle, radius)
+    own, n, at = fresh_name(docs, "_kept"), fresh_name(docs, "_rows"), fresh_name(docs, "_at")
     kept = (found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"))
-            .select(F.col("doc_id").alias("_kept"), "_rows"))
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")))
-    single = rows.filter("_rows = 1").select(*docs.columns)
-    order = [F.xxhash64("text"), *[F.col(f"`{c}`") for c in docs.columns]]
-    first = (rows.filter("_rows > 1")
-             .withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)))
-             .filter("_n = 1").select(*docs.columns))
+            .groupBy("doc_id").agg(F.count(F.lit(1)).alias(n)).select(F.col("doc_id").alias(own), n))
+    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col(own)))
+    columns = [qcol(c) for c in docs.columns]
+    single = rows.filter(F.col(n) == 1).select(*columns)
+    order = [F.xxhash64("text"), *[qcol(f.name) for f in docs.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]]
+    first = (rows.filter(F.col(n) > 1)
+             .withColumn(at, F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)))
+             .filter(F.col(at) == 1).select(*columns))
     return single.unionByName(first)
