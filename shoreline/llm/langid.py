@@ -232,12 +232,14 @@ def identify(docs: DataFrame, learn: Column | None = None, order: int = 3, max_c
                 [*b.columns[1:], pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
                 [f.name for f in schema])
 
-    # columns are addressed by place, so that their names may repeat those used here
+    # carried columns go by place, as their names may be any
     carried = [F.col("doc_id"), held] if keep is None else [qcol(c) for c in keep]
-    rows = docs.select(F.col("text").cast("string").alias(fresh_name(docs, "_text")), *carried)
-    schema = T.StructType([*rows.schema.fields[1:], T.StructField(names[0], T.StringType()),
-                           T.StructField(names[1], T.DoubleType())])
-    return rows.mapInArrow(each, schema)
+    rows = docs.select(F.col("text").cast("string").alias("text"), *carried)
+    called = rows.columns[1:]
+    rows = docs.select(F.col("text").cast("string").alias("text"), *[c.alias(f"c{i}") for i, c in enumerate(carried)])
+    schema = T.StructType([*rows.schema.fields[1:], T.StructField("lang_pred", T.StringType()),
+                           T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(each, schema).toDF(*called, *names)
 
 
 def keep_identified(docs: DataFrame, min_score: float = 0.5, **how) -> DataFrame:

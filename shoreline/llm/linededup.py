@@ -103,9 +103,11 @@ def later_copies(docs: DataFrame, min_chars: int) -> DataFrame:
     return masks.join(keys, "doc").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("mask").alias("_mask"))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 60, names: tuple[str, str] = ("_lines", "_lost")) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 60, names: tuple[str, str] | None = None) -> DataFrame:
     """``docs`` with later copies of repeated runs deleted from ``text``, and two further
-    columns, called ``names``: the lines before and the lines deleted."""
+    columns: the lines before and the lines deleted, called ``names`` or else ``_lines`` and
+    ``_lost`` (or a like name that is free)."""
+    names = names or (fresh_name(docs, "_lines"), fresh_name(docs, "_lost"))
     lost = later_copies(docs, min_chars)
     text = F.col("text").cast("string")
     own, h, mask = fresh_name(docs, "_id"), fresh_name(docs, "_h"), fresh_name(docs, "_mask")

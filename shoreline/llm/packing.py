@@ -2,9 +2,9 @@
 
 Only the histogram of piece lengths is planned, on the driver (at most ``capacity``
 counts): few-document patterns of binned lengths that fill a sequence are fitted to the
-histogram by non-negative least squares, the repeat counts are rounded down, and what
-remains is packed best-fit, longest first, into the room that patterns leave and into new
-sequences.  Every piece then finds its place from its length and its number among the
+histogram by non-negative least squares, the repeat counts are scaled and rounded down, and
+what remains is packed best-fit, longest first, into the room that patterns leave and into
+new sequences; of a few scales the one with the fewest sequences is taken.  Every piece then finds its place from its length and its number among the
 pieces of that length.
 
 Defined cases: a NULL text is an empty one: one piece that holds only the end id; longer
@@ -90,6 +90,9 @@ class WordTokenizer(dict):
         return b"".join(map(self.__getitem__, _words(text)))
 
 
+#: shares of the fitted repeat counts that are tried
+SHARES = (1.0, 0.75, 0.5, 0.25, 0.0)
+
 _TOKENIZERS: dict[str, WordTokenizer] = {}
 
 
@@ -176,22 +179,31 @@ def nnls(a: np.ndarray, b: np.ndarray, steps: int = 600) -> np.ndarray:
 def plan(counts: np.ndarray, capacity: int, units: int = 128, most: int = 3) -> tuple[np.ndarray, int]:
     """Places for ``counts[length]`` pieces: rows ``(length, first, copies, sequence,
     offset)`` in order, and the number of sequences.  The pieces numbered from ``first`` of
-    a length go ``copies`` at a time, from ``offset`` on, to ``sequence`` and those after it."""
-    left = counts.astype(np.int64).copy()
-    left[0] = 0
+    a length go ``copies`` at a time, from ``offset`` on, to ``sequence`` and those after it.
+
+    The fitted repeat counts are scaled by each of ``SHARES`` and rounded down, and the
+    plan of fewest sequences is taken (of equal ones, that with more patterns)."""
     width = -(-capacity // units)
     units = -(-capacity // width)
-    taken = np.zeros(len(left), np.int64)
-    groups: list[tuple[int, int, list[tuple[int, int]]]] = []  # sequences, room, (length, copies)
-    bins = np.add.reduceat(np.concatenate([left[1:capacity + 1], np.zeros(width * units - capacity, np.int64)]),
+    bins = np.add.reduceat(np.concatenate([counts[1:capacity + 1], np.zeros(width * units - capacity, np.int64)]),
                            np.arange(0, width * units, width))
     ways = patterns(units, most)
     a = np.zeros((units, len(ways)))
     for j, way in enumerate(ways):
         for part in way:
             a[part - 1, j] += 1
-    for j in np.argsort(-(x := nnls(a, bins.astype(float))), kind="stable"):
-        repeat = int(x[j] + 1e-6)
+    repeats = nnls(a, bins.astype(float))
+    return min((fill(counts, capacity, width, ways, repeats * share) for share in SHARES), key=lambda x: x[1])
+
+
+def fill(counts: np.ndarray, capacity: int, width: int, ways: list[tuple[int, ...]], repeats: np.ndarray) -> tuple[np.ndarray, int]:
+    """The plan that repeats ``ways`` (of bins of ``width`` lengths) and packs the rest."""
+    left = counts.astype(np.int64).copy()
+    left[0] = 0
+    taken = np.zeros(len(left), np.int64)
+    groups: list[tuple[int, int, list[tuple[int, int]]]] = []  # sequences, room, (length, copies)
+    for j in np.argsort(-repeats, kind="stable"):
+        repeat = int(repeats[j] + 1e-6)
         for part in set(ways[j]):
             repeat = min(repeat, int(left[(part - 1) * width + 1:part * width + 1].sum()) // ways[j].count(part))
         if repeat < 1:

@@ -71,6 +71,7 @@ def _quarters(fp: np.ndarray) -> np.ndarray:
 
 
 def _sorted(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    fp = np.ascontiguousarray(fp)
     q = _quarters(fp)
     order = np.lexsort((fp, q[:, 3], q[:, 2], q[:, 1], q[:, 0]))
     return fp[order], q[order]
@@ -171,7 +172,7 @@ def near_links(fps: DataFrame, radius: int = 4, blocks: int = 32, max_block_rows
     return dealt.groupBy("pair").applyInArrow(compare, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, blocks: int = 32) -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` for every row of ``docs (doc_id, text)``.
 
     ``component_id`` is the smallest ``doc_id`` that links of at most ``radius`` differing
@@ -179,7 +180,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataF
     """
     fps = stored(fingerprints(docs, shingle), "fingerprints")
     nodes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
-    roots = components(near_links(nodes.select("fp"), radius))
+    roots = components(near_links(nodes.select("fp"), radius, blocks))
     rooted = (nodes.join(roots.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left")
               .withColumn("root", F.coalesce("root", "fp")))
     names = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
@@ -188,13 +189,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataF
             .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
 
 
-def keep_one(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 4, radius: int = 4, blocks: int = 32) -> DataFrame:
     """The rows of ``docs`` whose ``doc_id`` names their class: one document of each class.
 
     If rows repeat that ``doc_id``, one of them stays (the first by a hash of its text, then
     by its columns), and so does one of all rows of classes without any id.
     """
-    found = near_duplicates(docs, shingle, radius)
+    found = near_duplicates(docs, shingle, radius, blocks)
     own, n, at = fresh_name(docs, "_kept"), fresh_name(docs, "_rows"), fresh_name(docs, "_at")
     kept = (found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
             .groupBy("doc_id").agg(F.count(F.lit(1)).alias(n)).select(F.col("doc_id").alias(own), n))
