@@ -19,6 +19,7 @@ import json
 import os
 import zlib
 from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -91,7 +92,7 @@ class WordTokenizer(dict):
 
 
 #: shares of the fitted repeat counts that are tried
-SHARES = (1.0, 0.75, 0.5, 0.25, 0.0)
+SHARES = (1.0, 0.75, 0.5, 0.25)
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
 
@@ -129,20 +130,21 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(each, schema)
 
 
-def patterns(units: int, most: int) -> list[tuple[int, ...]]:
-    """All ways to fill ``units`` with at most ``most`` parts, each way in falling order."""
-    out: list[tuple[int, ...]] = []
-
-    def grow(head: tuple[int, ...], left: int) -> None:
-        if left == 0:
-            out.append(head)
-        elif len(head) < most:
-            for part in range(min(left, head[-1] if head else left), 0, -1):
-                if part * (most - len(head)) < left:
+def patterns(lengths: list[int], capacity: int, slack: int) -> list[tuple[int, ...]]:
+    """All one to three of ``lengths`` (rising), falling, whose sum is at most ``capacity`` and less
+    than ``slack`` below it."""
+    out = [(x,) for x in lengths if capacity - slack < x <= capacity]
+    for i, x in enumerate(lengths):
+        for j in range(i + 1):
+            y = lengths[j]
+            if x + y > capacity:
+                break
+            if x + y > capacity - slack:
+                out.append((x, y))
+            for k in range(bisect_right(lengths, capacity - slack - x - y, 0, j + 1), j + 1):
+                if x + y + lengths[k] > capacity:
                     break
-                grow((*head, part), left - part)
-
-    grow((), units)
+                out.append((x, y, lengths[k]))
     return out
 
 
@@ -176,28 +178,38 @@ def nnls(a: np.ndarray, b: np.ndarray, steps: int = 600) -> np.ndarray:
     return x
 
 
-def plan(counts: np.ndarray, capacity: int, units: int = 128, most: int = 3) -> tuple[np.ndarray, int]:
+def plan(counts: np.ndarray, capacity: int, bins: int = 128) -> tuple[np.ndarray, int]:
     """Places for ``counts[length]`` pieces: rows ``(length, first, copies, sequence,
     offset)`` in order, and the number of sequences.  The pieces numbered from ``first`` of
     a length go ``copies`` at a time, from ``offset`` on, to ``sequence`` and those after it.
 
-    The fitted repeat counts are scaled by each of ``SHARES`` and rounded down, and the
-    plan of fewest sequences is taken (of equal ones, that with more patterns)."""
-    width = -(-capacity // units)
-    units = -(-capacity // width)
-    bins = np.add.reduceat(np.concatenate([counts[1:capacity + 1], np.zeros(width * units - capacity, np.int64)]),
-                           np.arange(0, width * units, width))
-    ways = patterns(units, most)
-    a = np.zeros((units, len(ways)))
+    Lengths are binned, the longest that occurs stands for its bin, and the patterns are those of
+    at most three bins that fill a sequence but for less than the width of a bin.  Missing a
+    piece weighs as much as it is long.  The fitted repeat counts are scaled by each of
+    ``SHARES`` and rounded down, and the plan of fewest sequences is taken (of equal ones, that
+    with more patterns)."""
+    width = -(-capacity // bins)
+    there = np.flatnonzero(counts[:capacity + 1])
+    there = there[there > 0]
+    if not len(there):
+        return np.empty((0, 5), np.int64), 0
+    starts = np.flatnonzero(np.diff((there - 1) // width, prepend=-1))
+    longest = [int(x) for x in there[np.append(starts[1:], len(there)) - 1]]
+    held = np.add.reduceat(counts[there], starts)
+    members = {x: there[i:j][::-1].tolist() for x, i, j in zip(longest, starts, np.append(starts[1:], len(there)))}
+    ways = patterns(longest, capacity, width)
+    place = {x: i for i, x in enumerate(longest)}
+    a = np.zeros((len(longest), len(ways)))
     for j, way in enumerate(ways):
-        for part in way:
-            a[part - 1, j] += 1
-    repeats = nnls(a, bins.astype(float))
-    return min((fill(counts, capacity, width, ways, repeats * share) for share in SHARES), key=lambda x: x[1])
+        for x in way:
+            a[place[x], j] += x / capacity
+    repeats = nnls(a, held * np.array(longest) / capacity)
+    return min((fill(counts, capacity, members, ways, repeats * share) for share in SHARES), key=lambda x: x[1])
 
 
-def fill(counts: np.ndarray, capacity: int, width: int, ways: list[tuple[int, ...]], repeats: np.ndarray) -> tuple[np.ndarray, int]:
-    """The plan that repeats ``ways`` (of bins of ``width`` lengths) and packs the rest."""
+def fill(counts: np.ndarray, capacity: int, members: dict[int, list[int]], ways: list[tuple[int, ...]],
+         repeats: np.ndarray) -> tuple[np.ndarray, int]:
+    """The plan that repeats ``ways`` (of bins, with their ``members``) and packs the rest."""
     left = counts.astype(np.int64).copy()
     left[0] = 0
     taken = np.zeros(len(left), np.int64)
@@ -205,13 +217,13 @@ def fill(counts: np.ndarray, capacity: int, width: int, ways: list[tuple[int, ..
     for j in np.argsort(-repeats, kind="stable"):
         repeat = int(repeats[j] + 1e-6)
         for part in set(ways[j]):
-            repeat = min(repeat, int(left[(part - 1) * width + 1:part * width + 1].sum()) // ways[j].count(part))
+            repeat = min(repeat, int(left[members[part]].sum()) // ways[j].count(part))
         if repeat < 1:
             continue
         slots = []
         for part in ways[j][:-1]:  # the longest pieces of each part's bin
             need, runs = repeat, []
-            for length in range(min(part * width, capacity), (part - 1) * width, -1):
+            for length in members[part]:
                 if (n := min(need, int(left[length]))) > 0:
                     runs.append((length, n))
                     left[length] -= n

@@ -436,7 +436,7 @@ def test_plan_places_every_piece_once(seed):
     rng = np.random.default_rng(seed)
     counts = np.zeros(257, np.int64)
     counts[rng.integers(1, 257, 60)] = rng.integers(1, 400, 60)
-    places, n = packing.plan(counts, 256, units=32)
+    places, n = packing.plan(counts, 256, bins=32)
     used, have = Counter(), Counter()
     for row, follow in zip(places.tolist(), [*places.tolist()[1:], None]):
         length, first, copies, sequence, offset = row
