@@ -168,9 +168,9 @@ def fit(scanned: DataFrame, sample: int = 20_000, trees: int = 12, depth: int =
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
 
-    one = scanned.select(F.col("base"), F.explode("proposed").alias("p"))
+    one = scanned.select("doc_id", "base", F.explode("proposed").alias("p"))
     covered = F.exists("base", lambda b: (b["kind"] == F.col("p.kind")) & (b["s"] <= F.col("p.e") - 1) & (F.col("p.s") <= b["e"] - 1))
-    luck = F.xxhash64("p.kind", "p.s", "p.e", "p.f")
+    luck = F.xxhash64("doc_id", "p.kind", "p.s", "p.e")
     rows = one.select("p.f", F.col("p.kind").alias("kind"), covered.cast("double").alias("label"), luck.alias("h"))
     drawn = stored(rows.orderBy("h").limit(sample), "sample")
     learn = drawn.filter(F.pmod("h", F.lit(4)) != 0)
