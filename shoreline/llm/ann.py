@@ -3,12 +3,15 @@
 Vectors are scaled to unit length and their two halves quantised separately, with
 codebooks fitted on a bounded sample; a cell is a pair of centroids.  A query visits cells
 in the order of its summed distance to both centroids, kept in a heap, until the cells
-visited hold ``candidates`` entries (all cells, if there are fewer entries); a cell is
-taken whole.  The entries of the visited cells are ranked by their cosine, in double
-precision on the original vectors.
+visited hold a certain share of all entries; a cell is taken whole.  The share is measured:
+the one at which queries of the sample find ``recall`` of their nearest neighbours in the
+sample, so clustered vectors need little of the index and vectors without any structure much
+of it.  The entries of the visited cells are ranked by their cosine, in double precision on the
+original vectors.
 
-Every row is indexed.  Cells of over ``block_rows`` entries are split into blocks, so a
-task holds a bounded number of vectors, and each block returns its best ``k`` a query.
+Every row is indexed.  Cells are packed into blocks of at most ``block_rows`` entries, and
+larger cells split, so a task holds a bounded number of vectors; each block returns its best
+``k`` a query.
 
 Defined cases: vectors that are NULL, zero, or hold a NULL or non-finite component take no
 part, nor do those whose length is not the most frequent one (the smallest of the most
@@ -93,20 +96,34 @@ def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.empty((0, 1))
 
 
-def best(queries: tuple[np.ndarray, np.ndarray], entries: tuple[np.ndarray, np.ndarray], k: int) -> list[tuple[int, int, float]]:
-    """The ``k`` entries of largest cosine for each query but itself: (query, entry, score)."""
+def fewer(eid: np.ndarray, e: np.ndarray, most: int) -> np.ndarray:
+    """Places of the entries of which any may be among the ``most - 1`` nearest of a query: of equal
+    vectors those with the ``most`` smallest ids."""
+    _, same = np.unique(np.ascontiguousarray(e).view([("", e.dtype)] * e.shape[1]).ravel(), return_inverse=True)
+    order = np.lexsort((eid, same))
+    start = np.searchsorted(same[order], same[order])
+    return np.sort(order[np.arange(len(order)) - start < most])
+
+
+def best(queries: tuple[np.ndarray, np.ndarray], entries: tuple[np.ndarray, np.ndarray], k: int,
+         allowed: np.ndarray | None = None) -> list[tuple[int, int, float]]:
+    """The ``k`` entries of largest cosine for each query but itself, among those that the
+    matrix ``allowed`` marks: (query, entry, score)."""
     (qid, q), (eid, e) = queries, entries
     out = []
-    en = np.sqrt((e * e).sum(axis=1))
+    qs, es = q / np.abs(q).max(axis=1, keepdims=True), e / np.abs(e).max(axis=1, keepdims=True)
+    en = np.sqrt((es * es).sum(axis=1))
     for lo in range(0, len(qid), 256):
-        part = q[lo:lo + 256]
-        score = part @ e.T / (np.sqrt((part * part).sum(axis=1))[:, None] * en[None])
+        part = qs[lo:lo + 256]
+        score = part @ es.T / (np.sqrt((part * part).sum(axis=1))[:, None] * en[None])
         score[qid[lo:lo + 256, None] == eid[None]] = -np.inf
+        if allowed is not None:
+            score[~allowed[lo:lo + 256]] = -np.inf
         # everything that may tie with the k-th
         least = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] > k else np.full(len(part), -2.0)
         rows, cols = np.nonzero((score >= least[:, None] - 1e-12) & np.isfinite(score))
         # pairs again one by one, so that a score doesn't depend on its block
-        exact = cosine(part[rows], e[cols])
+        exact = cosine(q[lo + rows], e[cols])
         order = np.lexsort((eid[cols], -exact, rows))
         rows, cols, exact = rows[order], cols[order], exact[order]
         start = np.searchsorted(rows, np.arange(len(part)))
@@ -121,71 +138,129 @@ def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * b).sum(axis=1) / np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1))
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 5, candidates: int = 4000, sample: int = 20_000,
-           centroids: int = 24, block_rows: int = 4096) -> DataFrame:
+def needed_share(x: np.ndarray, books: list[np.ndarray], k: int, recall: float, queries: int = 256) -> float:
+    """Share of the sample ``x`` (unit vectors) that the cells before a neighbour's hold, and its own,
+    for the share ``recall`` of the ``k`` nearest neighbours of some of its vectors."""
+    half, width = books[0].shape[1], len(books[1])
+    cell = nearest(x[:, :half], books[0]) * width + nearest(x[:, half:], books[1])
+    held = np.bincount(cell, minlength=len(books[0]) * width)
+    shares = []
+    for q in range(min(queries, len(x))):
+        score = x @ x[q]
+        score[q] = -np.inf
+        near = np.argsort(-score, kind="stable")[:min(k, len(x) - 1)]
+        d = distances(x[q:q + 1, :half], books[0])[0], distances(x[q:q + 1, half:], books[1])[0]
+        seen = np.cumsum(held[(order := np.argsort((d[0][:, None] + d[1][None]).ravel(), kind="stable"))])
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        shares += (seen[place[cell[near]]] / len(x)).tolist()
+    return float(np.quantile(shares, recall)) if shares else 1.0
+
+
+def blocks_of(held: np.ndarray, block_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """First block of each cell and its number of blocks: neighbouring cells share a block of at most
+    ``block_rows`` entries, a larger cell has some of its own."""
+    first, parts = np.zeros(len(held), np.int64), np.ones(len(held), np.int64)
+    block, used = 0, 0
+    for c, n in enumerate(held.tolist()):
+        if n > block_rows:
+            block, used = block + (used > 0), 0
+            first[c], parts[c] = block, -(-n // block_rows)
+            block += int(parts[c])
+        else:
+            if used + n > block_rows:
+                block, used = block + 1, 0
+            first[c] = block
+            used += n
+    return first, parts
+
+
+def search(vectors: DataFrame, is_query: Column, k: int = 5, recall: float = 0.95, sample: int = 20_000,
+           centroids: int = 48, block_rows: int = 4096, share: float | None = None) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` nearest found for every row that
-    ``is_query`` selects, among all rows of ``vectors (vec_id, embedding)`` but its own."""
+    ``is_query`` selects, among all rows of ``vectors (vec_id, embedding)`` but its own.
+
+    ``share`` of the entries to visit, if given, replaces the measured one."""
     spark = vectors.sparkSession
     clean = stored(usable(vectors), "vectors")
     n = clean.count()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     luck = F.shiftrightunsigned(F.xxhash64("vec_id"), 11) / F.lit(float(1 << 53))
-    fit = clean.filter(luck < sample / n).orderBy("vec_id").limit(2 * sample).select("v").toArrow() if n > sample else clean.orderBy("vec_id").select("v").toArrow()
+    drawn = clean.filter(luck < sample / n) if n > sample else clean
+    fit = drawn.orderBy(F.xxhash64("vec_id"), "vec_id").limit(2 * sample).select("v").toArrow()
     x = unit(matrix(fit.column(0)))
     half = x.shape[1] // 2 or x.shape[1]
     books = [codebook(x[:, :half], centroids), codebook(x[:, half:], centroids) if x.shape[1] > half else np.zeros((1, 0))]
     width = len(books[1])
+    wanted = (needed_share(x, books, k, recall) if share is None else share) * n
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            u = unit(matrix(b.column(1))) if b.num_rows else np.empty((0, half))
-            at = nearest(u[:, :half], books[0]) * width + nearest(u[:, half:], books[1]) if b.num_rows else np.empty(0, np.int64)
+            if not b.num_rows:
+                continue
+            u = unit(matrix(b.column(1)))
+            at = nearest(u[:, :half], books[0]) * width + nearest(u[:, half:], books[1])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at.astype(np.int32))], ["vec_id", "v", "cell"])
 
     index = stored(clean.mapInArrow(cells, "vec_id long, v array<double>, cell int"), "index")
     held = np.zeros(len(books[0]) * width, np.int64)
     for r in index.groupBy("cell").count().collect():  # a row a pair of centroids
         held[r["cell"]] = r["count"]
-    blocks = np.maximum(1, -(-held // block_rows))
+    first, parts = blocks_of(held, min(block_rows, max(256, n // 64)))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            u = unit(matrix(b.column(1)))
-            d = distances(u[:, :half], books[0]), distances(u[:, half:], books[1])
-            rows, cell, block = [], [], []
-            for i in range(b.num_rows):
-                for c in visit(d[0][i], d[1][i], held, candidates + 1):  # its own entry is none
-                    for part in range(blocks[c]):
-                        rows.append(i)
-                        cell.append(c)
-                        block.append(part)
-            take = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(cell, pa.int32()),
-                                              pa.array(block, pa.int32())], ["vec_id", "v", "cell", "block"])
-
-    schema = "vec_id long, v array<double>, cell int, block int"
-    asked = clean.filter(is_query).mapInArrow(walk, schema)
-    parts = spark.createDataFrame([(int(c), int(p)) for c, p in enumerate(blocks)], "cell int, parts int")
-    entries = (index.join(F.broadcast(parts), "cell")  # a row a pair of centroids
-               .select("vec_id", "v", "cell", F.pmod(F.xxhash64("vec_id", "v"), F.col("parts")).cast("int").alias("block")))
+            for lo in range(0, b.num_rows, 64):
+                some = b.slice(lo, 64)
+                u = unit(matrix(some.column(1)))
+                d = distances(u[:, :half], books[0]), distances(u[:, half:], books[1])
+                rows, block, inside = [], [], []
+                for i in range(some.num_rows):
+                    visited = np.sort(np.array(visit(d[0][i], d[1][i], held, int(wanted) + 1), np.int64))  # its own entry is none
+                    many = visited[parts[visited] > 1]
+                    for c in many.tolist():
+                        for part in range(parts[c]):
+                            rows.append(i)
+                            block.append(int(first[c]) + part)
+                            inside.append([c])
+                    few = visited[parts[visited] == 1]
+                    at, start = np.unique(first[few], return_index=True)
+                    rows += [i] * len(at)
+                    block += at.tolist()
+                    inside += [x.tolist() for x in np.split(few, start[1:])] if len(at) else []
+                take = pa.array(rows, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [some.column(0).take(take), some.column(1).take(take), pa.array(block, pa.int32()),
+                     pa.array(inside, pa.list_(pa.int32()))], ["vec_id", "v", "block", "cells"])
+
+    asked = clean.filter(is_query).mapInArrow(walk, "vec_id long, v array<double>, block int, cells array<int>")
+    where = spark.createDataFrame([(c, int(f), int(p)) for c, (f, p) in enumerate(zip(first, parts))], "cell int, first int, parts int")
+    entries = (index.join(F.broadcast(where), "cell")  # a row a pair of centroids
+               .select("vec_id", "v", "cell", (F.col("first") + F.pmod(F.xxhash64("vec_id", "v"), F.col("parts"))).cast("int").alias("block")))
 
     def rank(left: pa.Table, right: pa.Table) -> pa.Table:
         found = []
         if left.num_rows and right.num_rows:
-            eid, e = right.column("vec_id").to_numpy(), matrix(right.column("v"))
-            qid = left.column("vec_id").to_numpy()
-            for lo in range(0, left.num_rows, 4096):
-                found += best((qid[lo:lo + 4096], matrix(left.column("v").slice(lo, 4096))), (eid, e), k)
+            eid, e, cell = right.column("vec_id").to_numpy(), matrix(right.column("v")), right.column("cell").to_numpy()
+            keep = fewer(eid, e, k + 1)
+            eid, e, cell = eid[keep], e[keep], cell[keep]
+            here, of = np.unique(cell, return_inverse=True)
+            for lo in range(0, left.num_rows, 1024):
+                some = left.slice(lo, 1024)
+                inside = np.zeros((some.num_rows, len(here) + 1), bool)
+                lists = some.column("cells").combine_chunks()
+                row = np.repeat(np.arange(some.num_rows), lists.value_lengths().to_numpy())
+                at = np.searchsorted(here, c := lists.flatten().to_numpy())
+                inside[row, np.where(np.append(here, -1)[at] == c, at, len(here))] = True
+                found += best((some.column("vec_id").to_numpy(), matrix(some.column("v"))), (eid, e), k, inside[:, of])
         q, e, s = zip(*found) if found else ((), (), ())
         return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(e, pa.int64()), "score": pa.array(s, pa.float64())})
 
-    near = (asked.groupBy("cell", "block").cogroup(entries.groupBy("cell", "block"))
+    near = (asked.groupBy("block").cogroup(entries.groupBy("block"))
             .applyInArrow(rank, "query_id long, vec_id long, score double"))
-    first = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    top = first.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct(
+    once = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    top = once.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct(
         (-F.col("score")).alias("far"), "vec_id", "score"))), 1, k).alias("near"))  # k a visited block at most
     return top.select("query_id", F.posexplode("near").alias("at", "x")).select(
         "query_id", (F.col("at") + 1).cast("int").alias("rank"), "x.vec_id", "x.score")

@@ -519,7 +519,7 @@ def test_nearest_neighbours(spark):
     recall = check_near(got, ids, v, [i for i in rows if i % 50 == 0])
     assert recall >= 0.9
     # a small share of the cells
-    few = ann.search(common.table(spark, SF, "embeddings"), F.col("vec_id") % 50 == 0, 5, candidates=60, centroids=6).collect()
+    few = ann.search(common.table(spark, SF, "embeddings"), F.col("vec_id") % 50 == 0, 5, share=0.1, centroids=6).collect()
     assert 0.3 < check_near(few, ids, v, [i for i in rows if i % 50 == 0]) < 1
 
 
