@@ -35,10 +35,18 @@ BASE = {
     "card": r"[0-9]([\x20-]?[0-9])+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: the same matches, found in linear time and without recursion on long runs: a match begins at the
+#: start of a run of its first characters, or where the last match ended, and nothing is given back
+SCANNED = {
+    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
+    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    "phone": BASE["phone"],
+}
 KINDS = list(BASE)
 #: lenient proposals: pattern and the kinds that it may be
 PROPOSALS = [
-    (r"[\p{L}0-9._%+-]+\x20?(?:@|[(\[]at[)\]])\x20?[\p{L}0-9-]+(?:\x20?(?:\.|[(\[]dot[)\]])\x20?[\p{L}0-9-]+)+", ["email"]),
+    (r"(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]++\x20?(?:@|[(\[]at[)\]])\x20?[\p{L}0-9-]++(?:\x20?(?:\.|[(\[]dot[)\]])\x20?[\p{L}0-9-]++)++", ["email"]),
     (r"[0-9]{1,4}(?:[.,][0-9]{1,4}){3}", ["ip"]),
     (r"\+?[(0-9][0-9()\x20./-]{5,28}[0-9]", ["card", "phone"]),
 ]
@@ -76,13 +84,33 @@ def located(text: Column, pattern: str) -> Column:
         one = F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m"), x["before"].alias("before"), x["lead"].alias("lead"))
         return F.struct(e.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    def finish(acc: Column) -> Column:  # the text after a match begins the next part
-        out = acc["out"]
+    def chunked(p: Column) -> Column:  # growing an array copies it, so it is grown in chunks
+        chunk = lambda c: F.aggregate(F.slice(p, c * _CHUNK + 1, F.lit(_CHUNK)), start, add)
+        last = F.floor((F.size(p) - 1) / _CHUNK).cast("int")
+        return _let(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), last)), chunk), shifted)
+
+    def shifted(chunks: Column) -> Column:
+        zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
+        starts = F.aggregate(chunks, zero, lambda acc, c: F.struct(
+            (acc["at"] + c["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+        return F.flatten(F.zip_with(chunks, starts, lambda c, by: F.transform(c["out"], lambda x: F.struct(
+            (x["s"] + by).alias("s"), (x["e"] + by).alias("e"), x["m"].alias("m"), x["before"].alias("before"), x["lead"].alias("lead")))))
+
+    def finish(out: Column) -> Column:  # the text after a match begins the next part
         following = F.slice(out, 2, F.greatest(F.size(out) - 1, F.lit(0)))
         return F.zip_with(out, following, lambda x, y: F.struct(
             x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), x["before"].alias("before"), y["lead"].alias("after")))
 
-    return F.filter(F.aggregate(parts, start, add, finish), lambda x: x["m"].isNotNull())
+    return F.filter(_let(_let(parts, chunked), finish), lambda x: x["m"].isNotNull())
+
+
+#: matches of a chunk
+_CHUNK = 64
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def _when_any(text: Column, needs: str, spans: Column, kind: str) -> Column:
@@ -99,7 +127,7 @@ _PROPOSAL = "array<struct<kind:int,s:bigint,e:bigint,f:array<double>>>"
 def base_spans(text: Column) -> Column:
     parts = []
     for k, kind in enumerate(KINDS):
-        good = F.filter(located(text, BASE[kind]), lambda x: valid(kind, x["m"]))  # noqa: B023
+        good = F.filter(located(text, SCANNED[kind]), lambda x: valid(kind, x["m"]))  # noqa: B023
         spans = F.transform(good, lambda x: F.struct(F.lit(k).alias("kind"), x["s"].alias("s"), x["e"].alias("e")))  # noqa: B023
         parts.append(_when_any(text, "@" if kind == "email" else "[0-9]", spans, _SPAN))
     return F.concat(*parts)
@@ -200,9 +228,12 @@ def select(scanned: DataFrame, model: Model) -> DataFrame:
     least = F.create_map(*[F.lit(x) for kv in model.thresholds.items() for x in kv])
     scored = F.transform("proposed", lambda p: F.struct(
         p["kind"].alias("kind"), p["s"].alias("s"), p["e"].alias("e"), model.score(p["f"]).alias("score")))
-    good = F.filter(scored, lambda p: (p["score"] >= F.element_at(least, p["kind"]))
-                    & ~F.exists("base", lambda b: _touch(b, p)))
-    rows = scanned.select("doc_id", "base", good.alias("good"))
+    passed = scanned.select("doc_id", "base", F.filter(scored, lambda p: p["score"] >= F.element_at(least, p["kind"])).alias("passed"))
+    # most are base spans themselves: those go by hash before any span is held against another
+    plain = lambda p: F.struct(p["kind"].alias("kind"), p["s"].alias("s"), p["e"].alias("e"))
+    new = passed.withColumn("new", F.array_except(F.transform("passed", plain), F.col("base")))
+    good = F.filter("passed", lambda p: F.array_contains("new", plain(p)) & ~F.exists("base", lambda b: _touch(b, p)))
+    rows = new.select("doc_id", "base", F.when(F.size("new") > 0, good).otherwise(F.slice("passed", 1, 0)).alias("good"))
     better = lambda q, p: F.struct(-q["score"], q["s"], -q["e"], q["kind"]) < F.struct(-p["score"], p["s"], -p["e"], p["kind"])
     alone = F.filter("good", lambda p: ~F.exists("good", lambda q: _touch(p, q) & better(q, p)))
     return rows.select("doc_id", "base", F.transform(alone, lambda p: F.struct(p["kind"], p["s"], p["e"])).cast(_SPAN).alias("added"))

@@ -327,7 +327,8 @@ def test_line_dedup_edges(spark, odd, none):
 PII = [
     (0, "mail a.b@c.de, a@b a@b.c@d.e +1 (736) 555-2678 end"), (1, "ip 10.0.0.1 999.1.1.1 1.2.3.4.5 007.1.1.1"),
     (2, "card 4111 1111 1111 1111, 4111111111111112; 4111-1111-1111-1111-"), (3, "é 4111111111111111 +49 30 123456 \U0001f600 x@y.zz"),
-    (4, None), (5, ""), (6, "+1234567890123456 +12 3"), (7, "x@y.zz" * 300),
+    (4, None), (5, ""), (6, "+1234567890123456 +12 3"), (7, "x@y.zz" * 300), (8, "a@b.c+x@y.z.a@@b.c a@b.c..x@y 1.2.3.4.5.6.7.8 1..2.3.4.5"),
+    (9, "7" * 6_000 + " @ " + "w" * 6_000 + "@ 1.1.1.1"),
 ]
 
 
