@@ -65,8 +65,8 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected ``edges (u, v)`` of longs.
 
     Alternating large-star and small-star steps (Kiveris et al., 2014): each step
-    is an aggregate and a join on the node, so a node with very many links stays
-    splittable.  Edges are rewritten until they form stars; each round is stored.
+    is an aggregate, stored, and a join with it on the node, so that the links of a
+    node with very many can be split.  Edges are rewritten until they form stars.
     Returns ``(u, v)``: every node that is not the smallest of its component, with
     that smallest node.
     """
@@ -75,10 +75,11 @@ def components(edges: DataFrame) -> DataFrame:
     mark = _mark(edges)
     while mark[0]:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        low = stored(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "low")
         large = (both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .filter("u <> v").distinct())
-        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = stored(large, "large")
+        low2 = stored(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low2, "u").select(
             F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")
         ).select("e.*").filter("u <> v").distinct()

@@ -93,8 +93,10 @@ def later_copies(docs: DataFrame, min_chars: int) -> DataFrame:
     tail_ranks = levels.select("doc", F.col("line").alias("t"), "level", F.col("r").alias("r2"))
     found = stored(asked.withColumn("t", tail).join(head_ranks, ["doc", "s", "level"])
                    .join(tail_ranks, ["doc", "t", "level"]).select("doc", "s", "e", "n", "r1", "r2"), "intervals")
-    first = found.groupBy("n", "r1", "r2").agg(F.min(F.struct("doc", "s")).alias("at"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
-    copies = found.join(first.drop("copies"), ["n", "r1", "r2"]).filter(F.struct("doc", "s") > F.col("at"))
+    # stored, so that both sides of the join are plain rows and a run with very many copies can be split
+    first = stored(found.groupBy("n", "r1", "r2").agg(F.min(F.struct("doc", "s")).alias("at"), F.count(F.lit(1)).alias("copies"))
+                   .filter("copies > 1").drop("copies"), "first")
+    copies = found.join(first, ["n", "r1", "r2"]).filter(F.struct("doc", "s") > F.col("at"))
     lost = copies.select("doc", F.explode(F.sequence("s", "e")).alias("line")).distinct()
     gap = F.col("line") - F.coalesce(F.lag("line").over(Window.partitionBy("doc").orderBy("line")), F.lit(-1)) - 1
     part = lost.withColumn("part", F.concat(F.array_repeat(F.lit(False), gap), F.array(F.lit(True))))

@@ -80,7 +80,8 @@ def solve(classes: DataFrame, targets: DataFrame, max_copies: int = 2, tolerance
             .otherwise((low + high) / 2).alias("lam"), error.alias("error")), "dual")
         if (state.agg(F.max("error")).first()[0] or 0.0) <= tolerance:
             break
-    return state.select("sid", "lam", "mean")
+    # rounded, so that the order in which sums were added up cannot show in the copies
+    return state.select("sid", F.round("lam", 9).alias("lam"), "mean")
 
 
 def settle(rounded: DataFrame, targets: DataFrame, max_copies: int) -> DataFrame:
