@@ -654,4 +654,3 @@ def test_pipeline_stages(spark, odd, none, texts):
     for r in rows:
         check[r["sequence_id"]] += r["length"]
     assert max(check.values()) <= 2048 and {r["doc_id"] for r in rows} <= set(texts)
-    assert corpus_pipeline.run(spark, SF).agg(F.sum("length")).first()[0] == sum(check.values())
