@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shoreline.llm.common import stored
+from shoreline.llm.common import ship, stored
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -182,6 +182,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, recall: float = 0.9
 
     ``share`` of the entries to visit, if given, replaces the measured one."""
     spark = vectors.sparkSession
+    ship(spark)
     clean = stored(usable(vectors), "vectors")
     n = clean.count()
     if not n:

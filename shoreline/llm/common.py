@@ -2,16 +2,37 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shoreline.operators._util import fresh_name, qcol
 from shoreline.session import materialize, scratch_folder
 
-__all__ = ["components", "fresh_name", "gapless_index", "ordered_index", "ordered_rank", "qcol", "scratch", "stored",
+__all__ = ["components", "fresh_name", "gapless_index", "ordered_index", "ordered_rank", "qcol", "scratch", "ship", "stored",
            "table", "word_count"]
 
 
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package wherever the driver was started: once an
+    application, its source files go to the executors as a zip file."""
+    sc = spark.sparkContext
+    if getattr(sc, "_shoreline_shipped", None):
+        return
+    package = Path(__file__).resolve().parent.parent
+    folder = tempfile.TemporaryDirectory()  # on the driver, whose file server hands it out; goes with the context
+    path = os.path.join(folder.name, f"{package.name}.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for f in sorted(package.rglob("*.py")):
+            out.write(f, f.relative_to(package.parent))
+    sc.addPyFile(path)
+    sc._shoreline_shipped = folder
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

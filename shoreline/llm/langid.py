@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shoreline.llm.common import fresh_name, qcol, stored
+from shoreline.llm.common import fresh_name, qcol, ship, stored
 
 UND = "und"
 _CHUNK = 1 << 20
@@ -207,6 +207,7 @@ def identify(docs: DataFrame, learn: Column | None = None, order: int = 3, max_c
     ``score`` is the posterior probability of the predicted language.  With ``keep``, these
     columns of ``docs`` come instead of the first two; ``names`` are those of the last two.
     """
+    ship(docs.sparkSession)
     learn = may_learn(F.col("doc_id")) if learn is None else learn
     model = train(sample(docs, learn, sample_rows, sample_bytes), order, max_contexts)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)).alias("held_out")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shoreline.llm.common import gapless_index, stored
+from shoreline.llm.common import gapless_index, ship, stored
 
 #: white space besides the blank at which texts are split into words
 _SPACES = "\t\n\x0b\x0c\r"
@@ -100,6 +100,7 @@ _TOKENIZERS: dict[str, WordTokenizer] = {}
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32)`` and, if asked, ``ids``: every document's
     ids and the end id, cut at ``capacity``."""
+    ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("piece", T.IntegerType()),
                            T.StructField("start", T.LongType()), T.StructField("length", T.LongType()),

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shoreline.llm.common import stored
+from shoreline.llm.common import ship, stored
 
 #: words of a repeated window
 WINDOW = 8
@@ -75,6 +75,7 @@ def counts(text: str | None) -> tuple[int, ...]:
 
 def text_counts(docs: DataFrame) -> DataFrame:
     """``(doc_id, lang, source)`` and the counts of every row."""
+    ship(docs.sparkSession)
     kept = docs.select("doc_id", F.col("lang").cast("string"), F.col("source").cast("string"))
     schema = T.StructType([*kept.schema.fields, *[T.StructField(c, T.LongType()) for c in _COUNTS]])
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoreline.llm.common import gapless_index, stored
+from shoreline.llm.common import gapless_index, ship, stored
 
 #: bytes that a record needs besides its text
 OVERHEAD = 16
@@ -74,6 +74,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40, ranges_per_shard: int = 12
     most ``shards / heavy_share`` groups of over ``heavy_share`` of a shard.
     """
     spark = docs.sparkSession
+    ship(spark)
     rows = stored(records(docs), "records")
     total, n = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
     share = total / shards

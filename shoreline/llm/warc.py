@@ -31,6 +31,8 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import (DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition,
                                     IsNotNull, WriterCommitMessage)
 
+from shoreline.llm.common import ship
+
 #: column and header of a record's fields, fixed by the format; the last three are extensions
 HEADERS = {
     "record_type": "WARC-Type",
@@ -266,6 +268,7 @@ class WarcSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    ship(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)
 
