@@ -125,7 +125,7 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, total_share: flo
                .withColumn("k", F.col("upto") - F.coalesce(F.lag("upto").over(Window.partitionBy("sid").orderBy("size")), F.lit(0)))
                .select(F.col("sid").alias("_sid"), F.col("size").alias("_size"), F.col("n").alias("_n"),
                        F.least(F.col("k"), F.col("n") * max_copies).alias("_k")))
-    rounded = settle(rounded, targets, max_copies)
+    rounded = stored(settle(rounded, targets, max_copies), "rounded")
     # joined before they are numbered: a join of plain rows can be split where a class is large
     classed = rows.join(rounded, (F.col("sid") == F.col("_sid")) & (F.col("size") == F.col("_size")), "left")
     indexed = gapless_index(classed, ["sid", "size"], ["doc_id"], ["doc_id"], "_at", 16)
