@@ -2,7 +2,9 @@
 
 Every text gets exact counts.  For each language and source, quantile sketches of a few
 ratios give the thresholds in place of fixed cutoffs: a ratio is out of bounds if it lies
-beyond the quartiles by more than ``reach`` times their distance.  The sketch is a
+beyond the quartiles by more than ``reach`` times their distance.  Where over half of a
+group has one value, wider ranges of the sketch or the spread within the groups of the
+language or the corpus stand in for that distance (``spreads``).  The sketch is a
 histogram of logarithmic buckets with a relative error of ``accuracy`` (DDSketch, 2019):
 sketches merge by adding counts, so those of a language and of the whole corpus, which
 stand in for groups of fewer than ``min_rows`` rows, are sums of the others.  The
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +32,10 @@ from shoreline.llm.common import ship, stored
 
 #: words of a repeated window
 WINDOW = 8
-#: ratio, its least quartile distance, and whether a low value is out of bounds too
-RULES = {"symbols": (0.10, False), "duplicate_lines": (0.10, False), "word_length": (0.50, True)}
+#: ratio, the distance to the quartiles that is never out of bounds, and whether a low value is out of bounds too
+RULES = {"symbols": (0.10, False), "duplicate_lines": (0.10, False), "word_length": (1.0, True)}
+#: shares of rows beyond either end of the ranges that tell the spread
+RANGES = (0.25, 0.10, 0.05, 0.025, 0.01)
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 
 
@@ -108,38 +113,78 @@ def merge(sketches: DataFrame, keys: list[str]) -> DataFrame:
     return sketches.groupBy(*keys, "rule", "bucket").agg(F.sum("n").alias("n"))
 
 
-def quartiles(sketches: DataFrame, keys: list[str], accuracy: float = 0.01) -> DataFrame:
-    """``(*keys, rule, rows, q1, q3)``: values within ``accuracy`` of the exact quartiles."""
+def _quantiles(values: DataFrame, keys: list[str], wanted: dict[str, float]) -> DataFrame:
+    """``(*keys, rule, rows, *wanted)`` of values ``v`` that stand for ``n`` rows each."""
     group = Window.partitionBy(*keys, "rule")
-    below = group.orderBy(F.col("bucket").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    below = group.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = values.withColumns({"upto": F.sum("n").over(below), "rows": F.sum("n").over(group)})
+    at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("rows"), F.col("v")))
+    return ranked.groupBy(*keys, "rule").agg(F.first("rows").alias("rows"), *[at(q).alias(name) for name, q in wanted.items()])
+
+
+def _value(bucket: Column, accuracy: float) -> Column:
+    gamma = math.log((1 + accuracy) / (1 - accuracy))
+    return F.coalesce(F.exp(bucket * gamma) * (1 - accuracy), F.lit(0.0))
+
+
+def quartiles(sketches: DataFrame, keys: list[str], accuracy: float = 0.01) -> DataFrame:
+    """``(*keys, rule, rows, q1, q2, q3)``: values within ``accuracy`` of the exact quartiles."""
+    return _quantiles(sketches.withColumn("v", _value(F.col("bucket"), accuracy)), keys, {"q1": 0.25, "q2": 0.5, "q3": 0.75})
+
+
+def _with_parents(own: DataFrame, lang: DataFrame, all_: DataFrame) -> DataFrame:
+    """Rows ``(lang, source, rule)`` with the columns of their own group, the language and the
+    corpus, prefixed ``own_``, ``lang_`` and ``all_``."""
+    named = lambda df, name: df.select(*[F.col(c).alias(f"{name}_{c}") for c in df.columns])
+    a, b, c = named(own, "own"), named(lang, "lang"), named(all_, "all")
+    return (a.join(b, F.col("own_lang").eqNullSafe(F.col("lang_lang")) & (F.col("own_rule") == F.col("lang_rule")))
+            .join(F.broadcast(c), F.col("own_rule") == F.col("all_rule"))  # a row a rule
+            .withColumnsRenamed({"own_lang": "lang", "own_source": "source", "own_rule": "rule"}).drop("lang_lang", "lang_rule", "all_rule"))
+
+
+def spreads(own: DataFrame, quarters: DataFrame, min_rows: int, accuracy: float = 0.01) -> DataFrame:
+    """``(lang, source, rule, spread)``: the quartile distance, or what stands in for it.
+
+    Distances are those of the values to the median of their group, so that groups of
+    different levels don't widen each other.  The narrowest of the ``RANGES`` that is not 0
+    counts, of the group itself, else of its language, else of the corpus; it is scaled to
+    the quartile distance of a normal distribution.  A range needs as many rows beyond it as
+    ``min_rows`` rows have beyond a quartile.
+    """
     gamma = math.log((1 + accuracy) / (1 - accuracy))
-    value = F.coalesce(F.exp(F.col("bucket") * gamma) * (1 - accuracy), F.lit(0.0))
-    ranked = sketches.withColumns({"upto": F.sum("n").over(below), "rows": F.sum("n").over(group)})
-    at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("rows"), value))
-    return ranked.groupBy(*keys, "rule").agg(F.first("rows").alias("rows"), at(0.25).alias("q1"), at(0.75).alias("q3"))
+    centre = quarters.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.col("rule").alias("_rule"), F.col("q2").alias("_q2"))
+    far = (own.join(centre, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("rule") == F.col("_rule")))
+           .withColumn("d", _value(F.col("bucket"), accuracy) - F.col("_q2")))
+    # buckets again, so that a coarser group has few however many groups it holds
+    sized = F.when(F.abs("d") > 1e-9, F.signum("d") * F.exp(F.ceil(F.log(F.abs("d")) / gamma) * gamma) * (1 - accuracy)).otherwise(F.lit(0.0))
+    far = stored(far.groupBy("lang", "source", "rule", sized.alias("v")).agg(F.sum("n").alias("n")), "distances")
+    wanted = {f"{end}{i}": q for i, t in enumerate(RANGES) for end, q in (("lo", t), ("hi", 1 - t))}
+    level = lambda keys: _quantiles(far.groupBy(*keys, "rule", "v").agg(F.sum("n").alias("n")), keys, wanted)
+    joined = _with_parents(level(["lang", "source"]), level(["lang"]), level([]))
+    normal = NormalDist()
+    found = []
+    for i, t in enumerate(RANGES):
+        for name in ("own", "lang", "all"):
+            wide = (F.col(f"{name}_hi{i}") - F.col(f"{name}_lo{i}")) * (normal.inv_cdf(0.75) / normal.inv_cdf(1 - t))
+            found.append(F.when((F.col(f"{name}_rows") * t >= min_rows / 4) & (wide > 0), wide))
+    return joined.select("lang", "source", "rule", F.coalesce(*found, F.lit(0.0)).alias("spread"))
 
 
 def thresholds(rows: DataFrame, min_rows: int = 100, reach: float = 6.0, accuracy: float = 0.01) -> DataFrame:
     """``(lang, source)`` with ``<rule>_low`` and ``<rule>_high`` for every group of ``rows``."""
     own = stored(sketch(rows, ["lang", "source"], accuracy), "sketches")
-    parts = [quartiles(own, ["lang", "source"], accuracy),
-             quartiles(merge(own, ["lang"]), ["lang"], accuracy),
-             quartiles(merge(own, []), [], accuracy)]
+    joined = _with_parents(quartiles(own, ["lang", "source"], accuracy), quartiles(merge(own, ["lang"]), ["lang"], accuracy),
+                           quartiles(merge(own, []), [], accuracy))
+    pick = lambda q: (F.when(F.col("own_rows") >= min_rows, F.col(f"own_{q}"))
+                      .when(F.col("lang_rows") >= min_rows, F.col(f"lang_{q}")).otherwise(F.col(f"all_{q}")))
+    quarters = stored(joined.select("lang", "source", "rule", *[pick(q).alias(q) for q in ("q1", "q2", "q3")]), "quartiles")
+    wide = spreads(own, quarters, min_rows, accuracy).select(
+        F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.col("rule").alias("_rule"), "spread")
     least = F.element_at(F.create_map(*[F.lit(x) for k, (w, _) in RULES.items() for x in (k, w)]), F.col("rule"))
-    bounds = []
-    for name, part in zip(("own", "lang", "all"), parts):
-        wide = F.greatest(F.col("q3") - F.col("q1"), least) * reach
-        b = part.select(*[F.col(c).alias(f"{name}_{c}") for c in part.columns if c in ("lang", "source")],
-                        F.col("rule").alias(f"{name}_rule"), F.col("rows").alias(f"{name}_rows"),
-                        (F.col("q1") - wide).alias(f"{name}_low"), (F.col("q3") + wide).alias(f"{name}_high"))
-        bounds.append(b)
-    a, b, c = bounds
-    joined = (a.join(b, F.col("own_lang").eqNullSafe(F.col("lang_lang")) & (F.col("own_rule") == F.col("lang_rule")))
-              .join(F.broadcast(c), F.col("own_rule") == F.col("all_rule")))  # a row a rule
-    pick = lambda end: (F.when(F.col("own_rows") >= min_rows, F.col(f"own_{end}"))
-                        .when(F.col("lang_rows") >= min_rows, F.col(f"lang_{end}")).otherwise(F.col(f"all_{end}")))
-    flat = joined.select(F.col("own_lang").alias("lang"), F.col("own_source").alias("source"), F.col("own_rule").alias("rule"),
-                         pick("low").alias("low"), pick("high").alias("high"))
+    away = F.greatest(F.col("spread") * reach, least)
+    slack = (1 + accuracy) / (1 - accuracy)  # a quartile of the sketch may be that far from its own values
+    flat = (quarters.join(wide, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("rule") == F.col("_rule")))
+            .select("lang", "source", "rule", (F.col("q1") / slack - away).alias("low"), (F.col("q3") * slack + away).alias("high")))
     ends = [F.max(F.when(F.col("rule") == k, F.col(end))).alias(f"{k}_{end}") for k in RULES for end in ("low", "high")]
     return flat.groupBy("lang", "source").agg(*ends)
 

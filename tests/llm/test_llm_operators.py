@@ -511,6 +511,20 @@ def test_thresholds_follow_the_group(spark):
     assert not got.pop(5000) and all(got.values())
 
 
+def test_thresholds_come_from_the_spread(spark):
+    def text(i, marks, size):  # words of 4 + size letters on average
+        w = [chr(97 + (i * 7 + k) % 26) * (4 + (k % 10 < size * 10)) + chr(97 + k % 26) for k in range(100)]
+        return " ".join(x + "#" * (k < marks) for k, x in enumerate(w))
+
+    # three of a hundred symbols a word in a tenth of one group, forty in a tenth of another
+    rows = [(1000 * g + i, text(i, marks * (i % 10 == 0), (1 + i % 5) / 10), f"l{g}", "a") for g, marks in enumerate((3, 40)) for i in range(400)]
+    rows += [(9000, text(1, 50, 0.2), "l0", "a"), (9001, text(1, 50, 0.2), "l1", "a")]
+    # word lengths in a narrow band: 2.5 letters more are far out of it
+    rows += [(9002, " ".join(x + "zz" + "z" * (k % 2) for k, x in enumerate(text(1, 0, 0.2).split())), "l0", "a")]
+    got = {r["doc_id"]: r["kept"] for r in quality.judge(frame(spark, rows, clash=False)).collect()}
+    assert not got.pop(9000) and not got.pop(9002) and all(got.values())
+
+
 # --- nearest neighbours
 
 def test_nearest_neighbours(spark):
