@@ -5,12 +5,12 @@ propose further spans, which may overlap: gradient-boosted trees over format and
 features score every proposal, and those above a threshold calibrated per kind, that touch no
 base span, are added; of overlapping additions the better one stays.
 
-The trees are fitted on a bounded sample of proposals, labelled by whether a base span of the
+The trees are fitted on a bounded sample of proposals, as many of each kind, labelled by whether a base span of the
 kind covers them; the features leave out what the base rules check last (a leading plus,
 the card checksum, the range of address parts), so the trees tell spans that look and stand
-like personal data.  The threshold of a kind is the lowest score above which, among proposals
-of a held-out fold, at least ``precision`` are base spans; a kind with fewer than ``min_support``
-such proposals gets no additions.
+like personal data.  The threshold of a kind is the lowest score above which, among all proposals that the trees were
+not fitted on, the lower confidence bound (Wilson's) of the share of base spans is at least
+``precision``; a kind with too few base spans for such a bound gets no additions.
 
 DataFrame operations only; fitted trees become column expressions.  Defined cases: a NULL text
 is an empty one, without spans; a NULL ``doc_id`` is a value like any other; repeated rows
@@ -22,6 +22,7 @@ columns are ignored.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -190,9 +191,9 @@ def _tree(node):
     return (int(node.split().featureIndex()), float(node.split().threshold()), _tree(node.leftChild()), _tree(node.rightChild()))
 
 
-def fit(scanned: DataFrame, sample: int = 20_000, trees: int = 12, depth: int = 3, precision: float = 0.98, min_support: int = 50) -> Model:
-    """Boosted trees on at most about ``sample`` proposals of smallest hash, thresholds on a
-    held-out quarter of them."""
+def fit(scanned: DataFrame, sample: int = 20_000, trees: int = 12, depth: int = 3, precision: float = 0.98, confidence: float = 0.9) -> Model:
+    """Boosted trees on at most ``sample`` proposals, a quarter of those of each kind or less;
+    thresholds on all others."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
 
@@ -200,21 +201,32 @@ def fit(scanned: DataFrame, sample: int = 20_000, trees: int = 12, depth: int =
     covered = F.exists("base", lambda b: (b["kind"] == F.col("p.kind")) & (b["s"] <= F.col("p.e") - 1) & (F.col("p.s") <= b["e"] - 1))
     luck = F.xxhash64("doc_id", "p.kind", "p.s", "p.e")
     rows = one.select("p.f", F.col("p.kind").alias("kind"), covered.cast("double").alias("label"), luck.alias("h"))
-    drawn = stored(rows.orderBy("h").limit(sample), "sample")
-    learn = drawn.filter(F.pmod("h", F.lit(4)) != 0)
+    sizes = one.groupBy(F.col("p.kind").alias("kind")).agg(F.count(F.lit(1)).alias("n")).collect()  # a row a kind
+    if not sizes:
+        return Model([], {})
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["kind"], min(0.25, sample / len(KINDS) / r["n"]))])
+    drawn = F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53)) < F.element_at(share, F.col("kind"))
+    order = ["h", "kind", "f", "label"]  # one hash may stand for many rows without an id
+    learn = stored(rows.filter(drawn).orderBy(*order).limit(sample), "sample")
     if learn.select("label").distinct().count() < 2:
         return Model([], {})
     fitted = GBTClassifier(maxIter=trees, maxDepth=depth, maxBins=32, stepSize=0.3, seed=11).fit(
-        learn.select("label", array_to_vector("f").alias("features")).orderBy("h"))
+        learn.orderBy(*order).select("label", array_to_vector("f").alias("features")))
     model = Model([(float(w), _tree(t._java_obj.rootNode())) for w, t in zip(fitted.treeWeights, fitted.trees)], {})
-    test = drawn.filter(F.pmod("h", F.lit(4)) == 0).select("kind", "label", model.score(F.col("f")).alias("score"))
-    steps = test.groupBy("kind", "score").agg(F.sum("label").alias("good"), F.count(F.lit(1)).alias("n"))
+    model.thresholds.update(calibrate(rows.filter(~drawn).select("kind", "label", model.score(F.col("f")).alias("score")), precision, confidence))
+    return model
+
+
+def calibrate(scored: DataFrame, precision: float, confidence: float) -> dict[int, float]:
+    """The threshold of each kind of ``scored (kind, label, score)``, in steps of 1/1024."""
+    step = F.floor(F.col("score") * 1024) / F.lit(1024.0)
+    steps = scored.groupBy("kind", step.alias("score")).agg(F.sum("label").alias("good"), F.count(F.lit(1)).alias("n"))
     above = Window.partitionBy("kind").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
     sums = steps.select("kind", "score", F.sum("good").over(above).alias("good"), F.sum("n").over(above).alias("n"))
-    for r in (sums.filter((F.col("good") >= precision * F.col("n")) & (F.col("good") >= min_support))
-              .groupBy("kind").agg(F.min("score").alias("least")).collect()):
-        model.thresholds[r["kind"]] = r["least"]
-    return model
+    z = NormalDist().inv_cdf(confidence)
+    p, n = F.col("good") / F.col("n"), F.col("n")
+    bound = (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+    return {r["kind"]: r["least"] for r in sums.filter(bound >= precision).groupBy("kind").agg(F.min("score").alias("least")).collect()}
 
 
 def _touch(a: Column, b: Column) -> Column:

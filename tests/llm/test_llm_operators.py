@@ -385,6 +385,18 @@ def test_pii_model_adds_what_looks_like_the_rest(spark):
     assert all(found[1000 + i] == listed(plain_spans(rows[600 + i][1])) for i in range(300))
 
 
+def test_pii_thresholds_come_from_all_proposals(spark):
+    rows = [(i, f"write to user{i}@site{i % 7}.org now", "en", "a") for i in range(280)]
+    rows += [(1000 + i, "numbers " + " ".join(str(10**6 + 7919 * (i * 40 + k)) for k in range(40)), "en", "a") for i in range(750)]
+    rows.append((5000, "write to someone(at)site3.org now", "en", "a"))
+    scanned = common.stored(pii.scan(frame(spark, rows, clash=False)), "test")
+    model = pii.fit(scanned)  # an email is under 1% of the proposals, and there are few
+    assert pii.KINDS.index("email") in model.thresholds
+    scored = spark.createDataFrame([(0, float(i < 97), 1.0) for i in range(100)] + [(1, 1.0, 0.5)] * 200 + [(1, 0.0, 0.25)] * 9 + [(2, 1.0, 1.0)] * 20,
+                                   "kind int, label double, score double")
+    assert pii.calibrate(scored, 0.98, 0.9) == {1: 0.5}
+
+
 # --- packing
 
 def check_packing(rows, source, capacity=2048):
