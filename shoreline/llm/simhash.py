@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,16 +50,20 @@ def simhash(text: str | None, shingle: int = 4) -> int:
     return int(np.packbits(2 * counts > len(bits), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """``(doc_id, fp)``: the SimHash of every row's text, as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = 4, key: Column | None = None) -> DataFrame:
+    """``(doc_id, fp)``: the SimHash of every row's text, as a signed long; and the string ``key``, if given."""
+    carried = [F.col("doc_id")] if key is None else [F.col("doc_id"), key.alias("key")]
+    names = ["doc_id", "fp"] if key is None else ["doc_id", "key", "fp"]
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.fromiter((simhash(t.as_py(), shingle) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            fps = np.fromiter((simhash(t.as_py(), shingle) for t in b.column(0)), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(fps.view(np.int64))], names)
 
     ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(each, f"doc_id {kind}, fp long")
+    schema = f"doc_id {kind}, fp long" if key is None else f"doc_id {kind}, key string, fp long"
+    return docs.select(F.col("text").cast("string"), *carried).mapInArrow(each, schema)
 
 
 def _boxes(counts: np.ndarray, tile: int) -> tuple[np.ndarray, np.ndarray]:
@@ -173,6 +177,13 @@ def near_links(fps: DataFrame, radius: int = 4, blocks: int = 32, max_block_rows
     return dealt.groupBy("pair").applyInArrow(compare, "u long, v long")
 
 
+def _classes(nodes: DataFrame, radius: int, blocks: int) -> DataFrame:
+    """``nodes`` (with distinct ``fp``) and the fingerprint ``root`` that stands for their class."""
+    roots = components(near_links(nodes.select("fp"), radius, blocks))
+    return (nodes.join(roots.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left")
+            .withColumn("root", F.coalesce("root", "fp")))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, blocks: int = 32) -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` for every row of ``docs (doc_id, text)``.
 
@@ -181,9 +192,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, blocks:
     """
     fps = stored(fingerprints(docs, shingle), "fingerprints")
     nodes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
-    roots = components(near_links(nodes.select("fp"), radius, blocks))
-    rooted = (nodes.join(roots.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left")
-              .withColumn("root", F.coalesce("root", "fp")))
+    rooted = _classes(nodes, radius, blocks)
     names = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     classes = rooted.join(names, "root").select("fp", "component_id")
     return (fps.join(classes, "fp")
@@ -191,20 +200,26 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, blocks:
 
 
 def keep_one(docs: DataFrame, shingle: int = 4, radius: int = 4, blocks: int = 32) -> DataFrame:
-    """The rows of ``docs`` whose ``doc_id`` names their class: one document of each class.
+    """One row of each class of near duplicates: that of the smallest ``doc_id`` (a missing one
+    comes last), then the smallest hash of its text, then the first by its columns.
 
-    If rows repeat that ``doc_id``, one of them stays (the first by a hash of its text, then
-    by its columns), and so does one of all rows of classes without any id.
+    Classes are told by their texts alone, so a ``doc_id`` that is missing or stands on
+    several texts may stay several times, once a class.
     """
-    found = near_duplicates(docs, shingle, radius, blocks)
-    own, n, at = fresh_name(docs, "_kept"), fresh_name(docs, "_rows"), fresh_name(docs, "_at")
-    kept = (found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .groupBy("doc_id").agg(F.count(F.lit(1)).alias(n)).select(F.col("doc_id").alias(own), n))
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col(own)))
+    text_hash = lambda: F.coalesce(F.md5(F.col("text").cast("string").cast("binary")), F.lit(""))
+    fps = fingerprints(docs, shingle, text_hash())
+    # rows of one id and text are in one class: their number tells whether one must be picked
+    texts = fps.groupBy("fp", "doc_id", "key").agg(F.count(F.lit(1)).alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "n"))
+    nodes = stored(texts.groupBy("fp").agg(first.alias("rep")), "nodes")
+    own, hashed, n, at = (fresh_name(docs, c) for c in ("_kept", "_hash", "_rows", "_at"))
+    kept = (_classes(nodes, radius, blocks).groupBy("root").agg(F.min("rep").alias("rep"))
+            .select(F.col("rep.doc_id").alias(own), F.col("rep.key").alias(hashed), F.col("rep.n").alias(n)))
+    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col(own)) & (text_hash() == F.col(hashed)))
     columns = [qcol(c) for c in docs.columns]
     single = rows.filter(F.col(n) == 1).select(*columns)
-    order = [F.xxhash64("text"), *[qcol(f.name) for f in docs.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]]
+    order = [qcol(f.name) for f in docs.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
     first = (rows.filter(F.col(n) > 1)
-             .withColumn(at, F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)))
+             .withColumn(at, F.row_number().over(Window.partitionBy(own, hashed).orderBy(*order)))
              .filter(F.col(at) == 1).select(*columns))
     return single.unionByName(first)

@@ -105,6 +105,15 @@ def test_simhash_odd_rows(odd, none):
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter([0, 1, 2, 5, 6, None, 9, 10])
 
 
+def test_one_document_of_each_class_stays_whatever_its_id(spark):
+    rng = np.random.default_rng(8)
+    a, b, c, d, e = (" ".join("".join(map(chr, rng.integers(97, 123, 6))) for _ in range(60)) for _ in range(5))
+    rows = [(None, a), (None, b), (None, b), (7, c), (None, c), (8, d), (8, e), (5, a + " x"), (3, d), (5, e), (2, b + " "), (2, c)]
+    kept = simhash.keep_one(frame(spark, [(i, t, "en", "s") for i, t in rows]), radius=0, blocks=4)
+    got = Counter((r["doc_id"], r["text"]) for r in kept.collect())
+    assert got == Counter([(None, a), (2, b + " "), (2, c), (3, d), (5, e), (5, a + " x")])
+
+
 def test_links_span_dense_groups_and_chains():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 40, dtype=np.uint64)
