@@ -339,6 +339,11 @@ FROM g""",
         "regex_search": _search_sql(),
         "regex_search_unselected": _search_sql("regexp_matches(lower(s), 'all')"),
         "distinct_sorted": "SELECT DISTINCT p_type AS s FROM part",
+        "skewed_full_join": """
+WITH o AS (SELECT CASE o_orderkey % 3 WHEN 0 THEN NULL WHEN 1 THEN 1 ELSE o_custkey END AS k, o_orderkey, o_orderstatus FROM orders),
+c AS (SELECT nullif(c_custkey, 2) AS k, c_name, c_mktsegment FROM customer)
+SELECT coalesce(o.k, c.k) AS custkey, o_orderkey, o_orderstatus, c_name, c_mktsegment
+FROM o FULL OUTER JOIN c ON o.k IS NOT DISTINCT FROM c.k""",
     }
 
 
@@ -569,7 +574,38 @@ FROM (SELECT *,
        WHEN monitored_beaches < 0 THEN '-Infinity'::DOUBLE
        ELSE 'NaN'::DOUBLE END * 100 AS pct FROM g)"""
 
+    def document(ctes: str, table: str, columns: list[str], order: str) -> str:
+        """Header and rows of a CSV file with their places."""
+        field = ("CASE WHEN {c} IS NULL THEN 'NA' WHEN regexp_matches(CAST({c} AS VARCHAR), '[,\"\\n]') "
+                 "THEN '\"' || replace(CAST({c} AS VARCHAR), '\"', '\"\"') || '\"' ELSE CAST({c} AS VARCHAR) END")
+        line = " || ',' || ".join(field.format(c=c) for c in columns)
+        return f"""{ctes}
+SELECT CAST(0 AS BIGINT) AS place, {_q(','.join(columns))} AS line UNION ALL
+SELECT row_number() OVER (ORDER BY {order}), {line} FROM ({table})"""
+
+    site_keys = ", ".join(f"{k} NULLS LAST" for k in _KEYS)
+    pb_cols = [*_KEYS, "reasons", "indicators", "sources", "no_of_beach_actions", "no_of_days_under_action", "closure",
+               "rain_advisory", "contamination_advisory"]
+    sum_cols = ["state", *state_sum_cols, "number_of_beaches_with_actions", "actionsperbeach", "daysperbeach"]
+    whole = lambda c: f"CASE WHEN {c} = floor({c}) THEN CAST(CAST({c} AS BIGINT) AS VARCHAR) ELSE CAST({c} AS VARCHAR) END AS {c}"
+    lined = _BASE.replace("c_name || ' Cove'", "c_name || chr(10) || '\"Cove\"'")
+    assert lined != _BASE
     return {
+        "beach_csv_multiline": f"WITH {lined},{per_beach}\nSELECT * FROM pb",
+        "beach_frequencies": f"WITH {_BASE},{_LONG}" + " UNION ALL ".join(f"""
+SELECT '{c}' AS list, {c} AS value, CAST(COUNT(*) AS BIGINT) AS n FROM long GROUP BY ALL""" for c in _NORM),
+        "beach_merged_deliveries": f"WITH {_BASE},{per_beach}\nSELECT * FROM pb",
+        "beach_lookup_indexed": lookup,
+        "beach_lookup_state": lookup.replace(f" AND ({search})", ""),
+        "beach_document_beaches": document(f"WITH {_BASE},{per_beach}", "FROM pb", pb_cols, site_keys),
+        "beach_document_state_sums": document("", f"""SELECT * REPLACE ({whole('actionsperbeach')}, {whole('daysperbeach')})
+FROM ({state_sums_sql})""", sum_cols, "state = 'Total', state"),
+        "beach_document_type_by_year": document(f"WITH {_BASE}", """SELECT action_type, year, COUNT(*) AS n FROM clean
+WHERE action_type <> 'Rain Advisory' GROUP BY ALL""", ["action_type", "year", "n"], "action_type, year"),
+        "beach_document_sources": document(f"WITH {_BASE},{_LONG}", """SELECT action_possible_source, COUNT(*) AS n FROM long
+GROUP BY 1""", ["action_possible_source", "n"], "action_possible_source NULLS LAST"),
+        "beach_json_array": f"WITH {_BASE},{per_beach},{_PROFILE},{_ALL}\nSELECT * FROM allb",
+        "beach_json_na_array": f"WITH {_BASE},{per_beach},{_PROFILE},{_ALL}\nSELECT {pub_cols} FROM pub",
         "beach_clean_actions": f"WITH {_BASE}\nSELECT * EXCLUDE (_ord) FROM clean",
         "beach_long_actions": f"WITH {_BASE},{_LONG}\nSELECT * EXCLUDE (_ord) FROM long",
         "beach_reason_frequency": f"""WITH {_BASE},{_LONG}

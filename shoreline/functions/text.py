@@ -115,3 +115,9 @@ def split_tokens(c: ColumnOrName, sep: str = ",") -> Column:
     """
     sep_re = quote_regex(sep) if not is_literal_pattern(sep) else sep
     return F.coalesce(F.split(col_of(c), sep_re, -1), F.array(F.lit(None).cast("string")))
+
+
+def utf16_key(c: ColumnOrName) -> Column:
+    """Sort key that orders texts by their UTF-16 code units, as browsers do (Spark orders by
+    code points)."""
+    return F.encode(col_of(c), "UTF-16BE")

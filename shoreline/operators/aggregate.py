@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass, field
+from decimal import Decimal
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,7 +15,6 @@ from shoreline.functions.arith import count_equal, ieee_divide, na_sum, sum_or_z
 from shoreline.functions.text import ColumnOrName, col_of, split_tokens
 from shoreline.operators._util import fresh_name, is_integral, is_numeric, qcol
 from shoreline.operators.explode import by_count, clean_token
-from shoreline.operators.joins import null_safe_join
 
 Normalizer = Callable[[Column], Column]
 
@@ -53,6 +55,23 @@ def _cleaned(fields: list[tuple[str, str]], trim: bool, normalize: Mapping[str,
     return value.otherwise(F.lit(None).cast("string"))
 
 
+def _place(firsts: DataFrame, delivery: int = 0) -> Column:
+    """(delivery, order, position) as one number, where the order is one: that keeps aggregates hashed."""
+    if not is_integral(firsts.schema["__o"].dataType):
+        return F.struct("__o", "__p")
+    place = F.col("__o").cast("decimal(20,0)") * 2**31 + F.col("__p")
+    return (place + F.lit(Decimal(delivery * 2**94))).cast("decimal(38,0)")
+
+
+def _joined_lists(fields: list[tuple[str, str]], joiner: str, na: str) -> list[Column]:
+    """The values ``(__f, __at, __v)`` of a group, one text a list in their order."""
+    out = []
+    for fi, (name, _) in enumerate(fields):
+        lst = F.array_sort(F.collect_list(F.when(F.col("__f") == fi, F.struct("__at", "__v"))))
+        out.append(F.array_join(F.transform(lst, lambda e: e["__v"]), joiner, na).alias(name))
+    return out
+
+
 def ordered_distinct_concat(df: DataFrame, keys: Sequence[str], lists: Mapping[str, str],
                             order_by: ColumnOrName, sep: str = ",", joiner: str = ", ",
                             trim: bool = True,
@@ -68,25 +87,52 @@ def ordered_distinct_concat(df: DataFrame, keys: Sequence[str], lists: Mapping[s
 
     Plan: first appearance per (keys, list, raw element) by a hash aggregate
     with map-side partial aggregation; trimming and normalisation then run
-    once per distinct raw element, not per row, and a second aggregate keeps
-    the first appearance of each normalised value; one row per key collects
-    and sorts these.  Every shuffle carries de-duplicated data; a group's
+    once per distinct raw element, not per row.  These are shuffled by the keys
+    once, for both the first appearance of each normalised value and the
+    lists.  Every shuffle carries de-duplicated data; a group's
     state is bounded by its number of distinct normalised values, not its
     rows or spellings, and no cross product of the lists is formed.
     """
     fields = list(lists.items())
     kcols = [qcol(k) for k in keys]
     firsts = _first_appearances(df, keys, fields, order_by, sep)
-    # (order, position) as one number, where the order is one, keeps the aggregate hashed
-    at = ((F.col("__o").cast("decimal(20,0)") * 2**31 + F.col("__p")).cast("decimal(38,0)")
-          if is_integral(firsts.schema["__o"].dataType) else F.struct("__o", "__p"))
-    values = (firsts.select(*kcols, "__f", at.alias("__at"), _cleaned(fields, trim, normalize or {}).alias("__v"))
-              .groupBy(*kcols, F.col("__f"), F.col("__v")).agg(F.min("__at").alias("__at")))
-    aggs = []
-    for fi, (out, _) in enumerate(fields):
-        lst = F.array_sort(F.collect_list(F.when(F.col("__f") == fi, F.struct("__at", "__v"))))
-        aggs.append(F.array_join(F.transform(lst, lambda e: e["__v"]), joiner, na).alias(out))
-    return values.groupBy(*kcols).agg(*aggs)
+    values = firsts.select(*kcols, "__f", _place(firsts).alias("__at"), _cleaned(fields, trim, normalize or {}).alias("__v"))
+    once = values.repartition(*kcols).groupBy(*kcols, F.col("__f"), F.col("__v")).agg(F.min("__at").alias("__at"))
+    return once.groupBy(*kcols).agg(*_joined_lists(fields, joiner, na))
+
+
+@dataclass(frozen=True)
+class Counts:
+    """What is counted per site id: rows as ``count_col``, NA-propagating ``sums`` (output -> column), and
+    rows of each of ``categories`` (output -> value of ``category_col``)."""
+
+    count_col: str
+    sums: Mapping[str, str] = field(default_factory=dict)
+    category_col: str | None = None
+    categories: Mapping[str, object] = field(default_factory=dict)
+
+    def measures(self) -> list[Column]:
+        return [*(qcol(c) for c in self.sums.values()),
+                *((qcol(self.category_col) == F.lit(v)).cast("long") for v in self.categories.values())]
+
+    def names(self) -> list[str]:
+        """Columns of partial counts: rows, then values present and their sum for each measure."""
+        return ["__rows", *[f"__{p}{i}" for i in range(len(self.sums) + len(self.categories)) for p in ("c", "s")]]
+
+    def partial(self) -> list[Column]:
+        out = [F.count(F.lit(1)).alias("__rows")]
+        for i, m in enumerate(self.measures()):
+            out += [F.count(m).alias(f"__c{i}"), F.sum(m).alias(f"__s{i}")]
+        return out
+
+    def of_id(self, id_col: str) -> list[Column]:
+        """The results of the rows' id, from partial counts by site: sums over the rows of one id."""
+        same = Window.partitionBy(qcol(id_col))
+        rows = F.sum("__rows").over(same)
+        out = [rows.alias(self.count_col)]
+        for i, name in enumerate([*self.sums, *self.categories]):
+            out.append(F.when(F.sum(f"__c{i}").over(same) == rows, F.sum(f"__s{i}").over(same)).alias(name))
+        return out
 
 
 def site_counts(df: DataFrame, site_keys: Sequence[str], id_col: str, count_col: str,
@@ -96,24 +142,53 @@ def site_counts(df: DataFrame, site_keys: Sequence[str], id_col: str, count_col:
 
     Counts per id as ``summarize_counts``; an id spelled several ways counts
     fully on each of its rows (NULL ids match).  Rows are aggregated once,
-    by site; the totals per id are sums of those and joined back, so no row
-    is multiplied and the join sees one row per site.
+    by site; the sites are then shuffled by their id once, and summed over it.
+    """
+    counts = Counts(count_col, sums or {}, category_col, categories or {})
+    kcols = [qcol(k) for k in site_keys]
+    return df.groupBy(*kcols).agg(*counts.partial()).select(*kcols, *counts.of_id(id_col))
+
+
+def site_state(df: DataFrame, site_keys: Sequence[str], lists: Mapping[str, str], order_by: ColumnOrName, counts: Counts,
+               sep: str = ",", delivery: int = 0) -> DataFrame:
+    """Partial aggregates of events, from which ``site_table`` makes the table of sites: a row for each
+    (site, list, raw element) with its first place, and one for each site with its partial counts.
+
+    States can be stored and merged (``merge_states``), so a new delivery of events is aggregated alone.
+    ``delivery`` numbers it: its rows come after those of smaller numbers.
+    """
+    firsts = _first_appearances(df, site_keys, list(lists.items()), order_by, sep)
+    kcols = [qcol(k) for k in site_keys]
+    per_site = df.groupBy(*kcols).agg(*counts.partial())
+    types = {f.name: f.dataType for f in per_site.schema.fields}
+    elements = firsts.select(*kcols, "__f", "__raw", _place(firsts, delivery).alias("__at"),
+                             *[F.lit(None).cast(types[n]).alias(n) for n in counts.names()])
+    numbers = per_site.select(*kcols, F.lit(-1).alias("__f"), F.lit(None).cast("string").alias("__raw"),
+                              F.lit(None).cast(elements.schema["__at"].dataType).alias("__at"), *counts.names())
+    return elements.unionByName(numbers)
+
+
+def merge_states(states: Sequence[DataFrame], site_keys: Sequence[str], counts: Counts) -> DataFrame:
+    """The state of all events of several states (of different deliveries)."""
+    every = reduce(DataFrame.unionByName, states)
+    return every.groupBy(*[qcol(k) for k in site_keys], "__f", "__raw").agg(
+        F.min("__at").alias("__at"), *[F.sum(n).cast(every.schema[n].dataType).alias(n) for n in counts.names()])
+
+
+def site_table(state: DataFrame, site_keys: Sequence[str], id_col: str, lists: Mapping[str, str], counts: Counts, joiner: str = ", ",
+               trim: bool = True, normalize: Mapping[str, Normalizer] | None = None, na: str = "NA") -> DataFrame:
+    """One row per site of a ``site_state``: ordered distinct lists, and the counts of the site's id.
+
+    The state is shuffled by the site's keys, for lists and counts alike, then by its id.
     """
-    sums, categories = dict(sums or {}), dict(categories or {})
-    measures = {out: qcol(c) for out, c in sums.items()}
-    measures.update({out: (qcol(category_col) == F.lit(v)).cast("long") for out, v in categories.items()})
-    parts = [F.count(F.lit(1)).alias("__rows")]
-    for i, m in enumerate(measures.values()):
-        parts += [F.count(m).alias(f"__c{i}"), F.sum(m).alias(f"__s{i}")]
-    per_site = df.groupBy(*[qcol(k) for k in site_keys]).agg(*parts)
-    names = ["__rows", *[f"__{p}{i}" for i in range(len(measures)) for p in ("c", "s")]]
-    per_id = per_site.groupBy(qcol(id_col)).agg(*[F.sum(n).alias(n) for n in names])
-    outs = [F.col("__rows").alias(count_col)]
-    outs += [F.when(F.col(f"__c{i}") == F.col("__rows"), F.col(f"__s{i}")).alias(out)
-             for i, out in enumerate(measures)]
-    return null_safe_join(per_site.select(*[qcol(k) for k in site_keys]),
-                          per_id.select(qcol(id_col), *outs), [id_col], "left").select(
-        *[qcol(k) for k in site_keys], qcol(count_col), *[qcol(o) for o in measures])
+    fields = list(lists.items())
+    kcols = [qcol(k) for k in site_keys]
+    names = counts.names()
+    values = state.select(*kcols, "__f", _cleaned(fields, trim, normalize or {}).alias("__v"), "__at", *names)
+    once = values.repartition(*kcols).groupBy(*kcols, F.col("__f"), F.col("__v")).agg(
+        F.min("__at").alias("__at"), *[F.sum(n).alias(n) for n in names])
+    sites = once.groupBy(*kcols).agg(*_joined_lists(fields, joiner, na), *[F.sum(n).alias(n) for n in names])
+    return sites.select(*kcols, *[qcol(out) for out, _ in fields], *counts.of_id(id_col))
 
 
 def site_lists_with_counts(df: DataFrame, site_keys: Sequence[str], id_col: str,
@@ -124,14 +199,10 @@ def site_lists_with_counts(df: DataFrame, site_keys: Sequence[str], id_col: str,
                            sep: str = ",", joiner: str = ", ", trim: bool = True,
                            normalize: Mapping[str, Normalizer] | None = None,
                            na: str = "NA") -> DataFrame:
-    """Ordered distinct lists per site plus counts per site *id*.
-
-    ``ordered_distinct_concat`` by ``site_keys`` joined (NULL matching NULL)
-    with ``site_counts``: both have one row per site.
-    """
-    collapsed = ordered_distinct_concat(df, site_keys, lists, order_by, sep, joiner, trim, normalize, na)
-    numbers = site_counts(df, site_keys, id_col, count_col, sums, category_col, categories)
-    return null_safe_join(collapsed, numbers, site_keys, "left")
+    """Ordered distinct lists per site (as ``ordered_distinct_concat``) plus counts per site *id* (as ``site_counts``)."""
+    counts = Counts(count_col, sums or {}, category_col, categories or {})
+    state = site_state(df, site_keys, lists, order_by, counts, sep)
+    return site_table(state, site_keys, id_col, lists, counts, joiner, trim, normalize, na)
 
 
 def summarize_counts(df: DataFrame, key: Sequence[str], count_col: str = "n",

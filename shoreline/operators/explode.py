@@ -93,6 +93,29 @@ def token_frequency(df: DataFrame, column: str, cross_with: Iterable[str] = (),
                .agg(F.sum(w).alias(count_col)))
 
 
+def token_frequencies(df: DataFrame, columns: Sequence[str], sep: str = ",", trim: bool = True,
+                      normalize: dict[str, Normalizer] | None = None, list_col: str = "list",
+                      value_col: str = "value", count_col: str = "n") -> DataFrame:
+    """``token_frequency`` of each of ``columns``, crossed with the others, in one pass: rows
+    ``(list, value, n)``, ``list`` the column's name.
+
+    Every row gives one array of its lists, each weighted by the product of the other lists' sizes; raw
+    elements of all lists are counted in one aggregate, and cleaned once per distinct one.
+    """
+    normalize = normalize or {}
+    sizes = [F.size(split_tokens(qcol(c), sep)).cast("long") for c in columns]
+    per_list = [F.struct(F.lit(i).alias("__f"), qcol(c).cast("string").alias("__l"),
+                         reduce(mul, [s for j, s in enumerate(sizes) if j != i], F.lit(1).cast("long")).alias("__w"))
+                for i, c in enumerate(columns)]
+    rows = df.select(F.inline(F.array(*per_list)))
+    raw = (rows.select("__f", F.explode(split_tokens(F.col("__l"), sep)).alias("__tok"), "__w")
+           .groupBy("__f", "__tok").agg(F.sum("__w").alias("__w")))
+    of = lambda make: reduce(lambda acc, x: acc.when(F.col("__f") == x[0], make(x[1])), enumerate(columns), F)
+    value = of(lambda c: clean_token(F.col("__tok"), trim, normalize.get(c)))
+    return (raw.select(of(F.lit).alias(list_col), value.alias(value_col), "__w")
+            .groupBy(list_col, value_col).agg(F.sum("__w").alias(count_col)))
+
+
 def token_share(df: DataFrame, column: str, sep: str = ",", trim: bool = True,
                 normalize: Normalizer | None = None, tokens: Sequence[str] | None = None,
                 token_col: str = "token", count_col: str = "n",

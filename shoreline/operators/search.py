@@ -2,8 +2,8 @@
 
 Matching is an unanchored regular expression, as in the reference page:
 selecting ``Virginia`` also finds ``West Virginia``, and a term is a pattern
-(``(`` is an invalid pattern and raises).  Patterns run in Java's regex
-engine; plain words and the common operators behave as in JavaScript.
+(``(`` is an invalid pattern and raises).  Patterns are of the page's dialect and
+translated for Java's engine (``functions.pattern``).
 """
 
 from __future__ import annotations
@@ -12,12 +12,21 @@ from collections.abc import Iterable, Sequence
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shoreline.functions.pattern import to_java
+from shoreline.functions.text import utf16_key
 from shoreline.operators._util import qcol
 
 
+def state_condition(state: Column, selected: str) -> Column:
+    """The state picker's condition (see ``state_filter``)."""
+    if selected in ("", "all"):
+        return F.lower(state).rlike("all")
+    return state.rlike(to_java(selected))
+
+
 def state_filter(df: DataFrame, state_col: str, selected: str) -> DataFrame:
     """Rows whose state matches the selection.
 
@@ -25,10 +34,7 @@ def state_filter(df: DataFrame, state_col: str, selected: str) -> DataFrame:
     contains ``all`` (in practice: none), as the page does before a state
     is picked.
     """
-    s = qcol(state_col)
-    if selected in ("", "all"):
-        return df.filter(F.lower(s).rlike("all"))
-    return df.filter(s.rlike(selected))
+    return df.filter(state_condition(qcol(state_col), selected))
 
 
 def term_search(df: DataFrame, term: str, fields: Sequence[str],
@@ -42,7 +48,7 @@ def term_search(df: DataFrame, term: str, fields: Sequence[str],
     if term == "":
         return df
     raw = set(raw_term_fields)
-    conds = [F.lower(qcol(f).cast("string")).rlike(term if f in raw else term.lower()) for f in fields]
+    conds = [F.lower(qcol(f).cast("string")).rlike(to_java(term if f in raw else term.lower())) for f in fields]
     return df.filter(reduce(or_, conds))
 
 
@@ -52,7 +58,9 @@ def lookup(df: DataFrame, state_col: str, selected: str, term: str, fields: Sequ
     return term_search(state_filter(df, state_col, selected), term, fields, raw_term_fields)
 
 
-def distinct_sorted(df: DataFrame, column: str, out_col: str | None = None) -> DataFrame:
-    """Distinct values of ``column`` in ascending order."""
-    c = qcol(column).alias(out_col or column)
-    return df.select(c).distinct().orderBy(F.col(out_col or column).asc_nulls_last())
+def distinct_sorted(df: DataFrame, column: str, out_col: str | None = None, utf16: bool = False) -> DataFrame:
+    """Distinct values of ``column`` in ascending order; with ``utf16`` as the page sorts texts, by UTF-16
+    code units (characters beyond U+FFFF come before U+E000 to U+FFFF)."""
+    name = out_col or column
+    values = df.select(qcol(column).alias(name)).distinct()
+    return values.orderBy(utf16_key(qcol(name)).asc_nulls_last() if utf16 else qcol(name).asc_nulls_last())

@@ -26,6 +26,7 @@ from shoreline.operators.filters import keep_positive, recode_and_exclude
 from shoreline.operators.joins import dim_lookup
 from shoreline.operators.project import rename_columns, render_na
 from shoreline.operators.search import distinct_sorted, lookup
+from shoreline.operators.skew import skew_safe_join
 from shoreline.plans import sites
 from shoreline.sources.readers import read_table
 
@@ -331,7 +332,20 @@ def distinct_sorted_q(spark: SparkSession, d: str) -> DataFrame:
     return distinct_sorted(part_records(spark, d), "s")
 
 
+def skewed_full_join(spark: SparkSession, d: str) -> DataFrame:
+    """Orders and customers, joined in full where a third of the orders has no customer key, and another third
+    the same one; one customer has no key either (NULL matches NULL)."""
+    k, none = F.col("o_orderkey"), F.lit(None).cast("long")
+    orders = read_table(spark, d, "orders").select(
+        F.when(k % 3 == 0, none).when(k % 3 == 1, F.lit(1).cast("long")).otherwise(F.col("o_custkey")).alias("custkey"),
+        "o_orderkey", "o_orderstatus")
+    customers = read_table(spark, d, "customer").select(
+        F.when(F.col("c_custkey") == 2, none).otherwise(F.col("c_custkey")).alias("custkey"), "c_name", "c_mktsegment")
+    return skew_safe_join(orders, customers, ["custkey"], "full", min_rows=100)
+
+
 QUERIES = {
+    "skewed_full_join": skewed_full_join,
     "recode_replace_first": recode_replace_first,
     "exclude_codes": exclude_codes,
     "token_frequency": token_frequency_q,

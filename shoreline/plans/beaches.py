@@ -13,14 +13,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoreline.functions.text import recode_chain
-from shoreline.operators.aggregate import count_by, share_of_total, site_counts, summarize_counts
-from shoreline.operators.explode import by_count, long_form, token_frequency, token_share
+from shoreline.operators._util import qcol
+from shoreline.operators.aggregate import (
+    Counts, count_by, merge_states, share_of_total, site_counts, site_state, site_table, summarize_counts,
+)
+from shoreline.operators.explode import by_count, long_form, token_frequencies, token_frequency, token_share
 from shoreline.operators.filters import keep_positive, recode_and_exclude
 from shoreline.operators.joins import dim_lookup
 from shoreline.operators.project import rename_columns
 from shoreline.plans import sites
 from shoreline.session import materialize, remove_folder, scratch_folder
-from shoreline.sinks import r_style_numbers, write_csv, write_json_lines, write_json_na
+from shoreline.sinks import (
+    r_style_numbers, write_csv, write_csv_document, write_json_array, write_json_lines, write_json_na,
+)
 from shoreline.sources.dims import state_dimension
 from shoreline.sources.readers import ORDINAL, read_report
 from shoreline.sources.schemas import ACTIONS_TYPES, PROFILE_TYPES, STATE_SUMMARY_TYPES
@@ -126,6 +131,12 @@ def frequencies(clean: DataFrame) -> dict[str, DataFrame]:
                                         normalize=COLUMN_NORMALIZERS[c]), [c], "n") for c in cols}
 
 
+def frequency_table(clean: DataFrame) -> DataFrame:
+    """All of ``frequencies`` from one scan: ``(list, value, n)``, by list, most frequent first."""
+    counts = token_frequencies(clean, list(LIST_COLUMNS.values()), normalize=COLUMN_NORMALIZERS)
+    return counts.orderBy("list", F.desc("n"), F.asc_nulls_last("value"))
+
+
 # Q5
 def beach_numbers(clean: DataFrame) -> DataFrame:
     """Per beach id: actions, days under action (NA if any NA), type counts."""
@@ -143,6 +154,21 @@ def per_beach(clean: DataFrame) -> DataFrame:
                                 "action_type", ACTION_TYPES, normalize=NORMALIZERS)
 
 
+#: what is counted per beach id
+BEACH_COUNTS = Counts("no_of_beach_actions", {"no_of_days_under_action": "action_duration_days"}, "action_type", ACTION_TYPES)
+
+
+def beach_state(clean: DataFrame, delivery: int = 0) -> DataFrame:
+    """Partial aggregates of one delivery of cleaned actions, to be stored; deliveries are numbered in their order."""
+    return site_state(clean, SITE_KEYS, LIST_COLUMNS, ORDINAL, BEACH_COUNTS, delivery=delivery)
+
+
+def per_beach_of(states: list[DataFrame]) -> DataFrame:
+    """``per_beach`` of all deliveries, from their states."""
+    merged = merge_states(states, SITE_KEYS, BEACH_COUNTS)
+    return site_table(merged, SITE_KEYS, "beach_id", LIST_COLUMNS, BEACH_COUNTS, normalize=NORMALIZERS)
+
+
 def beach_counts(clean: DataFrame) -> DataFrame:
     """``per_beach`` without its lists: for products that only count."""
     return site_counts(clean, SITE_KEYS, "beach_id", "no_of_beach_actions",
@@ -320,8 +346,9 @@ def register_views(r: Reports, prefix: str = "") -> list[str]:
 
 
 def run_reports(spark: SparkSession, actions_path: str, profile_path: str, summary_path: str,
-                out_dir: str, multiline: bool = False) -> Reports:
-    """Read the three reports and write the published files under ``out_dir``.
+                out_dir: str, multiline: bool = False, single_files: bool = False) -> Reports:
+    """Read the three reports and write the published files under ``out_dir``: folders of parts, or
+    with ``single_files`` one file each, rows in the reference's order.
 
     Intermediates live in a folder under ``spark.checkpoint.dir`` that is
     removed at the end; the returned products are lazy over the reports.
@@ -331,12 +358,40 @@ def run_reports(spark: SparkSession, actions_path: str, profile_path: str, summa
                read_report(spark, summary_path, STATE_SUMMARY_TYPES, multiline))
     folder = scratch_folder(spark, "reports/run")
     try:
-        _publish(build_reports(*reports, folder=folder), out_dir)
+        publish = _publish_files if single_files else _publish
+        publish(build_reports(*reports, folder=folder), out_dir)
     finally:
         remove_folder(spark, folder)
     return build_reports(*reports)
 
 
+def state_order() -> list[Column]:
+    """States by code, the Total row last."""
+    return [(F.col("state") == "Total").asc(), F.col("state").asc_nulls_last()]
+
+
+def site_order(labels: dict[str, str] | None = None) -> list[Column]:
+    """Sites with actions by key, then profile-only ones (the reference keeps these in file order)."""
+    name = lambda c: qcol((labels or {}).get(c, c))
+    return [name("no_of_beach_actions").isNull().asc(), *[name(k).asc_nulls_last() for k in [*SITE_KEYS, "status"]]]
+
+
+def _publish_files(r: Reports, out_dir: str) -> None:
+    """The nine published files, each one document."""
+    out = out_dir.rstrip("/")
+    shown = [c for c in r.clean.columns if c != ORDINAL]
+    write_csv_document(r.clean, f"{out}/beach_actions_clean.csv", [ORDINAL], columns=shown)
+    write_csv_document(r.beaches, f"{out}/all_beach_vars.csv", SITE_KEYS)
+    write_csv_document(r_style_numbers(r.state_sums), f"{out}/statesums.csv", state_order())
+    write_csv_document(r.type_by_year, f"{out}/graphic1.csv", ["action_type", "year"])
+    write_csv_document(r.sources, f"{out}/graphic2.csv", ["action_possible_source"])
+    for year in SUMMARY_YEARS:
+        summary = r.state_summaries.filter(F.col("year") == year).drop("year")
+        write_csv_document(r_style_numbers(summary), f"{out}/{year}_state_summaries.csv", ["state"])
+    write_json_array(r.all_beaches, f"{out}/beaches.json", site_order())
+    write_json_array(r.publication, f"{out}/allbeachesforpub.json", site_order(PUBLICATION_LABELS), na="NA")
+
+
 def _publish(r: Reports, out_dir: str) -> None:
     out = out_dir.rstrip("/")
     # The largest output is written without a global sort: each part file
@@ -344,20 +399,10 @@ def _publish(r: Reports, out_dir: str) -> None:
     write_csv(r.clean.drop(ORDINAL), f"{out}/beach_actions_clean")
     write_csv(r.beaches, f"{out}/all_beach_vars", order_by=SITE_KEYS)
     # states in order, the Total row last (one row per state: one file)
-    write_csv(r_style_numbers(r.state_sums.orderBy((F.col("state") == "Total").asc(),
-                                                   F.col("state").asc())),
-              f"{out}/statesums", single_file=True)
+    write_csv(r_style_numbers(r.state_sums.orderBy(*state_order())), f"{out}/statesums", single_file=True)
     write_csv(r.type_by_year, f"{out}/graphic1", order_by=["action_type", "year"], single_file=True)
     write_csv(r.sources, f"{out}/graphic2", order_by=["action_possible_source"])
     write_csv(r_style_numbers(r.state_summaries), f"{out}/state_summaries", order_by=["state"],
               partition_by=["year"])
-    # One row per site (status breaks ties), in a deterministic order: beaches
-    # with actions by key, then profile-only ones.  The reference's own row
-    # order (profile-only rows in file order) is not kept.
-    keys = [*SITE_KEYS, "status"]
-    site_order = [F.col("no_of_beach_actions").isNull().asc(),
-                  *[F.col(k).asc_nulls_last() for k in keys]]
-    write_json_lines(r.all_beaches.orderBy(*site_order), f"{out}/beaches_json")
-    pub_order = [F.col(f"`{PUBLICATION_LABELS['no_of_beach_actions']}`").isNull().asc(),
-                 *[F.col(f"`{PUBLICATION_LABELS[k]}`").asc_nulls_last() for k in keys]]
-    write_json_na(r.publication.orderBy(*pub_order), f"{out}/allbeachesforpub_json")
+    write_json_lines(r.all_beaches.orderBy(*site_order()), f"{out}/beaches_json")
+    write_json_na(r.publication.orderBy(*site_order(PUBLICATION_LABELS)), f"{out}/allbeachesforpub_json")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from shoreline.operators import search_index
 from shoreline.operators.project import display_fields, project_as, render_na
 from shoreline.operators.search import distinct_sorted, lookup
+from shoreline.operators.search_index import SearchIndex, build
 from shoreline.plans.beaches import PUBLICATION_LABELS
 
 # Short key of each published field.
@@ -44,9 +46,19 @@ def find(records: DataFrame, state: str, term: str) -> DataFrame:
     return lookup(records, "s", state, term, SEARCH_FIELDS, RAW_TERM_FIELDS)
 
 
+def store(records: DataFrame, folder: str, block_rows: int = 100_000) -> SearchIndex:
+    """Short-key records stored once for many lookups (``find_stored``)."""
+    return build(records, folder, "s", SEARCH_FIELDS, RAW_TERM_FIELDS, block_rows)
+
+
+def find_stored(index: SearchIndex, state: str, term: str) -> DataFrame:
+    """``find`` on stored records: reads the folders of matching states and the blocks that may match."""
+    return search_index.find(index, state, term)
+
+
 def state_list(records: DataFrame) -> DataFrame:
     """The sorted distinct states offered for selection."""
-    return distinct_sorted(records, "s")
+    return distinct_sorted(records, "s", utf16=True)
 
 
 def display(records: DataFrame) -> DataFrame:

@@ -13,12 +13,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from shoreline.operators.project import render_na
 from shoreline.plans import beaches as B
 from shoreline.plans import lookup as L
-from shoreline.session import scratch_folder
-from shoreline.sinks import json_na_lines, r_style_numbers, write_csv, write_json_lines
+from shoreline.session import materialize, scratch_folder
+from shoreline.sinks import (
+    document_lines, json_na_lines, r_style_numbers, write_csv, write_csv_document, write_json_array, write_json_lines,
+)
 from shoreline.sources.readers import ORDINAL, read_records, read_report, read_table
 from shoreline.sources.schemas import ACTIONS_TYPES, PROFILE_TYPES, RECORD_SCHEMA, STATE_SUMMARY_TYPES
 
@@ -206,6 +209,30 @@ def beach_csv_state_summaries(spark: SparkSession, d: str) -> DataFrame:
     return B.state_summaries(back).withColumn("percent_monitored", F.round("percent_monitored", 6))
 
 
+# Quoted fields with line breaks
+def beach_csv_multiline(spark: SparkSession, d: str) -> DataFrame:
+    """The per-beach table of a CSV report whose names hold line breaks and quotes."""
+    path = scratch_folder(spark, "reports/multiline")
+    broken = actions_table(spark, d).withColumn("beach_name", F.replace("beach_name", F.lit(" Cove"), F.lit('\n"Cove"')))
+    write_csv(broken.orderBy(ORDINAL).drop(ORDINAL).withColumnsRenamed(ACTIONS_HEADERS), path)
+    return B.per_beach(B.clean_actions(read_report(spark, path, ACTIONS_TYPES, multiline=True)))
+
+
+# Q3: the three tables from one scan
+def beach_frequencies(spark: SparkSession, d: str) -> DataFrame:
+    return B.frequency_table(_clean(spark, d))
+
+
+# Q4-Q6 from the stored states of two deliveries
+def beach_merged_deliveries(spark: SparkSession, d: str) -> DataFrame:
+    """Per-beach table of two deliveries of actions, each aggregated and stored alone."""
+    clean = _clean(spark, d)
+    middle = (clean.agg(F.max(ORDINAL)).first()[0] or 0) // 2
+    deliveries = [clean.filter(F.col(ORDINAL) <= middle), clean.filter(F.col(ORDINAL) > middle)]
+    states = [materialize(B.beach_state(part, n), scratch_folder(spark, "reports/state")) for n, part in enumerate(deliveries)]
+    return B.per_beach_of(states)
+
+
 # Q7
 def beach_state_sums(spark: SparkSession, d: str) -> DataFrame:
     out = B.state_sums(B.beach_counts(_clean(spark, d)))
@@ -315,6 +342,57 @@ def beach_lookup(spark: SparkSession, d: str) -> DataFrame:
     return L.find(_records(spark, d), LOOKUP_STATE, LOOKUP_TERM)
 
 
+# Q18 on stored records: an index of text pieces, folders by state
+def beach_lookup_indexed(spark: SparkSession, d: str) -> DataFrame:
+    index = L.store(_records(spark, d), scratch_folder(spark, "reports/index"), block_rows=1024)
+    return L.find_stored(index, LOOKUP_STATE, LOOKUP_TERM)
+
+
+# F9 on stored records: only the folders of matching states are read
+def beach_lookup_state(spark: SparkSession, d: str) -> DataFrame:
+    index = L.store(_records(spark, d), scratch_folder(spark, "reports/index"), block_rows=1024)
+    return L.find_stored(index, LOOKUP_STATE, "")
+
+
+def _document(spark: SparkSession, df: DataFrame, order_by) -> DataFrame:
+    """``(place, line)`` of the one file that ``df`` is published as."""
+    path = f"{scratch_folder(spark, 'reports/document')}/table.csv"
+    write_csv_document(df, path, order_by)
+    return document_lines(spark, path)
+
+
+# K2-K5, O3: the published files, line by line
+def beach_document_beaches(spark: SparkSession, d: str) -> DataFrame:
+    return _document(spark, B.per_beach(_clean(spark, d)), B.SITE_KEYS)
+
+
+def beach_document_state_sums(spark: SparkSession, d: str) -> DataFrame:
+    return _document(spark, r_style_numbers(beach_state_sums(spark, d)), B.state_order())
+
+
+def beach_document_type_by_year(spark: SparkSession, d: str) -> DataFrame:
+    return _document(spark, B.type_by_year(_clean(spark, d)), ["action_type", "year"])
+
+
+def beach_document_sources(spark: SparkSession, d: str) -> DataFrame:
+    return _document(spark, B.frequencies(_clean(spark, d))["action_possible_source"], ["action_possible_source"])
+
+
+# K8, K9: one JSON array, read back
+def beach_json_array(spark: SparkSession, d: str) -> DataFrame:
+    path = f"{scratch_folder(spark, 'reports/array')}/beaches.json"
+    allb = _all(spark, d)
+    write_json_array(allb, path, B.site_order())
+    return read_records(spark, path, allb.schema)
+
+
+def beach_json_na_array(spark: SparkSession, d: str) -> DataFrame:
+    path = f"{scratch_folder(spark, 'reports/array')}/allbeachesforpub.json"
+    pub = B.publication(_all(spark, d))
+    write_json_array(pub, path, B.site_order(B.PUBLICATION_LABELS), na="NA")
+    return read_records(spark, path, StructType([StructField(c, StringType()) for c in pub.columns]))
+
+
 def _records(spark, d):
     return L.short_records(B.publication(_all(spark, d)))
 
@@ -364,6 +442,17 @@ QUERIES = {
     "beach_json": beach_json,
     "beach_json_na": beach_json_na,
     "beach_records_search": beach_records_search,
+    "beach_csv_multiline": beach_csv_multiline,
+    "beach_frequencies": beach_frequencies,
+    "beach_merged_deliveries": beach_merged_deliveries,
+    "beach_lookup_indexed": beach_lookup_indexed,
+    "beach_lookup_state": beach_lookup_state,
+    "beach_document_beaches": beach_document_beaches,
+    "beach_document_state_sums": beach_document_state_sums,
+    "beach_document_type_by_year": beach_document_type_by_year,
+    "beach_document_sources": beach_document_sources,
+    "beach_json_array": beach_json_array,
+    "beach_json_na_array": beach_json_na_array,
 }
 
 __all__ = ["QUERIES", "actions_table", "profile_table", "summary_table"]

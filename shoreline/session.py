@@ -58,17 +58,18 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder under ``spark.checkpoint.dir``, deleted when the application ends."""
     path = shared_folder(spark, f"{name}-{uuid.uuid4().hex}")
-    fs, where = _hadoop(spark, path)
+    fs, where = hadoop_path(spark, path)
     fs.deleteOnExit(where)
     return path
 
 
 def remove_folder(spark: SparkSession, path: str) -> None:
-    fs, where = _hadoop(spark, path)
+    fs, where = hadoop_path(spark, path)
     fs.delete(where, True)
 
 
-def _hadoop(spark: SparkSession, path: str):
+def hadoop_path(spark: SparkSession, path: str):
+    """The file system of ``path`` and its path there."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 

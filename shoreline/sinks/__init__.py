@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shoreline.operators._util import qcol
+from shoreline.sinks.document import document_lines, json_object, write_csv_document, write_json_array
 
 
 def sorted_for_output(df: DataFrame, order_by: Sequence[str] | None) -> DataFrame:
@@ -43,7 +44,8 @@ def r_style_numbers(df: DataFrame) -> DataFrame:
 def write_csv(df: DataFrame, path: str, order_by: Sequence[str] | None = None,
               single_file: bool = False, mode: str = "overwrite",
               partition_by: Sequence[str] | None = None) -> None:
-    """CSV with header; NULL written as ``NA``; a directory of part files.
+    """CSV with header; NULL written as ``NA``, quotes doubled; a directory of part files
+    (``write_csv_document`` writes one file).
 
     ``order_by`` range-partitions and sorts, so the part files read in
     order.  ``single_file`` coalesces to one task: only for outputs bounded
@@ -53,7 +55,7 @@ def write_csv(df: DataFrame, path: str, order_by: Sequence[str] | None = None,
     out = sorted_for_output(df, order_by)
     if single_file:
         out = out.coalesce(1)
-    w = out.write.mode(mode).option("header", True).option("nullValue", "NA").option("emptyValue", "")
+    w = out.write.mode(mode).option("header", True).option("nullValue", "NA").option("emptyValue", "").option("escape", '"')
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.csv(path)
@@ -72,12 +74,7 @@ def json_na_lines(df: DataFrame) -> DataFrame:
     strings are escaped and numbers formatted by Spark's JSON writer; a NULL
     field becomes the string ``"NA"``.  Row-local, no shuffle.
     """
-    def strip(js):
-        return F.regexp_replace(js, r"^\{|\}$", "")
-
-    pairs = [F.when(qcol(c).isNull(), strip(F.to_json(F.struct(F.lit("NA").alias(c)))))
-              .otherwise(strip(F.to_json(F.struct(qcol(c).alias(c))))) for c in df.columns]
-    return df.select(F.concat(F.lit("{"), F.concat_ws(",", *pairs), F.lit("}")).alias("value"))
+    return df.select(json_object(df.columns, "NA").alias("value"))
 
 
 def write_json_na(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -94,5 +91,5 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite",
     w.parquet(path)
 
 
-__all__ = ["json_na_lines", "r_style_numbers", "sorted_for_output", "write_csv", "write_json_lines", "write_json_na",
-           "write_parquet"]
+__all__ = ["document_lines", "json_na_lines", "r_style_numbers", "sorted_for_output", "write_csv", "write_csv_document", "write_json_array",
+           "write_json_lines", "write_json_na", "write_parquet"]

@@ -1,6 +1,6 @@
 """Readers for delimited reports and published JSON records.
 
-Only header lines are read on the driver; rows are read by the executors.  Reports are read with all fields as text, headers normalised to
+Headers and rows are read by the executors.  Reports are read with all fields as text, headers normalised to
 snake case, and the known columns cast by name with ``try_cast`` (a field
 that does not parse becomes NULL, as the reference's reader does), so
 column order and extra columns in a file do not matter.
@@ -12,20 +12,34 @@ import re
 import unicodedata
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shoreline.operators._util import qcol
+from shoreline.operators.joins import MAX_BROADCAST_BYTES
+from shoreline.sources.headers import header_groups, header_names, plain_path
+from shoreline.sources.records import record_fields, report_records
 from shoreline.sources.tables import TABLE_SCHEMAS
 
 ORDINAL = "_ord"
 
+# Latin letters that don't decompose into an ASCII letter and a mark, and how they are written in ASCII.
+LATIN_LETTERS = {
+    "\u00df": "ss", "\u1e9e": "SS", "\u00e6": "ae", "\u00c6": "Ae", "\u0153": "oe", "\u0152": "Oe", "\u00f8": "o", "\u00d8": "O",
+    "\u0111": "d", "\u0110": "D", "\u00f0": "d", "\u00d0": "D", "\u00fe": "th", "\u00de": "Th", "\u0142": "l", "\u0141": "L",
+    "\u0127": "h", "\u0126": "H", "\u0131": "i", "\u0138": "q", "\u014b": "n", "\u014a": "N", "\u0167": "t", "\u0166": "T",
+    "\u0180": "b", "\u0243": "B", "\u023c": "c", "\u023b": "C", "\u01e5": "g", "\u01e4": "G", "\u0268": "i", "\u0197": "I",
+    "\u0249": "j", "\u0248": "J", "\u024d": "r", "\u024c": "R", "\u01b6": "z", "\u01b5": "Z", "\u024f": "y", "\u024e": "Y",
+}
+
 
 def snake_name(name: str) -> str:
     """Header -> snake case: ``No. of Beach Actions`` -> ``no_of_beach_actions``."""
     s = name.replace("%", "_percent_").replace("#", "_number_")
+    s = s.translate(str.maketrans(LATIN_LETTERS))
     s = unicodedata.normalize("NFKD", s).encode("ascii", "ignore").decode("ascii")
     s = re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", s)
     s = re.sub(r"([A-Z]+)([A-Z][a-z])", r"\1_\2", s)
@@ -37,15 +51,20 @@ def snake_name(name: str) -> str:
     return s
 
 
-def clean_names(df: DataFrame) -> DataFrame:
-    """Rename every column to snake case; repeated names get ``_2``, ``_3``."""
+def snake_names(names: Sequence[str]) -> list[str]:
+    """Snake-case names; repeated ones get ``_2``, ``_3``."""
     seen: dict[str, int] = {}
     out = []
-    for c in df.columns:
+    for c in names:
         s = snake_name(c)
         seen[s] = seen.get(s, 0) + 1
         out.append(s if seen[s] == 1 else f"{s}_{seen[s]}")
-    return df.toDF(*out)
+    return out
+
+
+def clean_names(df: DataFrame) -> DataFrame:
+    """Rename every column to snake case; repeated names get ``_2``, ``_3``."""
+    return df.toDF(*snake_names(df.columns))
 
 
 # A position in the input: the file's place among the sorted files above
@@ -66,11 +85,11 @@ def csv_ordinal(df: DataFrame, files: Sequence[str], name: str) -> DataFrame:
     at = F.col("_metadata.file_block_start") + row
     if len(files) < 2:
         return df.withColumn(name, at)
-    plain = [re.sub("^([^:/]+):/+", r"\1:/", f) for f in sorted(files)]  # file:/x and file:///x are one
-    ranks = df.sparkSession.createDataFrame(list(zip(plain, range(len(files)))), "__file string, __rank long")
-    path = F.regexp_replace("_metadata.file_path", "^([^:/]+):/+", "$1:/")
-    placed = df.select("*", at.alias(name), path.alias("__path"))
-    return (placed.join(F.broadcast(ranks), F.col("__path") == F.col("__file"))  # a row a file
+    ranks = df.sparkSession.createDataFrame([(plain_path(f), i) for i, f in enumerate(sorted(files))], "__file string, __rank long")
+    if sum(map(len, files)) * 4 <= MAX_BROADCAST_BYTES:  # a row a file
+        ranks = F.broadcast(ranks)
+    placed = df.select("*", at.alias(name), plain_path(F.col("_metadata.file_path")).alias("__path"))
+    return (placed.join(ranks, F.col("__path") == F.col("__file"))
             .withColumn(name, F.shiftleft("__rank", _FILE_SHIFT) + qcol(name)).drop("__rank", "__file", "__path"))
 
 
@@ -87,12 +106,14 @@ def parse_as(c: Column, dtype: T.DataType) -> Column:
     return c.try_cast(dtype)
 
 
+#: how the fields of a record are read
+_FIELD_OPTIONS = {"escape": '"', "nullValue": "NA", "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true",
+                  "mode": "PERMISSIVE"}
+
+
 def csv_options(reader, multiline: bool):
     """The options of every report reader, batch or streaming."""
-    return (reader.option("header", True).option("multiLine", multiline)
-            .option("escape", '"').option("nullValue", "NA")
-            .option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
-            .option("inferSchema", False).option("mode", "PERMISSIVE"))
+    return reader.options(**_FIELD_OPTIONS).option("header", True).option("multiLine", multiline).option("inferSchema", False)
 
 
 def typed(df: DataFrame, types: Mapping[str, T.DataType]) -> list[Column]:
@@ -106,51 +127,53 @@ def typed(df: DataFrame, types: Mapping[str, T.DataType]) -> list[Column]:
     return out
 
 
-def header_lines(spark: SparkSession, files: Sequence[str]) -> dict[str, list[str]]:
-    """The first line of each file, with the files that begin with it.
-
-    Reads one line a file on the driver, through Hadoop's file systems and
-    codecs.
-    """
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
-    groups: dict[str, list[str]] = {}
-    for name in sorted(files):
-        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(name))
-        stream = path.getFileSystem(conf).open(path)
-        codec = codecs.getCodec(path)
-        text = codec.createInputStream(stream) if codec is not None else stream
-        lines = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(text, "UTF-8"))
-        groups.setdefault(lines.readLine() or "", []).append(name)
-        lines.close()
-    return groups
-
-
 _CORRUPT = "__corrupt"
 
 
-def _read_alike(spark: SparkSession, path, multiline: bool, base: str | None = None) -> DataFrame:
-    """Files of one header, as text columns with cleaned names.
+def _read_alike(spark: SparkSession, path, header: str, files: Sequence[str] | None) -> DataFrame:
+    """The ``files`` in ``path`` (None: all) that begin with ``header``, as text columns with cleaned names.
 
-    Without ``multiline`` a record whose line holds an unclosed quote fails
-    the read: it goes on in the next line.
+    A record whose line holds an unclosed quote fails the read: it goes on in the next line.
     """
-    reader = csv_options(spark.read, multiline)
-    if base is not None:
-        reader = reader.option("basePath", base)
-    raw = reader.csv(path)
-    names = clean_names(raw).columns
-    if multiline:
-        return raw.toDF(*names)
-    reader = csv_options(spark.read, multiline).option("columnNameOfCorruptRecord", _CORRUPT)
-    if base is not None:
-        reader = reader.option("basePath", base)
-    raw = reader.schema(T.StructType([*raw.schema.fields, T.StructField(_CORRUPT, T.StringType())])).csv(path)
+    names = header_names(header)
+    fields = [T.StructField(n, T.StringType()) for n in [*names, _CORRUPT]]
+    raw = csv_options(spark.read, False).option("columnNameOfCorruptRecord", _CORRUPT).schema(T.StructType(fields)).csv(path)
+    if files is not None:
+        raw = raw.filter(F.col("_metadata.file_path").isin(list(files)))  # prunes the files
     quotes = F.length(_CORRUPT) - F.length(F.replace(F.col(_CORRUPT), F.lit('"'), F.lit("")))
     message = F.concat(F.lit("a quoted field holds a line break; read with multiline=True: "), F.col(_CORRUPT))
     first = raw.columns[0]
     checked = F.when(F.coalesce(quotes % 2 == 1, F.lit(False)), F.raise_error(message)).otherwise(qcol(first))
-    return raw.withColumn(first, checked).drop(_CORRUPT).toDF(*names)
+    return clean_names(raw.withColumn(first, checked).drop(_CORRUPT))
+
+
+def _folder_columns(spark: SparkSession, path, files: Sequence[str]) -> DataFrame | None:
+    """``(__rank, ...)``: the columns that folders named ``column=value`` give each file, or None."""
+    fields = [f for f in spark.read.text(path).schema.fields if f.name != "value"]
+    if not fields:
+        return None
+    found = [(i, *[unquote(m[1]) if (m := re.search(f"/{re.escape(f.name)}=([^/]*)/", name)) else None for f in fields])
+             for i, name in enumerate(sorted(files))]
+    texts = spark.createDataFrame(found, ", ".join(["__rank long", *[f"`{f.name}` string" for f in fields]]))
+    missing = F.lit("__HIVE_DEFAULT_PARTITION__")
+    return texts.select("__rank", *[F.nullif(qcol(f.name), missing).try_cast(f.dataType).alias(f.name) for f in fields])
+
+
+def _read_multiline(spark: SparkSession, path, files: Sequence[str], ordinal: str | None, types: Mapping[str, T.DataType]) -> DataFrame:
+    """All files in one plan, whatever their headers, as many tasks a file as it has splits."""
+    groups = header_groups(spark, path) or {"": []}
+    names = [snake_names(header_names(h)) for h in groups]
+    rows = record_fields(report_records(spark, path, files, groups), names, {**_FIELD_OPTIONS, "multiLine": "true"})
+    place = F.col("start") + F.col("line")
+    at = place if len(files) < 2 else F.shiftleft("rank", _FILE_SHIFT) + place
+    columns = list(dict.fromkeys(n for header in names for n in header))
+    text = rows.select(*[qcol(c) for c in columns])
+    out = rows.select(*typed(text, types), *([at.alias(ordinal)] if ordinal else []), F.col("rank").alias("__rank"))
+    folders = _folder_columns(spark, path, files)
+    if folders is not None:
+        of = {c: parse_as(qcol(c).cast("string"), types[c]) if c in types else qcol(c) for c in folders.columns[1:]}
+        out = out.join(folders.select("__rank", *[v.alias(c) for c, v in of.items()]), "__rank")
+    return out.drop("__rank")
 
 
 def read_report(spark: SparkSession, path: str | Sequence[str], types: Mapping[str, T.DataType],
@@ -160,22 +183,25 @@ def read_report(spark: SparkSession, path: str | Sequence[str], types: Mapping[s
     ``types`` maps snake-case column -> Spark type; other columns stay
     strings.  Empty fields (quoted too) and ``NA`` load as NULL, white space
     around fields is trimmed, doubled quotes are kept.  Files may order their
-    columns differently or have further ones: each group of files with one
-    header is read by its own names, a column that a file lacks is NULL.
+    columns differently or have further ones: each file
+    is read by its own names, a column that a file lacks is NULL.
     Large files are split; a quoted field that holds a line break then fails
-    the read, and needs ``multiline=True``, which reads a file in one task.
+    the read, and needs ``multiline=True``, which reads the files twice, in as many tasks
+    (see ``sources.records``).
     ``ordinal`` adds the file position used by order-dependent operators.
     """
     files = spark.read.text(path).inputFiles()
-    groups = header_lines(spark, files)
-    parts = []
-    for group in groups.values() if len(groups) > 1 else [None]:
-        base = path if group is not None and isinstance(path, str) and "*" not in path else None
-        df = _read_alike(spark, path if group is None else group, multiline, base)
-        if ordinal:
-            df = csv_ordinal(df, files, ordinal)
-        parts.append(df.select(*typed(df, types)))
-    df = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
+    if multiline:
+        df = _read_multiline(spark, path, files, ordinal, types)
+    else:
+        groups = header_groups(spark, path) or {"": []}
+        parts = []
+        for header, group in groups.items():
+            part = _read_alike(spark, path, header, group if len(groups) > 1 else None)
+            if ordinal:
+                part = csv_ordinal(part, files, ordinal)
+            parts.append(part.select(*typed(part, types)))
+        df = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
     missing = [c for c in types if c not in df.columns]
     if missing:
         raise ValueError(f"report lacks columns {missing}; has {df.columns}")
