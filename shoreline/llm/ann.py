@@ -7,16 +7,19 @@ visited hold a certain share of all entries; a cell is taken whole.  The share i
 the one at which queries of the sample find ``recall`` of their nearest neighbours in the
 sample, so clustered vectors need little of the index and vectors without any structure much
 of it.  The entries of the visited cells are ranked by their cosine, in double precision on the
-original vectors.
+original vectors.  The number of centroids grows with the fourth root of the table, that of cells with the
+square root; the codebooks are fitted on the bounded sample at every size.
 
 Every row is indexed.  Cells are packed into blocks of at most ``block_rows`` entries, and
-larger cells split, so a task holds a bounded number of vectors; each block returns its best
-``k`` a query.
+larger cells split; queries are dealt to buckets of about ``bucket_rows``, and a block goes once to each
+bucket that visits it: a task holds a bounded number of vectors and of queries.  Each block
+returns the best ``k`` ids of a query.
 
 Defined cases: vectors that are NULL, zero, or hold a NULL or non-finite component take no
 part, nor do those whose length is not the most frequent one (the smallest of the most
 frequent); rows with a NULL ``vec_id`` take no part; ties go to the smaller ``vec_id``; a
-repeated query row is one query; repeated candidate rows are one candidate; with fewer
+repeated query row is one query; repeated candidate rows are one candidate; an id on several unequal
+vectors is one candidate with its best score, and as a query asks with each of them; with fewer
 than ``k`` candidates all are returned; an empty table gives an empty result; further
 columns are ignored.
 """
@@ -28,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoreline.llm.common import ship, stored
@@ -107,23 +110,31 @@ def fewer(eid: np.ndarray, e: np.ndarray, most: int) -> np.ndarray:
 
 def best(queries: tuple[np.ndarray, np.ndarray], entries: tuple[np.ndarray, np.ndarray], k: int,
          allowed: np.ndarray | None = None) -> list[tuple[int, int, float]]:
-    """The ``k`` entries of largest cosine for each query but itself, among those that the
-    matrix ``allowed`` marks: (query, entry, score)."""
+    """The ``k`` ids of largest cosine for each query but itself, among the entries that the
+    matrix ``allowed`` marks: (query, entry, score), an id once a query row, with its best score."""
     (qid, q), (eid, e) = queries, entries
     out = []
+    if not len(eid):
+        return out
     qs, es = q / np.abs(q).max(axis=1, keepdims=True), e / np.abs(e).max(axis=1, keepdims=True)
     en = np.sqrt((es * es).sum(axis=1))
+    enough = k * int(np.unique(eid, return_counts=True)[1].max())  # so many entries hold k ids
     for lo in range(0, len(qid), 256):
         part = qs[lo:lo + 256]
         score = part @ es.T / (np.sqrt((part * part).sum(axis=1))[:, None] * en[None])
         score[qid[lo:lo + 256, None] == eid[None]] = -np.inf
         if allowed is not None:
             score[~allowed[lo:lo + 256]] = -np.inf
-        # everything that may tie with the k-th
-        least = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] > k else np.full(len(part), -2.0)
+        # everything that may tie with the last
+        least = np.partition(score, -enough, axis=1)[:, -enough] if score.shape[1] > enough else np.full(len(part), -2.0)
         rows, cols = np.nonzero((score >= least[:, None] - 1e-12) & np.isfinite(score))
         # pairs again one by one, so that a score doesn't depend on its block
         exact = cosine(q[lo + rows], e[cols])
+        order = np.lexsort((-exact, eid[cols], rows))
+        rows, cols, exact = rows[order], cols[order], exact[order]
+        first = np.ones(len(rows), bool)
+        first[1:] = (rows[1:] != rows[:-1]) | (eid[cols[1:]] != eid[cols[:-1]])
+        rows, cols, exact = rows[first], cols[first], exact[first]
         order = np.lexsort((eid[cols], -exact, rows))
         rows, cols, exact = rows[order], cols[order], exact[order]
         start = np.searchsorted(rows, np.arange(len(part)))
@@ -176,11 +187,12 @@ def blocks_of(held: np.ndarray, block_rows: int) -> tuple[np.ndarray, np.ndarray
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 5, recall: float = 0.95, sample: int = 20_000,
-           centroids: int = 48, block_rows: int = 4096, share: float | None = None) -> DataFrame:
+           centroids: int = 48, block_rows: int = 4096, share: float | None = None, bucket_rows: int = 8192) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` nearest found for every row that
     ``is_query`` selects, among all rows of ``vectors (vec_id, embedding)`` but its own.
 
-    ``share`` of the entries to visit, if given, replaces the measured one."""
+    ``share`` of the entries to visit, if given, replaces the measured one; ``centroids`` is the least
+    number of centroids of a half."""
     spark = vectors.sparkSession
     ship(spark)
     clean = stored(usable(vectors), "vectors")
@@ -192,6 +204,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, recall: float = 0.9
     fit = drawn.orderBy(F.xxhash64("vec_id"), "vec_id").limit(2 * sample).select("v").toArrow()
     x = unit(matrix(fit.column(0)))
     half = x.shape[1] // 2 or x.shape[1]
+    centroids = max(centroids, round(3.2 * n**0.25))
     books = [codebook(x[:, :half], centroids), codebook(x[:, half:], centroids) if x.shape[1] > half else np.zeros((1, 0))]
     width = len(books[1])
     wanted = (needed_share(x, books, k, recall) if share is None else share) * n
@@ -235,10 +248,16 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, recall: float = 0.9
                     [some.column(0).take(take), some.column(1).take(take), pa.array(block, pa.int32()),
                      pa.array(inside, pa.list_(pa.int32()))], ["vec_id", "v", "block", "cells"])
 
-    asked = clean.filter(is_query).mapInArrow(walk, "vec_id long, v array<double>, block int, cells array<int>")
+    queries = clean.filter(is_query)
+    buckets = 1 + queries.count() // bucket_rows
+    bucket = F.pmod(F.xxhash64("vec_id", "v"), F.lit(buckets)).cast("int").alias("bucket")
+    asked = stored(queries.mapInArrow(walk, "vec_id long, v array<double>, block int, cells array<int>")
+                   .select("*", bucket), "asked")
+    visited_by = asked.select("block", "bucket").distinct()
     where = spark.createDataFrame([(c, int(f), int(p)) for c, (f, p) in enumerate(zip(first, parts))], "cell int, first int, parts int")
     entries = (index.join(F.broadcast(where), "cell")  # a row a pair of centroids
-               .select("vec_id", "v", "cell", (F.col("first") + F.pmod(F.xxhash64("vec_id", "v"), F.col("parts"))).cast("int").alias("block")))
+               .select("vec_id", "v", "cell", (F.col("first") + F.pmod(F.xxhash64("vec_id", "v"), F.col("parts"))).cast("int").alias("block"))
+               .join(visited_by, "block"))
 
     def rank(left: pa.Table, right: pa.Table) -> pa.Table:
         found = []
@@ -258,10 +277,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, recall: float = 0.9
         q, e, s = zip(*found) if found else ((), (), ())
         return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(e, pa.int64()), "score": pa.array(s, pa.float64())})
 
-    near = (asked.groupBy("block").cogroup(entries.groupBy("block"))
+    near = (asked.groupBy("block", "bucket").cogroup(entries.groupBy("block", "bucket"))
             .applyInArrow(rank, "query_id long, vec_id long, score double"))
     once = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    top = once.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct(
-        (-F.col("score")).alias("far"), "vec_id", "score"))), 1, k).alias("near"))  # k a visited block at most
-    return top.select("query_id", F.posexplode("near").alias("at", "x")).select(
-        "query_id", (F.col("at") + 1).cast("int").alias("rank"), "x.vec_id", "x.score")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return once.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

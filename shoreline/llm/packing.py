@@ -2,9 +2,9 @@
 
 Only the histogram of piece lengths is planned, on the driver (at most ``capacity``
 counts): few-document patterns of binned lengths that fill a sequence are fitted to the
-histogram by non-negative least squares, the repeat counts are scaled and rounded down, and
+histogram by non-negative least squares, the repeat counts rounded and their sequences filled, and
 what remains is packed best-fit, longest first, into the room that patterns leave and into
-new sequences; of a few scales the one with the fewest sequences is taken.  Every piece then finds its place from its length and its number among the
+new sequences.  Every piece then finds its place from its length and its number among the
 pieces of that length.
 
 Defined cases: a NULL text is an empty one: one piece that holds only the end id; longer
@@ -21,6 +21,7 @@ import zlib
 from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -77,8 +78,11 @@ class WordTokenizer(dict):
         return found
 
     def __missing__(self, word: str) -> bytes:
-        if word.isprintable() and max(word) < "\u0250" and "<|" not in word:
-            ids = b"".join([self.part(p) for p in self.parts(word.lower())])
+        small = word.lower()
+        if small.isascii() and small.isalpha():  # one part
+            ids = self.part(small)
+        elif word.isprintable() and max(word) < "\u0250" and "<|" not in word:
+            ids = b"".join([self.part(p) for p in self.parts(small)])
         else:
             ids = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
         self[word] = ids
@@ -91,15 +95,14 @@ class WordTokenizer(dict):
         return b"".join(map(self.__getitem__, _words(text)))
 
 
-#: shares of the fitted repeat counts that are tried
-SHARES = (1.0, 0.75, 0.5, 0.25)
-
 _TOKENIZERS: dict[str, WordTokenizer] = {}
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False,
+           keep_words: bool = True) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32)`` and, if asked, ``ids``: every document's
-    ids and the end id, cut at ``capacity``."""
+    ids and the end id, cut at ``capacity``.  ``keep_words``: a worker keeps the tokenizer and the words that it
+    has met for its next partition, which saves time and takes some 150 MB of it for good."""
     ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("piece", T.IntegerType()),
@@ -127,6 +130,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
                 if with_ids:
                     columns.append(pa.array([np.frombuffer(x, "<u4").astype(np.int64) for x in raw_ids], pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
+        if not keep_words:
+            _TOKENIZERS.clear()
 
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(each, schema)
 
@@ -179,21 +184,37 @@ def nnls(a: np.ndarray, b: np.ndarray, steps: int = 600) -> np.ndarray:
     return x
 
 
-def plan(counts: np.ndarray, capacity: int, bins: int = 128) -> tuple[np.ndarray, int]:
-    """Places for ``counts[length]`` pieces: rows ``(length, first, copies, sequence,
-    offset)`` in order, and the number of sequences.  The pieces numbered from ``first`` of
-    a length go ``copies`` at a time, from ``offset`` on, to ``sequence`` and those after it.
+@dataclass
+class Plan:
+    """``rows`` (length, first, copies, sequence, offset) in order: the pieces numbered from ``first`` of a length go
+    ``copies`` at a time, from ``offset`` on, to ``sequence`` and those after it.  ``by_patterns``: pieces that the fitted
+    patterns place, of ``pieces`` in all."""
+
+    rows: np.ndarray
+    sequences: int
+    by_patterns: int
+    pieces: int
+
+
+def plan(counts: np.ndarray, capacity: int, bins: int = 64) -> tuple[np.ndarray, int]:
+    """Rows and number of sequences of ``planned``."""
+    found = planned(counts, capacity, bins)
+    return found.rows, found.sequences
+
+
+def planned(counts: np.ndarray, capacity: int, bins: int = 64) -> Plan:
+    """Places for ``counts[length]`` pieces.
 
     Lengths are binned, the longest that occurs stands for its bin, and the patterns are those of
     at most three bins that fill a sequence but for less than the width of a bin.  Missing a
-    piece weighs as much as it is long.  The fitted repeat counts are scaled by each of
-    ``SHARES`` and rounded down, and the plan of fewest sequences is taken (of equal ones, that
-    with more patterns)."""
+    piece weighs as much as it is long.  The fitted repeat counts are rounded so that they keep their sum (the
+    largest remainders go up), and their sequences filled with pieces of the bins that leave
+    the least room."""
     width = -(-capacity // bins)
     there = np.flatnonzero(counts[:capacity + 1])
     there = there[there > 0]
     if not len(there):
-        return np.empty((0, 5), np.int64), 0
+        return Plan(np.empty((0, 5), np.int64), 0, 0, 0)
     starts = np.flatnonzero(np.diff((there - 1) // width, prepend=-1))
     longest = [int(x) for x in there[np.append(starts[1:], len(there)) - 1]]
     held = np.add.reduceat(counts[there], starts)
@@ -205,74 +226,105 @@ def plan(counts: np.ndarray, capacity: int, bins: int = 128) -> tuple[np.ndarray
         for x in way:
             a[place[x], j] += x / capacity
     repeats = nnls(a, held * np.array(longest) / capacity)
-    return min((fill(counts, capacity, members, ways, repeats * share) for share in SHARES), key=lambda x: x[1])
+    return fill(counts, capacity, members, ways, whole_repeats(repeats))
 
 
-def fill(counts: np.ndarray, capacity: int, members: dict[int, list[int]], ways: list[tuple[int, ...]],
-         repeats: np.ndarray) -> tuple[np.ndarray, int]:
+def whole_repeats(repeats: np.ndarray) -> np.ndarray:
+    """Whole numbers near ``repeats`` with (about) the same sum: rounded down, then the largest remainders up."""
+    whole = np.floor(repeats + 1e-6).astype(np.int64)
+    left = repeats - whole
+    up = np.argsort(-left, kind="stable")[:max(0, int(round(float(left.sum()))))]
+    whole[up[left[up] > 1e-6]] += 1
+    return whole
+
+
+class Filling:
+    """Sequences under way, in groups of equal ones: ``groups[i]`` is (sequences, room, (length, copies) ...)."""
+
+    def __init__(self, counts: np.ndarray, capacity: int):
+        self.left = counts[:capacity + 1].astype(np.int64)
+        self.left[0] = 0
+        self.capacity = capacity
+        self.groups: list[tuple[int, int, tuple[tuple[int, int], ...]]] = []
+        self.rooms: list[list[int]] = [[] for _ in range(capacity + 1)]
+        self.some = np.zeros(capacity + 1, bool)  # rooms that a group has
+
+    def put(self, n: int, room: int, inside: tuple[tuple[int, int], ...]) -> None:
+        if n:
+            self.groups.append((n, room, inside))
+            self.rooms[room].append(len(self.groups) - 1)
+            self.some[room] = True
+
+    def longest(self, most: int, taken: tuple[int, ...] = ()) -> int:
+        """The longest piece left, of at most ``most``, when one of each of ``taken`` is gone; 0 if none."""
+        for length in range(most, 0, -1):
+            if self.left[length] > taken.count(length):
+                return length
+        return 0
+
+    def repeat(self, way: tuple[int, ...], members: dict[int, list[int]], times: int) -> None:
+        """Fill ``times`` sequences by a pattern of bins: the longest pieces of its first bins, and of the last
+        two those whose sum leaves the least room (the last may be of a lower bin)."""
+        while times > 0:
+            first: tuple[int, ...] = ()
+            for part in way[:-2]:
+                pick = next((x for x in members[part] if self.left[x] > first.count(x)), 0)
+                if not pick:
+                    return
+                first += (pick,)
+            room = self.capacity - sum(first)
+            options = [(x,) for x in members[way[-2]] if x <= room and self.left[x] > first.count(x)] if len(way) > 1 else [()]
+            best = None
+            for option in options:
+                here = first + option
+                last = self.longest(self.capacity - sum(here), here)
+                waste = self.capacity - sum(here) - last
+                if last and (best is None or waste < best[0]):
+                    best = (waste, (*here, last))
+                    if not waste:
+                        break
+            if best is None:
+                return
+            waste, lengths = best
+            n = min(times, *(int(self.left[x]) // lengths.count(x) for x in set(lengths)))
+            for x in lengths:
+                self.left[x] -= n
+            self.put(n, waste, tuple((x, 1) for x in lengths))
+            times -= n
+
+    def rest(self) -> None:
+        """What is left, longest first, into the least room that takes it, or new sequences."""
+        for length in range(self.capacity, 0, -1):
+            while self.left[length]:
+                room = length + int(self.some[length:].argmax())
+                if not self.some[room]:
+                    each = min(self.capacity // length, int(self.left[length]))
+                    n = int(self.left[length]) // each
+                    self.put(n, self.capacity - each * length, ((length, each),))
+                    self.left[length] -= n * each
+                    continue
+                g = self.rooms[room].pop()
+                self.some[room] = bool(self.rooms[room])
+                n, _, inside = self.groups[g]
+                each = min(room // length, int(self.left[length]))
+                use = min(n, int(self.left[length]) // each)
+                self.groups[g] = (0, 0, ())
+                self.put(n - use, room, inside)
+                self.put(use, room - each * length, (*inside, (length, each)))
+                self.left[length] -= use * each
+
+
+def fill(counts: np.ndarray, capacity: int, members: dict[int, list[int]], ways: list[tuple[int, ...]], repeats: np.ndarray) -> Plan:
     """The plan that repeats ``ways`` (of bins, with their ``members``) and packs the rest."""
-    left = counts.astype(np.int64).copy()
-    left[0] = 0
-    taken = np.zeros(len(left), np.int64)
-    groups: list[tuple[int, int, list[tuple[int, int]]]] = []  # sequences, room, (length, copies)
+    pieces = int(counts[1:capacity + 1].sum())
+    under_way = Filling(counts, capacity)
     for j in np.argsort(-repeats, kind="stable"):
-        repeat = int(repeats[j] + 1e-6)
-        for part in set(ways[j]):
-            repeat = min(repeat, int(left[members[part]].sum()) // ways[j].count(part))
-        if repeat < 1:
-            continue
-        slots = []
-        for part in ways[j][:-1]:  # the longest pieces of each part's bin
-            need, runs = repeat, []
-            for length in members[part]:
-                if (n := min(need, int(left[length]))) > 0:
-                    runs.append((length, n))
-                    left[length] -= n
-                    need -= n
-            slots.append(runs)
-        need = repeat
-        while need:  # the last part is the best fit for what the others leave
-            n = min([need, *(s[0][1] for s in slots)])
-            lengths = [s[0][0] for s in slots]
-            slots = [[(s[0][0], s[0][1] - n), *s[1:]] if s[0][1] > n else s[1:] for s in slots]
-            need -= n
-            room = capacity - sum(lengths)
-            for length in range(room, 0, -1):
-                if (k := min(n, int(left[length]))) > 0:
-                    left[length] -= k
-                    n -= k
-                    groups.append((k, room - length, [(x, 1) for x in (*lengths, length)]))
-            if n and lengths:
-                groups.append((n, room, [(x, 1) for x in lengths]))
-    # best fit, longest first, into the room that is left
-    rooms: dict[int, list[int]] = {}
-    for g, (_, room, _) in enumerate(groups):
-        rooms.setdefault(room, []).append(g)
-
-    def put(n: int, room: int, inside: list[tuple[int, int]]) -> None:
-        if n:
-            groups.append((n, room, inside))
-            rooms.setdefault(room, []).append(len(groups) - 1)
-
-    for length in range(capacity, 0, -1):
-        while left[length]:
-            room = min((r for r, g in rooms.items() if r >= length and g), default=None)
-            if room is None:
-                each = min(capacity // length, int(left[length]))
-                n = int(left[length]) // each
-                put(n, capacity - each * length, [(length, each)])
-                left[length] -= n * each
-                continue
-            g = rooms[room].pop()
-            n, _, inside = groups[g]
-            each = min(room // length, int(left[length]))
-            use = min(n, int(left[length]) // each)
-            groups[g] = (0, 0, [])
-            put(n - use, room, inside)
-            put(use, room - each * length, [*inside, (length, each)])
-            left[length] -= use * each
+        under_way.repeat(ways[j], members, int(repeats[j]))
+    by_patterns = pieces - int(under_way.left.sum())
+    under_way.rest()
+    taken = np.zeros(capacity + 1, np.int64)
     rows, sequence = [], 0
-    for n, _, inside in groups:
+    for n, _, inside in under_way.groups:
         at = 0
         for length, each in inside if n else ():
             rows.append((length, int(taken[length]), each, sequence, at))
@@ -280,15 +332,17 @@ def fill(counts: np.ndarray, capacity: int, members: dict[int, list[int]], ways:
             at += length * each
         sequence += n
     rows.sort()
-    return np.array(rows, np.int64).reshape(-1, 5), sequence
+    return Plan(np.array(rows, np.int64).reshape(-1, 5), sequence, by_patterns, pieces)
 
 
-def pack(cut: DataFrame, capacity: int = 2048, buckets: int = 64) -> DataFrame:
-    """``cut`` (pieces, computed once) with ``sequence_id`` and ``offset``."""
+def pack(cut: DataFrame, capacity: int = 2048, bucket_rows: int = 500_000) -> DataFrame:
+    """``cut`` (pieces, computed once) with ``sequence_id`` and ``offset``.  Pieces of one length are
+    numbered in buckets of about ``bucket_rows`` at most."""
     counts = np.zeros(capacity + 1, np.int64)
     for r in cut.groupBy("length").count().collect():  # at most capacity rows
         counts[r["length"]] = r["count"]
     places, _ = plan(counts, capacity)
+    buckets = max(64, -(-int(counts.max()) // bucket_rows))
     starts = (places[:, 0] << 40) + places[:, 1]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,10 +362,11 @@ def pack(cut: DataFrame, capacity: int = 2048, buckets: int = 64) -> DataFrame:
     return numbered.mapInArrow(each, schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False,
+                   keep_words: bool = True) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset)``: the place of
     every piece of every document in sequences of at most ``capacity`` ids."""
-    return pack(stored(pieces(docs, tokenizer, capacity, end_id, with_ids), "pieces"), capacity)
+    return pack(stored(pieces(docs, tokenizer, capacity, end_id, with_ids, keep_words), "pieces"), capacity)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

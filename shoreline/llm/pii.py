@@ -8,9 +8,11 @@ base span, are added; of overlapping additions the better one stays.
 The trees are fitted on a bounded sample of proposals, as many of each kind, labelled by whether a base span of the
 kind covers them; the features leave out what the base rules check last (a leading plus,
 the card checksum, the range of address parts), so the trees tell spans that look and stand
-like personal data.  The threshold of a kind is the lowest score above which, among all proposals that the trees were
-not fitted on, the lower confidence bound (Wilson's) of the share of base spans is at least
-``precision``; a kind with too few base spans for such a bound gets no additions.
+like personal data.  A proposal that has the base form itself but that the base rules passed over, since their leftmost match
+ran on into its neighbour and failed, is neither an example nor a counterexample.
+The threshold of a kind is the lowest score above which, among all proposals that the trees were
+not fitted on, the share of base spans is at least ``precision``: by its lower confidence bound (Wilson's), or, for kinds
+with few, by the share shrunk towards the bound of all kinds together, which counts as ``prior`` proposals.
 
 DataFrame operations only; fitted trees become column expressions.  Defined cases: a NULL text
 is an empty one, without spans; a NULL ``doc_id`` is a value like any other; repeated rows
@@ -50,6 +52,9 @@ PROPOSALS = [
     (r"(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]++\x20?(?:@|[(\[]at[)\]])\x20?[\p{L}0-9-]++(?:\x20?(?:\.|[(\[]dot[)\]])\x20?[\p{L}0-9-]++)++", ["email"]),
     (r"[0-9]{1,4}(?:[.,][0-9]{1,4}){3}", ["ip"]),
     (r"\+?[(0-9][0-9()\x20./-]{5,28}[0-9]", ["card", "phone"]),
+    # numbers written in groups, within a longer run of digits and marks
+    (r"(?<![0-9+])\+[0-9]{1,3}[\x20.-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[\x20.-]?[0-9]{3,4}[\x20.-]?[0-9]{3,4}(?![0-9])", ["phone"]),
+    (r"(?<![0-9])[0-9]{4}([\x20-]?)[0-9]{4}\1[0-9]{4}\1[0-9]{1,4}(?![0-9])", ["card"]),
 ]
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 
@@ -122,7 +127,7 @@ def _when_any(text: Column, needs: str, spans: Column, kind: str) -> Column:
 _SPAN = "array<struct<kind:int,s:bigint,e:bigint>>"
 _FEATURES = ["kind", "chars", "digits", "seps", "dots", "blanks", "dashes", "parens", "groups", "first_digit",
              "letter_before", "digit_before", "mark_before", "letter_after", "digit_after", "mark_after"]
-_PROPOSAL = "array<struct<kind:int,s:bigint,e:bigint,f:array<double>>>"
+_PROPOSAL = "array<struct<kind:int,s:bigint,e:bigint,f:array<double>,form:boolean>>"
 
 
 def base_spans(text: Column) -> Column:
@@ -153,7 +158,8 @@ def proposals(text: Column) -> Column:
         for kind in kinds:
             k = KINDS.index(kind)
             spans = F.transform(located(text, pattern), lambda x: F.struct(  # noqa: B023
-                F.lit(k).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), features(k, x).alias("f")))  # noqa: B023
+                F.lit(k).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), features(k, x).alias("f"),  # noqa: B023
+                (x["m"].rlike(f"^(?:{SCANNED[kind]})$") & valid(kind, x["m"])).alias("form")))  # noqa: B023
             parts.append(_when_any(text, "@|at[)\\]]" if kind == "email" else "[0-9]", spans, _PROPOSAL))
     return F.concat(*parts)
 
@@ -199,7 +205,9 @@ def fit(scanned: DataFrame, sample: int = 20_000, trees: int = 12, depth: int =
 
     one = scanned.select("doc_id", "base", F.explode("proposed").alias("p"))
     covered = F.exists("base", lambda b: (b["kind"] == F.col("p.kind")) & (b["s"] <= F.col("p.e") - 1) & (F.col("p.s") <= b["e"] - 1))
+    passed_over = F.col("p.form") & ~F.exists("base", lambda b: _touch(b, F.col("p")))
     luck = F.xxhash64("doc_id", "p.kind", "p.s", "p.e")
+    one = one.filter(~passed_over)
     rows = one.select("p.f", F.col("p.kind").alias("kind"), covered.cast("double").alias("label"), luck.alias("h"))
     sizes = one.groupBy(F.col("p.kind").alias("kind")).agg(F.count(F.lit(1)).alias("n")).collect()  # a row a kind
     if not sizes:
@@ -217,16 +225,23 @@ def fit(scanned: DataFrame, sample: int = 20_000, trees: int = 12, depth: int =
     return model
 
 
-def calibrate(scored: DataFrame, precision: float, confidence: float) -> dict[int, float]:
+def calibrate(scored: DataFrame, precision: float, confidence: float, prior: float = 20.0) -> dict[int, float]:
     """The threshold of each kind of ``scored (kind, label, score)``, in steps of 1/1024."""
     step = F.floor(F.col("score") * 1024) / F.lit(1024.0)
     steps = scored.groupBy("kind", step.alias("score")).agg(F.sum("label").alias("good"), F.count(F.lit(1)).alias("n"))
-    above = Window.partitionBy("kind").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    sums = steps.select("kind", "score", F.sum("good").over(above).alias("good"), F.sum("n").over(above).alias("n"))
+    down = F.desc("score")
+    of_kind = Window.partitionBy("kind").orderBy(down).rowsBetween(Window.unboundedPreceding, 0)
+    of_all = Window.orderBy(down).rangeBetween(Window.unboundedPreceding, 0)  # few steps: trees give few scores
+    sums = steps.select("kind", "score", *[F.sum(c).over(w).alias(c + tail) for c in ("good", "n") for w, tail in ((of_kind, ""), (of_all, "_all"))])
     z = NormalDist().inv_cdf(confidence)
-    p, n = F.col("good") / F.col("n"), F.col("n")
-    bound = (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
-    return {r["kind"]: r["least"] for r in sums.filter(bound >= precision).groupBy("kind").agg(F.min("score").alias("least")).collect()}
+
+    def bound(good: Column, n: Column) -> Column:
+        p = good / n
+        return (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+    shrunk = (F.col("good") + prior * bound(F.col("good_all"), F.col("n_all"))) / (F.col("n") + prior)
+    enough = (bound(F.col("good"), F.col("n")) >= precision) | (shrunk >= precision)
+    return {r["kind"]: r["least"] for r in sums.filter(enough).groupBy("kind").agg(F.min("score").alias("least")).collect()}
 
 
 def _touch(a: Column, b: Column) -> Column:

@@ -6,8 +6,9 @@ beyond the quartiles by more than ``reach`` times their distance.  Where over ha
 group has one value, wider ranges of the sketch or the spread within the groups of the
 language or the corpus stand in for that distance (``spreads``).  The sketch is a
 histogram of logarithmic buckets with a relative error of ``accuracy`` (DDSketch, 2019):
-sketches merge by adding counts, so those of a language and of the whole corpus, which
-stand in for groups of fewer than ``min_rows`` rows, are sums of the others.  The
+sketches merge by adding counts, so those of a language and of the whole corpus are sums of the others.  The
+quartiles of a group are shrunk towards those of its language, and these towards the corpus's: the
+parent counts as ``min_rows`` rows, so small groups lean on it and large ones do not.  The
 thresholds are then joined to the rows.
 
 Defined cases: a NULL text has no words, so all counts are 0 and the base rule fails; NULL
@@ -175,8 +176,9 @@ def thresholds(rows: DataFrame, min_rows: int = 100, reach: float = 6.0, accurac
     own = stored(sketch(rows, ["lang", "source"], accuracy), "sketches")
     joined = _with_parents(quartiles(own, ["lang", "source"], accuracy), quartiles(merge(own, ["lang"]), ["lang"], accuracy),
                            quartiles(merge(own, []), [], accuracy))
-    pick = lambda q: (F.when(F.col("own_rows") >= min_rows, F.col(f"own_{q}"))
-                      .when(F.col("lang_rows") >= min_rows, F.col(f"lang_{q}")).otherwise(F.col(f"all_{q}")))
+    # a group's quartiles count by its rows, its parent's as min_rows rows
+    shrunk = lambda rows, own_, parent: (F.col(rows) * own_ + F.lit(min_rows) * parent) / (F.col(rows) + F.lit(min_rows))
+    pick = lambda q: shrunk("own_rows", F.col(f"own_{q}"), shrunk("lang_rows", F.col(f"lang_{q}"), F.col(f"all_{q}")))
     quarters = stored(joined.select("lang", "source", "rule", *[pick(q).alias(q) for q in ("q1", "q2", "q3")]), "quartiles")
     wide = spreads(own, quarters, min_rows, accuracy).select(
         F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.col("rule").alias("_rule"), "spread")

@@ -75,8 +75,8 @@ def _totals(rows: DataFrame, part: Callable[[np.ndarray], np.ndarray], exact: bo
             values = (pa.array([Decimal(int(t)) for t in total], pa.decimal128(38, 0)) if exact else pa.array(total, pa.float64()))
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), values], ["at", "part"])
 
-    sums = rows.select("x").mapInArrow(each, f"at int, part {kind}").groupBy("at").agg(F.sum("part").alias("s")).orderBy("at")
-    return np.array([int(r["s"]) if exact else r["s"] for r in sums.collect()], object if exact else float)  # as many as part gives
+    sums = rows.select("x").mapInArrow(each, f"at int, part {kind}").groupBy("at").agg(F.sum("part").alias("s"))
+    return np.array([int(r["s"]) if exact else r["s"] for r in sorted(sums.collect())], object if exact else float)  # as many as part gives
 
 
 def _outer(y: np.ndarray) -> np.ndarray:
@@ -169,7 +169,7 @@ def characteristic_polynomial(spark: SparkSession, m: np.ndarray) -> list[int]:
 
     tasks = spark.createDataFrame([(p,) for p in wanted], "p long").repartition(min(len(wanted), 64))
     left, product = [0] * (d + 1), 1
-    for r in tasks.mapInArrow(each, "p long, c array<long>").orderBy("p").collect():  # d + 1 numbers a prime
+    for r in sorted(tasks.mapInArrow(each, "p long, c array<long>").collect()):  # d + 1 numbers a prime
         p = r["p"]
         inverse = pow(product, -1, p)
         left = [x + product * ((c - x) * inverse % p) for x, c in zip(left, r["c"])]

@@ -95,27 +95,53 @@ def test_groups_of_near_copies_and_borderline_pairs(spark):
 
 def test_blocks_pair_every_two_nodes_of_different_classes(spark):
     rng = np.random.default_rng(2)
-    members = [(1, n, 0 if n < 30 else n % 5) for n in range(50)] + [(2, n, n) for n in range(3)] + [(3, n, 7) for n in range(9)]
-    members = [(b, n, c if b != 1 or n < 30 else 100 + c) for b, n, c in members]
+    members = [(1, n, 0 if n < 30 else 100 + n % 5) for n in range(50)] + [(2, n, n) for n in range(3)] + [(3, n, 7) for n in range(9)]
+    members += [(4, n, c) for b, n, c in members if b == 1]  # equal nodes: compared once
     buckets = spark.createDataFrame(members, "b long, node long, class long")
-    nodes = spark.createDataFrame([(n, [int(rng.integers(1 << 60))]) for n in range(50)], "node long, odd array<long>")
-    got = {(r["u"], r["v"]) for r in oddsketch.compare_blocks(oddsketch.blocks(buckets, 6), nodes, 64).collect()}
+    nodes = spark.createDataFrame([(n, n, [int(rng.integers(1 << 60))]) for n in range(50)], "node long, n long, odd array<long>")
+    all_of_them = lambda n_a, odd_a, n_b, odd_b: np.ones(len(n_a), bool)
+    got = {(r["u"], r["v"]) for r in oddsketch.compare_blocks(oddsketch.blocks(buckets, 6), nodes, all_of_them).collect()}
     assert got == {(m, n) for b, m, c in members for a, n, d in members if a == b and m < n and c != d}
-    counts = oddsketch.blocks(buckets, 6).groupBy("g").count().agg(F.max("count")).first()[0]
-    assert counts <= 40  # hashes deal blocks, so two of 6 may be somewhat larger
-
-
-def test_sketch_differs_in_at_most_two_bits_a_sample():
-    rng = np.random.default_rng(3)
-    s = oddsketch.Sketcher()
-    for similar in (0.5, 0.85, 0.95):
-        common_part = rng.integers(1 << 63, size=int(2000 * similar), dtype=np.uint64)
-        own = [rng.integers(1 << 63, size=int(1000 * (1 - similar)), dtype=np.uint64) for _ in range(2)]
-        low = [s.minima(np.unique(np.concatenate([common_part, o]))) for o in own]
-        apart = int(np.bitwise_count(s.sketch(low[0]) ^ s.sketch(low[1])).sum())
-        assert apart <= 2 * int((low[0] != low[1]).sum())
-        assert apart > 0
-    assert oddsketch.odd_bound(96, 100) == 0 and 2 * 96 * 0.15 < oddsketch.odd_bound(96, 85) < 96
+    groups = oddsketch.blocks(buckets, 6)
+    assert groups.select("g").distinct().count() == groups.filter("not second").select("g").distinct().count()
+    assert groups.groupBy("g").count().agg(F.max("count")).first()[0] <= 40  # hashes deal blocks, so two of 6 may be larger
+
+
+def plain_words(text):
+    return [w.lower() for w in text.encode().split()]
+
+
+def test_word_hashes_tell_words_apart_and_nothing_else(monkeypatch):
+    text = "A b a\tB\x0bäÄ ab ba aab " + "long" * 40 + "  x" * 500 + " " + "y" * 3000 + "\n"
+    h = oddsketch.word_hashes(text.encode())
+    words = plain_words(text)
+    assert len(h) == len(words) and len(set(zip(h.tolist(), words))) == len(set(h.tolist())) == len(set(words))
+    for part in (1, 7, 100):
+        monkeypatch.setattr(oddsketch, "_PART", part)
+        assert np.array_equal(h, oddsketch.word_hashes(text.encode()))
+    assert len(oddsketch.word_hashes(b" \n ")) == 0 == len(oddsketch.shingle_set(None, 3))
+    assert len({int(oddsketch.shingle_set(t, 3)[0]) for t in ("a", "a b", "a b c", "b a c", "ab", "a a")}) == 6
+
+
+@pytest.mark.parametrize("n", [3, 400, 2000, 2040, 5000, 20_000])
+def test_sketches_never_rule_out_linked_sets(n):
+    rng = np.random.default_rng(n)
+    s, bound = oddsketch.Sketcher(), oddsketch.odd_bound(96, 85)
+    ruled_out = 0
+    for trial in range(60):
+        size = int(n * rng.uniform(0.9, 1.1)) + 1
+        both = rng.integers(1 << 63, size=size, dtype=np.uint64)
+        more = int(size * 15 / 85 * (trial % 2 or rng.uniform(0.2, 1)))
+        cut = rng.integers(0, more + 1)
+        own = rng.integers(1 << 63, size=more, dtype=np.uint64)
+        pair = [np.unique(np.concatenate([both, own[:cut]])), np.unique(np.concatenate([both, own[cut:]]))]
+        linked = 100 * len(both) >= 85 * (len(both) + more)
+        far = np.unique(np.concatenate([both, rng.integers(1 << 63, size=int(size * 0.5) + 1, dtype=np.uint64)]))
+        args = lambda x: (np.array([len(x)]), np.concatenate([s.sketch(s.minima(x)), *oddsketch.fine_sketches(x)])[None])
+        ask = lambda a, b: bool(oddsketch.may_link(*args(a), *args(b), 512, bound, 85)[0])
+        assert not linked or (ask(*pair) and ask(*pair[::-1]))
+        ruled_out += not ask(pair[0], far)
+    assert ruled_out == 60
 
 
 # --- clustering
