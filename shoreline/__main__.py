@@ -34,7 +34,9 @@ def main(argv: list[str] | None = None) -> int:
     r.add_argument("summary")
     r.add_argument("out_dir")
     r.add_argument("--multiline", action="store_true",
-                   help="quoted fields may hold line breaks; each file is then read by one task")
+                   help="quoted fields may hold line breaks")
+    r.add_argument("--single-files", action="store_true",
+                   help="publish one file each (CSV, JSON arrays), rows in order, instead of folders of parts")
     lk = sub.add_parser("lookup", help="records of a state matching a search term")
     lk.add_argument("records")
     lk.add_argument("state")
@@ -54,7 +56,7 @@ def main(argv: list[str] | None = None) -> int:
         from shoreline.plans.beaches import run_reports
 
         run_reports(spark, args.actions, args.profile, args.summary, args.out_dir,
-                    multiline=args.multiline)
+                    multiline=args.multiline, single_files=args.single_files)
         return 0
     from pyspark.sql import types as T
 
