@@ -99,10 +99,10 @@ _TOKENIZERS: dict[str, WordTokenizer] = {}
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False,
-           keep_words: bool = True) -> DataFrame:
+           max_words: int = 600_000) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32)`` and, if asked, ``ids``: every document's
-    ids and the end id, cut at ``capacity``.  ``keep_words``: a worker keeps the tokenizer and the words that it
-    has met for its next partition, which saves time and takes some 150 MB of it for good."""
+    ids and the end id, cut at ``capacity``.  A worker keeps the tokenizer and up to ``max_words`` words that it
+    has met, also for its next partition: 600,000 take some 150 MB of it for good."""
     ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("piece", T.IntegerType()),
@@ -115,6 +115,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer not in _TOKENIZERS:
             _TOKENIZERS[tokenizer] = WordTokenizer(tokenizer)
+        _TOKENIZERS[tokenizer].max_words = max_words
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 rows, out = [], []
@@ -130,8 +131,6 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
                 if with_ids:
                     columns.append(pa.array([np.frombuffer(x, "<u4").astype(np.int64) for x in raw_ids], pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
-        if not keep_words:
-            _TOKENIZERS.clear()
 
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(each, schema)
 
@@ -363,10 +362,10 @@ def pack(cut: DataFrame, capacity: int = 2048, bucket_rows: int = 500_000) -> Da
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False,
-                   keep_words: bool = True) -> DataFrame:
+                   max_words: int = 600_000) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset)``: the place of
     every piece of every document in sequences of at most ``capacity`` ids."""
-    return pack(stored(pieces(docs, tokenizer, capacity, end_id, with_ids, keep_words), "pieces"), capacity)
+    return pack(stored(pieces(docs, tokenizer, capacity, end_id, with_ids, max_words), "pieces"), capacity)
 
 
 def sequences(packed: DataFrame) -> DataFrame:
