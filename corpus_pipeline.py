@@ -14,6 +14,8 @@ from shoreline.llm.queries import tokenizer_path
 MIN_LANGUAGE_SCORE = 0.5
 #: characters of the shortest run of lines that counts as repeated
 MIN_REPEATED_CHARS = 60
+#: words that a worker keeps with their ids, about 25 MB of them, as it serves the other stages too
+MAX_WORDS = 100_000
 #: ids of a training sequence
 CAPACITY = 2048
 
@@ -57,7 +59,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     A missing text is an empty one, of which only the end id is packed; every copy of a row is packed; an empty table
     gives none."""
-    return packing.pack_documents(docs, tokenizer_path(), CAPACITY, end_id=0, keep_words=False)
+    return packing.pack_documents(docs, tokenizer_path(), CAPACITY, end_id=0, max_words=MAX_WORDS)
 
 
 #: each takes (spark, docs, sf_dir); all but the last return the columns of documents
