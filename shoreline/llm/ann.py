@@ -253,7 +253,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, recall: float = 0.9
     bucket = F.pmod(F.xxhash64("vec_id", "v"), F.lit(buckets)).cast("int").alias("bucket")
     asked = stored(queries.mapInArrow(walk, "vec_id long, v array<double>, block int, cells array<int>")
                    .select("*", bucket), "asked")
-    visited_by = asked.select("block", "bucket").distinct()
+    visited_by = stored(asked.select("block", "bucket").distinct(), "visits")
     where = spark.createDataFrame([(c, int(f), int(p)) for c, (f, p) in enumerate(zip(first, parts))], "cell int, first int, parts int")
     entries = (index.join(F.broadcast(where), "cell")  # a row a pair of centroids
                .select("vec_id", "v", "cell", (F.col("first") + F.pmod(F.xxhash64("vec_id", "v"), F.col("parts"))).cast("int").alias("block"))
