@@ -318,7 +318,7 @@ def compare_blocks(rows: DataFrame, nodes: DataFrame, test: Callable[..., np.nda
     return sketched.repartition("g").sortWithinPartitions("g").mapInArrow(each, "u long, v long").distinct()
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int, part_shingles: int = 4_000_000) -> DataFrame:
+def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int, part_shingles: int = 100_000) -> DataFrame:
     """The ``pairs (u, v)`` of ``texts (node, n, text)`` with 100 * intersection >= ``percent`` * union of
     their shingle sets.  A node's partners are split where they have many shingles."""
     size = texts.select(F.col("node").alias("v"), "n")
