@@ -260,7 +260,8 @@ def select(scanned: DataFrame, model: Model) -> DataFrame:
     plain = lambda p: F.struct(p["kind"].alias("kind"), p["s"].alias("s"), p["e"].alias("e"))
     new = passed.withColumn("new", F.array_except(F.transform("passed", plain), F.col("base")))
     good = F.filter("passed", lambda p: F.array_contains("new", plain(p)) & ~F.exists("base", lambda b: _touch(b, p)))
-    rows = new.select("doc_id", "base", F.when(F.size("new") > 0, good).otherwise(F.slice("passed", 1, 0)).alias("good"))
+    # two generators may propose the same span
+    rows = new.select("doc_id", "base", F.when(F.size("new") > 0, F.array_distinct(good)).otherwise(F.slice("passed", 1, 0)).alias("good"))
     better = lambda q, p: F.struct(-q["score"], q["s"], -q["e"], q["kind"]) < F.struct(-p["score"], p["s"], -p["e"], p["kind"])
     alone = F.filter("good", lambda p: ~F.exists("good", lambda q: _touch(p, q) & better(q, p)))
     return rows.select("doc_id", "base", F.transform(alone, lambda p: F.struct(p["kind"], p["s"], p["e"])).cast(_SPAN).alias("added"))

@@ -1,10 +1,10 @@
-"""Neighbours of repeated ids, PII that the base rules pass over, quality fences that lean on their parents."""
+"""Neighbours of repeated ids, PII that the base rules pass over."""
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shoreline.llm import ann, common, pii, quality
+from shoreline.llm import ann, common, pii
 from test_llm_operators import frame, plain_spans
 
 SF = "/root/testdata/sf0.001"
@@ -78,19 +78,3 @@ def test_spans_that_the_base_rules_pass_over_are_added(spark, n):
     right = {(d, f"{k}:{s}:{e}") for d, (k, s, e) in hidden.items()}
     assert len(added & right) >= 0.9 * len(right)
     assert len(added & right) >= 0.95 * len(added)
-
-
-# --- quality
-
-def test_small_groups_lean_on_their_language(spark):
-    clean = "plain words of some length stand here without any marks at all and go on for a while longer than twenty words in every single document "
-    def text(i, marks):
-        w = (clean + str(i)).split()
-        return " ".join(x + "|" * (k < marks) for k, x in enumerate(w))
-
-    rows = [(i, text(i, i % 3), "en", "prose") for i in range(300)] + [(1000 + i, text(i, 12 + i % 3), "en", "tables") for i in range(300)]
-    rows += [(2000 + i, text(i, 12 + i % 3), "en", "few tables") for i in range(40)]
-    counted = common.stored(quality.text_counts(frame(spark, rows, clash=False)), "test")
-    high = {r["source"]: r["symbols_high"] for r in quality.thresholds(counted).collect()}
-    assert high["prose"] + 0.2 < high["tables"]
-    assert high["prose"] < high["few tables"]
