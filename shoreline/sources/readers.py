@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from shoreline.operators._util import qcol
 from shoreline.operators.joins import MAX_BROADCAST_BYTES
+from shoreline.sources.arrays import LARGE_FILE_BYTES, RECORD_END, array_lines
 from shoreline.sources.headers import header_groups, header_names, plain_path
 from shoreline.sources.records import record_fields, report_records
 from shoreline.sources.tables import TABLE_SCHEMAS
@@ -209,9 +210,19 @@ def read_report(spark: SparkSession, path: str | Sequence[str], types: Mapping[s
 
 
 def read_records(spark: SparkSession, path: str | Sequence[str], schema: T.StructType,
-                 multiline: bool = True) -> DataFrame:
-    """Read published records: a JSON array document (``multiline``) or JSON lines."""
-    return spark.read.schema(schema).option("multiLine", multiline).json(path)
+                 multiline: bool = True, large: int = LARGE_FILE_BYTES) -> DataFrame:
+    """Read published records: JSON array documents (``multiline``) or JSON lines.
+
+    Arrays in files of over ``large`` bytes are read in many tasks a file, their objects stored as records of
+    their own first (see ``sources.arrays``); other documents by one task each."""
+    whole = spark.read.schema(schema).option("multiLine", multiline).json(path)
+    if not multiline or whole.columns != schema.names:  # folders give further columns
+        return whole
+    folder = array_lines(spark, path, large)
+    if folder is None:
+        return whole
+    records = spark.read.schema(schema).option("lineSep", RECORD_END).json(folder)
+    return whole.filter(F.col("_metadata.file_size") <= large).unionByName(records)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
