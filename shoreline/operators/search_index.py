@@ -1,7 +1,8 @@
 """Stored records that are looked up many times: partitioned by state, with an index of text pieces.
 
 ``build`` writes the records, sorted into small blocks within a folder for each state, and postings: for each
-three-character piece of a record's searched fields, the record.  A lookup then
+three-character piece of the records' searched fields and each group of 64 records one after the other, the
+records that hold it, a bit each.  Texts that records of a group share are cut into pieces once.  A lookup then
 
 * runs the state pattern over the few distinct states (it is a filter on the folder column, which Spark's file
   index evaluates), so only the folders of matching states are read;
@@ -49,14 +50,22 @@ class SearchIndex:
         return self.spark.read.parquet(f"{self.folder}/postings")
 
 
-def text_pieces(fields: Sequence[str]) -> Column:
-    """The distinct three-character pieces of the lower-cased fields, each between ``START`` and ``END``."""
-    def pieces(f: str) -> Column:
-        text = F.concat(F.lit(START), F.lower(qcol(f).cast("string")), F.lit(END))
-        places = F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1)))
-        return F.coalesce(F.transform(places, lambda i: F.substring(text, i, 3)), F.array().cast("array<string>"))
+def text_pieces(text: Column) -> Column:
+    """The three-character pieces of a text between ``START`` and ``END``."""
+    text = F.concat(F.lit(START), text, F.lit(END))
+    places = F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1)))
+    return F.transform(places, lambda i: F.substring(text, i, 3))
 
-    return F.array_distinct(F.concat(*[pieces(f) for f in fields]))
+
+def posting_rows(records: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """``(gram, __block, word, bits)``: bit ``i`` of a word tells whether the record ``64 * word + i`` holds the piece."""
+    keys = [_BLOCK, "word"]
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col(_ID).bitwiseAND(F.lit(63)).cast("int"))
+    found = F.explode(F.array(*[F.lower(qcol(f).cast("string")) for f in fields])).alias("text")
+    texts = records.select(_BLOCK, F.shiftright(_ID, 6).alias("word"), bit.alias("bits"), found).filter(F.col("text").isNotNull())
+    texts = texts.groupBy(*keys, "text").agg(F.bit_or("bits").alias("bits"))
+    grams = texts.select(*keys, "bits", F.explode(text_pieces(F.col("text"))).alias("gram"))
+    return grams.groupBy("gram", *keys).agg(F.bit_or("bits").alias("bits"))
 
 
 def build(records: DataFrame, folder: str, state_col: str, fields: Sequence[str], raw_term_fields: Iterable[str] = (),
@@ -70,7 +79,7 @@ def build(records: DataFrame, folder: str, state_col: str, fields: Sequence[str]
     index = SearchIndex(records.sparkSession, folder, state_col, list(records.columns), list(fields), list(raw_term_fields),
                         buckets, placed.schema)
     (placed.write.mode("overwrite").partitionBy(_STATE, _BLOCK).parquet(f"{folder}/records"))
-    stored = index.records().select(_ID, _BLOCK, F.explode(text_pieces(fields)).alias("gram"))
+    stored = posting_rows(index.records(), fields)
     bucket = (F.crc32(F.col("gram").cast("binary")) % buckets).cast("int")
     (stored.withColumn("bucket", bucket).repartition("bucket", F.pmod(F.xxhash64("gram"), F.lit(16)))
      .sortWithinPartitions("bucket", "gram").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings"))
@@ -89,10 +98,13 @@ def candidates(index: SearchIndex, term: str) -> DataFrame | None:
     named = [(n, len(way), gram) for n, way in enumerate(sorted(ways, key=sorted)) for gram in sorted(way)]
     grams = sorted({g for _, _, g in named})
     buckets = sorted({zlib.crc32(g.encode()) % index.buckets for g in grams})
-    hits = index.postings().filter(F.col("bucket").isin(buckets) & F.col("gram").isin(grams)).select("gram", _ID, _BLOCK)
+    hits = index.postings().filter(F.col("bucket").isin(buckets) & F.col("gram").isin(grams)).select("gram", _BLOCK, "word", "bits")
     wanted = index.spark.createDataFrame(named, "way int, size int, gram string")
-    held = hits.join(F.broadcast(wanted), "gram").groupBy("way", _ID, _BLOCK).agg(F.max("size").alias("size"), F.count(F.lit(1)).alias("n"))
-    return held.filter("n = size").select(_ID, _BLOCK).distinct()  # a record has a piece once
+    held = hits.join(F.broadcast(wanted), "gram").groupBy("way", _BLOCK, "word").agg(
+        F.max("size").alias("size"), F.count(F.lit(1)).alias("n"), F.bit_and("bits").alias("bits"))  # a word has a piece once
+    places = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit("bits", i) == 1)
+    rows = held.filter("n = size").select(_BLOCK, "word", F.explode(places).alias("place"))
+    return rows.select((F.shiftleft("word", 6) + F.col("place")).alias(_ID), _BLOCK).distinct()
 
 
 def find(index: SearchIndex, selected: str, term: str) -> DataFrame:

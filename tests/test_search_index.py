@@ -131,3 +131,19 @@ def test_states_sort_by_utf16_units(spark):
     page = sorted(set(states), key=lambda s: s.encode("utf-16-be"))
     assert [r["s"] for r in distinct_sorted(df, "s", utf16=True).collect()] == page
     assert [r["s"] for r in distinct_sorted(df, "s").collect()] == sorted(set(states)) != page
+
+
+def test_postings_are_rows_of_64_records(spark, tmp_dir):
+    """Texts of many records give a row a piece and word of 64 records, not a row a piece and record."""
+    n = 2000
+    df = spark.createDataFrame([(f"B{i}", "Virginia" if i % 2 else None, "elevated bacteria, RAINFALL", None if i % 5 else "Active", i % 7)
+                                for i in range(n)], "bi string, s string, r string, st string, na int")
+    index = build(df, f"{tmp_dir}/index", "s", FIELDS, ["r"], block_rows=256, buckets=8)
+    grams = {t[i:i + 3] for x in df.collect() for t in (START + str(v).lower() + END for v in x if v is not None) for i in range(len(t) - 2)}
+    assert {x["gram"] for x in index.postings().select("gram").distinct().collect()} == grams
+    common = index.postings().filter(F.col("gram") == "rai")
+    assert common.count() < n / 16 and common.agg(F.sum(F.bit_count("bits"))).first()[0] == n
+    for term, many in (("rainfall", n), ("^b1999$", 1), ("active", 400), ("virginia", 1000), ("^b1999$|^b17$", 2), ("zzz", 0)):
+        kept = candidates(index, term)
+        assert kept.count() == kept.select("__id").distinct().count() == many, term
+        assert find(index, "Virginia", term).count() == lookup(df, "s", "Virginia", term, FIELDS, ["r"]).count()
