@@ -33,6 +33,10 @@ from shoreline.llm.common import gapless_index, ship, stored
 
 #: white space besides the blank at which texts are split into words
 _SPACES = "\t\n\x0b\x0c\r"
+#: words and parts that a worker keeps: some 75 MB of it
+MAX_WORDS = 300_000
+#: longer words (in characters) are rarely met again
+LONG_WORD = 64
 
 
 def _words(text: str) -> list[str]:
@@ -54,42 +58,53 @@ class WordTokenizer(dict):
     """Ids (little-endian unsigned 32-bit) of words, for tokenizers that drop white space, never
     join across it, and lower-case.
 
-    Words and their parts are kept, at most ``max_words``, then forgotten.  Printable words
-    of Latin letters are cut into parts by the tokenizer's own pattern and given to its
-    model directly; any other goes through the whole tokenizer."""
+    Words and their parts are kept, at most ``max_words`` and those of one text: half of them are the
+    ones met lately, and when these are as many, the older half is forgotten.  Words of over
+    ``LONG_WORD`` characters are not kept.  Printable words of Latin letters are cut into parts by the
+    tokenizer's own pattern and given to its model directly; any other goes through the whole tokenizer."""
 
-    def __init__(self, path: str, max_words: int = 600_000):
+    def __init__(self, path: str, max_words: int = MAX_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer, self.max_words = Tokenizer.from_file(path), max_words
-        steps = json.loads(self.tokenizer.to_str())["pre_tokenizer"]["pretokenizers"]
+        steps = json.loads(self.tokenizer.pre_tokenizer.__getstate__())["pretokenizers"]
         self.parts = regex.compile(steps[0]["pattern"]["Regex"]).findall
         self.letters = _byte_letters()
         self.model = self.tokenizer.model.tokenize
+        self.older: dict[str, bytes] = {}
         self[""] = b""
 
+    def cut(self, text: str) -> bytes:
+        found = self.model(text)
+        return found[0].id.to_bytes(4, "little") if len(found) == 1 else array("I", [t.id for t in found]).tobytes()
+
     def part(self, p: str) -> bytes:
-        found = self.get(p)
+        found = self.get(p) or self.older.get(p)
         if found is None:
-            text = p if p.isascii() else "".join([self.letters[b] for b in p.encode()])
-            found = self[p] = array("I", [t.id for t in self.model(text)]).tobytes()
+            found = self.cut(p if p.isascii() else "".join([self.letters[b] for b in p.encode()]))
+        if len(p) <= LONG_WORD:
+            self[p] = found
         return found
 
     def __missing__(self, word: str) -> bytes:
-        small = word.lower()
-        if small.isascii() and small.isalpha():  # one part
-            ids = self.part(small)
-        elif word.isprintable() and max(word) < "\u0250" and "<|" not in word:
-            ids = b"".join([self.part(p) for p in self.parts(small)])
-        else:
-            ids = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
-        self[word] = ids
+        ids = self.older.get(word)
+        if ids is None:
+            small = word.lower()
+            if small.isascii() and small.isalpha():  # one part
+                ids = self.cut(word) if small == word else self.part(small)
+            elif word.isprintable() and max(word) < "\u0250" and "<|" not in word:
+                ids = b"".join([self.get(p) or self.part(p) for p in self.parts(small)])
+            else:
+                ids = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        if len(word) <= LONG_WORD:
+            self[word] = ids
         return ids
 
     def ids(self, text: str) -> bytes:
-        if len(self) > self.max_words:
+        if 2 * len(self) > self.max_words:
+            self.older = dict(self)
             self.clear()
             self[""] = b""
         return b"".join(map(self.__getitem__, _words(text)))
@@ -99,10 +114,10 @@ _TOKENIZERS: dict[str, WordTokenizer] = {}
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False,
-           max_words: int = 600_000) -> DataFrame:
+           max_words: int = MAX_WORDS) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32)`` and, if asked, ``ids``: every document's
     ids and the end id, cut at ``capacity``.  A worker keeps the tokenizer and up to ``max_words`` words that it
-    has met, also for its next partition: 600,000 take some 150 MB of it for good."""
+    has met, also for its next partition: 300,000 take some 75 MB of it for good."""
     ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("piece", T.IntegerType()),
@@ -362,7 +377,7 @@ def pack(cut: DataFrame, capacity: int = 2048, bucket_rows: int = 500_000) -> Da
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False,
-                   max_words: int = 600_000) -> DataFrame:
+                   max_words: int = MAX_WORDS) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset)``: the place of
     every piece of every document in sequences of at most ``capacity`` ids."""
     return pack(stored(pieces(docs, tokenizer, capacity, end_id, with_ids, max_words), "pieces"), capacity)
