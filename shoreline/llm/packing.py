@@ -17,14 +17,17 @@ from __future__ import annotations
 
 import json
 import os
+import unicodedata
 import zlib
 from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,6 +40,19 @@ _SPACES = "\t\n\x0b\x0c\r"
 MAX_WORDS = 300_000
 #: longer words (in characters) are rarely met again
 LONG_WORD = 64
+#: bytes of the texts that are cut into parts at once (a longer text alone)
+TEXT_BYTES = 4 << 20
+
+#: the pattern that ``part_bounds`` follows
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: texts that hold other than white space, printable Latin letters (not U+0130, whose small letter is two characters,
+#: nor those from U+023A on, some of which have three bytes), common punctuation,
+#: or that may hold a special token
+_ODD = "[^\t-\r -~\xa1-\xac\xae-\u012f\u0131-\u0239\u2010-\u2027]|<\\|"
+_SPACE, _LETTER, _NUMBER, _SYMBOL = range(4)
+#: kind of every character of one or two UTF-8 bytes
+_KINDS = np.array([_SPACE if chr(c) in " " + _SPACES else {"L": _LETTER, "N": _NUMBER}.get(unicodedata.category(chr(c))[0], _SYMBOL)
+                   for c in range(0x800)], np.uint8)
 
 
 def _words(text: str) -> list[str]:
@@ -54,14 +70,47 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
 
+def _offsets(found: pa.LargeStringArray | pa.LargeBinaryArray) -> np.ndarray:
+    """Where each of ``found`` begins in its bytes, and the end of the last."""
+    if not len(found):
+        return np.zeros(1, np.int64)
+    return np.frombuffer(found.buffers()[1], np.int64)[found.offset:found.offset + len(found) + 1]
+
+
+def part_bounds(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where parts by ``_PATTERN`` and runs of white space begin in the UTF-8 bytes ``data`` of lower-case texts that are not
+    odd (``starts``: their first bytes), with the end of ``data``; and whether each is a part."""
+    kind = _KINDS[data]
+    lead = np.flatnonzero((data >= 0xC2) & (data < 0xE0))
+    kind[lead] = kind[lead + 1] = _KINDS[(data[lead].astype(np.int64) & 31) << 6 | data[lead + 1] & 63]
+    lead = np.flatnonzero(data >= 0xE0)  # punctuation
+    kind[lead] = kind[lead + 1] = kind[lead + 2] = _SYMBOL
+    new = np.ones(len(data) + 3, bool)  # and two beyond the end
+    np.not_equal(kind[1:], kind[:-1], out=new[1:len(data)])
+    new[:len(data)] |= (kind == _NUMBER) & (data & 0xC0 != 0x80)
+    new[starts] = True
+    after = np.append(data, [0, 0])
+    short = np.flatnonzero((data == ord("'")) & new[:len(data)] & new[1:len(data) + 1])
+    for suffix in (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d"):
+        # the suffix is of the same text, and its bytes of one run
+        at = short[(after[short + 1] == suffix[0]) & ~np.isin(short + 1, starts)]
+        if len(suffix) == 2:
+            at = at[(after[at + 2] == suffix[1]) & ~new[at + 2]]
+        new[at + 1] = False
+        new[at + 1 + len(suffix)] = True
+    bounds = np.flatnonzero(new[:len(data) + 1])
+    return bounds, kind[bounds[:-1]] != _SPACE
+
+
 class WordTokenizer(dict):
     """Ids (little-endian unsigned 32-bit) of words, for tokenizers that drop white space, never
     join across it, and lower-case.
 
-    Words and their parts are kept, at most ``max_words`` and those of one text: half of them are the
+    Words and their parts are kept, at most ``max_words`` and those of one text (or of the texts cut at once): half of them are the
     ones met lately, and when these are as many, the older half is forgotten.  Words of over
     ``LONG_WORD`` characters are not kept.  Printable words of Latin letters are cut into parts by the
-    tokenizer's own pattern and given to its model directly; any other goes through the whole tokenizer."""
+    tokenizer's own pattern and given to its model directly; any other goes through the whole tokenizer.  Many texts are
+    cut into parts together, but for odd ones (other scripts, control characters), which go word by word."""
 
     def __init__(self, path: str, max_words: int = MAX_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -70,7 +119,8 @@ class WordTokenizer(dict):
 
         self.tokenizer, self.max_words = Tokenizer.from_file(path), max_words
         steps = json.loads(self.tokenizer.pre_tokenizer.__getstate__())["pretokenizers"]
-        self.parts = regex.compile(steps[0]["pattern"]["Regex"]).findall
+        pattern = steps[0]["pattern"]["Regex"]
+        self.parts, self.by_bounds = regex.compile(pattern).findall, pattern == _PATTERN
         self.letters = _byte_letters()
         self.model = self.tokenizer.model.tokenize
         self.older: dict[str, bytes] = {}
@@ -102,13 +152,44 @@ class WordTokenizer(dict):
             self[word] = ids
         return ids
 
-    def ids(self, text: str) -> bytes:
+    def forget(self) -> None:
         if 2 * len(self) > self.max_words:
             self.older = dict(self)
             self.clear()
             self[""] = b""
+
+    def ids(self, text: str) -> bytes:
+        self.forget()
         return b"".join(map(self.__getitem__, _words(text)))
 
+    def plain_ids(self, texts: pa.LargeStringArray) -> list[bytes]:
+        """Ids of texts that are not odd: all are cut into parts together and each different part is looked up once."""
+        self.forget()
+        small = pc.utf8_lower(texts)
+        starts = _offsets(small)
+        buffer = pa.py_buffer(small.buffers()[2] or b"")
+        bounds, is_part = part_bounds(np.frombuffer(buffer, np.uint8)[:starts[-1]], starts)
+        runs = pa.Array.from_buffers(pa.large_string(), len(is_part), [None, pa.py_buffer(bounds), buffer])
+        found = runs.filter(pa.array(is_part)).dictionary_encode()
+        different = pa.array([self.get(p) or self.part(p) for p in found.dictionary.to_pylist()], pa.large_binary())
+        ids = different.take(found.indices)
+        parts_before = np.append(0, np.cumsum(is_part))[np.searchsorted(bounds, starts)]
+        ends = _offsets(ids)[parts_before].tolist()
+        raw = memoryview(ids.buffers()[2] or b"")
+        return [bytes(raw[lo:hi]) for lo, hi in zip(ends, ends[1:])]
+
+    def all_ids(self, texts: pa.Array) -> Iterator[bytes]:
+        """Ids of every text (NULL: none), in order, some ``TEXT_BYTES`` of them at a time."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        before = np.cumsum(pc.binary_length(texts).to_numpy()) // TEXT_BYTES
+        firsts = np.flatnonzero(np.diff(before, prepend=-1)).tolist()
+        for lo, hi in zip(firsts, [*firsts[1:], len(texts)]):
+            some = texts.slice(lo, hi - lo)
+            odd = pc.match_substring_regex(some, _ODD) if self.by_bounds else pa.array([True] * len(some))
+            plain = iter(self.plain_ids(some.filter(pc.invert(odd))))
+            for i, is_odd in enumerate(odd.to_pylist()):
+                yield self.ids(some[i].as_py()) if is_odd else next(plain)
+
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
 
@@ -132,10 +213,11 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
             _TOKENIZERS[tokenizer] = WordTokenizer(tokenizer)
         _TOKENIZERS[tokenizer].max_words = max_words
         for b in batches:
+            found = _TOKENIZERS[tokenizer].all_ids(b.column(1))
             for lo in range(0, b.num_rows, 256):
                 rows, out = [], []
-                for n, text in enumerate(b.column(1).slice(lo, 256).to_pylist()):
-                    raw = _TOKENIZERS[tokenizer].ids(text or "") + end
+                for n, raw in enumerate(islice(found, 256)):
+                    raw += end
                     for k, at in enumerate(range(0, len(raw), 4 * capacity)):
                         part = raw[at:at + 4 * capacity]
                         rows.append(lo + n)
