@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shoreline.operators._util import fresh_name, qcol
 from shoreline.session import materialize, scratch_folder
 
-__all__ = ["components", "fresh_name", "gapless_index", "ordered_index", "ordered_rank", "qcol", "scratch", "ship", "stored",
-           "table", "word_count"]
+__all__ = ["TEXT_ROWS", "batches_of", "components", "fresh_name", "gapless_index", "ordered_index", "ordered_rank", "qcol",
+           "release_memory", "scratch", "ship", "stored", "table", "word_count"]
+
+#: whole texts that go to a Python worker at once: it holds a batch and the next one, and the executor's JVM its buffers of both
+TEXT_ROWS = 1000
 
 
 def ship(spark: SparkSession) -> None:
@@ -42,10 +49,36 @@ def scratch(spark: SparkSession, name: str) -> str:
     return scratch_folder(spark, f"llm/{name}")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs that run in this block send Python workers at most ``rows`` rows at once (or the session's own number, if lower)."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = int(spark.conf.get(key))
+    spark.conf.set(key, min(rows, was) if was > 0 else rows)  # 0 or less: any number
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
+def release_memory() -> None:
+    """Give what a Python worker has freed back to the system (which Arrow and the C library else keep for it), for
+    the worker waits for tasks of other stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if os.name == "posix" else None  # the GNU C library has it
+    if trim:
+        trim(0)
+
+
+def stored(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
     """Write ``df`` to a scratch folder and read it back: computed once, lineage cut,
-    safe against lost executors, columns still prunable."""
-    return materialize(df, scratch(df.sparkSession, name))
+    safe against lost executors, columns still prunable.  ``batch_rows``: the most rows that a
+    Python worker gets at once."""
+    path = scratch(df.sparkSession, name)
+    if batch_rows is None:
+        return materialize(df, path)
+    with batches_of(df.sparkSession, batch_rows):
+        return materialize(df, path)
 
 
 def word_count(text: Column) -> Column:

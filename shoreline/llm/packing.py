@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shoreline.llm.common import gapless_index, ship, stored
+from shoreline.llm.common import TEXT_ROWS, gapless_index, release_memory, ship, stored
 
 #: white space besides the blank at which texts are split into words
 _SPACES = "\t\n\x0b\x0c\r"
@@ -41,7 +41,7 @@ MAX_WORDS = 300_000
 #: longer words (in characters) are rarely met again
 LONG_WORD = 64
 #: bytes of the texts that are cut into parts at once (a longer text alone)
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 1 << 20
 
 #: the pattern that ``part_bounds`` follows
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -228,6 +228,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
                 if with_ids:
                     columns.append(pa.array([np.frombuffer(x, "<u4").astype(np.int64) for x in raw_ids], pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
+        release_memory()
 
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(each, schema)
 
@@ -462,7 +463,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id
                    max_words: int = MAX_WORDS) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset)``: the place of
     every piece of every document in sequences of at most ``capacity`` ids."""
-    return pack(stored(pieces(docs, tokenizer, capacity, end_id, with_ids, max_words), "pieces"), capacity)
+    return pack(stored(pieces(docs, tokenizer, capacity, end_id, with_ids, max_words), "pieces", TEXT_ROWS), capacity)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

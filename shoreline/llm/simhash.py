@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shoreline.llm.common import components, fresh_name, qcol, ship, stored
+from shoreline.llm.common import TEXT_ROWS, components, fresh_name, qcol, release_memory, ship, stored
 
 #: rows of the tiles that are compared at once
 TILE_A, TILE_B = 128, 1024
@@ -59,6 +59,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, key: Column | None = None) -
         for b in batches:
             fps = np.fromiter((simhash(t.as_py(), shingle) for t in b.column(0)), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(fps.view(np.int64))], names)
+        release_memory()
 
     ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -190,7 +191,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, blocks:
     ``component_id`` is the smallest ``doc_id`` that links of at most ``radius`` differing
     bits reach, itself included.
     """
-    fps = stored(fingerprints(docs, shingle), "fingerprints")
+    fps = stored(fingerprints(docs, shingle), "fingerprints", TEXT_ROWS)
     nodes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
     rooted = _classes(nodes, radius, blocks)
     names = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
@@ -211,7 +212,7 @@ def keep_one(docs: DataFrame, shingle: int = 4, radius: int = 4, blocks: int = 3
     # rows of one id and text are in one class: their number tells whether one must be picked
     texts = fps.groupBy("fp", "doc_id", "key").agg(F.count(F.lit(1)).alias("n"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "n"))
-    nodes = stored(texts.groupBy("fp").agg(first.alias("rep")), "nodes")
+    nodes = stored(texts.groupBy("fp").agg(first.alias("rep")), "nodes", TEXT_ROWS)
     own, hashed, n, at = (fresh_name(docs, c) for c in ("_kept", "_hash", "_rows", "_at"))
     kept = (_classes(nodes, radius, blocks).groupBy("root").agg(F.min("rep").alias("rep"))
             .select(F.col("rep.doc_id").alias(own), F.col("rep.key").alias(hashed), F.col("rep.n").alias(n)))
